@@ -249,7 +249,7 @@ def near_duplicates(
         graph = Graph(exact)
         graph.audit(threshold)
         blob = pickle.dumps((graph, exact, table["node"].to_numpy(), table["weight"].to_numpy()), protocol=5)
-        return pa.table({"shard": [table["shard"][0].as_py()], "dim": [dim], "graph": pa.array([blob], pa.binary())})
+        return pa.table({"shard": [table["shard"][0].as_py()], "dim": pa.array([dim], pa.int32()), "graph": pa.array([blob], pa.binary())})
 
     shard = F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard")
     dealt = nodes.select(shard, "dim", "node", "weight", "v")

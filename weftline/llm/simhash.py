@@ -198,3 +198,15 @@ def near_duplicates(
     least = materialize(labelled.groupBy("label").agg(F.min("rep").alias("component_id")), "components")
     known = labelled.join(least, "label").select("fp", "component_id")
     return prints.join(known, "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each component: that of the least id. All columns stay.
+
+    Rows without an id stay, as nothing can name them a copy of another row. Of rows with equal ids one stays."""
+    found = near_duplicates(docs, id_col, text_col, **options).filter(F.col(id_col) == F.col("component_id"))
+    kept = materialize(found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")), "kept")
+    out = docs.join(kept.select(id_col), id_col, "left_semi").select(*docs.columns)
+    if kept.filter("n > 1").limit(1).count():
+        out = out.dropDuplicates([id_col])
+    return out.union(docs.filter(F.col(id_col).isNull()))
