@@ -14,7 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pieces import byte_level, in_blocks, text_length
+from .pieces import byte_level, in_blocks, text_length, token_bytes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -63,14 +63,14 @@ def encode(
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """All columns of encoded and decoded: the bytes that its ids_le stand for (null ids: no bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_level(vocabulary, pattern)
+        bytes_of = token_bytes(vocabulary).__getitem__
         for batch in batches:
-            k = batch.schema.get_field_index("ids_le")
-            made = [bpe.decode(np.frombuffer(x, "<u4")) if x else b"" for x in batch.column(k).to_pylist()]
+            ids = batch.column(batch.schema.get_field_index("ids_le"))
+            made = [b"".join(map(bytes_of, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     kept = encoded.drop("decoded")

@@ -13,8 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MAX_PIECES = 400_000
-LONG_PIECE = 64
+MAX_PIECES = 150_000
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
@@ -44,6 +43,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes that each id stands for, by way of its byte characters; ids without a token stand for none."""
+    vocabulary = {as_chars(token): rank for token, rank in read_ranks(path).items()}
+    out = [b""] * (max(vocabulary.values(), default=-1) + 1)
+    for chars, rank in vocabulary.items():
+        out[rank] = as_bytes(chars)
+    return out
+
+
 class PieceTable:
     """ids(pieces): the ids of the pieces one after the other, and the number of ids of each piece."""
 
@@ -101,11 +110,7 @@ class ByteLevelBPE:
         ]
         self.library = Tokenizer(models.BPE(vocab={as_chars(t): r for t, r in ranks.items()}, merges=merges))
         self.cut = regex.compile(pattern).findall
-        vocabulary = self.library.get_vocab()
-        self.token_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for chars, k in vocabulary.items():
-            self.token_bytes[k] = as_bytes(chars)
-        self.token_length = np.array([len(b) for b in self.token_bytes], np.int64)
+        self.token_length = np.array([len(b) for b in token_bytes(path)], np.int64)
         self.table = PieceTable(self._encode)
 
     def _encode(self, pieces: list[str]) -> list[list[int]]:
@@ -118,9 +123,6 @@ class ByteLevelBPE:
         self.table.prepare({p for pieces in cut for p in pieces})
         return [self.table.ids(pieces)[0] for pieces in cut]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
-
 
 @lru_cache(maxsize=4)
 def byte_level(path: str, pattern: str) -> ByteLevelBPE:
@@ -179,7 +181,7 @@ def word_level(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def in_blocks(values: list, weight: Callable[[object], int], most: int = 4_000_000):
+def in_blocks(values: list, weight: Callable[[object], int], most: int = 1_000_000):
     """Runs of values of about `most` characters, so that a batch of long texts is never held cut in pieces."""
     block, size = [], 0
     for v in values:

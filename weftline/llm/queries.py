@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from . import bitplanes, byte_bpe, decontaminate, hnsw, html_text, pst, simhash, token_counts, toxicity, warc
 
+from .shared import text_batches
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -12,6 +12,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Rows of whole texts are large: hand them to Python in Arrow batches of at most `rows`."""
+    if int(spark.conf.get(ROWS_PER_BATCH)) > rows:
+        spark.conf.set(ROWS_PER_BATCH, rows)
 
 
 def shared_folder(spark: SparkSession) -> str:
