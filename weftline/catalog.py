@@ -1,5 +1,56 @@
-"""Every query by name, with its SQL."""
+"""Every query by name, with its SQL: feature sets over the adapted credit tables, and the operators one by one."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import features, oracle
+from .nulls import col
+from .operator_queries import OPERATOR_QUERIES, OPERATOR_SQL
+from .sources.adapters import VOCABULARY, sources
+from .sources.credit import CLIENT
+
+FLAGSHIP = "feature_set_BureauFeatures"
+
+TABLE_OF = {
+    "Application": "application", "Bureau": "bureau", "PreviousApplication": "previous_application", "PosCash": "pos_cash",
+    "InstallmentsPayments": "installments", "CreditCardBalance": "credit_card",
+}
+
+
+def rounded(df: DataFrame, key: str = CLIENT, digits: int = 4) -> DataFrame:
+    """Numbers as doubles rounded half up, so that sums in another order compare equal."""
+    return df.select(
+        *[
+            (F.round(col(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.NumericType) and f.name != key else col(f.name)
+            for f in df.schema
+        ]
+    )
+
+
+def vocabulary_of(name: str) -> dict:
+    table = TABLE_OF[name.removeprefix("AggregateFeature").split("Features")[0].removesuffix("OpenSolution")]
+    return VOCABULARY[table]
+
+
+def _feature_set(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = features.build(name, sources(spark, sf_dir), {"vocabulary": vocabulary_of(name)})
+        return rounded(made.select(*[col(c) for c in made.columns if not oracle.is_id_variance(c)]))
+
+    query.__name__ = f"feature_set_{name}"
+    return query
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{f"feature_set_{name}": _feature_set(name) for name in features.names()},
+    **OPERATOR_QUERIES,
+}
+ORACLE_SQL: dict[str, str] = {
+    **{f"feature_set_{name}": sql() for name, sql in oracle.FEATURE_SETS.items()},
+    **OPERATOR_SQL,
+}
