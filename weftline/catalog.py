@@ -23,10 +23,11 @@ TABLE_OF = {
 
 
 def rounded(df: DataFrame, key: str = CLIENT, digits: int = 4) -> DataFrame:
-    """Numbers as doubles rounded half up, so that sums in another order compare equal."""
+    """Numbers as doubles rounded up from just below the half: shares of small counts often lie at a half exactly,
+    where sums in another order would round either way."""
     return df.select(
         *[
-            (F.round(col(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.NumericType) and f.name != key else col(f.name)
+            (F.round(col(f.name).cast("double") + F.lit(oracle.OFF_TIES), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.NumericType) and f.name != key else col(f.name)
             for f in df.schema
         ]
     )

@@ -17,8 +17,13 @@ def _complete(x: Column, rows: Column, value: Column) -> Column:
     return F.when(F.count(x) < F.sum(rows), None).otherwise(value)
 
 
+#: A skew below this is the rounding error of a symmetric group.
+NO_SKEW = 1e-8
+
+
 def _skew(x: Column, rows: Column) -> Column:
-    return _complete(x, rows, F.when(F.stddev_pop(x) == 0, F.lit(0.0)).otherwise(F.skewness(x)))
+    flat = (F.stddev_pop(x) == 0) | (F.abs(F.skewness(x)) < NO_SKEW)
+    return _complete(x, rows, F.when(flat, F.lit(0.0)).otherwise(F.skewness(x)))
 
 
 def _kurt(x: Column, rows: Column) -> Column:

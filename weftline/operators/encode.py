@@ -132,17 +132,23 @@ def target_encode_folds(df: DataFrame, key: str, columns: list[str], target: str
     cells = [F.struct(col(c).alias("v")) for c in columns]
     known = _tall(train, [col(target), F.col("fold")], cells).filter(F.col("v").isNotNull())
     of = lambda f, x: F.sum(F.when(F.col("__k1") == f, x).otherwise(0))
-    stats = known.groupBy("c", "v").agg(*[of(f, F.lit(1)).alias(f"n{f}") for f in range(folds)], *[of(f, F.col("__k0")).alias(f"s{f}") for f in range(folds)])
+    stats = known.groupBy("c", "v").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("__k0").alias("s"), *[of(f, F.lit(1)).alias(f"n{f}") for f in range(folds)], *[of(f, F.col("__k0")).alias(f"s{f}") for f in range(folds)]
+    )
+    outside = F.array(*[F.struct((F.col("n") - F.col(f"n{f}")).alias("n"), (F.col("s") - F.col(f"s{f}")).alias("s")) for f in range(folds)])
+    stats = stats.select("c", "v", outside.alias("outside"))
     encoded = _tall(dealt, [col(key), col(target), F.col("fold")], cells).join(stats, ["c", "v"], "left")
-    at = lambda x, f: F.coalesce(f"{x}{f}", F.lit(0))
-
-    def without(f: int) -> Column:
+    priors = []
+    for f in range(folds):
         n0, s0 = own.get(f, (0, 0))
-        prior = F.lit((every[1] - s0) / (every[0] - n0) if every[0] > n0 else None).cast("double")
-        n = sum((at("n", g) for g in range(folds) if g != f), F.lit(0))
-        s = sum((at("s", g) for g in range(folds) if g != f), F.lit(0))
-        return smoothed(n, s / F.nullif(n, F.lit(0)), prior)
+        priors.append(F.lit((every[1] - s0) / (every[0] - n0) if every[0] > n0 else None).cast("double"))
+
+    def without(f: Column) -> Column:
+        """f: place of the fold, from 1."""
+        rest, prior = F.element_at("outside", f), F.element_at(F.array(*priors), f)
+        n = F.coalesce(rest["n"], F.lit(0))
+        return smoothed(n, rest["s"] / F.nullif(n, F.lit(0)), prior)
 
-    parts = [without(f) for f in range(folds)]
-    value = F.when(F.col("__k1").isNull(), sum(parts, F.lit(0.0)) / folds).otherwise(F.element_at(F.array(*parts), F.col("__k2") + 1))
+    mean = F.aggregate(F.sequence(F.lit(1), F.lit(folds)), F.lit(0.0), lambda a, f: a + without(f)) / folds
+    value = F.when(F.col("__k1").isNull(), mean).otherwise(without(F.col("__k2") + 1))
     return _wide(encoded, [name.format(c) for c in columns], key, value)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..nulls import col
+from ..settle import settle
 
 RANGES = 64
 
@@ -60,9 +61,51 @@ def rank_sum_test(df: DataFrame, target: str, value: str, least: int = 20) -> tu
     known = df.filter(col(target).isNotNull() & col(value).isNotNull())
     ranks = value_ranks(known, col(value), {"pos": col(target).cast("double")})
     row = ranks.agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)), F.sum("pos"), F.sum("n")).first()
-    s, n1, n = (x or 0.0 for x in row)
+    return rank_sum(*row, least)
+
+
+NO_TEST = 2.0
+
+
+def rank_sum(s: float | None, n1: float | None, n: float | None, least: int = 20) -> tuple[float | None, float]:
+    """(z, two-sided p) from the rank sum of n1 of n values; (None, NO_TEST) for fewer than `least` of either kind."""
+    s, n1, n = (float(x or 0) for x in (s, n1, n))
     n0 = n - n1
     if n1 < least or n0 < least:
-        return None, 2.0
+        return None, NO_TEST
     z = (s - n1 * (n + 1) / 2) / math.sqrt(n1 * n0 * (n + 1) / 12)
     return z, math.erfc(abs(z) / math.sqrt(2))
+
+
+def class_comparison(df: DataFrame, flag: str, columns: list[str], ranges: int = RANGES) -> DataFrame:
+    """A row for each column that has a value: c (its place in `columns`), n, n1, rank_sum of flag 1, mean0, mean1,
+    exact median0 and median1, least, most, and others (values that are neither 0 nor 1).
+
+    Cells are aggregated to distinct values of a column first; running counts go over ranges of a column's values,
+    so neither a column nor a class is ever held in one task."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), col(c).cast("double").alias("x")) for i, c in enumerate(columns)]))
+    tall = df.filter(col(flag).isNotNull()).select(col(flag).cast("bigint").alias("f"), cells.alias("cell")).select("f", "cell.c", "cell.x").filter("x is not null")
+    values = settle(tall.groupBy("c", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("n1")), "values")
+    bounds = values.groupBy("c").agg(F.array_distinct(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 10 * ranges)).alias("bounds"))
+    placed = values.join(F.broadcast(bounds), "c").select("c", "x", "n", "n1", F.size(F.filter("bounds", lambda b: b <= F.col("x"))).alias("r"))
+    sizes = placed.groupBy("c", "r").agg(F.sum("n").alias("size"), F.sum("n1").alias("size1"))
+    lower = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("c")
+    starts = sizes.select("c", "r", *[F.coalesce(F.sum(k).over(lower), F.lit(0)).alias("start" + k) for k in ("size", "size1")], *[F.sum(k).over(whole).alias("all" + k) for k in ("size", "size1")])
+    before = Window.partitionBy("c", "r").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.select("*", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias("in" + k) for k in ("n", "n1")])
+    ranked = inside.join(F.broadcast(starts), ["c", "r"]).select(
+        "c", "x", "n", "n1", (F.col("n") - F.col("n1")).alias("n0"), (F.col("startsize") + F.col("inn")).alias("below"), (F.col("startsize1") + F.col("inn1")).alias("below1"), "allsize", "allsize1"
+    )
+
+    def median(k: int) -> Column:
+        total = F.col("allsize1") if k else F.col("allsize") - F.col("allsize1")
+        below, n = (F.col("below1"), F.col("n1")) if k else (F.col("below") - F.col("below1"), F.col("n0"))
+        at = lambda place: F.max(F.when((n > 0) & (below <= place) & (place < below + n), F.col("x")))
+        return ((at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2).alias(f"median{k}")
+
+    return ranked.groupBy("c").agg(
+        F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.sum(F.col("n1") * (F.col("below") + (F.col("n") + 1) / 2)).alias("rank_sum"),
+        *[F.try_divide(F.sum(F.col("x") * F.col(f"n{k}")), F.sum(f"n{k}")).alias(f"mean{k}") for k in (0, 1)],
+        median(0), median(1), F.min("x").alias("least"), F.max("x").alias("most"), F.sum(F.when(F.col("x").isin(0.0, 1.0), 0).otherwise(F.col("n"))).alias("others"),
+    )

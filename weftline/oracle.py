@@ -20,6 +20,9 @@ from .plans.fusion import Agg, group_recipes, recipes
 from .sources.adapters import APPLICATION_NUMBERS, VOCABULARY, duck
 from .sources.credit import CLIENT, TABLES
 
+#: Added before results are rounded to four digits.
+OFF_TIES = 0.0000027
+
 # Columns of each view, in order.
 COLUMNS = {
     "bureau": "SK_ID_CURR SK_ID_BUREAU CREDIT_ACTIVE CREDIT_CURRENCY CREDIT_TYPE DAYS_CREDIT DAYS_CREDIT_ENDDATE DAYS_ENDDATE_FACT DAYS_CREDIT_UPDATE CREDIT_DAY_OVERDUE CNT_CREDIT_PROLONG AMT_CREDIT_SUM AMT_CREDIT_SUM_DEBT AMT_CREDIT_SUM_LIMIT AMT_CREDIT_SUM_OVERDUE AMT_CREDIT_MAX_OVERDUE AMT_ANNUITY",
@@ -54,7 +57,7 @@ def duck_expr(expr: str) -> str:
 
 
 def number(sql: str, name: str) -> str:
-    return f"round(cast({sql} as double), 4) + 0.0 as {quoted(name)}"
+    return f"round(cast({sql} as double) + {OFF_TIES}, 4) + 0.0 as {quoted(name)}"
 
 
 def ratio(a: str, b: str) -> str:
@@ -68,7 +71,8 @@ def statistic(func: str, x: str, rows: str | None) -> str:
     x = f"cast({x} as double)" if func not in ("count", "size", "nunique") else x
     m = lambda k: f"avg(power({x}, {k})){f}"
     if func == "skew":
-        return f"case when {complete} then case when stddev_pop({x}){f} = 0 then 0.0 else ({m(3)} - 3 * {m(1)} * {m(2)} + 2 * power({m(1)}, 3)) / power({m(2)} - power({m(1)}, 2), 1.5) end end"
+        value = f"({m(3)} - 3 * {m(1)} * {m(2)} + 2 * power({m(1)}, 3)) / power({m(2)} - power({m(1)}, 2), 1.5)"
+        return f"case when {complete} then case when stddev_pop({x}){f} = 0 or abs({value}) < 1e-8 then 0.0 else {value} end end"
     if func == "kurt":
         return f"case when {complete} then case when stddev_pop({x}){f} = 0 then -3.0 else kurtosis_pop({x}){f} end end"
     if func == "iqr":

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .nulls import col, ratio
-from .operators.ranking import rank_sum_test, value_ranks
+from .operators.ranking import NO_TEST, class_comparison, rank_sum, value_ranks
+from .settle import settle
 from .sources.credit import CLIENT, TARGET
 
 P_LIMIT, DIFF_LIMIT = 0.05, 0.5
@@ -33,26 +34,25 @@ def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for i, c in enumerate(columns) if row[i] is None or row[i] == row[n + i]]
 
 
-def difference_stats(df: DataFrame, columns: list[str], flag: str, overall: DataFrame | None = None) -> dict[str, tuple[float, float]]:
-    """column -> (difference, difference over the mean of `overall`) between rows of flag 0 and 1: of means for 0/1
-    columns without missing values, else of medians. One pass over df and one over overall."""
+def difference_stats(df: DataFrame, columns: list[str], flag: str, overall: DataFrame | None = None) -> dict[str, tuple[float, float, float]]:
+    """column -> (difference, difference over the mean of `overall`, p) between rows of flag 0 and 1: of means for
+    0/1 columns without missing values, else of medians; p is that of the rank-sum test. All columns are compared
+    in one pass over df, means take one over overall."""
     if not columns:
         return {}
-    zero, one = (lambda c: F.when(col(flag) == 0, c)), (lambda c: F.when(col(flag) == 1, c))
-    stats = []
-    for i, c in enumerate(columns):
-        x = col(c).cast("double")
-        binary = (F.count(x) == F.count(F.lit(1))) & (F.sum(F.when(x.isin(0.0, 1.0), 0).otherwise(1)) == 0) & (F.min(x) == 0) & (F.max(x) == 1)
-        diff = F.when(binary, F.abs(F.avg(zero(x)) - F.avg(one(x)))).otherwise(F.abs(F.median(zero(x)) - F.median(one(x))))
-        stats.append(diff.alias(f"d{i}"))
-    diffs = df.agg(*stats).first()
+    n_rows = df.filter(col(flag).isNotNull()).count()
+    compared = {r.c: r for r in class_comparison(df, flag, columns).collect()}  # one row for each column
     means = (overall or df).agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     out = {}
     for i, c in enumerate(columns):
-        d, m = diffs[i], means[i]
-        d = math.nan if d is None else d
+        r, m = compared.get(i), means[i]
+        d = math.nan
+        if r is not None:
+            binary = r.n == n_rows and not r.others and r.least == 0 and r.most == 1
+            a, b = (r.mean0, r.mean1) if binary else (r.median0, r.median1)
+            d = math.nan if a is None or b is None else abs(a - b)
         norm = math.nan if m is None else abs(d / m) if m else (math.nan if d == 0 else math.inf)
-        out[c] = (d, norm)
+        out[c] = (d, norm, rank_sum(r.rank_sum, r.n1, r.n)[1] if r is not None else NO_TEST)
     return out
 
 
@@ -69,18 +69,16 @@ def clean_data(df: DataFrame, key: str = CLIENT, target: str = TARGET, importanc
     difference between targets is 0 go. 4. `importance(df, columns, flag)` -> (auc, used columns) trains on what is
     left to tell training from other rows; columns it doesn't need by the time the AUC is at most 0.7 go. The key and
     the target always stay; stage 4 runs only with `importance` and ends after max_rounds."""
+    df = settle(df, "uncleaned")
     columns = numeric(df, (key, target))
     gone = set(constant_columns(df, columns))
     columns = [c for c in columns if c not in gone]
-    train = df.filter(col(target).isNotNull())
-    by_target = difference_stats(train, columns, target, df)
-    tests = {c: rank_sum_test(train, target, c)[1] for c in columns if by_target[c][0] == 0 or by_target[c][1] < DIFF_LIMIT}
-    gone |= {c for c, p in tests.items() if useless(*by_target[c], p)}
+    by_target = difference_stats(df.filter(col(target).isNotNull()), columns, target, df)
+    gone |= {c for c in columns if useless(*by_target[c])}
     left = [c for c in columns if c not in gone]
     marked = df.withColumn("__is_train", col(target).isNotNull().cast("int"))
     by_split = difference_stats(marked, left, "__is_train")
-    far = [c for c in left if by_split[c][1] > TEST_DIFF_LIMIT and by_target[c][1] == 0]
-    gone |= {c for c in far if rank_sum_test(marked, "__is_train", c)[1] < TEST_P_LIMIT}
+    gone |= {c for c in left if by_split[c][1] > TEST_DIFF_LIMIT and by_target[c][1] == 0 and by_split[c][2] < TEST_P_LIMIT}
     if importance is not None:
         candidates = [c for c in left if c not in gone]
         for _ in range(max_rounds):
