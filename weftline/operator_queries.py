@@ -1,2 +1,116 @@
-OPERATOR_QUERIES: dict = {}
-OPERATOR_SQL: dict = {}
+"""The table operators one by one over the order tables, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .ensemble import power_blend, rank_average, stack
+from .functions import rowwise
+from .nulls import ratio, ratio_or_zero
+from .operators.encode import factorize, one_hot
+from .operators.folds import MODULUS, MULTIPLIER, fold_of
+from .operators.ranking import auc, class_comparison, with_rank
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.floor(F.col("o_totalprice") / 1000).cast("bigint")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", price.alias("p"), (F.col("o_orderkey") % 97).alias("q"), (F.col("o_orderstatus") == "F").cast("int").alias("closed"))
+
+
+_ORDERS = "(select o_orderkey, cast(floor(o_totalprice / 1000) as bigint) as p, o_orderkey % 97 as q, case when o_orderstatus = 'F' then 1 else 0 end as closed from orders)"
+
+
+def rank_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_rank(_orders(spark, sf_dir), "p", "rank_p").select("o_orderkey", "rank_p")
+
+
+def rank_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_rank(_orders(spark, sf_dir), "p", "rank_p", average=True).select("o_orderkey", "rank_p")
+
+
+def exact_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return auc(_orders(spark, sf_dir), "closed", "p").select(F.round("auc", 9).alias("auc"))
+
+
+def compare_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = class_comparison(_orders(spark, sf_dir), "closed", ["p", "q"])
+    return found.select("c", "n", "n1", *[F.round(c, 6).alias(c) for c in ("rank_sum", "mean0", "mean1", "median0", "median1")], "least", "most")
+
+
+def first_appearance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return factorize(customers, ["c_mktsegment"], [F.col("c_custkey")])
+
+
+def dummy_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_hot(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), vocab={"o_orderstatus": ["F", "O", "P"]})[0]
+
+
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_of(_orders(spark, sf_dir), "o_orderkey", "closed").select("o_orderkey", "fold")
+
+
+def blend_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _orders(spark, sf_dir).select("o_orderkey", (F.col("p") / 1000).alias("a"), (F.col("q") / 97).alias("b"))
+    return power_blend(scored, {"a": 1.0, "b": 3.0}, 2.0).select("o_orderkey", F.round("prediction", 6).alias("prediction"))
+
+
+def average_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_average(_orders(spark, sf_dir), {"p": 0.25, "q": 0.75}).select("o_orderkey", F.round("prediction", 6).alias("prediction"))
+
+
+def stack_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir)
+    runs = [orders.filter("o_orderkey % 2 = 0").select("o_orderkey", F.col("p").alias("a_PREDICTION")), orders.filter("o_orderkey % 3 = 0").select("o_orderkey", F.col("q").alias("b_PREDICTION"))]
+    return stack(orders.select("o_orderkey"), runs, "o_orderkey")
+
+
+def row_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem")
+    x = [F.nullif(F.col("l_partkey") % 7, F.lit(0)), F.nullif(F.col("l_suppkey") % 5, F.lit(1)), F.nullif(F.col("l_orderkey") % 11, F.lit(2)), F.col("l_linenumber")]
+    x = [c.cast("double") for c in x]
+    made = {"rmean": rowwise.row_mean(x), "rstd": rowwise.row_std(x), "rmedian": rowwise.row_median(x), "rsum": rowwise.row_sum(x), "rmin": rowwise.row_min(x), "rmax": rowwise.row_max(x), "rnulls": rowwise.row_nulls(x)}
+    return lines.select("l_orderkey", "l_linenumber", *[F.round(v.cast("double"), 6).alias(k) for k, v in made.items()])
+
+
+def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("p"), F.col("q")
+    return _orders(spark, sf_dir).select("o_orderkey", F.round(ratio(a, b), 6).alias("null_for_zero"), F.round(ratio_or_zero(a, b), 6).alias("zero_for_zero"))
+
+
+OPERATOR_QUERIES = {
+    f.__name__: f
+    for f in (rank_min, rank_mean, exact_auc, compare_classes, first_appearance_codes, dummy_columns, stratified_folds, blend_powers, average_ranks, stack_runs, row_statistics, ratios)
+}
+
+_RANKED = f"select *, rank() over (order by p) as lo, count(*) over (partition by p) as ties from {_ORDERS}"
+_COMPARED = " union all ".join(
+    f"""select cast({i} as int) as c, count(*) as n, sum(closed) as n1, round(sum(case when closed = 1 then lo + (ties - 1) / 2.0 end), 6) as rank_sum,
+round(avg({x}) filter (where closed = 0), 6) as mean0, round(avg({x}) filter (where closed = 1), 6) as mean1,
+round(median({x}) filter (where closed = 0), 6) as median0, round(median({x}) filter (where closed = 1), 6) as median1,
+cast(min({x}) as double) as least, cast(max({x}) as double) as most
+from (select *, rank() over (order by {x}) as lo, count(*) over (partition by {x}) as ties from {_ORDERS})"""
+    for i, x in enumerate(("p", "q"))
+)
+OPERATOR_SQL = {
+    "rank_min": f"select o_orderkey, lo as rank_p from ({_RANKED})",
+    "rank_mean": f"select o_orderkey, lo + (ties - 1) / 2.0 as rank_p from ({_RANKED})",
+    "exact_auc": f"select round((sum(case when closed = 1 then lo + (ties - 1) / 2.0 end) - sum(closed) * (sum(closed) + 1) / 2.0) / (sum(closed) * (count(*) - sum(closed))), 9) as auc from ({_RANKED})",
+    "compare_classes": _COMPARED,
+    "first_appearance_codes": "select c_custkey, dense_rank() over (order by f) - 1 as c_mktsegment from (select c_custkey, min(c_custkey) over (partition by c_mktsegment) as f from customer)",
+    "dummy_columns": "select o_orderkey, " + ", ".join(f"case when o_orderstatus = '{v}' then 1 else 0 end as \"o_orderstatus_{v}\"" for v in "FOP") + ", case when o_orderstatus is null then 1 else 0 end as o_orderstatus_nan from orders",
+    "stratified_folds": f"select o_orderkey, cast((row_number() over (partition by closed order by (o_orderkey * {MULTIPLIER} + 47) % {MODULUS}, o_orderkey) - 1) % 5 as int) as fold from {_ORDERS}",
+    "blend_powers": f"select o_orderkey, round(0.25 * power(p / 1000.0, 2) + 0.75 * power(q / 97.0, 2), 6) as prediction from {_ORDERS}",
+    "average_ranks": f"""select o_orderkey, round((m - min(m) over ()) / (max(m) over () - min(m) over ()), 6) as prediction
+from (select o_orderkey, (cast(rank() over (order by p) as double) * 0.25 + cast(rank() over (order by q) as double) * 0.75) / 2 as m from {_ORDERS})""",
+    "stack_runs": f"select o_orderkey, cast(case when o_orderkey % 2 = 0 then p end as double) as \"a_PREDICTION\", cast(case when o_orderkey % 3 = 0 then q end as double) as \"b_PREDICTION\" from {_ORDERS}",
+    "row_statistics": """select l_orderkey, l_linenumber, round(list_avg(x), 6) as rmean, round(case when len(x) > 1 then list_stddev_samp(x) end, 6) as rstd, round(list_median(x), 6) as rmedian,
+round(list_sum(x), 6) as rsum, list_min(x) as rmin, list_max(x) as rmax, cast(4 - len(x) as double) as rnulls
+from (select l_orderkey, l_linenumber, list_filter([cast(nullif(l_partkey % 7, 0) as double), nullif(l_suppkey % 5, 1), nullif(l_orderkey % 11, 2), l_linenumber], lambda v: v is not null) as x from lineitem)""",
+    "ratios": f"select o_orderkey, round(cast(p as double) / nullif(q, 0), 6) as null_for_zero, round(coalesce(cast(p as double) / nullif(q, 0), 0), 6) as zero_for_zero from {_ORDERS}",
+}
