@@ -109,19 +109,26 @@ def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
     return (n_hit > 0) & (n_hit * share >= n_words)
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def _carried(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, options: dict) -> tuple[DataFrame, dict[str, str]]:
+    """What find() says of each row of docs, with all its columns under names of their own, and those names."""
+    own = {c: f"__doc{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*own.values())
+    return find(plain, benchmark, own[id_col], own[text_col], keep=tuple(own.values()), **options), own
+
+
+def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the contaminated ones; all columns and other rows stay as they are.
 
     An id names a document: of rows with equal ids all go if one is contaminated. Rows without an id are judged
     one by one."""
-    found = find(docs.filter(F.col(id_col).isNotNull()), benchmark, id_col, **options)
+    found = find(docs.filter(F.col(id_col).isNotNull()), benchmark, id_col, text_col, **options)
     bad = materialize(found.filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(id_col).distinct(), "contaminated")
     kept = docs.join(bad, id_col, "left_anti").select(*docs.columns)
     nameless = docs.filter(F.col(id_col).isNull())
     if not nameless.limit(1).count():
         return kept
-    judged = find(nameless, benchmark, id_col, keep=tuple(docs.columns), **options)
-    clean = judged.filter(~contaminated(F.col("n_hit"), F.col("n_words"))).select(*docs.columns)
+    judged, own = _carried(nameless, benchmark, id_col, text_col, options)
+    clean = judged.filter(~contaminated(F.col("n_hit"), F.col("n_words"))).select(*[F.col(o).alias(c) for c, o in own.items()])
     return kept.filter(F.col(id_col).isNotNull()).union(clean)
 
 
@@ -130,8 +137,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A text that is hit is rebuilt from its other words, in lower case and joined by blanks; others stay as they
     are. A text that lies in windows wholly becomes empty. Every row stays, with all columns."""
-    found = find(docs, benchmark, id_col, text_col, keep=tuple(docs.columns), **options)
+    found, own = _carried(docs, benchmark, id_col, text_col, options)
+    text = F.col(own[text_col])
     inside = lambda i: F.exists("spans", lambda s: (i + 1 >= s["first"]) & (i + 1 <= s["last"]))
-    rest = F.array_join(F.filter(words(F.col(text_col)), lambda w, i: ~inside(i)), " ")
-    cleaned = found.withColumn(text_col, F.when(F.col("n_hit") > 0, rest).otherwise(F.col(text_col)))
-    return cleaned.select(*docs.columns)
+    rest = F.array_join(F.filter(words(text), lambda w, i: ~inside(i)), " ")
+    cleaned = found.withColumn(own[text_col], F.when(F.col("n_hit") > 0, rest).otherwise(text))
+    return cleaned.select(*[F.col(o).alias(c) for c, o in own.items()])

@@ -122,6 +122,8 @@ def _shard_edges(fps: list[int], radius: int) -> list[tuple[int, int]]:
 
 
 def _signed(x: int) -> int:
+    """The long with the 64 bits of x, which may be signed already."""
+    x &= (1 << 64) - 1
     return x - (1 << 64) if x >> 63 else x
 
 

@@ -288,6 +288,9 @@ def classify(
     return out.select(*names, (fold(id_col) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs that aren't predicted toxic, with all their columns."""
-    return classify(docs, labels, keep=tuple(docs.columns), **options).filter("predicted = 0").select(*docs.columns)
+def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs that aren't predicted toxic, with all their columns, whatever these are called."""
+    own = {c: f"tox_doc{i}" for i, c in enumerate(docs.columns)}
+    known = labels.withColumnRenamed(id_col, own[id_col])
+    judged = classify(docs.toDF(*own.values()), known, own[id_col], own[text_col], keep=tuple(own.values()), **options)
+    return judged.filter("predicted = 0").select(*[F.col(o).alias(c) for c, o in own.items()])
