@@ -1,15 +1,18 @@
 """Piece-wise BPE: texts are cut into pieces that merges never cross, and each distinct piece is encoded once.
 
 A table lives as long as its Python worker, so later batches and tasks find the frequent pieces encoded. It is
-emptied at `max_pieces`, which bounds its memory.
+emptied beyond `max_pieces`, which bounds its memory.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -53,44 +56,62 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
+class _Numbers(dict):
+    """Numbers of pieces; a new piece gets the next one and waits in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
+
+
 class PieceTable:
-    """ids(pieces): the ids of the pieces one after the other, and the number of ids of each piece."""
+    """ids of texts that are cut into pieces; each distinct piece goes through `encode` once while it is held."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], max_pieces: int = MAX_PIECES) -> None:
         self.encode, self.max_pieces = encode, max_pieces
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.numbers = _Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _store(self, k: int, ids: list[int]) -> None:
-        if k >= len(self.start):
-            self.start, self.count = np.resize(self.start, 2 * k + 2), np.resize(self.count, 2 * k + 2)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[k], self.count[k] = self.used, len(ids)
-        self.used += len(ids)
-
-    def prepare(self, pieces: set[str]) -> None:
-        """Encode what isn't known yet. Call it with the pieces of a batch of texts before ids()."""
-        new = [p for p in pieces if p not in self.index]
-        if len(self.index) + len(new) > self.max_pieces:
+        self.ends = np.zeros(1 << 14, np.int64)
+
+    def _learn(self) -> None:
+        """Encode the pieces that wait."""
+        new, self.numbers.new = self.numbers.new, []
+        if not new:
+            return
+        ids, total = self.encode(new), len(self.numbers)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        if total > len(self.ends):
+            self.ends = np.resize(self.ends, 2 * total)
+        first = total - len(new)
+        self.ends[first:total] = self.used + np.cumsum(lengths)
+        end = self.used + int(lengths.sum())
+        if end > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * end)
+        self.flat[self.used : end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - self.used)
+        self.used = end
+
+    def ids(self, cut: list[list[str]]) -> list[np.ndarray]:
+        """The ids of each text from its pieces."""
+        if not cut:
+            return []
+        if len(self.numbers) > self.max_pieces:
             self.reset()
-            new = list(pieces)
-        for piece, ids in zip(new, self.encode(new)):
-            self._store(len(self.index), ids)
-            self.index[piece] = len(self.index)
-
-    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        counts = self.count[known]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        places = np.repeat(self.start[known] - ends + counts, counts) + np.arange(total)
-        return self.flat[places], counts
+        pieces = np.fromiter(map(len, cut), np.int64, len(cut))
+        known = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(pieces.sum()))
+        self._learn()
+        start = np.where(known > 0, self.ends[known - 1], 0)
+        counts = self.ends[known] - start
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        places = np.repeat(start - ends[:-1], counts) + np.arange(ends[-1])
+        return np.split(self.flat[places], ends[np.cumsum(pieces)[:-1]])
 
 
 class ByteLevelBPE:
@@ -119,9 +140,7 @@ class ByteLevelBPE:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; a null text has none."""
-        cut = [self.cut(t) if t else [] for t in texts]
-        self.table.prepare({p for pieces in cut for p in pieces})
-        return [self.table.ids(pieces)[0] for pieces in cut]
+        return self.table.ids([self.cut(t) if t else [] for t in texts])
 
 
 @lru_cache(maxsize=4)
@@ -133,47 +152,53 @@ def byte_level(path: str, pattern: str) -> ByteLevelBPE:
 class WordBPE:
     """A tokenizers file whose pipeline lower-cases, drops white space and marks word ends.
 
-    White space ends every piece in that pipeline, so the chunks between white space are encoded once each. Chunks
-    of Latin letters (below U+0250) take the file's steps here (lower case, cutting, byte table) and then the
-    file's merges in the library; other chunks, and texts with the separators U+001C to U+001F, which Python and
-    the library's pattern split differently, go through the library's whole pipeline."""
+    Texts of Latin letters (below U+0250, which the file's normal form leaves alone) take the file's steps here
+    (lower case, cutting, byte table) and then the file's merges in the library, once for each distinct piece. White
+    space ends every piece in that pipeline, so in other texts only the chunks between white space that hold other
+    letters go through the library's whole pipeline. So do texts with the separators U+001C to U+001F, which Python
+    and the library's pattern split differently."""
 
-    CUT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    CUT = r"[{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{N}]|[^\s{L}{N}]+"  # the file's pattern; letters come first as most pieces are
+    BEYOND = 0x250
+    MAX_PIECES = 400_000
+    WHOLE = " "  # begins what takes the whole pipeline; no piece holds white space
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.bare = Tokenizer(self.library.model)
-        self.cut = regex.compile(self.CUT).findall
-        self.odd = regex.compile("[\x1c-\x1f]").search
-        self.parts = PieceTable(self._encode_parts)
-        self.chunks = PieceTable(self._encode_chunks)
-
-    def _encode_parts(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.bare.encode_batch_fast([as_chars(p.encode()) for p in parts], add_special_tokens=False)]
-
-    def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        plain = [max(c) < "ɐ" for c in chunks]
-        cut = [self.cut(c.lower()) if p else [] for c, p in zip(chunks, plain)]
-        whole = iter(self.library.encode_batch_fast([c for c, p in zip(chunks, plain) if not p], add_special_tokens=False))
-        self.parts.prepare({x for parts in cut for x in parts})
-        flat, counts = self.parts.ids([x for parts in cut for x in parts])
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        at = ends[np.concatenate(([0], np.cumsum([len(parts) for parts in cut], dtype=np.int64)))].tolist()
-        ids = flat.tolist()
-        return [ids[a:b] if p else next(whole).ids for a, b, p in zip(at, at[1:], plain)]
+        kinds = {c: unicodedata.category(c)[0] for i in range(self.BEYOND) for c in chr(i) + chr(i).lower()}
+        letters, numbers = (re.escape("".join(sorted(c for c in kinds if kinds[c] == k))) for k in "LN")
+        self.cut = re.compile(self.CUT.format(L=letters, N=numbers)).findall
+        self.beyond = re.compile(f"[^\\x00-{chr(self.BEYOND - 1)}]").search
+        self.table = PieceTable(self._encode, self.MAX_PIECES)
+
+    def _encode(self, pieces: list[str]) -> list[list[int]]:
+        plain = [as_chars(p.encode("utf-8", "surrogatepass")) for p in pieces if p[0] != self.WHOLE]
+        merged = iter(self.bare.encode_batch_fast(plain, add_special_tokens=False))
+        whole = iter(self.library.encode_batch_fast([p[1:] for p in pieces if p[0] == self.WHOLE], add_special_tokens=False))
+        return [next(whole if p[0] == self.WHOLE else merged).ids for p in pieces]
+
+    def _pieces(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return [self.WHOLE + text]
+        if text.isascii() or not self.beyond(text):
+            return self.cut(text.lower())
+        out: list[str] = []
+        for chunk in text.split():
+            if chunk.isascii() or not self.beyond(chunk):
+                out += self.cut(chunk.lower())
+            else:
+                out.append(self.WHOLE + chunk)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        odd = [bool(t and self.odd(t)) for t in texts]
-        cut = [t.split() if t and not o else [] for t, o in zip(texts, odd)]
-        self.chunks.prepare({c for chunks in cut for c in chunks})
-        return [
-            np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if o else self.chunks.ids(chunks)[0]
-            for t, o, chunks in zip(texts, odd, cut)
-        ]
+        """uint32 ids of each text; a null text has none."""
+        return self.table.ids([self._pieces(t) for t in texts])
 
 
 @lru_cache(maxsize=2)
