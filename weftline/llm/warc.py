@@ -33,15 +33,16 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary column: 160 bits are 32 digits of 5 bits."""
-    bits = F.lpad(F.conv(F.substring(F.sha1(payload), 1, 10), 16, 2), 40, "0")
-    for i in (11, 21, 31):
-        bits = F.concat(bits, F.lpad(F.conv(F.substring(F.sha1(payload), i, 10), 16, 2), 40, "0"))
-    digits = F.transform(
-        F.sequence(F.lit(0), F.lit(31)),
-        lambda i: F.substring(F.lit(BASE32), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)),
-    )
-    return F.array_join(digits, "")
+    """Upper-case base32 of the SHA-1 of a binary column: of each five hex digits, 20 bits, four digits of 5 bits.
+
+    The hash is bound by a lambda, as the 32 digits would otherwise each hash the payload again."""
+
+    def digit(sha: Column, i: Column) -> Column:
+        bits = F.conv(F.substring(sha, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
+        return F.substring(F.lit(BASE32), F.call_function("shiftright", bits, 15 - i % 4 * 5) % 32 + 1, F.lit(1))
+
+    places = F.sequence(F.lit(0), F.lit(31))
+    return F.transform(F.array(F.sha1(payload)), lambda sha: F.array_join(F.transform(places, lambda i: digit(sha, i)), ""))[0]
 
 
 def _headed(pages: DataFrame, id_col: str, url_col: str | None, html_col: str) -> DataFrame:
