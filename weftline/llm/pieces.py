@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 
-MAX_PIECES = 150_000
+MAX_PIECES = 100_000
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
@@ -206,7 +206,7 @@ def word_level(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def in_blocks(values: list, weight: Callable[[object], int], most: int = 1_000_000):
+def in_blocks(values: list, weight: Callable[[object], int], most: int = 500_000):
     """Runs of values of about `most` characters, so that a batch of long texts is never held cut in pieces."""
     block, size = [], 0
     for v in values:
