@@ -1,38 +1,45 @@
 """Language-model scores from a probabilistic suffix tree over words (Ron, Singer and Tishby, 1996).
 
-Root: smoothed word probabilities over every distinct word of the training documents. A context of one or more
-frequent words becomes a node only if its next-word counts diverge from those of its longest kept suffix: twice
-the log likelihood ratio has to reach `min_gain` nats. A node keeps next words with counts above a floor and backs
-off to its suffix with the weight that makes its probabilities add up to 1, so scores are those of a distribution.
-
-What is held in one place has a proven bound: a word, context or continuation must hold the share p of the N
-training tokens, so there are at most 1/p of them. Everything else stays distributed: rare words meet their counts
-in one shuffle join, in which no key can be hot, since frequent words never enter it.
+Root: smoothed word probabilities over every distinct word of the training documents. A context that occurs at
+least LEAST times, and whose suffix is a node, becomes a node if its next-word counts diverge from those of that
+suffix: twice the log likelihood ratio has to reach `min_gain` nats. A node keeps next words with LEAST counts or
+more and backs off to its suffix with the weight that makes its probabilities add up to 1, so scores are those of a
+distribution. Levels are added until no context diverges; nothing else limits depth, contexts or continuations.
+
+The tree is a table of (key, value): hashes of contexts with the log of their weight, and of contexts with a next
+word with what their probability adds to that. A token's log probability is its root's plus the values of its keys,
+so scoring is one join. Of this table only the entries of the most frequent contexts (a share p of the N training
+tokens for each level, so 2/p at most) are held by every task. Bit maps of fixed size keep rows from the shuffles
+that can't meet a key; they pass more with more keys, but the joins behind them are exact. Keys are 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import in_blocks, text_length
-from .shared import materialize
+from .shared import discard, materialize
 
 P_WORD = 1e-6  # words whose counts every task holds: at most 1,000,000
-P_CONTEXT = 1e-5  # words of contexts: at most 100,000
-P_NEXT = 2e-6  # continuations of each depth: at most 500,000
-MAX_DEPTH = 2
+P_HEAD = 4e-6  # entries of the tree that every task holds: at most 500,000
+LEAST = 2  # counts of contexts and of their next words
 MIN_GAIN = 50.0
 DISCOUNT = 0.5
 FOLDS, HELD_OUT = 5, 1
 FLUSH = 1_000_000
+SEED = 42  # that of Spark's xxhash64
+TOTAL = 0  # stands for all next words of a context
+BITS = 26
 END = b""  # no word is empty
 
 
@@ -77,13 +84,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Frequent words by descending count; ids below n_context may stand in contexts."""
+    """Frequent words by descending count."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, p_context: float) -> None:
+    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int) -> None:
         self.index = {w: i for i, w in enumerate(words)}
         self.counts, self.total, self.distinct = counts, total, distinct
-        self.n_context = int(np.count_nonzero(counts >= max(2, p_context * total)))
-        self.end = self.index.get(END, -1)
         self.denominator = total + 0.5 * (distinct + 1)
         self.p0 = (counts + 0.5) / self.denominator
 
@@ -92,11 +97,57 @@ class Vocabulary:
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
 
-class Node:
-    """Sorted contexts of one depth (keys), their back-off weights, and their explicit continuations."""
+class Hashes(dict):
+    """Hashes of words, kept for the words met lately."""
 
-    def __init__(self, keys: np.ndarray, gamma: np.ndarray, pair_keys: np.ndarray, pair_p: np.ndarray) -> None:
-        self.keys, self.gamma, self.pair_keys, self.pair_p = keys, gamma, pair_keys, pair_p
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= FLUSH:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word, SEED)
+        return out
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mix(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = h * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(~contexts, words)
+
+
+def older(hashes: np.ndarray, back: int) -> np.ndarray:
+    """For each token the word `back` tokens before it; 0 before the first."""
+    return np.concatenate((np.zeros(min(back, len(hashes)), np.uint64), hashes[: max(0, len(hashes) - back)]))
+
+
+def context_keys(hashes: np.ndarray, depth: int) -> np.ndarray:
+    """For each token the key of the `depth` words before it, which grows from the newest word to the oldest."""
+    h = np.zeros(len(hashes), np.uint64)
+    for back in range(1, depth + 1):
+        h = mix(h, older(hashes, back))
+    return h
+
+
+class BitMap:
+    """A bit for each key: has() is true for every key, and for some that are none."""
+
+    def __init__(self, keys: DataFrame) -> None:
+        """keys: one column of longs. At most 2 ** (BITS - 6) rows come to the driver."""
+        (name,) = keys.columns
+        place = f"(`{name}` & {(1 << BITS) - 1})"
+        rows = keys.groupBy(F.expr(f"shiftright({place}, 6)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(`{name}` & 63 as int)))").alias("bits")).toArrow()
+        self.bits = np.zeros(1 << (BITS - 6), np.uint64)
+        self.bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys & np.uint64((1 << BITS) - 1)) >> np.uint64(6)
+        return (self.bits[at] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -107,131 +158,187 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-class Tree:
-    """levels[d - 1] holds the contexts of d words. A context's key is its words' ids in base n_context."""
-
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.levels = vocabulary, []
-
-    def context_keys(self, ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-        """For each token the key of the `depth` words before it in its document; -1 if there is none such.
-        starts: number of the first token of each token's document."""
-        n, base = len(ids), self.vocabulary.n_context
-        key, ok = np.zeros(n, np.int64), np.arange(n) - starts >= depth
-        for back in range(depth, 0, -1):
-            word = np.concatenate((np.full(min(back, n), -1, np.int64), ids[: max(0, n - back)]))
-            ok &= (word >= 0) & (word < base) & (word != self.vocabulary.end)
-            key = key * base + word
-        return np.where(ok, key, -1)
-
-    def log_probability(self, ids: np.ndarray, starts: np.ndarray, depth: int | None = None) -> np.ndarray:
-        """Natural log of each token's probability; of a token that isn't in the vocabulary what stands before
-        its root probability."""
-        logp = np.where(ids >= 0, np.log(np.append(self.vocabulary.p0, 1.0))[ids], 0.0)
-        base = self.vocabulary.n_context
-        for d, level in enumerate(self.levels[:depth], 1):
-            node = find(level.keys, self.context_keys(ids, starts, d))
-            known = (node >= 0) & (ids >= 0) & (ids < base)
-            pair = np.full(len(ids), -1)
-            pair[known] = find(level.pair_keys, node[known] * base + ids[known])
-            logp = np.where(node >= 0, logp + np.log(np.append(level.gamma, 1.0))[node], logp)
-            logp = np.where(pair >= 0, np.log(np.append(level.pair_p, 1.0))[pair], logp)
-        return logp
-
-    def grow(self, contexts: np.ndarray, totals: np.ndarray, of: np.ndarray, words: np.ndarray, counts: np.ndarray, parents: list[np.ndarray], min_gain: float) -> None:
-        """Add a level. contexts: sorted keys with totals; of, words, counts: continuations (place of the context,
-        word, count); parents: the words of each context, oldest first."""
-        base, n = self.vocabulary.n_context, len(contexts)
-        history = np.stack([*(p[of] for p in parents), words], axis=1)  # the suffix's probability of each continuation
-        width = history.shape[1]
-        flat = history.reshape(-1)
-        begin = np.repeat(np.arange(len(of)) * width, width)
-        q = np.exp(self.log_probability(flat, begin, len(self.levels)).reshape(-1, width)[:, -1]) if len(of) else np.zeros(0)
-        p = counts / totals[of]
-        rest_p = np.maximum(1 - np.bincount(of, p, n), 1e-12)
-        rest_q = np.maximum(1 - np.bincount(of, q, n), 1e-12)
-        gain = 2 * (np.bincount(of, counts * np.log(p / q), n) + totals * rest_p * np.log(rest_p / rest_q))
-        kept = (gain >= min_gain) & (np.bincount(of, minlength=n) > 0)
-        smooth = (counts - DISCOUNT) / totals[of]
-        gamma = np.maximum(1 - np.bincount(of, smooth, n), 1e-12) / rest_q
-        place = np.cumsum(kept) - 1
-        chosen = kept[of]
-        keys = place[of[chosen]] * base + words[chosen]
+class Entries:
+    """Entries of the tree held in one place: sorted keys with their values."""
+
+    def __init__(self, table: DataFrame) -> None:
+        rows = table.select("key", "value").toArrow()
+        keys = rows.column(0).to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        self.levels.append(Node(contexts[kept], gamma[kept], keys[order], smooth[chosen][order]))
+        self.keys, self.values = keys[order], rows.column(1).to_numpy()[order]
+
+    def add(self, hashes: np.ndarray, starts: np.ndarray, depth: int, others: BitMap | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """What the entries add to each token's log probability, and (tokens, keys) that may be among the others."""
+        added, open_ = np.zeros(len(hashes)), []
+        context, tokens_ = np.zeros(len(hashes), np.uint64), np.arange(len(hashes))
+        place = tokens_ - starts
+        for d in range(1, depth + 1):
+            context = mix(context, older(hashes, d))
+            tokens_ = tokens_[place[tokens_] >= d]  # a node's suffix is a node: others end here
+            for of_pair in (False, True):
+                key = pair_keys(context[tokens_], hashes[tokens_]) if of_pair else context[tokens_]
+                at = find(self.keys, key)
+                there = at >= 0
+                added[tokens_[there]] += self.values[at[there]]
+                if others is not None:
+                    rest = ~there & others.has(key)
+                    open_.append((tokens_[rest], key[rest]))
+                    there |= rest
+                if not of_pair:
+                    tokens_ = tokens_[there]
+        return added, open_
+
+
+class Tree:
+    """A whole tree in one place, for small inputs."""
 
+    def __init__(self, vocabulary: Vocabulary, entries: Entries, depth: int) -> None:
+        self.vocabulary, self.entries, self.depth = vocabulary, entries, depth
+        self.hashes = Hashes().of(list(vocabulary.index))
 
-def _blocks(texts: list[list[bytes]], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids of all tokens, the number of the first token of each token's document, and the documents' lengths."""
+    def log_probability(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each token, all of the vocabulary. starts: number of the first token
+        of each token's document."""
+        return np.log(self.vocabulary.p0)[ids] + self.entries.add(self.hashes[ids], starts, self.depth)[0]
+
+
+def _starts(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the first token of each token's document, and the documents' lengths."""
     lengths = np.array([len(t) for t in texts], np.int64)
-    ids = vocabulary.ids([w for t in texts for w in t])
-    return ids, np.repeat(np.cumsum(lengths) - lengths, lengths), lengths
+    return np.repeat(np.cumsum(lengths) - lengths, lengths), lengths
 
 
-def continuation_counts(docs: DataFrame, tree, contexts, depth: int, least: float) -> DataFrame:
-    """(context, word, n): counts of at least `least` of each word after each context of the sorted broadcast keys
-    (None: every context of one word), over the training rows."""
+def continuation_counts(docs: DataFrame, frequent, above, depth: int) -> DataFrame:
+    """(context, word, n, suffix): counts, LEAST or more, of each word after each context of `depth` words over the
+    training rows, and of each context (word TOTAL, with its suffix). frequent: broadcast bit map of words with
+    LEAST counts; above: of the nodes and pairs of the level above, None for the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grown, keys_of = tree.value, contexts.value if contexts else None
-        base = grown.vocabulary.n_context
-        held, size = [], 0
+        words_map, above_map, cache = frequent.value, above.value if above else None, Hashes()
+        held: list[tuple] = []
+        size = 0
+
+        def long(x: np.ndarray) -> pa.Array:
+            return pa.array(x.view(np.int64))
 
         def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys // base), pa.array(keys % base), pa.array(counts.astype(np.int64))], names=["context", "word", "n"])
+            context, suffix, followed, word = (np.concatenate(x) for x in zip(*held))
+            one, at, n = np.unique(context, return_index=True, return_counts=True)
+            _, pair_at, pair_n = np.unique(pair_keys(followed, word), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays(
+                [
+                    long(np.concatenate((one, followed[pair_at]))),
+                    long(np.concatenate((np.full(len(one), TOTAL, np.uint64), word[pair_at]))),
+                    pa.array(np.concatenate((n, pair_n)).astype(np.int64)),
+                    pa.concat_arrays([long(suffix[at]), pa.nulls(len(pair_at), pa.int64())]),
+                ],
+                names=["context", "word", "n", "suffix"],
+            )
 
         for texts in _training(batches):
-            ids, starts, _ = _blocks(texts, grown.vocabulary)
-            context = grown.context_keys(ids, starts, depth)
-            place = context if keys_of is None else find(keys_of, context)
-            ok = (place >= 0) & (ids >= 0) & (ids < base)
-            held.append(place[ok] * base + ids[ok])
-            size += len(held[-1])
-            if size >= 4 * FLUSH:
+            word = cache.of([w for t in texts for w in t])
+            starts, _ = _starts(texts)
+            suffix, oldest = context_keys(word, depth - 1), older(word, depth)
+            ok = (np.arange(len(word)) - starts >= depth) & words_map.has(oldest)
+            if above_map is not None:
+                ok &= above_map.has(suffix)
+            context, suffix, word = mix(suffix, oldest)[ok], suffix[ok], word[ok]
+            followed = words_map.has(word)
+            if above_map is not None:
+                followed &= above_map.has(pair_keys(suffix, word))
+            held.append((context, suffix, context[followed], word[followed]))
+            size += len(context)
+            if size >= 2 * FLUSH:
                 yield flush()
-                held, size = [], 0
+                held.clear()
+                size = 0
         if size:
             yield flush()
 
-    counted = docs.mapInArrow(run, "context bigint, word bigint, n bigint").groupBy("context", "word").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") >= least)
+    counted = docs.mapInArrow(run, "context bigint, word bigint, n bigint, suffix bigint").groupBy("context", "word")
+    return counted.agg(F.sum("n").alias("n"), F.max("suffix").alias("suffix")).filter(F.col("n") >= LEAST)
 
 
-def learn(
-    docs: DataFrame,
-    counts: DataFrame,
-    p_word: float = P_WORD,
-    p_context: float = P_CONTEXT,
-    p_next: float = P_NEXT,
-    max_depth: int = MAX_DEPTH,
-    min_gain: float = MIN_GAIN,
-) -> Tree:
-    """The tree of the training rows of docs (id, text), whose word_counts are counts."""
+def grow(docs: DataFrame, counts: DataFrame, denominator: float, min_gain: float = MIN_GAIN) -> tuple[DataFrame | None, int]:
+    """(key, value, n) of all nodes and next words of the tree of the training rows of docs (id, text), and its
+    depth. n: occurrences. No tree if no context diverges from the root."""
     spark = docs.sparkSession
+    words = counts.filter(F.col("c") >= LEAST).select(F.xxhash64("word").alias("word"), ((F.col("c") + 0.5) / F.lit(float(denominator))).alias("q"))
+    frequent = spark.sparkContext.broadcast(BitMap(words.select("word")))
+    model, above, level, depth = None, None, None, 0
+    while True:
+        counted = materialize(continuation_counts(docs, frequent, above, depth + 1), "continuations")
+        if above:
+            above.destroy()
+        totals = counted.filter(F.col("word") == TOTAL).select("context", "suffix", F.col("n").alias("total"))
+        pairs = counted.filter(F.col("word") != TOTAL).select("context", "word", "n")
+        if level is None:
+            known = pairs.join(words, "word")
+        else:  # only contexts whose suffix is a node
+            parents = level.select(F.col("context").alias("suffix"), "word", F.col("p").alias("q"))
+            known = pairs.join(totals.select("context", "suffix"), "context").join(parents, ["suffix", "word"])
+        known = materialize(known.select("context", "word", "n", "q"), "known")
+        sums = known.groupBy("context").agg(
+            F.sum("n").alias("c"), F.count(F.lit(1)).alias("k"), F.sum("q").alias("q"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("s")
+        )
+        total = F.col("total")
+        rest_p, rest_q = F.greatest(1 - F.col("c") / total, F.lit(1e-12)), F.greatest(1 - F.col("q"), F.lit(1e-12))
+        gain = 2 * (F.col("s") - F.col("c") * F.log(total) + total * rest_p * F.log(rest_p / rest_q))
+        weight = F.log(F.greatest(1 - (F.col("c") - DISCOUNT * F.col("k")) / total, F.lit(1e-12)) / rest_q)
+        nodes = materialize(sums.join(totals, "context").filter(gain >= min_gain).select("context", "total", weight.alias("weight")), "nodes")
+        if nodes.limit(1).count() == 0:
+            break
+        p = (F.col("n") - DISCOUNT) / F.col("total")
+        value = F.log(p) - F.log("q") - F.col("weight")
+        level = materialize(known.join(nodes, "context").select("context", "word", "n", p.alias("p"), value.alias("value")), "level")
+        discard(known)
+        discard(counted)
+        entries = nodes.select(F.col("context").alias("key"), F.col("weight").alias("value"), F.col("total").alias("n")).union(with_keys(level))
+        entries = materialize(entries, "entries")
+        model = entries if model is None else model.union(entries)
+        above = spark.sparkContext.broadcast(BitMap(entries.select("key")))
+        depth += 1
+    frequent.destroy()
+    return model, depth
+
+
+def with_keys(level: DataFrame) -> DataFrame:
+    """(key, value, n) of pairs (context, word, value, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            context, word = (b.column(i).to_numpy().view(np.uint64) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(context, word).view(np.int64)), b.column(2), b.column(3)], names=["key", "value", "n"])
+
+    return level.select("context", "word", "value", "n").mapInArrow(run, "key bigint, value double, n bigint")
+
+
+def vocabulary_of(counts: DataFrame, p_word: float = P_WORD) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = counts.filter(F.col("c") >= max(2.0, p_word * total)).collect()  # at most 1 / p_word rows
     frequent.sort(key=lambda r: (-r.c, bytes(r.word)))
-    vocabulary = Vocabulary([bytes(r.word) for r in frequent], np.array([r.c for r in frequent], np.int64), total, distinct, p_context)
-    tree, base = Tree(vocabulary), vocabulary.n_context
-    contexts = np.arange(base, dtype=np.int64)
-    totals, parents = vocabulary.counts[:base].astype(np.float64), [contexts]
-    for depth in range(1, max_depth + 1):
-        if not len(contexts):
-            break
-        shared, keys = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(contexts)
-        rows = continuation_counts(docs, shared, keys if depth > 1 else None, depth, max(2.0, p_next * total)).toArrow()  # at most 1 / p_next rows
-        of, words, n = (rows.column(i).to_numpy().astype(np.int64) for i in range(3))
-        order = np.lexsort((words, of))
-        of, words, n = of[order], words[order], n[order]
-        shared.destroy()
-        keys.destroy()
-        tree.grow(contexts, totals, of, words, n.astype(np.float64), parents, min_gain)
-        ongoing = words != vocabulary.end
-        of, words, n = of[ongoing], words[ongoing], n[ongoing]
-        contexts = contexts[of] * base + words
-        totals, parents = n.astype(np.float64), [*(p[of] for p in parents), words]
-    return tree
+    return Vocabulary([bytes(r.word) for r in frequent], np.array([r.c for r in frequent], np.int64), total, distinct)
+
+
+def learn(docs: DataFrame, counts: DataFrame, p_word: float = P_WORD, min_gain: float = MIN_GAIN) -> Tree:
+    """The tree of the training rows of docs (id, text), whose word_counts are counts, in one place: it grows with
+    the input, so this is for small ones."""
+    vocabulary = vocabulary_of(counts, p_word)
+    model, depth = grow(docs, counts, vocabulary.denominator, min_gain)
+    return Tree(vocabulary, Entries(_or_none(model, docs)), depth)
+
+
+def _or_none(model: DataFrame | None, docs: DataFrame) -> DataFrame:
+    return docs.sparkSession.createDataFrame([], "key bigint, value double, n bigint") if model is None else model
+
+
+def _key_words(keys: np.ndarray) -> pa.Array:
+    """Keys as words: a tab, which is in no word, and eight bytes."""
+    raw = np.empty((len(keys), 9), np.uint8)
+    raw[:, 0] = 9
+    raw[:, 1:] = keys.astype(">u8").view(np.uint8).reshape(-1, 8)
+    offsets = (np.arange(len(keys) + 1) * 9).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -243,45 +350,53 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = materialize(word_counts(rows), "words")
-    tree = learn(rows, counts, **options)
-    vocabulary = tree.vocabulary
-    shared = spark.sparkContext.broadcast(tree)
+    p_word = options.pop("p_word", P_WORD)
+    vocabulary = vocabulary_of(counts, p_word)
+    model, depth = grow(rows, counts, vocabulary.denominator, **options)
+    model = _or_none(model, docs)
+    often = F.col("n") >= P_HEAD * max(1, depth) * vocabulary.total
+    rare_entries = model.filter(~often)
+    shared = spark.sparkContext.broadcast((vocabulary, Entries(model.filter(often)), BitMap(rare_entries.select("key"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grown = shared.value
-        root = np.log10(np.append(grown.vocabulary.p0, 1.0))
+        known_words, head, others = shared.value
+        root, cache = np.log10(np.append(known_words.p0, 1.0)), Hashes()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for block in in_blocks(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), lambda r: text_length(r[1])):
                 texts = [tokens(t) for _, t in block]
-                ids, starts, lengths = _blocks(texts, grown.vocabulary)
+                flat = [w for t in texts for w in t]
+                ids, (starts, lengths) = known_words.ids(flat), _starts(texts)
                 of = np.repeat(np.arange(len(block)), lengths)
                 n = len(block)
                 known = np.bincount(of, ids >= 0, n).astype(np.int64)
                 base = np.bincount(of, np.where(ids >= 0, root[ids], 0.0), n)
-                model = np.bincount(of, grown.log_probability(ids, starts), n) / np.log(10)
+                added, open_ = head.add(cache.of(flat), starts, depth, others)
+                model_score = base + np.bincount(of, added, n) / np.log(10)
                 words, owners, times = [], [], []
                 missing = np.flatnonzero(ids < 0)
-                flat = [w for t in texts for w in t]
                 for (owner, word), k in Counter(zip(of[missing].tolist(), (flat[i] for i in missing.tolist()))).items():
                     owners.append(owner)
                     words.append(word)
                     times.append(k)
-                # a row for each document, under a key that is no word, and one for each of its rare words
-                keys = [b"\n%d" % (row + i) for i in range(n)] + words
-                rare = len(words)
-                numbers = row + np.concatenate((np.arange(n), np.array(owners, np.int64)))
+                at = np.concatenate([of[a] for a, _ in open_] or [np.zeros(0, np.int64)])
+                keys = np.concatenate([k for _, k in open_] or [np.zeros(0, np.uint64)])
+                _, first, key_times = np.unique(mix(keys, at.astype(np.uint64)), return_index=True, return_counts=True)
+                # a row for each document, under a key that is no word, and one for each of its rare words and entries
+                names = pa.concat_arrays([pa.array([b"\n%d" % (row + i) for i in range(n)] + words, pa.binary()), _key_words(keys[first])])
+                rare = len(words) + len(first)
+                numbers = row + np.concatenate((np.arange(n), np.array(owners, np.int64), at[first]))
                 zeros = np.zeros(rare)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(numbers.astype(np.int64)),
-                        pa.array(keys, pa.binary()),
-                        pa.array(np.concatenate((np.zeros(n), times)).astype(np.int64)),
+                        names,
+                        pa.array(np.concatenate((np.zeros(n), times, key_times)).astype(np.int64)),
                         pa.concat_arrays([pa.array([d for d, _ in block], batch.schema.field(0).type), pa.nulls(rare, batch.schema.field(0).type)]),
                         pa.array(np.concatenate((lengths, zeros)).astype(np.int64)),
                         pa.array(np.concatenate((known, zeros)).astype(np.int64)),
                         pa.array(np.concatenate((base, zeros))),
-                        pa.array(np.concatenate((model, zeros))),
+                        pa.array(np.concatenate((model_score, zeros))),
                     ],
                     names=["row", "word", "times", "id", "n_tokens", "n_known", "base", "model"],
                 )
@@ -289,16 +404,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 
     kind = docs.schema[id_col].dataType.simpleString()
     parts = rows.mapInArrow(run, f"row bigint, word binary, times bigint, id {kind}, n_tokens bigint, n_known bigint, base double, model double")
-    rare_counts = counts.filter(F.col("c") < max(2.0, options.get("p_word", P_WORD) * vocabulary.total))
-    joined = parts.join(rare_counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    rest = F.col("times") * F.log10((c + F.lit(0.5)) / F.lit(float(vocabulary.denominator)))
+    rare_counts = counts.filter(F.col("c") < max(2.0, p_word * vocabulary.total)).select("word", "c", F.lit(None).cast("double").alias("value"))
+    as_word = F.concat(F.unhex(F.lit("09")), F.unhex(F.lpad(F.hex("key"), 16, "0")))
+    rare_values = rare_entries.select(as_word.alias("word"), F.lit(0).cast("bigint").alias("c"), (F.col("value") / math.log(10)).alias("value"))
+    joined = parts.join(rare_counts.union(rare_values), "word", "left")
+    c, is_key = F.coalesce("c", F.lit(0)), F.substring("word", 1, 1) == F.unhex(F.lit("09"))
+    rest = F.when(is_key, 0.0).otherwise(F.col("times") * F.log10((c + F.lit(0.5)) / F.lit(float(vocabulary.denominator))))
+    value = F.when(is_key, F.col("times") * F.coalesce("value", F.lit(0.0))).otherwise(0.0)
     summed = joined.groupBy("row").agg(
         F.max("id").alias("id"),
         F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.sum(F.when(c > 0, F.col("times")).otherwise(0))).alias("n_known"),
         F.sum(F.col("base") + rest).alias("base_score"),
-        F.sum(F.col("model") + rest).alias("score"),
+        F.sum(F.col("model") + rest + value).alias("score"),
     )
     out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
     return summed.select(
