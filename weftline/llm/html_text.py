@@ -3,7 +3,8 @@
 Markup is stripped to lines (blocks of a page); menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments go with their elements. Text lengths are summed over sliding windows of lines;
 the text lies between a surge, where a window's sum passes a threshold, and the dive, where the sums have fallen
-to nothing. Inside an article or main element the threshold is 0, so that short first and last lines stay.
+to nothing. Lines in article and main elements, nested or side by side, weigh more, so that short ones among them
+surge; on such pages lines outside weigh less, only those count that surge alone, and every stretch stays.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 
 WINDOW = 3
 THRESHOLD = 86
+OUTSIDE = 2  # of the lengths of lines outside the main elements of a page that has them
 
 # Element names of HTML and words by which pages name their parts.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "plaintext"}
@@ -146,21 +148,25 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def surge_and_dive(lengths: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> tuple[int, int]:
-    """The stretch of lines from a surge to its dive that has most text: first line, line after the last."""
+def stretches(lengths: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    """The stretches of lines from a surge to its dive: first line, line after the last."""
     n = len(lengths)
     sums = [sum(lengths[i : i + window]) for i in range(n)]
-    best, at = (0, 0, 0), 0
+    out, at = [], 0
     while at < n:
         if sums[at] > threshold and lengths[at]:
             dive = at
             while dive < n and sums[dive] > 0:
                 dive += 1
-            best = max(best, (sum(lengths[at:dive]), at, dive), key=lambda b: b[0])
+            out.append((at, dive))
             at = dive
         at += 1
-    _, first, after = best
-    return first, after
+    return out
+
+
+def surge_and_dive(lengths: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> tuple[int, int]:
+    """The stretch that has most text, the first of equal ones."""
+    return max(stretches(lengths, window, threshold), key=lambda s: sum(lengths[s[0] : s[1]]), default=(0, 0))
 
 
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
@@ -168,18 +174,13 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
     if not page:
         return ""
     found = lines(page)
-    mains: dict[int, int] = {}
-    for _, free, k in found:
-        if k:
-            mains[k] = mains.get(k, 0) + free
-    if any(mains.values()):
-        k = max(mains, key=lambda x: (mains[x], -x))
-        found = [x for x in found if x[2] == k]
-        first, after = surge_and_dive([len(x[0]) for x in found], window, 0)
-    else:
-        first, after = surge_and_dive([x[1] for x in found], window, threshold)
-        if first == after:
-            first, after = surge_and_dive([x[1] for x in found], window, 0)
+    if any(free for _, free, k in found if k):
+        weights = [len(line) + threshold if k else free // OUTSIDE if free // OUTSIDE > threshold else 0 for line, free, k in found]
+        kept = [i for first, after in stretches(weights, window, threshold) for i in range(first, after) if weights[i]]
+        return "\n".join(found[i][0] for i in kept)
+    first, after = surge_and_dive([x[1] for x in found], window, threshold)
+    if first == after:
+        first, after = surge_and_dive([x[1] for x in found], window, 0)
     return "\n".join(x[0] for x in found[first:after])
 
 
