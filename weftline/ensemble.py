@@ -7,16 +7,16 @@ import random
 from collections.abc import Callable
 from pathlib import Path
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .models import Result, cross_validate
 from .nulls import col
-from .operators.ranking import auc, with_rank
+from .operators.ranking import auc, class_comparison, with_rank
+from .settle import settle
 from .sources.credit import CLIENT, TARGET, run_score, split
 
-MAX_SEARCH_ROWS = 2_000_000
+SEARCH_BATCH = 20
 
 
 def prediction_column(run: str) -> str:
@@ -75,14 +75,6 @@ def rank_average(df: DataFrame, weights: dict[str, float], name: str = "predicti
     return mixed.select(*[col(c) for c in df.columns], scaled.alias(name))
 
 
-def auc_of(y: np.ndarray, p: np.ndarray) -> float:
-    """Exact AUC of arrays, ties counting half."""
-    _, place, counts = np.unique(p, return_inverse=True, return_counts=True)
-    ranks = (np.cumsum(counts) - (counts - 1) / 2)[place]
-    n1 = y.sum()
-    return float((ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1)))
-
-
 class Search:
     """Seeded search for a maximum: random points first, then points near the best ones with a narrowing spread."""
 
@@ -104,37 +96,66 @@ class Search:
             self.trials.append((objective(point), point))
         return max(self.trials, key=lambda t: t[0])
 
+    def run_batches(self, objective: Callable[[list[dict]], list[float]], evals: int, batch: int = SEARCH_BATCH) -> tuple[float, dict]:
+        """As run, but points of a batch are drawn before any of them is scored."""
+        while len(self.trials) < evals:
+            points = [self.ask() for _ in range(min(batch, evals - len(self.trials)))]
+            self.trials += zip(objective(points), points)
+        return max(self.trials, key=lambda t: t[0])
+
+
+def _predictions(df: DataFrame, columns: list[str], target: str) -> tuple[DataFrame, list[str]]:
+    """(__y, __p0, ...) of all training rows with every prediction, and the names of the predictions."""
+    names = [f"__p{i}" for i in range(len(columns))]
+    train = split(df)[0].select(col(target).cast("double").alias("__y"), *[col(c).cast("double").alias(n) for c, n in zip(columns, names)])
+    return train.na.drop(), names
 
-def _matrix(df: DataFrame, columns: list[str], target: str) -> tuple[np.ndarray, np.ndarray]:
-    """Training predictions for a search: a few columns; of more than MAX_SEARCH_ROWS rows a share by hash."""
-    train = split(df)[0].select(col(target).cast("double").alias("__y"), *[col(c).cast("double") for c in columns]).na.drop()
-    n = train.count()
-    if n > MAX_SEARCH_ROWS:
-        train = train.sample(MAX_SEARCH_ROWS / n, seed=1)
-    rows = train.toPandas().to_numpy()
-    return rows[:, 0], rows[:, 1:]
+
+def aucs(df: DataFrame, target: str, scores: list[Column]) -> list[float]:
+    """Exact AUC of each score over all rows in one pass, ties counting half; 0 unless both classes occur."""
+    names = [f"__s{i}" for i in range(len(scores))]
+    rows = class_comparison(df.select(col(target).alias("__y"), *[s.alias(n) for s, n in zip(scores, names)]), "__y", names).select("c", "n", "n1", "rank_sum").collect()
+    found = {r.c: (r.rank_sum - r.n1 * (r.n1 + 1) / 2) / (r.n1 * (r.n - r.n1)) for r in rows if 0 < r.n1 < r.n}
+    return [found.get(i, 0.0) for i in range(len(scores))]
+
+
+def _mixed(terms: list[Column]) -> Column:
+    return sum(terms[1:], terms[0])
 
 
 def search_power_blend(df: DataFrame, columns: list[str], target: str = TARGET, evals: int = 200, seed: int = 0) -> tuple[float, dict[str, float], int]:
-    """(AUC, weights that sum to 1, power) of the best power blend found."""
-    y, p = _matrix(df, columns, target)
+    """(AUC, weights that sum to 1, power) of the best power blend found; every blend is scored on all rows."""
+    made, names = _predictions(df, columns, target)
+    train = settle(made, "predictions")
     space = {c: (lambda r: round(r.random(), 3)) for c in columns} | {"power": lambda r: r.randint(1, 8)}
 
-    def objective(point: dict) -> float:
-        w = np.array([point[c] for c in columns])
-        return auc_of(y, (p ** point["power"]) @ (w / w.sum())) if w.sum() > 0 else 0.0
+    def objective(points: list[dict]) -> list[float]:
+        usable = [p for p in points if sum(p[c] for c in columns) > 0]
+        blends = []
+        for p in usable:
+            total = sum(p[c] for c in columns)
+            blends.append(_mixed([F.lit(p[c] / total) * F.pow(F.col(n), F.lit(float(p["power"]))) for c, n in zip(columns, names)]))
+        scored = iter(aucs(train, "__y", blends) if blends else [])
+        return [next(scored) if sum(p[c] for c in columns) > 0 else 0.0 for p in points]
 
-    score, best = Search(space, seed).run(objective, evals)
+    score, best = Search(space, seed).run_batches(objective, evals)
     total = sum(best[c] for c in columns) or 1.0
     return score, {c: best[c] / total for c in columns}, int(best["power"])
 
 
 def search_rank_average(df: DataFrame, columns: list[str], target: str = TARGET, evals: int = 200, seed: int = 0) -> tuple[float, dict[str, float]]:
-    """(AUC, weights) of the best weighted rank average found."""
-    y, p = _matrix(df, columns, target)
-    ranks = np.stack([np.searchsorted(np.sort(c), c, side="left") + 1.0 for c in p.T], axis=1)
+    """(AUC, weights) of the best weighted rank average found; ranks are among all training rows."""
+    made, names = _predictions(df, columns, target)
+    ranked = settle(made, "predictions")
+    for n in names:
+        ranked = with_rank(ranked, n, f"{n}_rank")
+    train = settle(ranked.select("__y", *[f"{n}_rank" for n in names]), "ranks")
     space = {c: (lambda r: round(r.random(), 3)) for c in columns}
-    score, best = Search(space, seed).run(lambda w: auc_of(y, ranks @ np.array([w[c] for c in columns])), evals)
+
+    def objective(points: list[dict]) -> list[float]:
+        return aucs(train, "__y", [_mixed([F.lit(p[c]) * F.col(f"{n}_rank") for c, n in zip(columns, names)]) for p in points])
+
+    score, best = Search(space, seed).run_batches(objective, evals)
     return score, best
 
 
