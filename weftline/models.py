@@ -143,25 +143,33 @@ def full_train(df: DataFrame, model: str, params: Mapping | None = None, key: st
     return Result(None, predicted(fitted, test, [key]), {}, importances(fitted, columns))
 
 
-def knn(train: DataFrame, asked: DataFrame, n: int, params: Mapping, keep: list[str], blocks: int = 16) -> DataFrame:
-    """The share of label 1 among the k nearest training rows (Euclidean; ties by the row's values).
+KNN_ROWS = 20_000
 
-    Training rows are dealt to blocks; each query keeps its k best of each block, and the best of these count. Work
-    grows with the product of both, as exact neighbours do; no task holds more than a block."""
+
+def knn(train: DataFrame, asked: DataFrame, n: int, params: Mapping, keep: list[str], block_rows: int = KNN_ROWS) -> DataFrame:
+    """The share of label 1 among the k nearest training rows (Euclidean; ties by the row's label).
+
+    Training rows and queries are dealt to blocks of about block_rows; each query keeps its k best of each block,
+    and the best of these count. Work grows with the product of both, as exact neighbours do; no task holds more
+    than a block of each."""
     import pandas as pd
 
     k = int(params.get("n_neighbors", 5))
     names = [f"f{i}" for i in range(n)]
-    rows = train.select(F.array(*names).alias("v"), "label").withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)))
-    queries = asked.select(*map(col, keep), F.array(*names).alias("v")).withColumn("block", F.explode(F.array(*map(F.lit, range(blocks)))).cast("bigint"))
+    row_blocks, query_blocks = (max(1, -(-x.count() // block_rows)) for x in (train, asked))
+    dealt = lambda blocks: F.pmod(F.monotonically_increasing_id(), F.lit(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    rows = train.select(F.array(*names).alias("v"), "label").withColumn("block", dealt(row_blocks)).withColumn("asked", every(query_blocks))
+    queries = asked.select(*map(col, keep), F.array(*names).alias("v")).withColumn("asked", dealt(query_blocks)).withColumn("block", every(row_blocks))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({**{c: left[c][:0] for c in keep}, "d": [], "label": []})
+        right = right.sort_values("label", kind="stable")
         a, b, y = np.stack(left["v"]), np.stack(right["v"]), right["label"].to_numpy()
-        out = []
-        for at in range(0, len(a), 512):
-            d = ((a[at : at + 512, None] - b[None]) ** 2).sum(axis=2) if n * len(b) < 2_000_000 else (a[at : at + 512] ** 2).sum(1)[:, None] - 2 * a[at : at + 512] @ b.T + (b**2).sum(1)[None]
+        out, step = [], max(1, 4_000_000 // max(1, n * len(b)))
+        for at in range(0, len(a), step):
+            d = ((a[at : at + step, None] - b[None]) ** 2).sum(axis=2)
             best = np.argsort(d, axis=1, kind="stable")[:, :k]
             out.append((np.take_along_axis(d, best, 1), y[best]))
         d, labels = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
@@ -169,7 +177,7 @@ def knn(train: DataFrame, asked: DataFrame, n: int, params: Mapping, keep: list[
         return made.assign(d=d.ravel(), label=labels.ravel())
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*map(col, keep)).schema)
-    found = queries.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(nearest, f"{fields}, d double, label double")
+    found = queries.groupBy("block", "asked").cogroup(rows.groupBy("block", "asked")).applyInPandas(nearest, f"{fields}, d double, label double")
     best = F.slice(F.sort_array(F.collect_list(F.struct("d", "label"))), 1, k)
     return found.groupBy(*map(col, keep)).agg(best.alias("b")).select(*map(col, keep), F.aggregate("b", F.lit(0.0), lambda s, x: s + x["label"], lambda s: s / F.size("b")).alias("prediction"))
 
