@@ -1,129 +1,176 @@
 """WARC archives in which equal payloads are written once (revisit resolution).
 
 1. Headers only (page, payload digest, length) are shuffled by digest; the least page of a digest is the original.
-2. Headers join their originals; what isn't its own original becomes a revisit. The hot digest of a much-copied
-   page costs one header for each copy, never a payload.
-3. The revisits are written, so that their size is known, and joined to the pages: by broadcast below Spark's own
-   threshold, else by a shuffle on the page.
-4. Every page becomes one record with fresh headers. Records are UTF-8 text that ends in a line feed, so Spark's
-   text writer makes the archive files, with its commit protocol, on any file system and after lost executors.
-
-Reading walks an archive by Content-Length and checks each response's digest.
+2. Headers join their originals; what isn't its own original becomes a revisit, by page and digest, so that pages
+   that share an id keep their own payloads. The hot digest of a much-copied page costs one header for each copy,
+   never a payload. Of rows that share both, one is the original and the others revisit it.
+3. The revisits join the pages by page and digest: by broadcast below Spark's own threshold, else by a shuffle.
+4. Every page becomes one record with fresh headers, a gzip member of its own in an archive below the shared folder.
+   A task names its archives by random names and reports them in manifest rows; what a lost or repeated task has
+   left, no manifest names.
+
+Reading takes an archive member by member, so a task holds one record at a time, and checks each response's digest.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize, new_path
 
 MIN_BYTES = 0
-RECORDS_PER_FILE = 2000
-DATE = "2024-01-01T00:00:00Z"
+FILE_BYTES = 1 << 28
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-
-
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary column: of each five hex digits, 20 bits, four digits of 5 bits.
-
-    The hash is bound by a lambda, as the 32 digits would otherwise each hash the payload again."""
-
-    def digit(sha: Column, i: Column) -> Column:
-        bits = F.conv(F.substring(sha, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
-        return F.substring(F.lit(BASE32), F.call_function("shiftright", bits, 15 - i % 4 * 5) % 32 + 1, F.lit(1))
-
-    places = F.sequence(F.lit(0), F.lit(31))
-    return F.transform(F.array(F.sha1(payload)), lambda sha: F.array_join(F.transform(places, lambda i: digit(sha, i)), ""))[0]
-
-
-def _headed(pages: DataFrame, id_col: str, url_col: str | None, html_col: str) -> DataFrame:
-    """Numbered rows with id, url, payload text and the payload's digest and length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [(h or "").encode() for h in batch.column(0).to_pylist()]
-            digests = [base64.b32encode(hashlib.sha1(r).digest()).decode() for r in raw]
-            made = [pa.array(digests), pa.array([len(r) for r in raw], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*batch.schema.names[1:], "digest", "bytes"])
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(html_col, F.col(id_col).alias("page")).mapInArrow(run, f"page {kind}, digest string, bytes bigint")
-
-
-def resolve(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(page, refers_to): the pages that revisit another page's equal payload of at least min_bytes bytes.
-
-    Null ids are no one's original and never revisit; of rows with equal ids the id stands for all."""
-    headers = materialize(_headed(pages, id_col, None, html_col).filter((F.col("bytes") >= min_bytes) & F.col("page").isNotNull()), "headers")
-    shared = headers.groupBy("digest").agg(F.min("page").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    originals = materialize(shared.select("digest", "refers_to"), "originals")
-    return headers.join(originals, "digest").filter("page != refers_to").select("page", "refers_to").distinct()
-
-
-def _record(kind: Column, page: Column, url: Column, html: Column, digest: Column, size: Column, refers: Column) -> Column:
-    """The record's text without its last line feed, which the text writer adds."""
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"))
-    block = F.when(kind == "response", F.concat(http, html)).otherwise(http)
-    uri = F.regexp_replace(F.coalesce(url, F.lit("about:blank")), r"[\x00-\x20\x7F]", "%20")
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), kind,
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page.cast("string"), F.lit("")),
-        F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), uri,
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), digest,
-        F.when(kind == "revisit", F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:"), refers.cast("string"), F.lit(">"))).otherwise(""),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
-    )
-    return F.concat(head, block, F.lit("\r\n\r"))
+VERSION = b"WARC/1.1"
+RECORD_NAMES = uuid.UUID("8c3bfb39-5d5e-4f0a-9c43-0b8f0f7f1d52")
+CHUNK = 1 << 16
+
+
+def digest_of(payload: bytes) -> str:
+    """Upper-case base32 of the SHA-1."""
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def resolve(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(page, sha, refers_to, repeated): the pages with payloads that revisit, of rows (page, sha, bytes).
+
+    A payload of fewer than min_bytes bytes isn't resolved. Null ids are no one's original and never revisit.
+    repeated: the page is itself the original, but several rows have this id and payload."""
+    headers = rows.filter((F.col("bytes") >= min_bytes) & F.col("page").isNotNull()).select("page", "sha")
+    pages = materialize(headers.groupBy("page", "sha").agg(F.count(F.lit(1)).alias("n")), "headers")
+    shared = pages.groupBy("sha").agg(F.min("page").alias("refers_to"), F.sum("n").alias("all")).filter("all > 1")
+    originals = materialize(shared.select("sha", "refers_to"), "originals")
+    own = F.col("page") == F.col("refers_to")
+    return pages.join(originals, "sha").filter(~own | (F.col("n") > 1)).select("page", "sha", "refers_to", own.alias("repeated"))
+
+
+def resolved(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(page, url, html, refers_to) for every row of pages; refers_to is null for responses."""
+    html = F.coalesce(html_col, F.lit(""))
+    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
+    revisits = materialize(resolve(rows.select("page", "sha", F.octet_length("html").alias("bytes")), min_bytes), "revisits")
+    joined = rows.join(revisits, ["page", "sha"], "left")
+    out = ["page", "url", "html", "refers_to"]
+    if not revisits.filter("repeated").limit(1).count():
+        return joined.select(out)
+    several = materialize(joined.filter("repeated").select("*", F.monotonically_increasing_id().alias("row")), "several")
+    first = several.groupBy("page", "sha").agg(F.min("row").alias("first"))
+    told = several.drop("refers_to").join(first, ["page", "sha"]).withColumn("refers_to", F.when(F.col("row") != F.col("first"), F.col("page")))
+    return joined.filter("not coalesce(repeated, false)").select(out).union(told.select(out))
+
+
+def _name(page: str, digest: str) -> str:
+    """The record id of the response that revisits of this page and payload refer to."""
+    return f"<urn:uuid:{uuid.uuid5(RECORD_NAMES, f'{digest} {page}')}>"
+
+
+def record(page: str | None, url: str | None, payload: bytes, refers: str | None, original: bool, date: str) -> bytes:
+    """One record. original: others may refer to it. Ids travel percent-encoded in fields of their own."""
+    digest = digest_of(payload)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "about:blank"
+    fields = [
+        ("WARC-Type", "response" if refers is None else "revisit"),
+        ("WARC-Record-ID", _name(page, digest) if original else f"<urn:uuid:{uuid.uuid4()}>"),
+        ("WARC-Date", date),
+        ("WARC-Target-URI", uri),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
+    ]
+    if page is not None:
+        fields.append(("Page-ID", quote(page, safe="")))
+    if refers is not None:
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _name(refers, digest)), ("Refers-To-Page-ID", quote(refers, safe=""))]
+    block = http if refers is not None else http + payload
+    fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    return b"%s\r\n%s\r\n%s\r\n\r\n" % (VERSION, "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace"), block)
 
 
 def write(
     pages: DataFrame,
-    path: str,
+    folder: str,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
     min_bytes: int = MIN_BYTES,
-    records_per_file: int = RECORDS_PER_FILE,
-) -> None:
-    """Write one record for every row of pages into gzipped archives below path.
-
-    A null html is an empty payload, a null url about:blank, a null id an empty one. No rows give archives
-    without records. Columns other than the three aren't read."""
-    revisits = materialize(resolve(pages, id_col, html_col, min_bytes).toDF("page", "refers_to"), "revisits")
-    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
-    rows = rows.join(revisits, "page", "left")
-    digest, size = base32_sha1(F.col("html").cast("binary")), F.octet_length("html")
-    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
-    record = _record(kind, F.col("page"), F.col("url"), F.col("html"), digest, size, F.col("refers_to"))
-    rows.select(record.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option(
-        "maxRecordsPerFile", records_per_file
-    ).text(path)
-
-
-def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    file_bytes: int = FILE_BYTES,
+) -> DataFrame:
+    """Write one record for every row of pages into archives below folder; the manifest (file, records).
+
+    A null html is an empty payload, a null url about:blank, a null id none. An archive ends once it has file_bytes
+    bytes. No rows give no archives. Columns other than the three aren't read. folder is one that executors reach
+    through pyarrow's file systems."""
+    rows = resolved(pages, id_col, url_col, html_col, min_bytes)
+    rows = rows.select(F.col("page").cast("string"), F.col("url").cast("string"), "html", F.col("refers_to").cast("string"))
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = fs.FileSystem.from_uri(folder)
+        out, name, files, counts = None, "", [], []
+        for batch in batches:
+            for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns)):
+                if out is None:
+                    where.create_dir(base, recursive=True)
+                    name, size, n = f"pages-{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = where.open_output_stream(f"{base}/{name}", compression=None)
+                payload = html.encode("utf-8", "surrogatepass")
+                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                original = refers is None and page is not None and len(payload) >= min_bytes
+                member = pack.compress(record(page, url, payload, refers, original, date)) + pack.flush()
+                out.write(member)
+                size, n = size + len(member), n + 1
+                if size >= file_bytes:
+                    out.close()
+                    files.append(name)
+                    counts.append(n)
+                    out = None
+        if out is not None:
+            out.close()
+            files.append(name)
+            counts.append(n)
+        if files:
+            yield pa.RecordBatch.from_arrays([pa.array(files), pa.array(counts, pa.int64())], names=["file", "records"])
+
+    return materialize(rows.mapInArrow(run, "file string, records bigint"), "manifest")
+
+
+def members(source) -> Iterator[bytes]:
+    """The gzip members of a file, one after another."""
+    data = source.read(CHUNK)
+    while data:
+        unpack, held = zlib.decompressobj(31), []
+        while not unpack.eof:
+            if not data and not (data := source.read(CHUNK)):
+                raise ValueError("an archive is cut short")
+            held.append(unpack.decompress(data))
+            data = unpack.unused_data
+        yield b"".join(held)
+        data = data or source.read(CHUNK)
+
+
+def records(source) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers in lower case, block) of each record of an archive; raises ValueError if one is cut short."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(archive)))
-    while version := stream.readline():
-        if version.strip() != b"WARC/1.1":
+    for member in members(source):
+        head, gap, rest = member.partition(b"\r\n\r\n")
+        version, *fields = head.split(b"\r\n")
+        if version != VERSION or not gap:
             raise ValueError(f"not the start of a record: {version[:40]!r}")
-        headers = {}
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            name, _, value = line.decode().partition(":")
-            headers[name.strip().lower()] = value.strip()
+        headers = {k.strip().lower(): v.strip() for k, _, v in (f.decode().partition(":") for f in fields)}
         size = int(headers["content-length"])
-        block = stream.read(size)
-        if len(block) < size or stream.read(4) != b"\r\n\r\n":
+        if rest[size:] != b"\r\n\r\n":
             raise ValueError("a record is cut short")
-        yield headers, block
+        yield headers, rest[:size]
 
 
 def _parsed(headers: dict[str, str], block: bytes) -> tuple:
@@ -131,32 +178,44 @@ def _parsed(headers: dict[str, str], block: bytes) -> tuple:
     size = next(int(x[15:]) for x in head.decode().split("\r\n") if x.lower().startswith("content-length:"))
     digest = headers["warc-payload-digest"].removeprefix("sha1:")
     kind = headers["warc-type"]
-    if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+    if kind == "response" and (len(payload) != size or digest_of(payload) != digest):
         raise ValueError(f"payload of {headers['warc-record-id']} doesn't match its digest")
-    urn = lambda x: x.removeprefix("<urn:page:").removesuffix(">") if x else None
-    return urn(headers["warc-record-id"]) or None, headers["warc-target-uri"], size, digest, kind, urn(headers.get("warc-refers-to"))
+    page, refers = (None if x is None else unquote(x) for x in (headers.get("page-id"), headers.get("refers-to-page-id")))
+    return page, headers["warc-target-uri"], size, digest, kind, refers
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(page, url, payload_bytes, payload_digest, record_type, refers_to), one row for each record; ids are strings."""
+def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """(page, url, payload_bytes, payload_digest, record_type, refers_to), one row for each record of the archives
+    that the manifest names; ids are strings."""
+    names = ["page", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        where, base = fs.FileSystem.from_uri(folder)
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
         for batch in batches:
-            for archive in batch.column(0):
-                rows = [_parsed(*r) for r in records(archive.as_py())]
+            for file in batch.column(0).to_pylist():
+                rows: list[tuple] = []
+                with where.open_input_stream(f"{base}/{file}", compression=None) as source:
+                    for r in records(source):
+                        rows.append(_parsed(*r))
+                        if len(rows) == 1000:
+                            yield made(rows)
+                            rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    yield made(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = manifest.select("file").repartition(max(1, manifest.count()))
     return files.mapInArrow(run, "page string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:
-    """Write pages into a new folder of the shared folder and read the archives back, ids with their own type."""
-    path = new_path(pages.sparkSession, "warc")
-    write(pages, path, id_col, **options)
+    """(id_col, url, payload_bytes, payload_digest, record_type, refers_to) of each record: write pages into a new
+    folder of the shared folder and read the archives back, ids with their own type."""
+    folder = new_path(pages.sparkSession, "warc")
+    found = read(pages.sparkSession, folder, write(pages, folder, id_col, **options))
     kind = pages.schema[id_col].dataType
-    found = read(pages.sparkSession, path)
     return found.select(F.col("page").cast(kind).alias(id_col), "url", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
