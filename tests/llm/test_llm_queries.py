@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import collections
+import gzip
 import hashlib
+import io
 import math
 import random
 import re
@@ -15,6 +17,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -153,6 +156,18 @@ def test_op4(spark, folder):
         start += len(ids)
 
 
+def test_op4_added_tokens_repeated_and_null_ids_in_several_files(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y É", "<|ENDOFTEXT|> <|endoftext|", "日本<|endoftext|>", None, "plain", "plain", "a much longer text than the others"] * 3
+    docs = spark.createDataFrame([(None if i % 5 == 0 else i % 4, t, 1, 2) for i, t in enumerate(texts)], "doc_id bigint, text string, n bigint, ids int")
+    for small in (1 << 26, 8):
+        found = sorted(bitplanes.write_and_read(docs, shard_ids=small).collect(), key=lambda r: r.start)
+        assert [r.start for r in found] == [sum(x.n_tokens for x in found[:i]) for i in range(len(found))]
+        assert [r.doc_id if r.doc_id is not None else -1 for r in found] == sorted(-1 if i % 5 == 0 else i % 4 for i in range(len(texts)))
+        ids = [np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for t in texts]
+        assert collections.Counter((r.n_tokens, r.ids_crc32) for r in found) == collections.Counter((len(x), zlib.crc32(x)) for x in ids)
+
+
 @pytest.mark.parametrize("bits", [1, 8])
 def test_planes_round_trip(bits):
     ids = np.random.default_rng(0).integers(0, 49408, 1003).astype(np.uint32)
@@ -265,7 +280,25 @@ def test_op9(spark, folder):
     expected = {(p, len(h), digest(h), "response" if first[h] == p else "revisit", None if first[h] == p else first[h]) for p, h in pages.items()}
     assert {tuple(r) for r in queries.op9_warc(spark, folder).collect()} == expected
     with pytest.raises(ValueError):
-        list(warc.records(__import__("gzip").compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")))
+        list(warc.records(io.BytesIO(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))))
+
+
+def test_op9_rows_that_share_ids_keep_their_payloads(spark, folder):
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>b b</p>"), (1, "v", "<p>a</p>"), (2, None, "<p>a</p>"), (2, "u", "only here"), (2, "x y\r\nz", "<p>b b</p>"), (None, "u", "<p>a</p>"), (None, "u", "<p>a</p>"), (1, "u", "<p>a</p>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("sha", F.lit("x")).withColumn("row", F.lit(1))
+    found = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(pages).collect())
+    assert found == {
+        (1, 8, "response", None): 1, (1, 8, "revisit", 1): 2, (1, 10, "response", None): 1, (2, 8, "revisit", 1): 1, (2, 9, "response", None): 1, (2, 10, "revisit", 1): 1, (None, 8, "response", None): 2,
+    }
+    assert all(r.record_type == "response" for r in warc.archive(pages, min_bytes=100).collect())
+    odd = spark.createDataFrame([("", "u", "a"), ("a\r\nb>", "u", "a"), ("é 日", "u", "bb"), (None, None, None)], "page_id string, url string, html string")
+    assert {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(odd).collect()} == {("", 1, "response", None), ("a\r\nb>", 1, "revisit", ""), ("é 日", 2, "response", None), (None, 0, "response", None)}
+    path = f"{folder}/archives"
+    manifest = warc.write(pages, "file://" + path, file_bytes=200)
+    names = [r.file for r in manifest.collect()]
+    kept = [h for n in names for h, _ in warc.records(open(f"{path}/{n}", "rb"))]
+    assert len(names) > 2 and len({h["warc-record-id"] for h in kept}) == len(kept) == 9
+    assert {h["warc-refers-to"] for h in kept if "warc-refers-to" in h} <= {h["warc-record-id"] for h in kept if h["warc-type"] == "response"}
 
 
 def test_op10():

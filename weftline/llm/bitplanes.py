@@ -36,6 +36,7 @@ from .shared import materialize, new_path
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 BLOCK = 1 << 20
+SHARD_IDS = 1 << 26
 MAGIC = b"WFBP1\n"
 
 
@@ -123,6 +124,34 @@ def read_shard(source) -> tuple[pa.RecordBatch, Iterator[np.ndarray]]:
     return docs, chunks()
 
 
+def _largest(vocabulary: str, end_id: int | None) -> int:
+    return max(word_level(vocabulary).library.get_vocab_size(with_added_tokens=True), end_id or 0)
+
+
+def _width(largest: int) -> str:
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
+def encode(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int | None) -> DataFrame:
+    """(id, place, n, ids): the ids of every text with end_id, as little-endian unsigned integers of two
+    bytes, or four for a large vocabulary, their number, and a hash of the text that orders rows with equal ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, width = word_level(vocabulary), _width(_largest(vocabulary, end_id))
+        end = np.array([] if end_id is None else [end_id], np.uint32)
+        for batch in batches:
+            at = 0
+            for texts in in_blocks(batch.column(2).to_pylist(), text_length):
+                ids = [np.concatenate((x, end)) for x in bpe.encode(texts)]
+                made = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(width).tobytes() for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[:2]), *made], names=["id", "place", "n", "ids"])
+                at += len(texts)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("place"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, place bigint, n bigint, ids binary")
+
+
 def write(
     docs: DataFrame,
     folder: str,
@@ -133,50 +162,57 @@ def write(
     plane_bits: int = 8,
     block: int = BLOCK,
     level: int = 3,
+    shard_ids: int = SHARD_IDS,
 ) -> DataFrame:
-    """Encode every text, append end_id, write shards into folder; the manifest (shard, file, n_docs, n_ids).
+    """Encode every text, append end_id, write shards into folder; the manifest (shard, part, file, n_docs, n_ids).
 
     Shards follow ascending ids, null ids first; of rows with equal ids the order is that of a hash of their
-    texts. A null text is empty: only the end id. folder is one that executors reach through pyarrow's file systems."""
+    texts. A null text is empty: only the end id. Texts are encoded once; their ids are what is written, sampled for
+    ranges and sorted. Ranges take the id and the hash, so rows with one id are split, too, and a shard that has
+    twice shard_ids ids goes on in another file. folder is one that executors reach through pyarrow's file systems."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    id_type = docs.select(id_col).limit(0).toArrow().schema.field(0).type
+    encoded = materialize(encode(docs, id_col, text_col, vocabulary, end_id), "encoded")
+    total = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_ids))
+    id_type = encoded.select("id").limit(0).toArrow().schema.field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_level(vocabulary)
-        largest = max(bpe.library.get_vocab_size(with_added_tokens=True), end_id or 0)
-        planes = max(1, -(-largest.bit_length() // plane_bits))
+        largest = _largest(vocabulary, end_id)
+        planes, width = max(1, -(-largest.bit_length() // plane_bits)), _width(largest)
         where, base = fs.FileSystem.from_uri(folder)
-        shard = TaskContext.get().partitionId()
-        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.wfbp"
-        end = np.array([] if end_id is None else [end_id], np.uint32)
-        writer, out = None, None
+        shard, made = TaskContext.get().partitionId(), []
+        writer, out, name = None, None, ""
+
+        def close() -> None:
+            writer.close()
+            out.close()
+            made.append({"shard": shard, "part": len(made), "file": name, "n_docs": len(writer.docs), "n_ids": writer.n_ids})
+
         for batch in batches:
-            ids_of = batch.column(0).to_pylist()
-            at = 0
-            for texts in in_blocks(batch.column(1).to_pylist(), text_length):
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if writer is None:
                     where.create_dir(base, recursive=True)
+                    name = f"shard-{shard:06d}-{uuid.uuid4().hex}.wfbp"
                     out = where.open_output_stream(f"{base}/{name}")
                     writer = ShardWriter(out, id_type, planes, plane_bits, block, level)
-                for ids in bpe.encode(texts):
-                    writer.add(ids_of[at], np.concatenate((ids, end)))
-                    at += 1
+                writer.add(doc, np.frombuffer(ids.as_buffer(), width).astype(np.uint32))
+                if writer.n_ids >= 2 * shard_ids:
+                    close()
+                    writer = None
         if writer:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
+            close()
+        if made:
+            yield pa.RecordBatch.from_pylist(made)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange(n, "id").sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"))
-    return materialize(ranged.mapInArrow(run, "shard bigint, file string, n_docs bigint, n_ids bigint"), "manifest")
+    ranged = encoded.repartitionByRange(shards, "id", "place").sortWithinPartitions("id", "place").select("id", "ids")
+    return materialize(ranged.mapInArrow(run, "shard bigint, part bigint, file string, n_docs bigint, n_ids bigint"), "manifest")
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame, id_col: str, id_type: str) -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32) of each document in the shards that the manifest names.
 
     start: ids of all documents before it; ids_crc32: of its ids as little-endian unsigned 32-bit integers."""
-    shards = sorted(manifest.collect(), key=lambda r: r.shard)  # one row for each file
+    shards = sorted(manifest.collect(), key=lambda r: (r.shard, r.part))  # one row for each file
     starts = np.concatenate(([0], np.cumsum([r.n_ids for r in shards], dtype=np.int64))).tolist()
     rows = [(r.file, s) for r, s in zip(shards, starts)]
 

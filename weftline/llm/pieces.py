@@ -156,7 +156,7 @@ class WordBPE:
     (lower case, cutting, byte table) and then the file's merges in the library, once for each distinct piece. White
     space ends every piece in that pipeline, so in other texts only the chunks between white space that hold other
     letters go through the library's whole pipeline. So do texts with the separators U+001C to U+001F, which Python
-    and the library's pattern split differently."""
+    and the library's pattern split differently, and texts that hold one of the file's added tokens."""
 
     CUT = r"[{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{N}]|[^\s{L}{N}]+"  # the file's pattern; letters come first as most pieces are
     BEYOND = 0x250
@@ -167,7 +167,7 @@ class WordBPE:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.bare = Tokenizer(self.library.model)
         kinds = {c: unicodedata.category(c)[0] for i in range(self.BEYOND) for c in chr(i) + chr(i).lower()}
         letters, numbers = (re.escape("".join(sorted(c for c in kinds if kinds[c] == k))) for k in "LN")
@@ -184,7 +184,7 @@ class WordBPE:
     def _pieces(self, text: str | None) -> list[str]:
         if not text:
             return []
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", *self.added)):
             return [self.WHOLE + text]
         if text.isascii() or not self.beyond(text):
             return self.cut(text.lower())
