@@ -58,15 +58,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id_col, fp): a signed long with the 64 bits. Null and empty texts have fingerprint 0."""
+    """(id_col, place, fp): place is a hash of the text, fp a signed long with the 64 bits. Null and empty texts have
+    fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=[id_col, "place", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("place"), F.col(text_col))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, place bigint, fp bigint")
 
 
 class BKTree:
@@ -177,6 +179,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE) -
     return sharded.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "src bigint, dst bigint")
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, max_tree: int) -> tuple[DataFrame, DataFrame]:
+    """(id_col, place, fp) of every row, and (fp, rep, label) of every fingerprint: rep is the least id that has it,
+    label names its component."""
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    reps = prints.groupBy("fp").agg(F.min(id_col).alias("rep"))
+    labels = connected_components(links(reps.select("fp"), radius, max_tree))
+    known = reps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+    return prints, materialize(known, "labels")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -190,25 +202,33 @@ def near_duplicates(
     Rows with equal ids are rows of their own. A null id takes the component of its fingerprint, which is null if
     no linked row has an id. Null, empty and blank texts have fingerprint 0 and link like any other. Other columns
     aren't read. No rows give no rows."""
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = prints.groupBy("fp").agg(F.min(id_col).alias("rep"))
-    labels = connected_components(links(reps.select("fp"), radius, max_tree))
-    labelled = materialize(
-        reps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label")),
-        "labels",
-    )
+    prints, labelled = _labelled(docs, id_col, text_col, shingle, radius, max_tree)
     least = materialize(labelled.groupBy("label").agg(F.min("rep").alias("component_id")), "components")
     known = labelled.join(least, "label").select("fp", "component_id")
     return prints.join(known, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component: that of the least id. All columns stay.
-
-    Rows without an id stay, as nothing can name them a copy of another row. Of rows with equal ids one stays."""
-    found = near_duplicates(docs, id_col, text_col, **options).filter(F.col(id_col) == F.col("component_id"))
-    kept = materialize(found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")), "kept")
-    out = docs.join(kept.select(id_col), id_col, "left_semi").select(*docs.columns)
-    if kept.filter("n > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 3,
+    radius: int = RADIUS,
+    max_tree: int = MAX_TREE,
+) -> DataFrame:
+    """docs with one row of each component: that of the least id, of rows with that id the one whose text has the
+    least hash. All columns stay.
+
+    Rows that share an id are judged by their texts, so each stays unless it is a copy of a row that does. Rows
+    without an id stay, as nothing can name them a copy of another row."""
+    prints, labelled = _labelled(docs, id_col, text_col, shingle, radius, max_tree)
+    texts = prints.filter(F.col(id_col).isNotNull()).groupBy("fp", F.col(id_col).alias("id"), "place").agg(F.count(F.lit(1)).alias("n"))
+    rows = texts.join(labelled.select("fp", "label"), "fp").groupBy("label").agg(F.min(F.struct("id", "place", "n")).alias("row"))
+    kept = materialize(rows.select("row.*"), "kept")
+    own = {c: f"sim_doc{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*own.values()).withColumn("place", F.xxhash64(own[text_col])).withColumnRenamed(own[id_col], "id")
+    out = plain.join(kept.select("id", "place"), ["id", "place"], "left_semi")
+    if kept.filter("n > 1").limit(1).count():  # rows that share id and text
+        out = out.dropDuplicates(["id", "place"])
+    out = out.select(*[F.col("id" if c == id_col else o).alias(c) for c, o in own.items()])
     return out.union(docs.filter(F.col(id_col).isNull()))
