@@ -187,23 +187,6 @@ def test_op5(spark, folder):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score <= 0
 
 
-def test_suffix_tree_probabilities_add_up_to_one_and_learn_context(spark):
-    rng = random.Random(3)
-    texts = [" ".join(x for _ in range(200) for x in rng.choice([("new", "york", "city"), ("old", "man", "city"), ("city", "of", "man")])) for _ in range(30)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    found = pst.score(rows).collect()
-    assert sum(r.score for r in found if r.held_out) > sum(r.base_score for r in found if r.held_out)
-    docs = rows.withColumnRenamed("doc_id", "id")
-    counts = pst.word_counts(docs)
-    tree = pst.learn(docs, counts)
-    n = len(tree.vocabulary.counts)
-    for context in ([], [0], [1, 2], [3, 0]):
-        ids = np.array([x for w in range(n) for x in (*context, w)], np.int64)
-        starts = np.repeat(np.arange(n) * (len(context) + 1), len(context) + 1)
-        last = tree.log_probability(ids, starts).reshape(n, -1)[:, -1]
-        assert np.exp(last).sum() + 0.5 / tree.vocabulary.denominator == pytest.approx(1, abs=1e-3)
-
-
 def test_op6(spark, folder):
     rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
     good = {i: np.array(v, float) for i, v in rows.items() if v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)}
@@ -322,6 +305,9 @@ def test_clashing_columns_and_repeated_ids(spark, folder):
     assert simhash.near_duplicates(twice).count() == 2 * n + 1
     kept = simhash.keep_one(twice)
     assert kept.columns == docs.columns and kept.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").count() == 0
+    some = "a text of some words that is long enough", "another one, which shares no three words in a row"
+    odd = spark.createDataFrame([(1, some[0]), (2, some[1]), (2, some[0]), (2, some[1]), (None, some[0])], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(odd).collect()) == sorted([(0, some[0]), (1, some[0]), (2, some[1])])
     assert decontaminate.find(twice, bench).count() == 2 * n + 1
     assert decontaminate.remove_documents(twice, bench).columns == decontaminate.remove_spans(twice, bench).columns == docs.columns
     assert toxicity.reject(twice.withColumnRenamed("fp", "predicted"), spark.read.parquet(f"{folder}/labels.parquet")).columns[5:] == ["row", "w", "places", "items", "predicted", "score", "id", "label"]

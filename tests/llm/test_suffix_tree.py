@@ -1,4 +1,4 @@
-"""The suffix tree against one grown in plain dictionaries: contexts of any depth, and rare continuations."""
+"""The suffix tree against one grown in plain dictionaries: contexts of any depth, rare next words, hot contexts."""
 
 from __future__ import annotations
 
@@ -6,63 +6,65 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 
 from weftline.llm import pst
 
 
-def brute_scores(texts: dict) -> tuple[dict, int]:
-    cut = {d: [*t.lower().split(), ""] for d, t in texts.items()}
-    train = [cut[d] for d in cut if not pst.held_out(d)]
-    counts = collections.Counter(w for t in train for w in t)
-    denominator = sum(counts.values()) + 0.5 * (len(counts) + 1)
-    root = lambda w: (counts[w] + 0.5) / denominator
-    nodes: dict = {(): None}
+class Brute:
+    def __init__(self, texts: dict) -> None:
+        self.cut = {d: [*t.lower().split(), ""] for d, t in texts.items()}
+        train = [self.cut[d] for d in self.cut if not pst.held_out(str(d))]
+        self.counts = collections.Counter(w for t in train for w in t)
+        self.denominator = sum(self.counts.values()) + 0.5 * (len(self.counts) + 1)
+        self.nodes: dict = {}
+        times = {(w,): n for w, n in self.counts.items() if n >= 2}  # of contexts that may be tested
+        kept = {((), w) for w, n in self.counts.items() if n >= 2}
+        self.depth = 0
+        while True:
+            d = self.depth + 1
+            after = collections.defaultdict(collections.Counter)
+            for t in train:
+                for i in range(d, len(t)):
+                    after[tuple(t[i - d : i])][t[i]] += 1
+            new, times_next, kept_next = {}, {}, set()
+            for context, total in times.items():
+                if context[1:] and context[1:] not in self.nodes:
+                    continue
+                n = {w: k for w, k in after[context].items() if k >= 2 and (context[1:], w) in kept}
+                times_next |= {(*context, w): k for w, k in n.items() if w}
+                if not n:
+                    continue
+                q = {w: self.probability(context[1:], w) for w in n}
+                rest_p, rest_q = (max(1 - x, 1e-12) for x in (sum(n.values()) / total, sum(q.values())))
+                gain = 2 * (sum(k * math.log(k / total / q[w]) for w, k in n.items()) + total * rest_p * math.log(rest_p / rest_q))
+                if gain >= pst.MIN_GAIN + 2 * len(n):
+                    p = {w: (k - 0.5) / total for w, k in n.items()}
+                    new[context] = (1 - sum(p.values())) / rest_q, p
+                    kept_next |= {(context, w) for w in n}
+            if not new:
+                break
+            self.nodes |= new
+            times, kept, self.depth = times_next, kept_next, d
 
-    def probability(context: tuple, w: str) -> float:
+    def probability(self, context: tuple, w: str) -> float:
         if not context:
-            return root(w)
-        weight, p = nodes[context]
-        return p[w] if w in p else weight * probability(context[1:], w)
-
-    depth = 0
-    while True:
-        after = collections.defaultdict(collections.Counter)
-        for t in train:
-            for i in range(depth + 1, len(t)):
-                if tuple(t[i - depth : i]) in nodes:
-                    after[tuple(t[i - depth - 1 : i])][t[i]] += 1
-        new = {}
-        for context, n in after.items():
-            total, kept = sum(n.values()), {w: k for w, k in n.items() if k >= 2}
-            if not kept:
-                continue
-            q = {w: probability(context[1:], w) for w in kept}
-            rest_p, rest_q = (max(1 - x, 1e-12) for x in (sum(kept.values()) / total, sum(q.values())))
-            gain = 2 * (sum(k * math.log(k / total / q[w]) for w, k in kept.items()) + total * rest_p * math.log(rest_p / rest_q))
-            if gain >= pst.MIN_GAIN:
-                p = {w: (k - 0.5) / total for w, k in kept.items()}
-                new[context] = (1 - sum(p.values())) / rest_q, p
-        if not new:
-            break
-        nodes |= new
-        depth += 1
-
-    def score(t: list[str]) -> float:
-        out = 0.0
-        for i, w in enumerate(t):
-            d = 0
-            while d < i and tuple(t[i - d - 1 : i]) in nodes:
-                d += 1
-            out += math.log10(probability(tuple(t[i - d : i]), w))
-        return out
-
-    return {d: score(t) for d, t in cut.items()}, depth
-
-
-@pytest.mark.parametrize("head", [0.0, 0.004])
-def test_scores_are_those_of_the_whole_tree(spark, monkeypatch, head):
-    monkeypatch.setattr(pst, "P_HEAD", head)  # 0: all in every task; else most of the tree is joined
+            return (self.counts[w] + 0.5) / self.denominator
+        weight, p = self.nodes[context]
+        return p[w] if w in p else weight * self.probability(context[1:], w)
+
+    def longest(self, words: list[str]) -> tuple:
+        d = 0
+        while d < len(words) and tuple(words[len(words) - d - 1 :]) in self.nodes:
+            d += 1
+        return tuple(words[len(words) - d :])
+
+    def score(self, t: list[str]) -> float:
+        return sum(math.log10(self.probability(self.longest(t[:i]), w)) for i, w in enumerate(t))
+
+
+def texts_of_three_words() -> dict:
     rng = random.Random(11)
     texts = {}
     for d in range(40):
@@ -70,7 +72,46 @@ def test_scores_are_those_of_the_whole_tree(spark, monkeypatch, head):
         while len(bits) < 300:  # decided by three words: two of them tell nothing
             bits.append(bits[-1] ^ bits[-2] ^ bits[-3] if rng.random() < 0.97 else rng.randint(0, 1))
         texts[d] = " ".join(f"{'ab'[b]}" for b in bits) + f" seldom{d % 20} found{d % 20} once{d}"
-    expected, depth = brute_scores(texts)
-    assert depth >= 3
+    for d in range(40, 80):
+        words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 120))]
+        texts[d] = " ".join(words)
+    copy = " ".join(f"x{rng.randrange(60)}" for _ in range(80))
+    return texts | {80: copy, 82: copy, 83: "", 84: copy + " tail"}
+
+
+@pytest.mark.parametrize("options", [{}, {"hot": 3, "block_tokens": 400, "bucket_tokens": 3000}])
+def test_scores_are_those_of_the_whole_tree(spark, options):
+    texts = texts_of_three_words()
+    brute = Brute(texts)
+    assert brute.depth >= 3
     rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    assert {r.doc_id: r.score for r in pst.score(rows).collect()} == pytest.approx(expected, rel=1e-9)
+    found = {r.doc_id: r.score for r in pst.score(rows, **options).collect()}
+    assert found == pytest.approx({d: brute.score(t) for d, t in brute.cut.items()}, rel=1e-6)
+
+
+def test_probabilities_after_each_context_add_up_to_one():
+    brute = Brute(texts_of_three_words())
+    for context in [(), *brute.nodes]:
+        total = sum(brute.probability(context, w) for w in brute.counts)
+        assert total + 0.5 / brute.denominator == pytest.approx(1, abs=1e-3)
+
+
+def test_context_beats_the_base_on_held_out_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(x for _ in range(200) for x in rng.choice([("new", "york", "city"), ("old", "man", "city"), ("city", "of", "man")])) for _ in range(30)]
+    found = pst.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert sum(r.score for r in found if r.held_out) > 0.7 * sum(r.base_score for r in found if r.held_out)
+
+
+def test_rows_without_training_documents_and_odd_ids(spark):
+    docs = spark.createDataFrame([(None, "a b a b"), (None, None)], "doc_id string, text string")
+    assert sorted((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in pst.score(docs).collect()) == [(True, 1, 0, 0, 0.0, 0.0), (True, 5, 0, 0, 0.0, 0.0)]
+    odd = spark.createDataFrame([(True, "a b"), (False, "a b"), (True, "c")], "doc_id boolean, text string")
+    for r in pst.score(odd).collect():
+        assert r.held_out == pst.held_out("true" if r.doc_id else "false")
+
+
+def test_planes_round_trip():
+    for kind in pst.FIELDS.values():
+        x = np.arange(1000).astype(kind)
+        assert (pst.unpack(pst.pack(x), kind) == x).all() and len(pst.unpack(pst.pack(x[:0]), kind)) == 0

@@ -1,51 +1,55 @@
 """Language-model scores from a probabilistic suffix tree over words (Ron, Singer and Tishby, 1996).
 
-Root: smoothed word probabilities over every distinct word of the training documents. A context that occurs at
-least LEAST times, and whose suffix is a node, becomes a node if its next-word counts diverge from those of that
-suffix: twice the log likelihood ratio has to reach `min_gain` nats. A node keeps next words with LEAST counts or
-more and backs off to its suffix with the weight that makes its probabilities add up to 1, so scores are those of a
-distribution. Levels are added until no context diverges; nothing else limits depth, contexts or continuations.
-
-The tree is a table of (key, value): hashes of contexts with the log of their weight, and of contexts with a next
-word with what their probability adds to that. A token's log probability is its root's plus the values of its keys,
-so scoring is one join. Of this table only the entries of the most frequent contexts (a share p of the N training
-tokens for each level, so 2/p at most) are held by every task. Bit maps of fixed size keep rows from the shuffles
-that can't meet a key; they pass more with more keys, but the joins behind them are exact. Keys are 64-bit hashes.
+Root: smoothed word probabilities over every distinct word of the training documents. A context, the words before a
+token, becomes a node if it occurs LEAST times or more and its next-word counts diverge from those of its suffix: twice
+the log likelihood ratio has to reach `min_gain` nats and two more for each next word that it keeps. It is tested only
+if its suffix is a node and its own count is known, for which the context without its newest word has to have been
+tested. A node keeps next words with LEAST counts or more, discounted by DISCOUNT, and backs off to its suffix with
+the weight that makes its probabilities add up to 1, so scores are those of a distribution: a token's longest suffix
+that is a node decides, by way of shorter ones where it doesn't keep the token. Levels are added until no context
+diverges; nothing else limits depth, contexts or next words, so the tree grows with the corpus.
+
+The tree is never held in one place. Documents are cut into blocks of tokens once, held-out ones too. On each level a
+block asks for what it needs: its distinct contexts and next words, sorted, with its own training counts, packed by
+ranges of the contexts' hashes ("buckets"). A bucket adds up the counts of all blocks, tests its contexts and answers
+each block in the order of its question, so both ways cost a few bytes for each distinct entry of a block. The block
+then moves its tokens one level down and adds to its documents' scores. A context that occurs `hot` times or more is
+dealt by its next words instead; the sums of its parts are put together afterwards, and as there are at most N / hot
+such contexts (a million at most), every task gets their weights. Keys are 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import in_blocks, text_length
-from .shared import discard, materialize
+from .shared import discard, forget, materialize, rows_per_batch
 
-P_WORD = 1e-6  # words whose counts every task holds: at most 1,000,000
-P_HEAD = 4e-6  # entries of the tree that every task holds: at most 500,000
 LEAST = 2  # counts of contexts and of their next words
-MIN_GAIN = 50.0
+MIN_GAIN = 10.0
 DISCOUNT = 0.5
 FOLDS, HELD_OUT = 5, 1
-FLUSH = 1_000_000
-SEED = 42  # that of Spark's xxhash64
-TOTAL = 0  # stands for all next words of a context
-BITS = 26
+BLOCK_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 20
+HOT, MOST_HOT = 1 << 20, 1_000_000
+WORDS_KEPT = 1_000_000
+SEED = 42
 END = b""  # no word is empty
 
 
-def held_out(doc_id: object) -> bool:
+def held_out(crc: str | None) -> bool:
     """crc32 of the id as text, modulo 5, is 1. A null id is held out."""
-    return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
+    return crc is None or zlib.crc32(crc.encode()) % FOLDS == HELD_OUT
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -54,54 +58,11 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
-def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
-    for batch in batches:
-        texts = [t for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not held_out(d)]
-        for block in in_blocks(texts, text_length):
-            yield [tokens(t) for t in block]
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): counts of every distinct word and of the end over the training rows of docs (id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-            seen.clear()
-            return out
-
-        for texts in _training(batches):
-            for words in texts:
-                seen.update(words)
-            if len(seen) >= FLUSH:
-                yield flush()
-        if seen:
-            yield flush()
-
-    return docs.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-class Vocabulary:
-    """Frequent words by descending count."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int) -> None:
-        self.index = {w: i for i, w in enumerate(words)}
-        self.counts, self.total, self.distinct = counts, total, distinct
-        self.denominator = total + 0.5 * (distinct + 1)
-        self.p0 = (counts + 0.5) / self.denominator
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.index.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-
-
 class Hashes(dict):
     """Hashes of words, kept for the words met lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= FLUSH:
+        if len(self) >= WORDS_KEPT:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word, SEED)
         return out
@@ -117,308 +78,424 @@ def mix(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mix(~contexts, words)
+def moved(x: np.ndarray, by: int) -> np.ndarray:
+    """For each token what x has `by` tokens before it; 0 before the first."""
+    return np.concatenate((np.zeros(min(by, len(x)), x.dtype), x[: max(0, len(x) - by)]))
 
 
-def older(hashes: np.ndarray, back: int) -> np.ndarray:
-    """For each token the word `back` tokens before it; 0 before the first."""
-    return np.concatenate((np.zeros(min(back, len(hashes)), np.uint64), hashes[: max(0, len(hashes) - back)]))
+def pack(x: np.ndarray) -> bytes:
+    """x by byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
-def context_keys(hashes: np.ndarray, depth: int) -> np.ndarray:
-    """For each token the key of the `depth` words before it, which grows from the newest word to the oldest."""
-    h = np.zeros(len(hashes), np.uint64)
-    for back in range(1, depth + 1):
-        h = mix(h, older(hashes, back))
-    return h
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
-class BitMap:
-    """A bit for each key: has() is true for every key, and for some that are none."""
+#: What a block row holds besides its number and the ids of its documents; each by document, word or token.
+DOCS = {"lengths": "<i8", "held": "|u1", "known": "<i8", "base": "<f8", "added": "<f8"}
+WORDS = {"words": "<u8", "counts": "<i8"}
+TOKENS = {"local": "<u4", "state": "|u1"}  # state: 1 context asked for on this level, 2 next word, too
+ASKED = {"times": "<i8", "q": "<f4"}  # of tokens with state 1 and 2: the context's count; the probability so far
+FIELDS = {**DOCS, **WORDS, **TOKENS, **ASKED}
 
-    def __init__(self, keys: DataFrame) -> None:
-        """keys: one column of longs. At most 2 ** (BITS - 6) rows come to the driver."""
-        (name,) = keys.columns
-        place = f"(`{name}` & {(1 << BITS) - 1})"
-        rows = keys.groupBy(F.expr(f"shiftright({place}, 6)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(`{name}` & 63 as int)))").alias("bits")).toArrow()
-        self.bits = np.zeros(1 << (BITS - 6), np.uint64)
-        self.bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys & np.uint64((1 << BITS) - 1)) >> np.uint64(6)
-        return (self.bits[at] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+class Block:
+    """A run of whole documents as numbers, with how far each of its tokens has come."""
 
+    def __init__(self, number: int, **arrays: np.ndarray) -> None:
+        self.number = number
+        self.__dict__.update(arrays)
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted in the sorted keys, -1 where missing."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+    @classmethod
+    def new(cls, number: int, hashes: np.ndarray, lengths: list[int], held: list[bool]) -> Block:
+        words, local, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        often = np.argsort(-n, kind="stable")  # frequent words get small numbers, which pack well
+        place = np.empty(len(words), np.uint32)
+        place[often] = np.arange(len(words), dtype=np.uint32)
+        docs = len(lengths)
+        return cls(
+            number, lengths=np.array(lengths, np.int64), held=np.array(held, np.uint8), known=np.zeros(docs, np.int64), base=np.zeros(docs), added=np.zeros(docs),
+            words=words[often], counts=np.zeros(len(words), np.int64), local=place[local.ravel()], state=np.zeros(len(hashes), np.uint8),
+            times=np.zeros(0, np.int64), q=np.zeros(0, np.float32),
+        )
 
+    @classmethod
+    def of_row(cls, row: dict) -> Block:
+        return cls(row["block"], **{k: unpack(row[k], kind) for k, kind in FIELDS.items()})
 
-class Entries:
-    """Entries of the tree held in one place: sorted keys with their values."""
+    def row(self) -> dict:
+        return {k: pack(np.asarray(getattr(self, k), kind)) for k, kind in FIELDS.items()}
 
-    def __init__(self, table: DataFrame) -> None:
-        rows = table.select("key", "value").toArrow()
-        keys = rows.column(0).to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], rows.column(1).to_numpy()[order]
+    def doc_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.lengths)), self.lengths)
 
-    def add(self, hashes: np.ndarray, starts: np.ndarray, depth: int, others: BitMap | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """What the entries add to each token's log probability, and (tokens, keys) that may be among the others."""
-        added, open_ = np.zeros(len(hashes)), []
-        context, tokens_ = np.zeros(len(hashes), np.uint64), np.arange(len(hashes))
-        place = tokens_ - starts
-        for d in range(1, depth + 1):
-            context = mix(context, older(hashes, d))
-            tokens_ = tokens_[place[tokens_] >= d]  # a node's suffix is a node: others end here
-            for of_pair in (False, True):
-                key = pair_keys(context[tokens_], hashes[tokens_]) if of_pair else context[tokens_]
-                at = find(self.keys, key)
-                there = at >= 0
-                added[tokens_[there]] += self.values[at[there]]
-                if others is not None:
-                    rest = ~there & others.has(key)
-                    open_.append((tokens_[rest], key[rest]))
-                    there |= rest
-                if not of_pair:
-                    tokens_ = tokens_[there]
-        return added, open_
+    def place(self) -> np.ndarray:
+        """Tokens before each token in its document."""
+        starts = np.cumsum(self.lengths) - self.lengths
+        return np.arange(len(self.local)) - np.repeat(starts, self.lengths)
 
+    def grams(self, n: int) -> np.ndarray:
+        """The key of the n words that end with each token; it grows from the newest word to the oldest."""
+        hashes = self.words[self.local]
+        out = hashes
+        for back in range(1, n):
+            out = mix(out, moved(hashes, back))
+        return out
 
-class Tree:
-    """A whole tree in one place, for small inputs."""
 
-    def __init__(self, vocabulary: Vocabulary, entries: Entries, depth: int) -> None:
-        self.vocabulary, self.entries, self.depth = vocabulary, entries, depth
-        self.hashes = Hashes().of(list(vocabulary.index))
+class Question:
+    """A block's distinct contexts and next words of one level, sorted so that each bucket's are together."""
+
+    def __init__(self, block: Block, depth: int, buckets: int, hot: float) -> None:
+        self.asked = np.flatnonzero(block.state)
+        both = block.state[self.asked] == 2
+        self.followed = self.asked[both]
+        gram = block.grams(depth)
+        contexts, first, self.context_of = np.unique(moved(gram, 1)[self.asked], return_index=True, return_inverse=True)
+        self.context_of = self.context_of.ravel()
+        self.contexts, self.times = contexts, block.times[first]
+        pairs = mix(gram, moved(block.words[block.local], depth))[self.followed]
+        keys, first, pair_of = np.unique(pairs, return_index=True, return_inverse=True)
+        n = np.bincount(pair_of.ravel(), 1.0 - block.held[block.doc_of()[self.followed]], len(keys)).astype(np.int64)
+        context = self.context_of[both][first]
+        self.is_hot = self.times >= hot
+        # pairs of hot contexts come last, by their own keys
+        order = np.lexsort((np.where(self.is_hot[context], keys, 0), np.where(self.is_hot[context], len(contexts), context)))
+        back = np.empty(len(keys), np.int64)
+        back[order] = np.arange(len(keys))
+        self.pair_of = back[pair_of.ravel()]
+        self.keys, self.n, self.q, self.context = keys[order], n[order], block.q[first][order], context[order]
+        self.buckets = buckets
+
+    def cuts(self, keys: np.ndarray) -> np.ndarray:
+        """Where each bucket's run of sorted keys begins, and the end of the last."""
+        edges = np.array([(i << 64) // self.buckets for i in range(1, self.buckets)], np.uint64)
+        return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+
+    def parts(self) -> Iterator[tuple[int, dict]]:
+        """(bucket, arrays); buckets from `buckets` on hold hot contexts, whose keys stand beside each pair."""
+        cold = int(np.count_nonzero(~self.is_hot[self.context]))
+        many = np.bincount(self.context[:cold], minlength=len(self.contexts))
+        pair_at = np.concatenate(([0], np.cumsum(many)))
+        cut = self.cuts(self.contexts)
+        for bucket in np.flatnonzero(np.diff(cut)).tolist():
+            a, b = cut[bucket : bucket + 2]
+            x, y = pair_at[a], pair_at[b]
+            yield bucket, {"contexts": self.contexts[a:b], "times": self.times[a:b], "many": many[a:b], "keys": self.keys[x:y], "n": self.n[x:y], "q": self.q[x:y]}
+        cut = cold + self.cuts(self.keys[cold:])
+        for bucket in np.flatnonzero(np.diff(cut)).tolist():
+            x, y = cut[bucket : bucket + 2]
+            whose = self.context[x:y]
+            yield self.buckets + bucket, {"contexts": self.contexts[whose], "times": self.times[whose], "many": np.ones(y - x, np.int64), "keys": self.keys[x:y], "n": self.n[x:y], "q": self.q[x:y]}
+
+
+#: Arrays of a question as they travel.
+ASKS = {"contexts": "<u8", "times": "<f4", "many": "<u4", "keys": "<u8", "n": "<u4", "q": "<f4"}
+
+
+def packed(part: dict) -> dict:
+    """Hashes and probabilities don't compress; numbers do."""
+    return {k: np.asarray(part[k], kind).tobytes() if k in ("contexts", "keys", "q") else pack(np.asarray(part[k], kind)) for k, kind in ASKS.items()}
+
+
+def unpacked(row: dict) -> dict:
+    return {k: np.frombuffer(row[k], kind) if k in ("contexts", "keys", "q") else unpack(row[k], kind) for k, kind in ASKS.items()}
+
+
+def weights(c: np.ndarray, k: np.ndarray, q: np.ndarray, s: np.ndarray, total: np.ndarray, min_gain: float) -> np.ndarray:
+    """The log weight of each context's suffix, NaN where the context is no node. c, k, q: counts, number and
+    probabilities after the suffix of the next words that it keeps; s: sum of n log(n / q) over them."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rest_p, rest_q = np.maximum(1 - c / total, 1e-12), np.maximum(1 - q, 1e-12)
+        gain = 2 * (s - c * np.log(total) + total * rest_p * np.log(rest_p / rest_q))
+        weight = np.log(np.maximum(1 - (c - DISCOUNT * k) / total, 1e-12) / rest_q)
+    return np.where((k > 0) & (gain >= min_gain + 2 * k), weight, np.nan)
+
+
+def answer(parts: list[dict], min_gain: float, hot: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, ...]]:
+    """For each part of a bucket the counts of its pairs, 0 below LEAST, and the weights of its contexts; of a bucket of
+    hot contexts no weights, but the sums of each context: key, count, c, k, q, s."""
+    keys, n, q = (np.concatenate([p[x] for p in parts]) for x in ("keys", "n", "q"))
+    contexts, times = (np.concatenate([p[x] for p in parts]) for x in ("contexts", "times"))
+    many = np.concatenate([p["many"] for p in parts]).astype(np.int64)
+    distinct, first, pair_of = np.unique(keys, return_index=True, return_inverse=True)
+    pair_of = pair_of.ravel()
+    total = np.bincount(pair_of, n, len(distinct))
+    total[total < LEAST] = 0
+    of, first_context, context_of = np.unique(contexts, return_index=True, return_inverse=True)
+    context_of = context_of.ravel()
+    kept = np.flatnonzero(total)
+    owner = context_of[np.repeat(np.arange(len(contexts)), many)[first[kept]]]
+    n_kept, q_kept = total[kept], q[first[kept]].astype(np.float64)
+    c, k, sq, s = (np.bincount(owner, w, len(of)) for w in (n_kept, np.ones(len(kept)), q_kept, n_kept * np.log(n_kept / q_kept)))
+    counts = times[first_context].astype(np.float64)
+    pair_ends = np.cumsum([len(p["keys"]) for p in parts])[:-1]
+    context_ends = np.cumsum([len(p["contexts"]) for p in parts])[:-1]
+    found = np.split(total[pair_of].astype(np.int64), pair_ends)
+    if hot:
+        return [(x, np.zeros(0, np.float32)) for x in found], (of, counts, c, k, sq, s)
+    weight = weights(c, k, sq, s, counts, min_gain)[context_of].astype(np.float32)
+    return list(zip(found, np.split(weight, context_ends))), ()
+
+
+def step(block: Block, question: Question, n: np.ndarray, weight: np.ndarray, depth: int) -> None:
+    """Move the tokens of a block down by the answers to its question: score them, and set what the next level asks."""
+    size = len(block.local)
+    doc = block.doc_of()
+    token_weight = weight[question.context_of].astype(np.float64)
+    node = ~np.isnan(token_weight)
+    followed = block.state[question.asked] == 2
+    count = np.zeros(len(question.asked), np.int64)
+    count[followed] = n[question.pair_of]
+    kept = node & (count > 0)
+    p = np.zeros(len(question.asked))
+    p[kept] = (count[kept] - DISCOUNT) / block.times[kept]
+    old = np.ones(len(question.asked))
+    old[followed] = block.q
+    gained = np.where(kept, np.log(np.where(kept, p, 1.0)) - np.log(old), np.where(node, token_weight, 0.0))
+    block.added = block.added + np.bincount(doc[question.asked], gained, len(block.lengths))
+    known = np.zeros(size, np.int64)  # occurrences of the context and the token together
+    known[question.asked] = count
+    times, goes_on, keeps = moved(known, 1), np.zeros(size, bool), np.zeros(size, bool)
+    goes_on[question.asked[node]] = True
+    keeps[question.asked[kept]] = True
+    goes_on &= (block.place() > depth) & (times >= LEAST)
+    probability = np.zeros(size)
+    probability[question.asked] = p
+    block.state = goes_on.astype(np.uint8) + (goes_on & keeps)
+    block.times, block.q = times[goes_on], probability[block.state == 2].astype(np.float32)
+
+
+def _begin(block: Block, counts: np.ndarray, total: int, distinct: int) -> None:
+    """Score a block by its words' counts, and set what the first level asks."""
+    block.counts = counts
+    p = (counts + 0.5) / (total + 0.5 * (distinct + 1)) if total else np.ones(len(counts))
+    doc, docs = block.doc_of(), len(block.lengths)
+    block.known = np.bincount(doc, counts[block.local] > 0, docs).astype(np.int64)
+    block.base = np.bincount(doc, np.log10(p)[block.local], docs)
+    own = counts[block.local]
+    times = moved(own, 1)
+    goes_on = (block.place() > 0) & (times >= LEAST)
+    block.state = goes_on.astype(np.uint8) + (goes_on & (own >= LEAST))
+    block.times, block.q = times[goes_on], p[block.local][block.state == 2].astype(np.float32)
+
+
+def _block_type(kind: str) -> str:
+    return f"block bigint, ids array<{kind}>, asks bigint, tokens bigint, " + ", ".join(f"`{k}` binary" for k in FIELDS)
+
+
+def _table(block: Block, ids: pa.Array) -> dict:
+    return {"block": pa.array([block.number], pa.int64()), "ids": ids, "asks": pa.array([int(np.count_nonzero(block.state))], pa.int64()), "tokens": pa.array([len(block.local)], pa.int64())} | {
+        k: pa.array([v], pa.binary()) for k, v in block.row().items()
+    }
+
+
+def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The rows of docs (id, crc, text) as block rows. A document is never split, so a block has at least one."""
 
-    def log_probability(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each token, all of the vocabulary. starts: number of the first token
-        of each token's document."""
-        return np.log(self.vocabulary.p0)[ids] + self.entries.add(self.hashes[ids], starts, self.depth)[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, number = Hashes(), TaskContext.get().partitionId() << 33
+        hashes: list[np.ndarray] = []
+        lengths: list[int] = []
+        held: list[bool] = []
+        ids: list = []
+        size = 0
 
+        def flush(id_type: pa.DataType) -> pa.RecordBatch:
+            nonlocal number, size
+            block = Block.new(number, np.concatenate(hashes), lengths, held)
+            made = pa.RecordBatch.from_pydict(_table(block, pa.array([ids], pa.list_(id_type))))
+            number, size = number + 1, 0
+            for x in (hashes, lengths, held, ids):
+                x.clear()
+            return made
 
-def _starts(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The number of the first token of each token's document, and the documents' lengths."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    return np.repeat(np.cumsum(lengths) - lengths, lengths), lengths
+        id_type = None
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            for rows in in_blocks(list(zip(*(c.to_pylist() for c in batch.columns))), lambda r: text_length(r[2])):
+                cut = [tokens(text) for _, _, text in rows]
+                ids += [r[0] for r in rows]
+                held += [held_out(r[1]) for r in rows]
+                lengths += map(len, cut)
+                hashes.append(cache.of([w for t in cut for w in t]))
+                size += len(hashes[-1])
+                if size >= block_tokens:
+                    yield flush(id_type)
+        if ids:
+            yield flush(id_type)
 
+    return docs.mapInArrow(run, _block_type(docs.schema["id"].dataType.simpleString()))
 
-def continuation_counts(docs: DataFrame, frequent, above, depth: int) -> DataFrame:
-    """(context, word, n, suffix): counts, LEAST or more, of each word after each context of `depth` words over the
-    training rows, and of each context (word TOTAL, with its suffix). frequent: broadcast bit map of words with
-    LEAST counts; above: of the nodes and pairs of the level above, None for the first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_map, above_map, cache = frequent.value, above.value if above else None, Hashes()
-        held: list[tuple] = []
-        size = 0
+def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield {k: batch.column(j)[i].as_py() for j, k in enumerate(batch.schema.names) if k != "ids"}
 
-        def long(x: np.ndarray) -> pa.Array:
-            return pa.array(x.view(np.int64))
-
-        def flush() -> pa.RecordBatch:
-            context, suffix, followed, word = (np.concatenate(x) for x in zip(*held))
-            one, at, n = np.unique(context, return_index=True, return_counts=True)
-            _, pair_at, pair_n = np.unique(pair_keys(followed, word), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays(
-                [
-                    long(np.concatenate((one, followed[pair_at]))),
-                    long(np.concatenate((np.full(len(one), TOTAL, np.uint64), word[pair_at]))),
-                    pa.array(np.concatenate((n, pair_n)).astype(np.int64)),
-                    pa.concat_arrays([long(suffix[at]), pa.nulls(len(pair_at), pa.int64())]),
-                ],
-                names=["context", "word", "n", "suffix"],
-            )
-
-        for texts in _training(batches):
-            word = cache.of([w for t in texts for w in t])
-            starts, _ = _starts(texts)
-            suffix, oldest = context_keys(word, depth - 1), older(word, depth)
-            ok = (np.arange(len(word)) - starts >= depth) & words_map.has(oldest)
-            if above_map is not None:
-                ok &= above_map.has(suffix)
-            context, suffix, word = mix(suffix, oldest)[ok], suffix[ok], word[ok]
-            followed = words_map.has(word)
-            if above_map is not None:
-                followed &= above_map.has(pair_keys(suffix, word))
-            held.append((context, suffix, context[followed], word[followed]))
-            size += len(context)
-            if size >= 2 * FLUSH:
-                yield flush()
-                held.clear()
-                size = 0
-        if size:
-            yield flush()
-
-    counted = docs.mapInArrow(run, "context bigint, word bigint, n bigint, suffix bigint").groupBy("context", "word")
-    return counted.agg(F.sum("n").alias("n"), F.max("suffix").alias("suffix")).filter(F.col("n") >= LEAST)
-
-
-def grow(docs: DataFrame, counts: DataFrame, denominator: float, min_gain: float = MIN_GAIN) -> tuple[DataFrame | None, int]:
-    """(key, value, n) of all nodes and next words of the tree of the training rows of docs (id, text), and its
-    depth. n: occurrences. No tree if no context diverges from the root."""
-    spark = docs.sparkSession
-    words = counts.filter(F.col("c") >= LEAST).select(F.xxhash64("word").alias("word"), ((F.col("c") + 0.5) / F.lit(float(denominator))).alias("q"))
-    frequent = spark.sparkContext.broadcast(BitMap(words.select("word")))
-    model, above, level, depth = None, None, None, 0
-    while True:
-        counted = materialize(continuation_counts(docs, frequent, above, depth + 1), "continuations")
-        if above:
-            above.destroy()
-        totals = counted.filter(F.col("word") == TOTAL).select("context", "suffix", F.col("n").alias("total"))
-        pairs = counted.filter(F.col("word") != TOTAL).select("context", "word", "n")
-        if level is None:
-            known = pairs.join(words, "word")
-        else:  # only contexts whose suffix is a node
-            parents = level.select(F.col("context").alias("suffix"), "word", F.col("p").alias("q"))
-            known = pairs.join(totals.select("context", "suffix"), "context").join(parents, ["suffix", "word"])
-        known = materialize(known.select("context", "word", "n", "q"), "known")
-        sums = known.groupBy("context").agg(
-            F.sum("n").alias("c"), F.count(F.lit(1)).alias("k"), F.sum("q").alias("q"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("s")
-        )
-        total = F.col("total")
-        rest_p, rest_q = F.greatest(1 - F.col("c") / total, F.lit(1e-12)), F.greatest(1 - F.col("q"), F.lit(1e-12))
-        gain = 2 * (F.col("s") - F.col("c") * F.log(total) + total * rest_p * F.log(rest_p / rest_q))
-        weight = F.log(F.greatest(1 - (F.col("c") - DISCOUNT * F.col("k")) / total, F.lit(1e-12)) / rest_q)
-        nodes = materialize(sums.join(totals, "context").filter(gain >= min_gain).select("context", "total", weight.alias("weight")), "nodes")
-        if nodes.limit(1).count() == 0:
-            break
-        p = (F.col("n") - DISCOUNT) / F.col("total")
-        value = F.log(p) - F.log("q") - F.col("weight")
-        level = materialize(known.join(nodes, "context").select("context", "word", "n", p.alias("p"), value.alias("value")), "level")
-        discard(known)
-        discard(counted)
-        entries = nodes.select(F.col("context").alias("key"), F.col("weight").alias("value"), F.col("total").alias("n")).union(with_keys(level))
-        entries = materialize(entries, "entries")
-        model = entries if model is None else model.union(entries)
-        above = spark.sparkContext.broadcast(BitMap(entries.select("key")))
-        depth += 1
-    frequent.destroy()
-    return model, depth
-
-
-def with_keys(level: DataFrame) -> DataFrame:
-    """(key, value, n) of pairs (context, word, value, n)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            context, word = (b.column(i).to_numpy().view(np.uint64) for i in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(context, word).view(np.int64)), b.column(2), b.column(3)], names=["key", "value", "n"])
+ANSWER = "block bigint, bucket bigint, n binary, weight binary, sums binary"
+
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=["block", "bucket", "n", "weight", "sums"])
 
-    return level.select("context", "word", "value", "n").mapInArrow(run, "key bigint, value double, n bigint")
 
+def count_words(held: DataFrame, buckets: int) -> DataFrame:
+    """Answers to all blocks' words: counts over the training documents; sums: (distinct words, tokens) of a bucket."""
 
-def vocabulary_of(counts: DataFrame, p_word: float = P_WORD) -> Vocabulary:
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.filter(F.col("c") >= max(2.0, p_word * total)).collect()  # at most 1 / p_word rows
-    frequent.sort(key=lambda r: (-r.c, bytes(r.word)))
-    return Vocabulary([bytes(r.word) for r in frequent], np.array([r.c for r in frequent], np.int64), total, distinct)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                block = Block.of_row(row)
+                n = np.bincount(block.local, 1.0 - block.held[block.doc_of()], len(block.words)).astype(np.int64)
+                order = np.argsort(block.words)
+                keys, n = block.words[order], n[order]
+                cut = np.concatenate(([0], np.searchsorted(keys, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)), [len(keys)]))
+                some = np.flatnonzero(np.diff(cut)).tolist()
+                yield pa.RecordBatch.from_pydict(
+                    {"block": [block.number] * len(some), "bucket": some, "keys": [keys[cut[i] : cut[i + 1]].tobytes() for i in some], "n": [pack(n[cut[i] : cut[i + 1]]) for i in some]}
+                )
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = list(_rows(table))
+        keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
+        distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(of.ravel(), np.concatenate([unpack(r["n"], "<i8") for r in rows]), len(distinct)).astype(np.int64)
+        found = np.split(total[of.ravel()], np.cumsum([len(k) for k in keys])[:-1])
+        sums = np.array([np.count_nonzero(total), total.sum()], np.int64).tobytes()
+        return _answers([(r["block"], r["bucket"], pack(n), b"", sums if i == 0 else None) for i, (r, n) in enumerate(zip(rows, found))])
+
+    asked = held.mapInArrow(ask, "block bigint, bucket bigint, keys binary, n binary")
+    return materialize(asked.groupBy("bucket").applyInArrow(add, ANSWER), "word-answers")
+
+
+def count_contexts(held: DataFrame, depth: int, buckets: int, hot: float, min_gain: float) -> DataFrame:
+    """Answers to all blocks' questions of a level; sums: those of a bucket's hot contexts."""
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                if row["asks"]:
+                    made = [(bucket, packed(part)) for bucket, part in Question(Block.of_row(row), depth, buckets, hot).parts()]
+                    yield pa.RecordBatch.from_pydict({"block": [row["block"]] * len(made), "bucket": [b for b, _ in made], **{k: pa.array([p[k] for _, p in made], pa.binary()) for k in ASKS}})
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = list(_rows(table))
+        is_hot = rows[0]["bucket"] >= buckets
+        answers, sums = answer([unpacked(r) for r in rows], min_gain, is_hot)
+        told = b"".join(np.asarray(x, "<u8" if i == 0 else "<f8").tobytes() for i, x in enumerate(sums)) if is_hot else None
+        return _answers([(r["block"], r["bucket"], pack(n), pack(w), told if i == 0 else None) for i, (r, (n, w)) in enumerate(zip(rows, answers))])
+
+    asked = held.mapInArrow(ask, "block bigint, bucket bigint, " + ", ".join(f"{k} binary" for k in ASKS))
+    return materialize(asked.groupBy("bucket").applyInArrow(add, ANSWER), "answers")
 
-def learn(docs: DataFrame, counts: DataFrame, p_word: float = P_WORD, min_gain: float = MIN_GAIN) -> Tree:
-    """The tree of the training rows of docs (id, text), whose word_counts are counts, in one place: it grows with
-    the input, so this is for small ones."""
-    vocabulary = vocabulary_of(counts, p_word)
-    model, depth = grow(docs, counts, vocabulary.denominator, min_gain)
-    return Tree(vocabulary, Entries(_or_none(model, docs)), depth)
 
+def hot_weights(answers: DataFrame, min_gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and weights of the hot contexts from the sums of their parts: at most N / hot of them, added up in
+    Spark."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                n = len(data) // 48
+                columns = [np.frombuffer(data, "<i8" if i == 0 else "<f8", n, 8 * n * i) for i in range(6)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["context", "total", "c", "k", "q", "s"])
+
+    parts = answers.filter("sums is not null").select("sums").mapInArrow(spread, "context bigint, total double, c double, k double, q double, s double")
+    rows = parts.groupBy("context").agg(F.max("total").alias("total"), *[F.sum(x).alias(x) for x in "ckqs"]).toArrow()
+    keys = rows.column("context").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    total, c, k, q, s = (rows.column(x).to_numpy()[order] for x in ("total", "c", "k", "q", "s"))
+    return keys[order], weights(c, k, q, s, total, min_gain)
 
-def _or_none(model: DataFrame | None, docs: DataFrame) -> DataFrame:
-    return docs.sparkSession.createDataFrame([], "key bigint, value double, n bigint") if model is None else model
 
+def told(held: DataFrame, answers: DataFrame, apply) -> DataFrame:
+    """The blocks after apply(block, their answers by bucket)."""
+    kind = dict(held.dtypes)["ids"].removeprefix("array<").removesuffix(">")
 
-def _key_words(keys: np.ndarray) -> pa.Array:
-    """Keys as words: a tab, which is in no word, and eight bytes."""
-    raw = np.empty((len(keys), 9), np.uint8)
-    raw[:, 0] = 9
-    raw[:, 1:] = keys.astype(">u8").view(np.uint8).reshape(-1, 8)
-    offsets = (np.arange(len(keys) + 1) * 9).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = _rows(left)
+        block = Block.of_row(row)
+        apply(block, sorted(_rows(right), key=lambda r: r["bucket"]))
+        return pa.table(_table(block, left.column("ids")))
+
+    return materialize(held.groupBy("block").cogroup(answers.select("block", "bucket", "n", "weight").groupBy("block")).applyInArrow(run, _block_type(kind)), "blocks")
+
+
+def _joined(rows: list[dict], field: str, kind: str) -> np.ndarray:
+    return np.concatenate([unpack(r[field], kind) for r in rows] or [np.zeros(0, kind)])
+
+
+def grown(docs: DataFrame, min_gain: float = MIN_GAIN, block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, hot: int | None = None) -> tuple[DataFrame, int, int]:
+    """The blocks of docs (id, crc, text) once all levels are done, the number of training tokens, and that of levels."""
+    spark = docs.sparkSession
+    with rows_per_batch(spark, 4):
+        held = materialize(blocks(docs, block_tokens), "blocks")
+        size = held.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+        buckets = max(1, -(-size // bucket_tokens))
+        answers = count_words(held, buckets)
+        sums = [np.frombuffer(r.sums, "<i8") for r in answers.filter("sums is not null").select("sums").collect()]  # two numbers a bucket
+        distinct, total = (int(sum(x[i] for x in sums)) for i in (0, 1))
+        hot_from = hot or max(HOT, total / MOST_HOT)
+
+        def begin(block: Block, rows: list[dict]) -> None:
+            counts = np.empty(len(block.words), np.int64)
+            counts[np.argsort(block.words)] = _joined(rows, "n", "<i8")
+            _begin(block, counts, total, distinct)
+
+        after = told(held, answers, begin)
+        depth = 0
+        while True:
+            for done in (held, answers):
+                discard(done)
+            forget(spark)
+            held = after
+            if not held.agg(F.coalesce(F.sum("asks"), F.lit(0))).first()[0]:
+                return held, total, depth
+            depth += 1
+            answers = count_contexts(held, depth, buckets, hot_from, min_gain)
+            forget(spark)
+            shared = spark.sparkContext.broadcast(hot_weights(answers, min_gain))
+
+            def go_on(block: Block, rows: list[dict], depth: int = depth, shared=shared) -> None:
+                if not len(block.times):
+                    return
+                question = Question(block, depth, buckets, hot_from)
+                weight = _joined([r for r in rows if r["bucket"] < buckets], "weight", "<f4")
+                keys, values = shared.value
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, question.contexts), len(keys) - 1)
+                    weight = np.where(question.is_hot, np.where(keys[at] == question.contexts, values[at], np.nan), weight)
+                else:
+                    weight = np.where(question.is_hot, np.nan, weight)
+                step(block, question, _joined(rows, "n", "<i8"), weight, depth)
+
+            after = told(held, answers, go_on)
+            shared.unpersist()
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Scores are log10 probabilities of the text with its end. A null or empty text is the end alone. A null id is
-    held out; repeated ids are rows of their own. Without training rows every probability is 1, as the formula of
-    the root has it. Other columns aren't read."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = materialize(word_counts(rows), "words")
-    p_word = options.pop("p_word", P_WORD)
-    vocabulary = vocabulary_of(counts, p_word)
-    model, depth = grow(rows, counts, vocabulary.denominator, **options)
-    model = _or_none(model, docs)
-    often = F.col("n") >= P_HEAD * max(1, depth) * vocabulary.total
-    rare_entries = model.filter(~often)
-    shared = spark.sparkContext.broadcast((vocabulary, Entries(model.filter(often)), BitMap(rare_entries.select("key"))))
+    held out; repeated ids are rows of their own. Without training rows every probability is 1. Other columns aren't
+    read. No rows give no rows."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("string").alias("crc"), F.col(text_col).alias("text"))
+    held, total, _ = grown(rows, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words, head, others = shared.value
-        root, cache = np.log10(np.append(known_words.p0, 1.0)), Hashes()
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for block in in_blocks(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), lambda r: text_length(r[1])):
-                texts = [tokens(t) for _, t in block]
-                flat = [w for t in texts for w in t]
-                ids, (starts, lengths) = known_words.ids(flat), _starts(texts)
-                of = np.repeat(np.arange(len(block)), lengths)
-                n = len(block)
-                known = np.bincount(of, ids >= 0, n).astype(np.int64)
-                base = np.bincount(of, np.where(ids >= 0, root[ids], 0.0), n)
-                added, open_ = head.add(cache.of(flat), starts, depth, others)
-                model_score = base + np.bincount(of, added, n) / np.log(10)
-                words, owners, times = [], [], []
-                missing = np.flatnonzero(ids < 0)
-                for (owner, word), k in Counter(zip(of[missing].tolist(), (flat[i] for i in missing.tolist()))).items():
-                    owners.append(owner)
-                    words.append(word)
-                    times.append(k)
-                at = np.concatenate([of[a] for a, _ in open_] or [np.zeros(0, np.int64)])
-                keys = np.concatenate([k for _, k in open_] or [np.zeros(0, np.uint64)])
-                _, first, key_times = np.unique(mix(keys, at.astype(np.uint64)), return_index=True, return_counts=True)
-                # a row for each document, under a key that is no word, and one for each of its rare words and entries
-                names = pa.concat_arrays([pa.array([b"\n%d" % (row + i) for i in range(n)] + words, pa.binary()), _key_words(keys[first])])
-                rare = len(words) + len(first)
-                numbers = row + np.concatenate((np.arange(n), np.array(owners, np.int64), at[first]))
-                zeros = np.zeros(rare)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(numbers.astype(np.int64)),
-                        names,
-                        pa.array(np.concatenate((np.zeros(n), times, key_times)).astype(np.int64)),
-                        pa.concat_arrays([pa.array([d for d, _ in block], batch.schema.field(0).type), pa.nulls(rare, batch.schema.field(0).type)]),
-                        pa.array(np.concatenate((lengths, zeros)).astype(np.int64)),
-                        pa.array(np.concatenate((known, zeros)).astype(np.int64)),
-                        pa.array(np.concatenate((base, zeros))),
-                        pa.array(np.concatenate((model_score, zeros))),
-                    ],
-                    names=["row", "word", "times", "id", "n_tokens", "n_known", "base", "model"],
-                )
-                row += n
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    parts = rows.mapInArrow(run, f"row bigint, word binary, times bigint, id {kind}, n_tokens bigint, n_known bigint, base double, model double")
-    rare_counts = counts.filter(F.col("c") < max(2.0, p_word * vocabulary.total)).select("word", "c", F.lit(None).cast("double").alias("value"))
-    as_word = F.concat(F.unhex(F.lit("09")), F.unhex(F.lpad(F.hex("key"), 16, "0")))
-    rare_values = rare_entries.select(as_word.alias("word"), F.lit(0).cast("bigint").alias("c"), (F.col("value") / math.log(10)).alias("value"))
-    joined = parts.join(rare_counts.union(rare_values), "word", "left")
-    c, is_key = F.coalesce("c", F.lit(0)), F.substring("word", 1, 1) == F.unhex(F.lit("09"))
-    rest = F.when(is_key, 0.0).otherwise(F.col("times") * F.log10((c + F.lit(0.5)) / F.lit(float(vocabulary.denominator))))
-    value = F.when(is_key, F.col("times") * F.coalesce("value", F.lit(0.0))).otherwise(0.0)
-    summed = joined.groupBy("row").agg(
-        F.max("id").alias("id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(c > 0, F.col("times")).otherwise(0))).alias("n_known"),
-        F.sum(F.col("base") + rest).alias("base_score"),
-        F.sum(F.col("model") + rest + value).alias("score"),
-    )
-    out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
-    return summed.select(
-        F.col("id").alias(id_col), out.alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.total).cast("bigint").alias("train_tokens"), "base_score", "score"
-    )
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            for i, row in enumerate(_rows(batch)):
+                x = {k: unpack(row[k], kind) for k, kind in DOCS.items()}
+                score_ = x["base"] + x["added"] / math.log(10)
+                made = [ids[i].values, pa.array(x["held"] == 1), pa.array(x["lengths"]), pa.array(x["known"]), pa.array(x["base"]), pa.array(score_)]
+                yield pa.RecordBatch.from_arrays(made, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    out = held.select("block", "ids", *DOCS).mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,22 @@ def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
         spark.conf.set(ROWS_PER_BATCH, rows)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that start inside hand their rows to Python in Arrow batches of at most `rows`."""
+    before = spark.conf.get(ROWS_PER_BATCH)
+    spark.conf.set(ROWS_PER_BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_PER_BATCH, before)
+
+
+def forget(spark: SparkSession) -> None:
+    """Ask the JVM for a collection, after which Spark deletes the shuffle files of plans that nothing holds any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared folder; a temporary one of this machine only where none is set, as in tests."""
     folder = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
