@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from weftline.llm import html_text
+import time
+
+import pytest
+
+from weftline.llm import html_text, queries
 
 LONG = "A sentence that goes on for long enough to count as a line of the main text of this page. "
 
@@ -18,3 +22,44 @@ def test_nested_and_sibling_mains_keep_their_text():
 def test_a_long_line_outside_surges_and_a_short_one_does_not():
     page = f"<body><p>{LONG * 3}</p><p>Imprint</p><article><p>Text.</p></article><p>{LONG}</p></body>"
     assert html_text.main_text(page) == f"{(LONG * 3).strip()}\nText."
+
+
+PROSE = "Long prose that goes on and on for a good while, so that it counts as text of the page itself."
+P = f"<p>{PROSE}</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<main><h1>Big Title</h1><article><p>One.</p></article><article>{P}<p>Two</p></article></main>", ["Big Title", "One.", PROSE, "Two"]),
+        (f'<article><div class="related-work">{P}</div><p id="search-algorithms">Short text</p></article>', [PROSE, "Short text"]),
+        (f"<header>Site</header><article><header><h1>Head</h1></header>{P}<footer>By me</footer></article>", ["Head", PROSE]),
+        (f"<body><div class=ad>Buy now{P}{P}</body>", [PROSE, PROSE]),
+        (f"<p title='it's'>hello {PROSE}</p>", [f"hello {PROSE}"]),
+        ("a<b", ["a<b"]),
+        (f"<div>Home</div><div>About</div>{P}{P}<div>Copyright 2024 by a company</div>", [PROSE, PROSE]),
+        (f"<div>Home</div><h1>Title</h1>{P}<p>End.</p>", ["Title", PROSE, "End."]),
+        (f"<ul><li><a href=x>Home</a><li><a href=y>About</a></ul>{P}<a href=z>never closed{P}", [PROSE, "never closed", PROSE]),
+        (f'<div class="sidebar-left">{P}</div>{P}<div class="cookie-notice">{P}</div><section id=comments>{P}{P}{P}</section>', [PROSE]),
+        (f'<div class="widget"><article>{P}</article></div>', [PROSE]),
+        ("<article><p>é&amp;&nbsp;x</p><p hidden>no</p><p>  two \n words", ["é& x", "two words"]),
+    ],
+)
+def test_pages_that_mislead(page, text):
+    assert html_text.main_text(page) == "\n".join(text)
+
+
+@pytest.mark.parametrize("bad", ["<p a='", '<a x="<a "x=', "<div>", "<div class=ad>", "<!--", "<", '<a x="><a "x=', "<nav>", "<p class=ad>"])
+def test_broken_markup_takes_time_in_proportion(bad):
+    began = time.process_time()
+    html_text.main_text(bad * 20_000)
+    assert time.process_time() - began < 5
+
+
+def test_query_over_odd_rows(spark, tmp_path):
+    page = f"<nav>menu</nav><article>{P}</article>"
+    rows = [(1, "u", page, 1), (1, "u", page, 1), (None, None, page, 1), (2, "u", None, 1), (3, "u", "", 1), (4, "u", page * 2000, 1)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string, n_chars int").write.parquet(str(tmp_path / "pages.parquet"))
+    found = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in queries.op10_html_text(spark, str(tmp_path)).collect())
+    whole = "\n".join([PROSE] * 2000)
+    assert found == [(0, None, PROSE, len(PROSE)), (1, "u", PROSE, len(PROSE)), (1, "u", PROSE, len(PROSE)), (2, "u", "", 0), (3, "u", "", 0), (4, "u", whole, len(whole))]

@@ -1,10 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines (blocks of a page); menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments go with their elements. Text lengths are summed over sliding windows of lines;
-the text lies between a surge, where a window's sum passes a threshold, and the dive, where the sums have fallen
-to nothing. Lines in article and main elements, nested or side by side, weigh more, so that short ones among them
-surge; on such pages lines outside weigh less, only those count that surge alone, and every stretch stays.
+Markup is stripped to lines: every tag of a block element ends one, so tags without text between them give empty
+lines, MOST_EMPTY in a row at most. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments are taken out with their elements and leave an empty line. A line's length counts its characters
+outside links. Lengths are summed over sliding windows of lines; text lies between a surge, where a window's sum passes
+the threshold, and the dive, where a window holds nothing.
+
+Article and main elements are evidence: where they hold a fair share of a page's text, their lines weigh more, so that
+short ones surge, and lines outside weigh less, so that only long ones do; all stretches stay. Without that evidence
+the heaviest stretch stays, with others of at least a fifth of its weight, and short lines without the end of a
+sentence (plain menus, copyright lines) are cut off its ends.
 """
 
 from __future__ import annotations
@@ -18,7 +23,11 @@ from pyspark.sql import DataFrame
 
 WINDOW = 3
 THRESHOLD = 86
-OUTSIDE = 2  # of the lengths of lines outside the main elements of a page that has them
+OUTSIDE = 2  # divides the lengths of lines outside the main elements of a page that has them
+EVIDENCE = 0.1  # share of a page's text that main elements hold at least, to count as such
+OTHERS = 0.2  # weight of further stretches, as a share of the heaviest
+SHORT = 40  # characters of a line that may be cut off the ends
+MOST_EMPTY = 2
 
 # Element names of HTML and words by which pages name their parts.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "plaintext"}
@@ -28,121 +37,226 @@ DROPPED = {
 }
 BLOCKS = {
     "address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt",
-    "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre",
-    "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol",
+    "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+MAIN = {"article", "main"}
 NAMED = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored",
     "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "notification",
     "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "toolbar", "pagination", "pager",
-    "header", "masthead", "footer", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies",
-    "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup",
-    "login", "popup", "modal", "overlay", "widget", "skip", "hidden", "topbar", "complementary", "contentinfo", "search",
+    "header", "masthead", "footer", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe",
+    "subscription", "signup", "login", "popup", "modal", "overlay", "widget", "skip", "hidden", "topbar", "search",
+    "complementary", "contentinfo",
+}
+READERS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"}
+# Words that go with those in names of parts, and never make one alone.
+BESIDE = {
+    "area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "form",
+    "global", "icons", "inner", "item", "items", "layer", "left", "link", "links", "list", "main", "media", "message",
+    "outer", "page", "panel", "post", "posts", "primary", "reader", "right", "secondary", "section", "site", "slot",
+    "stories", "text", "thread", "top", "unit", "user", "wrap", "wrapper",
 }
-MAIN = {"article", "main"}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
-_WORD = re.compile(r"[a-z]+")
-
-
-def _boilerplate(name: str, attributes: str) -> bool:
-    if name in DROPPED:
-        return True
-    if not attributes or name in ("html", "body", "article", "main") and "comment" not in attributes.lower():
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for _, a, b, c in _ATTRIBUTE.findall(attributes):
-        spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()
-        if not NAMED.isdisjoint(_WORD.findall(spaced)):
-            return True
-    return False
-
-
-def _tokens(page: str) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, name, attributes, kind) with kind + for an opening, - for a closing tag, x for what is skipped."""
-    out, at = [], 0
-    while m := _TOKEN.search(page, at):
-        close, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"""[\s/]*(?:([^\s/>=<][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?)?""")
+_PARTS = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+_SENTENCE = re.compile(r"""[.!?:;…。！？]["'”’»)\]]*$""")
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
+_KEPT = {"class", "id", "role", "hidden", "aria-hidden", "style"}
+
+
+def _named(value: str) -> set[str]:
+    """Which of the words that name parts make up a name of the value: all its parts name one or go beside."""
+    found: set[str] = set()
+    for name in _CAMEL.sub(r"\1-\2", value).split():
+        parts = set(_PARTS.findall(name.lower()))
+        own = parts & (NAMED | READERS)
+        if own and parts <= NAMED | READERS | BESIDE:
+            found |= own
+    return found
+
+
+class Tag:
+    """A tag or what is skipped. kind: + opens, - closes, x is skipped; close: index of the tag that closes it."""
+
+    __slots__ = ("start", "end", "name", "attributes", "kind", "close")
+
+    def __init__(self, start: int, end: int, name: str, attributes: dict[str, str], kind: str) -> None:
+        self.start, self.end, self.name, self.attributes, self.kind, self.close = start, end, name, attributes, kind, None
+
+
+def _attributes(page: str, at: int) -> tuple[int | None, dict[str, str]]:
+    """The end of the tag whose attributes begin at `at`, None if it never ends, -1 if another begins before."""
+    found: dict[str, str] = {}
+    while True:
+        m = _ATTRIBUTE.match(page, at)
+        if m[1] and (name := m[1].lower()) in _KEPT:
+            found.setdefault(name, m[2] or m[3] or m[4] or "")
         at = m.end()
-        if not name:
-            out.append((m.start(), at, "", "", "x"))
+        if at >= len(page):
+            return None, found
+        if page[at] == ">":
+            return at + 1, found
+        if page[at] == "<" and not m[1]:
+            return -1, found
+        if not m[1]:
+            at += 1
+
+
+def tags(page: str) -> list[Tag]:
+    """The tags of a page in order, in time that grows with its length. A tag that another one begins before it ends
+    is text; once one has no end outside quotes, quotes are ignored from there on."""
+    out: list[Tag] = []
+    open_: dict[str, list[int]] = {}
+    at, quotes, comments = 0, True, True
+    while (start := page.find("<", at)) >= 0:
+        after = page[start + 1 : start + 2]
+        if after in ("!", "?"):
+            end = page.find("-->", start + 4) if comments and page.startswith("<!--", start) else -1
+            if end >= 0:
+                end += 3
+            else:
+                comments = comments and not page.startswith("<!--", start)
+                end = page.find(">", start) + 1 or len(page)
+            out.append(Tag(start, end, "", {}, "x"))
+            at = end
             continue
-        name = name.lower()
-        if name in RAW and not close:
-            end = re.compile(rf"</{name}(?=[\s/>]|$)[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            out.append((m.start(), at, name, "", "x"))
+        if not (m := _NAME.match(page, start + 1)):
+            at = start + 1
+            continue
+        end, attributes = _attributes(page, m.end()) if quotes else (page.find(">", m.end()) + 1 or -1, {})
+        if end is None:
+            quotes, end = False, page.find(">", m.end()) + 1 or -1
+        if end < 0:
+            at = start + 1
+            continue
+        name, at = m[2].lower(), end
+        if name in RAW and not m[1]:
+            close = re.compile(rf"</{name}(?=[\s/>]|$)[^>]*>?", re.I).search(page, end)
+            at = close.end() if close else len(page)
+            out.append(Tag(start, at, name, {}, "x"))
+        elif m[1]:
+            if held := open_.get(name):
+                out[held.pop()].close = len(out)
+            out.append(Tag(start, end, name, {}, "-"))
         else:
-            out.append((m.start(), at, name, attributes or "", "-" if close else "+"))
+            if name not in VOID and page[end - 2] != "/":
+                open_.setdefault(name, []).append(len(out))
+            out.append(Tag(start, end, name, attributes, "+"))
     return out
 
 
-def _closing(tokens: list, k: int) -> int | None:
-    """Index of the tag that closes token k."""
-    depth, name = 0, tokens[k][2]
-    for j in range(k, len(tokens)):
-        if tokens[j][2] == name:
-            depth += (tokens[j][4] == "+") - (tokens[j][4] == "-")
-            if depth == 0:
-                return j
-    return None
+def _boilerplate(tag: Tag, in_main: bool) -> str:
+    """Why an element goes: "element", "named" or "readers"; empty if it stays."""
+    name, attributes = tag.name, tag.attributes
+    if name in DROPPED and not (name == "header" and in_main):
+        return "element"
+    if not attributes or name in ("html", "body"):
+        return ""
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _NONE.search(attributes.get("style", "")):
+        return "element"
+    words = set()
+    for key in ("class", "role") if name == "p" or name in HEADINGS else ("class", "id", "role"):
+        if value := attributes.get(key):
+            words |= _named(value)
+    if words & READERS:
+        return "readers"
+    return "named" if words and name not in MAIN and not (name == "header" and in_main) else ""
+
+
+class Line:
+    __slots__ = ("text", "free", "main", "heading")
+
+    def __init__(self, text: str, free: int, main: bool, heading: bool) -> None:
+        self.text, self.free, self.main, self.heading = text, free, main, heading
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters outside links, number of the innermost article or main element, 0 for none) by line."""
-    tokens = _tokens(page)
-    out: list[tuple[str, int, int]] = []
+def _taken_out(page: str, found: list[Tag]) -> dict[int, int]:
+    """Index of each tag that begins what goes -> index of the tag after it.
+
+    An element that is never closed goes up to its next block. One that only its name marks stays if it holds an article
+    or main element or more than half of what text there is."""
+    text = [0]
+    mains = [0]
+    for i, tag in enumerate(found):
+        before = found[i - 1].end if i else 0
+        text.append(text[-1] + len(page[before : tag.start].strip()))
+        mains.append(mains[-1] + (tag.kind == "+" and tag.name in MAIN))
+    out: dict[int, int] = {}
+    inside = i = 0
+    while i < len(found):
+        tag = found[i]
+        if tag.name in MAIN:
+            inside = max(0, inside + (1 if tag.kind == "+" else -1 if tag.kind == "-" else 0))
+        if tag.kind == "+" and tag.name not in VOID and (why := _boilerplate(tag, inside > 0)):
+            if tag.close is None:
+                after = next((j for j in range(i + 1, len(found)) if found[j].name in BLOCKS or found[j].name in DROPPED), len(found))
+            else:
+                after = tag.close + 1
+                holds_main = mains[after] > mains[i + 1]
+                if why == "named" and (holds_main or 2 * (text[after] - text[i + 1]) > text[-1]):
+                    after = 0
+            if after:
+                out[i] = after
+                i = after
+                continue
+        i += 1
+    return out
+
+
+def lines(page: str) -> list[Line]:
+    found = tags(page)
+    gone = _taken_out(page, found)
+    out: list[Line] = []
     text: list[str] = []
-    linked, in_link, inside, mains = 0, 0, [], 0
+    linked, link_until, mains, heading, empty = 0, -1, 0, 0, 0
 
     def end_line() -> None:
-        nonlocal linked
+        nonlocal linked, empty
         line = " ".join("".join(text).split())
-        if line:
-            out.append((line, max(0, len(line) - linked), inside[-1] if inside else 0))
+        empty = 0 if line else empty + 1
+        if empty <= MOST_EMPTY:
+            out.append(Line(line, max(0, len(line) - linked), mains > 0, heading > 0))
         text.clear()
         linked = 0
 
     def add(piece: str) -> None:
         nonlocal linked
         text.append(piece := html.unescape(piece))
-        if in_link:
+        if link_until >= 0:
             linked += len(" ".join(piece.split()))
 
-    at, k = 0, 0
-    while k < len(tokens):
-        start, end, name, attributes, kind = tokens[k]
-        if start > at:
-            add(page[at:start])
-        at = end
-        if kind == "+" and name not in VOID and not attributes.rstrip().endswith("/") and _boilerplate(name, attributes):
+    at = i = 0
+    while i < len(found):
+        tag = found[i]
+        if tag.start > at:
+            add(page[at : tag.start])
+        if i in gone:
             end_line()
-            close = _closing(tokens, k)
-            if close is None:  # never closed: up to the next main element or the page's end
-                close = next((j for j in range(k + 1, len(tokens)) if tokens[j][4] == "+" and tokens[j][2] in MAIN), len(tokens)) - 1
-                at = tokens[close + 1][0] if close + 1 < len(tokens) else len(page)
-            else:
-                at = tokens[close][1]
-            k = close + 1
+            i = gone[i]
+            at = found[i - 1].end if found[i - 1].kind == "-" else found[i].start if i < len(found) else len(page)
+            empty = 0
+            out.append(Line("", 0, False, False))
+            link_until = link_until if link_until >= i else -1
             continue
-        if name in BLOCKS or kind == "x" and name:
+        at = tag.end
+        if tag.name in BLOCKS or tag.kind == "x" and tag.name:
             end_line()
-        if name == "a":
-            in_link = max(0, in_link + (1 if kind == "+" else -1))
-        if name in MAIN:
-            if kind == "+":
-                mains += 1
-                inside.append(mains)
-            elif inside:
-                inside.pop()
-        k += 1
+            if link_until == len(found):  # of a link that is never closed
+                link_until = -1
+        opens = tag.kind == "+"
+        if tag.name == "a":
+            link_until = (len(found) if tag.close is None else tag.close) if opens else -1
+        elif tag.name in MAIN:
+            mains = max(0, mains + (1 if opens else -1))
+        elif tag.name in HEADINGS:
+            heading = (tag.close is not None) if opens else 0
+        i += 1
     add(page[at:])
     end_line()
     return out
@@ -151,7 +265,10 @@ def lines(page: str) -> list[tuple[str, int, int]]:
 def stretches(lengths: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """The stretches of lines from a surge to its dive: first line, line after the last."""
     n = len(lengths)
-    sums = [sum(lengths[i : i + window]) for i in range(n)]
+    ends = [0]
+    for x in lengths:
+        ends.append(ends[-1] + x)
+    sums = [ends[min(n, i + window)] - ends[i] for i in range(n)]
     out, at = [], 0
     while at < n:
         if sums[at] > threshold and lengths[at]:
@@ -164,9 +281,18 @@ def stretches(lengths: list[int], window: int = WINDOW, threshold: int = THRESHO
     return out
 
 
-def surge_and_dive(lengths: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> tuple[int, int]:
-    """The stretch that has most text, the first of equal ones."""
-    return max(stretches(lengths, window, threshold), key=lambda s: sum(lengths[s[0] : s[1]]), default=(0, 0))
+def _heaviest(found: list[Line], window: int, threshold: int) -> list[tuple[int, int]]:
+    lengths = [x.free for x in found]
+    some = stretches(lengths, window, threshold) or stretches(lengths, window, 0)
+    weight = [sum(lengths[a:b]) for a, b in some]
+    return [s for s, w in zip(some, weight) if w >= OTHERS * max(weight)]
+
+
+def _trimmed(found: list[Line]) -> list[Line]:
+    """Lines without short ones that end no sentence at both ends; all of them if nothing else is left."""
+    ends = lambda x: not x.heading and len(x.text) < SHORT and not _SENTENCE.search(x.text) or bool(_RIGHTS.match(x.text))
+    kept = [i for i, x in enumerate(found) if not ends(x)]
+    return found[kept[0] : kept[-1] + 1] if kept else found
 
 
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
@@ -174,14 +300,13 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
     if not page:
         return ""
     found = lines(page)
-    if any(free for _, free, k in found if k):
-        weights = [len(line) + threshold if k else free // OUTSIDE if free // OUTSIDE > threshold else 0 for line, free, k in found]
-        kept = [i for first, after in stretches(weights, window, threshold) for i in range(first, after) if weights[i]]
-        return "\n".join(found[i][0] for i in kept)
-    first, after = surge_and_dive([x[1] for x in found], window, threshold)
-    if first == after:
-        first, after = surge_and_dive([x[1] for x in found], window, 0)
-    return "\n".join(x[0] for x in found[first:after])
+    inside = sum(x.free for x in found if x.main)
+    if inside and inside >= EVIDENCE * sum(x.free for x in found):
+        weights = [len(x.text) + threshold * bool(x.text) if x.main else x.free // OUTSIDE if x.free // OUTSIDE > threshold else 0 for x in found]
+        kept = [found[i] for a, b in stretches(weights, window, threshold) for i in range(a, b) if weights[i]]
+    else:
+        kept = _trimmed([x for a, b in _heaviest(found, window, threshold) for x in found[a:b] if x.text])
+    return "\n".join(x.text for x in kept)
 
 
 def extract(
