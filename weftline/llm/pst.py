@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import in_blocks, text_length
-from .shared import discard, forget, materialize, rows_per_batch
+from .shared import discard, materialize, rows_per_batch
 
 LEAST = 2  # counts of contexts and of their next words
 MIN_GAIN = 10.0
@@ -452,13 +452,11 @@ def grown(docs: DataFrame, min_gain: float = MIN_GAIN, block_tokens: int = BLOCK
         while True:
             for done in (held, answers):
                 discard(done)
-            forget(spark)
             held = after
             if not held.agg(F.coalesce(F.sum("asks"), F.lit(0))).first()[0]:
                 return held, total, depth
             depth += 1
             answers = count_contexts(held, depth, buckets, hot_from, min_gain)
-            forget(spark)
             shared = spark.sparkContext.broadcast(hot_weights(answers, min_gain))
 
             def go_on(block: Block, rows: list[dict], depth: int = depth, shared=shared) -> None:

@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXT_ROWS = 1000
 
@@ -25,19 +26,18 @@ def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
 
 
 @contextmanager
-def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs that start inside hand their rows to Python in Arrow batches of at most `rows`."""
-    before = spark.conf.get(ROWS_PER_BATCH)
-    spark.conf.set(ROWS_PER_BATCH, rows)
+def _set(spark: SparkSession, key: str, value: object) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(ROWS_PER_BATCH, before)
+        spark.conf.set(key, before)
 
 
-def forget(spark: SparkSession) -> None:
-    """Ask the JVM for a collection, after which Spark deletes the shuffle files of plans that nothing holds any more."""
-    spark.sparkContext._jvm.System.gc()
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Jobs that start inside hand their rows to Python in Arrow batches of at most `rows`."""
+    return _set(spark, ROWS_PER_BATCH, rows)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,10 +54,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again; ``df.written_to`` has the path for :func:`discard`."""
+    """df, written to the shared folder and read again; ``df.written_to`` has the path for :func:`discard`. The shuffle
+    files of the plan go once it is written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with _set(spark, CLEANUP, "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
