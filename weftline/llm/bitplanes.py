@@ -133,17 +133,17 @@ def _width(largest: int) -> str:
 
 
 def encode(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int | None) -> DataFrame:
-    """(id, place, n, ids): the ids of every text with end_id, as little-endian unsigned integers of two
-    bytes, or four for a large vocabulary, their number, and a hash of the text that orders rows with equal ids."""
+    """(id, place, n, ids): the ids of every text with end_id, compressed little-endian unsigned integers of two bytes,
+    or four for a large vocabulary, their number, and a hash of the text that orders rows with equal ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, width = word_level(vocabulary), _width(_largest(vocabulary, end_id))
-        end = np.array([] if end_id is None else [end_id], np.uint32)
+        end, squeeze = np.array([] if end_id is None else [end_id], np.uint32), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             at = 0
             for texts in in_blocks(batch.column(2).to_pylist(), text_length):
                 ids = [np.concatenate((x, end)) for x in bpe.encode(texts)]
-                made = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(width).tobytes() for x in ids], pa.binary())]
+                made = [pa.array([len(x) for x in ids], pa.int64()), pa.array([squeeze(x.astype(width).tobytes()) for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[:2]), *made], names=["id", "place", "n", "ids"])
                 at += len(texts)
 
@@ -181,7 +181,7 @@ def write(
         planes, width = max(1, -(-largest.bit_length() // plane_bits)), _width(largest)
         where, base = fs.FileSystem.from_uri(folder)
         shard, made = TaskContext.get().partitionId(), []
-        writer, out, name = None, None, ""
+        writer, out, name, expand = None, None, "", zstandard.ZstdDecompressor().decompress
 
         def close() -> None:
             writer.close()
@@ -195,7 +195,7 @@ def write(
                     name = f"shard-{shard:06d}-{uuid.uuid4().hex}.wfbp"
                     out = where.open_output_stream(f"{base}/{name}")
                     writer = ShardWriter(out, id_type, planes, plane_bits, block, level)
-                writer.add(doc, np.frombuffer(ids.as_buffer(), width).astype(np.uint32))
+                writer.add(doc, np.frombuffer(expand(ids.as_buffer()), width).astype(np.uint32))
                 if writer.n_ids >= 2 * shard_ids:
                     close()
                     writer = None
