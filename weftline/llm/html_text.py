@@ -6,10 +6,10 @@ reader comments are taken out with their elements and leave an empty line. A lin
 outside links. Lengths are summed over sliding windows of lines; text lies between a surge, where a window's sum passes
 the threshold, and the dive, where a window holds nothing.
 
-Article and main elements are evidence: where they hold a fair share of a page's text, their lines weigh more, so that
-short ones surge, and lines outside weigh less, so that only long ones do; all stretches stay. Without that evidence
-the heaviest stretch stays, with others of at least a fifth of its weight, and short lines without the end of a
-sentence (plain menus, copyright lines) are cut off its ends.
+Article and main elements are evidence: where they hold text, their lines weigh more, so that short ones surge, and
+lines outside weigh less, so that only long ones do; all stretches stay. Without that evidence the heaviest stretch
+stays, with others of at least a fifth of its weight, and short lines without the end of a sentence (plain menus,
+copyright lines) are cut off its ends.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 WINDOW = 3
 THRESHOLD = 86
 OUTSIDE = 2  # divides the lengths of lines outside the main elements of a page that has them
-EVIDENCE = 0.1  # share of a page's text that main elements hold at least, to count as such
 OTHERS = 0.2  # weight of further stretches, as a share of the heaviest
 SHORT = 40  # characters of a line that may be cut off the ends
 MOST_EMPTY = 2
@@ -300,8 +299,7 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
     if not page:
         return ""
     found = lines(page)
-    inside = sum(x.free for x in found if x.main)
-    if inside and inside >= EVIDENCE * sum(x.free for x in found):
+    if any(x.free for x in found if x.main):
         weights = [len(x.text) + threshold * bool(x.text) if x.main else x.free // OUTSIDE if x.free // OUTSIDE > threshold else 0 for x in found]
         kept = [found[i] for a, b in stretches(weights, window, threshold) for i in range(a, b) if weights[i]]
     else:
