@@ -39,7 +39,7 @@ LEAST = 2  # counts of contexts and of their next words
 MIN_GAIN = 10.0
 DISCOUNT = 0.5
 FOLDS, HELD_OUT = 5, 1
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 3 << 18
 BUCKET_TOKENS = 1 << 20
 HOT, MOST_HOT = 1 << 20, 1_000_000
 WORDS_KEPT = 1_000_000
@@ -83,6 +83,29 @@ def moved(x: np.ndarray, by: int) -> np.ndarray:
     return np.concatenate((np.zeros(min(by, len(x)), x.dtype), x[: max(0, len(x) - by)]))
 
 
+def sorting(x: np.ndarray, small: bool = False) -> np.ndarray:
+    """The places that sort x: hashes, or `small` numbers. Sorting values with the place in their low bits is several
+    times as fast as an argsort; of hashes the low bits make room for it, which is checked."""
+    bits = np.uint64(max(1, len(x) - 1).bit_length())
+    low, at = np.uint64((1 << int(bits)) - 1), np.arange(len(x), dtype=np.uint64)
+    both = (x.astype(np.uint64) << bits if small else x & ~low) | at
+    both.sort()
+    order = (both & low).astype(np.int64)
+    if not small and (x[order[1:]] < x[order[:-1]]).any():
+        return np.argsort(x)
+    return order
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct values of x, a place of each in x, and for each of x the number of its value."""
+    order = sorting(x)
+    ordered = x[order]
+    new = np.concatenate((np.ones(min(1, len(x)), bool), ordered[1:] != ordered[:-1]))
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
 def pack(x: np.ndarray) -> bytes:
     """x by byte planes, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
@@ -95,10 +118,12 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
 
 
 #: What a block row holds besides its number and the ids of its documents; each by document, word or token.
-DOCS = {"lengths": "<i8", "held": "|u1", "known": "<i8", "base": "<f8", "added": "<f8"}
+#: lengths: tokens that are held, none once no token of the document is asked for.
+DOCS = {"n_tokens": "<i8", "lengths": "<i8", "held": "|u1", "known": "<i8", "base": "<f8", "added": "<f8"}
 WORDS = {"words": "<u8", "counts": "<i8"}
 TOKENS = {"local": "<u4", "state": "|u1"}  # state: 1 context asked for on this level, 2 next word, too
-ASKED = {"times": "<i8", "q": "<f4"}  # of tokens with state 1 and 2: the context's count; the probability so far
+ASKED = {"times": "<i8", "q": "<f4"}  # of tokens with state 1 and 2: the context's count; the probability so far. Not
+# held for the first level, whose words' counts tell both
 FIELDS = {**DOCS, **WORDS, **TOKENS, **ASKED}
 
 
@@ -111,14 +136,14 @@ class Block:
 
     @classmethod
     def new(cls, number: int, hashes: np.ndarray, lengths: list[int], held: list[bool]) -> Block:
-        words, local, n = np.unique(hashes, return_inverse=True, return_counts=True)
-        often = np.argsort(-n, kind="stable")  # frequent words get small numbers, which pack well
+        words, _, local = distinct(hashes)
+        often = np.argsort(-np.bincount(local, minlength=len(words)), kind="stable")  # frequent words get small numbers, which pack well
         place = np.empty(len(words), np.uint32)
         place[often] = np.arange(len(words), dtype=np.uint32)
         docs = len(lengths)
         return cls(
-            number, lengths=np.array(lengths, np.int64), held=np.array(held, np.uint8), known=np.zeros(docs, np.int64), base=np.zeros(docs), added=np.zeros(docs),
-            words=words[often], counts=np.zeros(len(words), np.int64), local=place[local.ravel()], state=np.zeros(len(hashes), np.uint8),
+            number, n_tokens=np.array(lengths, np.int64), lengths=np.array(lengths, np.int64), held=np.array(held, np.uint8), known=np.zeros(docs, np.int64), base=np.zeros(docs), added=np.zeros(docs),
+            words=words[often], counts=np.zeros(len(words), np.int64), local=place[local], state=np.zeros(len(hashes), np.uint8),
             times=np.zeros(0, np.int64), q=np.zeros(0, np.float32),
         )
 
@@ -129,6 +154,26 @@ class Block:
     def row(self) -> dict:
         return {k: pack(np.asarray(getattr(self, k), kind)) for k, kind in FIELDS.items()}
 
+    def first_level(self, total: int, distinct_words: int) -> None:
+        """Set times and q from the words' counts."""
+        own = self.counts[self.local]
+        p = (self.counts + 0.5) / (total + 0.5 * (distinct_words + 1))
+        self.times, self.q = moved(own, 1)[self.state > 0], p[self.local][self.state == 2].astype(np.float32)
+
+    def shed(self) -> None:
+        """Let go of the tokens of documents that have none to ask for, and of words that no token has."""
+        doc = self.doc_of()
+        stays = np.bincount(doc, self.state > 0, len(self.lengths)) > 0
+        if stays.all():
+            return
+        kept = stays[doc]
+        self.lengths = np.where(stays, self.lengths, 0)
+        self.state = self.state[kept]
+        local = self.local[kept]
+        used = np.bincount(local, minlength=len(self.words)) > 0
+        self.local = (np.cumsum(used) - 1)[local].astype(np.uint32)
+        self.words, self.counts = self.words[used], self.counts[used]
+
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.lengths)), self.lengths)
 
@@ -154,19 +199,18 @@ class Question:
         both = block.state[self.asked] == 2
         self.followed = self.asked[both]
         gram = block.grams(depth)
-        contexts, first, self.context_of = np.unique(moved(gram, 1)[self.asked], return_index=True, return_inverse=True)
-        self.context_of = self.context_of.ravel()
+        contexts, first, self.context_of = distinct(moved(gram, 1)[self.asked])
         self.contexts, self.times = contexts, block.times[first]
         pairs = mix(gram, moved(block.words[block.local], depth))[self.followed]
-        keys, first, pair_of = np.unique(pairs, return_index=True, return_inverse=True)
-        n = np.bincount(pair_of.ravel(), 1.0 - block.held[block.doc_of()[self.followed]], len(keys)).astype(np.int64)
+        keys, first, pair_of = distinct(pairs)
+        n = np.bincount(pair_of, 1.0 - block.held[block.doc_of()[self.followed]], len(keys)).astype(np.int64)
         context = self.context_of[both][first]
         self.is_hot = self.times >= hot
         # pairs of hot contexts come last, by their own keys
-        order = np.lexsort((np.where(self.is_hot[context], keys, 0), np.where(self.is_hot[context], len(contexts), context)))
+        order = sorting(np.where(self.is_hot[context], len(contexts) + np.arange(len(keys)), context), small=True)
         back = np.empty(len(keys), np.int64)
         back[order] = np.arange(len(keys))
-        self.pair_of = back[pair_of.ravel()]
+        self.pair_of = back[pair_of]
         self.keys, self.n, self.q, self.context = keys[order], n[order], block.q[first][order], context[order]
         self.buckets = buckets
 
@@ -221,12 +265,10 @@ def answer(parts: list[dict], min_gain: float, hot: bool) -> tuple[list[tuple[np
     keys, n, q = (np.concatenate([p[x] for p in parts]) for x in ("keys", "n", "q"))
     contexts, times = (np.concatenate([p[x] for p in parts]) for x in ("contexts", "times"))
     many = np.concatenate([p["many"] for p in parts]).astype(np.int64)
-    distinct, first, pair_of = np.unique(keys, return_index=True, return_inverse=True)
-    pair_of = pair_of.ravel()
-    total = np.bincount(pair_of, n, len(distinct))
+    pairs, first, pair_of = distinct(keys)
+    total = np.bincount(pair_of, n, len(pairs))
     total[total < LEAST] = 0
-    of, first_context, context_of = np.unique(contexts, return_index=True, return_inverse=True)
-    context_of = context_of.ravel()
+    of, first_context, context_of = distinct(contexts)
     kept = np.flatnonzero(total)
     owner = context_of[np.repeat(np.arange(len(contexts)), many)[first[kept]]]
     n_kept, q_kept = total[kept], q[first[kept]].astype(np.float64)
@@ -267,12 +309,13 @@ def step(block: Block, question: Question, n: np.ndarray, weight: np.ndarray, de
     probability[question.asked] = p
     block.state = goes_on.astype(np.uint8) + (goes_on & keeps)
     block.times, block.q = times[goes_on], probability[block.state == 2].astype(np.float32)
+    block.shed()
 
 
-def _begin(block: Block, counts: np.ndarray, total: int, distinct: int) -> None:
+def _begin(block: Block, counts: np.ndarray, total: int, distinct_words: int) -> None:
     """Score a block by its words' counts, and set what the first level asks."""
     block.counts = counts
-    p = (counts + 0.5) / (total + 0.5 * (distinct + 1)) if total else np.ones(len(counts))
+    p = (counts + 0.5) / (total + 0.5 * (distinct_words + 1)) if total else np.ones(len(counts))
     doc, docs = block.doc_of(), len(block.lengths)
     block.known = np.bincount(doc, counts[block.local] > 0, docs).astype(np.int64)
     block.base = np.bincount(doc, np.log10(p)[block.local], docs)
@@ -280,7 +323,7 @@ def _begin(block: Block, counts: np.ndarray, total: int, distinct: int) -> None:
     times = moved(own, 1)
     goes_on = (block.place() > 0) & (times >= LEAST)
     block.state = goes_on.astype(np.uint8) + (goes_on & (own >= LEAST))
-    block.times, block.q = times[goes_on], p[block.local][block.state == 2].astype(np.float32)
+    block.shed()
 
 
 def _block_type(kind: str) -> str:
@@ -363,9 +406,9 @@ def count_words(held: DataFrame, buckets: int) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         rows = list(_rows(table))
         keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
-        distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(of.ravel(), np.concatenate([unpack(r["n"], "<i8") for r in rows]), len(distinct)).astype(np.int64)
-        found = np.split(total[of.ravel()], np.cumsum([len(k) for k in keys])[:-1])
+        words, _, of = distinct(np.concatenate(keys))
+        total = np.bincount(of, np.concatenate([unpack(r["n"], "<i8") for r in rows]), len(words)).astype(np.int64)
+        found = np.split(total[of], np.cumsum([len(k) for k in keys])[:-1])
         sums = np.array([np.count_nonzero(total), total.sum()], np.int64).tobytes()
         return _answers([(r["block"], r["bucket"], pack(n), b"", sums if i == 0 else None) for i, (r, n) in enumerate(zip(rows, found))])
 
@@ -373,14 +416,21 @@ def count_words(held: DataFrame, buckets: int) -> DataFrame:
     return materialize(asked.groupBy("bucket").applyInArrow(add, ANSWER), "word-answers")
 
 
-def count_contexts(held: DataFrame, depth: int, buckets: int, hot: float, min_gain: float) -> DataFrame:
+def question_of(block: Block, depth: int, buckets: int, hot: float, total: int, distinct_words: int) -> Question:
+    if depth == 1:
+        block.first_level(total, distinct_words)
+    return Question(block, depth, buckets, hot)
+
+
+def count_contexts(held: DataFrame, depth: int, buckets: int, hot: float, total: int, distinct_words: int, min_gain: float) -> DataFrame:
     """Answers to all blocks' questions of a level; sums: those of a bucket's hot contexts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 if row["asks"]:
-                    made = [(bucket, packed(part)) for bucket, part in Question(Block.of_row(row), depth, buckets, hot).parts()]
+                    question = question_of(Block.of_row(row), depth, buckets, hot, total, distinct_words)
+                    made = [(bucket, packed(part)) for bucket, part in question.parts()]
                     yield pa.RecordBatch.from_pydict({"block": [row["block"]] * len(made), "bucket": [b for b, _ in made], **{k: pa.array([p[k] for _, p in made], pa.binary()) for k in ASKS}})
 
     def add(table: pa.Table) -> pa.Table:
@@ -439,13 +489,13 @@ def grown(docs: DataFrame, min_gain: float = MIN_GAIN, block_tokens: int = BLOCK
         buckets = max(1, -(-size // bucket_tokens))
         answers = count_words(held, buckets)
         sums = [np.frombuffer(r.sums, "<i8") for r in answers.filter("sums is not null").select("sums").collect()]  # two numbers a bucket
-        distinct, total = (int(sum(x[i] for x in sums)) for i in (0, 1))
+        distinct_words, total = (int(sum(x[i] for x in sums)) for i in (0, 1))
         hot_from = hot or max(HOT, total / MOST_HOT)
 
         def begin(block: Block, rows: list[dict]) -> None:
             counts = np.empty(len(block.words), np.int64)
             counts[np.argsort(block.words)] = _joined(rows, "n", "<i8")
-            _begin(block, counts, total, distinct)
+            _begin(block, counts, total, distinct_words)
 
         after = told(held, answers, begin)
         depth = 0
@@ -456,13 +506,13 @@ def grown(docs: DataFrame, min_gain: float = MIN_GAIN, block_tokens: int = BLOCK
             if not held.agg(F.coalesce(F.sum("asks"), F.lit(0))).first()[0]:
                 return held, total, depth
             depth += 1
-            answers = count_contexts(held, depth, buckets, hot_from, min_gain)
+            answers = count_contexts(held, depth, buckets, hot_from, total, distinct_words, min_gain)
             shared = spark.sparkContext.broadcast(hot_weights(answers, min_gain))
 
             def go_on(block: Block, rows: list[dict], depth: int = depth, shared=shared) -> None:
-                if not len(block.times):
+                if not len(block.state):
                     return
-                question = Question(block, depth, buckets, hot_from)
+                question = question_of(block, depth, buckets, hot_from, total, distinct_words)
                 weight = _joined([r for r in rows if r["bucket"] < buckets], "weight", "<f4")
                 keys, values = shared.value
                 if len(keys):
@@ -492,7 +542,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
             for i, row in enumerate(_rows(batch)):
                 x = {k: unpack(row[k], kind) for k, kind in DOCS.items()}
                 score_ = x["base"] + x["added"] / math.log(10)
-                made = [ids[i].values, pa.array(x["held"] == 1), pa.array(x["lengths"]), pa.array(x["known"]), pa.array(x["base"]), pa.array(score_)]
+                made = [ids[i].values, pa.array(x["held"] == 1), pa.array(x["n_tokens"]), pa.array(x["known"]), pa.array(x["base"]), pa.array(score_)]
                 yield pa.RecordBatch.from_arrays(made, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     out = held.select("block", "ids", *DOCS).mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
