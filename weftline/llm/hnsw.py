@@ -1,34 +1,42 @@
 """Embedding near-duplicates with hierarchical navigable small-world graphs (Malkov and Yashunin, 2016).
 
-Equal vectors become one node. The nodes are dealt to shards by hash; each shard becomes a graph in one task,
-queries of blocks of nodes meet every shard's graph, and a link counts only after its cosine in double precision.
-Searches run in step for many queries at once, so the work per hop is a few array operations.
-
-The beam of a shard starts at `beam` and doubles until an audit passes: of vectors moved away from random members
-to just above the threshold, `audit_recall` must lead back to their origin. A query whose links fill half its beam
-is searched again with a beam four times as wide, up to the whole shard, so no number of partners is a cap.
-
-A task returns one count for each of its nodes and a spanning forest of the links it found, never pairs; counts
-are summed and forests united to components.
+Equal vectors become one node. The nodes are dealt to shards by hash; each shard becomes a graph in one task, which
+writes it to a file of the shared folder. Queries go over all nodes in chunks, each of which loads one shard's graph
+after another; a link counts only after its cosine in double precision. Searches run in step for many queries at once,
+so the work per hop is a few array operations.
+
+The beam of a shard starts at `beam` and doubles until an audit passes: of what brute force links to random members and
+to vectors moved away from them to just above the threshold, `audit_recall` must be found. A beam as wide as the shard
+compares the vectors themselves. A query whose links fill half its beam is searched again with a beam four times as
+wide, up to the whole shard, so no number of partners is a cap.
+
+Of two shards one is asked by the other, and of two nodes of a shard the earlier one asks, so each pair is found from one
+side only and counts for both. A task returns a count for each of the nodes and a spanning forest of the links that it
+found, never pairs; counts are summed and forests united to components.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import uuid
+from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Forest, connected_components
-from .shared import materialize
+from .shared import materialize, new_path
 
 THRESHOLD = 0.95
-SHARD_ROWS = 250_000
+SHARD_BYTES = 1 << 27  # of its vectors in single precision
 MIN_SHARDS = 4
-BLOCK_ROWS = 8_192
+CHUNK_BYTES = 1 << 26  # of the vectors of a chunk of queries
+HELD_BYTES = 1 << 27  # of graphs that a worker keeps
 NEIGHBOURS = 16
 BUILD_BEAM = 48
 BEAM = 64
@@ -168,19 +176,15 @@ class Graph:
             return ids, (np.zeros(0, int), np.zeros(0, int))
         return ids, (np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
 
-    def near(self, q: np.ndarray, above: float, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs at a similarity of `above` or more, as far as the search meets them; all of them where
-        the beam is as wide as the graph, as the vectors themselves are compared then."""
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+    def near(self, q: np.ndarray, above: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) pairs at a similarity of `above` or more, as far as the search meets them, in parts; all of them
+        where the beam is as wide as the graph, as the vectors themselves are compared then."""
         n = len(self.x)
         for at in range(0, len(q) if n else 0, STEP):
-            todo, width = np.arange(at, min(len(q), at + STEP)), min(beam or self.beam, n)
+            todo, width = np.arange(at, min(len(q), at + STEP)), min(self.beam, n)
             while len(todo):
                 if width >= n:
-                    rows = max(1, 10**7 // n)
-                    for part in np.split(todo, range(rows, len(todo), rows)):
-                        a, b = np.nonzero(q[part].astype(np.float32) @ self.x.T >= above)
-                        out.append((part[a], b))
+                    yield from ((todo[a], b) for a, b in self.linked(q[todo], above))
                     break
                 rows = max(1, min(len(todo), 4 * 10**7 // (n + 1)))
                 wider: list[np.ndarray] = []
@@ -193,15 +197,20 @@ class Graph:
                     full = np.bincount(a, minlength=len(part)) * 2 >= width
                     wider.append(part[full])
                     ok = ~full[a]
-                    out.append((part[a[ok]], b[ok]))
+                    yield part[a[ok]], b[ok]
                 todo, width = np.concatenate(wider), min(4 * width, n)
-        if not out:
-            return np.zeros(0, int), np.zeros(0, int)
-        return np.concatenate([p[0] for p in out]), np.concatenate([p[1] for p in out])
+
+    def linked(self, q: np.ndarray, above: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All (query, node) pairs at a similarity of `above` or more, by comparing the vectors, in parts."""
+        rows = max(1, 4 * 10**6 // max(1, len(self.x)))
+        for at in range(0, len(q), rows):
+            a, b = np.nonzero(q[at : at + rows].astype(np.float32) @ self.x.T >= above)
+            yield a + at, b
 
     def audit(self, threshold: float, sample: int = AUDIT, recall: float = AUDIT_RECALL) -> float:
-        """Widen the beam until enough moved vectors lead back to their origin; the recall reached. A shard that fails
-        at every width ends at its whole size, where near() is exact."""
+        """Widen the beam until the search finds enough of what brute force links to sampled members and to vectors
+        moved away from them; the recall reached. A shard that fails at every width ends at its whole size, where near()
+        is exact."""
         n, d = self.x.shape
         if n <= self.beam:
             return 1.0
@@ -211,13 +220,50 @@ class Graph:
         base = self.x[chosen].astype(np.float64)
         noise = unit(noise - (noise * base).sum(axis=1, keepdims=True) * base) if d > 1 else 0 * base
         goal = min(1.0, threshold + 0.1 * (1 - threshold))
-        moved = goal * base + math.sqrt(1 - goal * goal) * noise
-        while True:
-            a, b = self.near(moved, threshold - 1e-4)
-            reached = len(set(a[b == chosen[a]].tolist())) / len(chosen)
-            if reached >= recall or self.beam >= n:
+        asked = np.concatenate((base, goal * base + math.sqrt(1 - goal * goal) * noise))
+        true = sum(len(a) for a, _ in self.linked(asked, threshold - 1e-4))
+        while self.beam < n:
+            reached = sum(len(a) for a, _ in self.near(asked, threshold - 1e-4)) / max(1, true)
+            if reached >= recall:
                 return reached
             self.beam = min(n, 2 * self.beam)
+        return 1.0
+
+
+class Shard:
+    """A graph with the vectors as they came, and the names and weights of its nodes."""
+
+    def __init__(self, graph: Graph, raw: np.ndarray, names: np.ndarray, weights: np.ndarray) -> None:
+        self.graph, self.raw, self.names, self.weights = graph, raw, names, weights
+
+    def save(self, folder: str) -> str:
+        where, base = fs.FileSystem.from_uri(folder)
+        where.create_dir(base, recursive=True)
+        path = f"{base}/{uuid.uuid4().hex}.graph"
+        graph = {k: v for k, v in self.graph.__dict__.items() if k != "x"}
+        with where.open_output_stream(path) as out:
+            pickle.dump((graph, self.raw, self.names, self.weights), out, protocol=5)
+        return path
+
+    @classmethod
+    def load(cls, folder: str, path: str) -> Shard:
+        """From its file, or from what this worker holds of the shards met lately."""
+        if path in _HELD:
+            _HELD.move_to_end(path)
+            return _HELD[path]
+        where, _ = fs.FileSystem.from_uri(folder)
+        with where.open_input_stream(path) as source:
+            kept, raw, names, weights = pickle.loads(source.read())
+        graph = Graph.__new__(Graph)
+        graph.__dict__.update(kept, x=unit(raw).astype(np.float32))
+        out = cls(graph, raw, names, weights)
+        _HELD[path] = out
+        while len(_HELD) > 1 and sum(2 * s.raw.nbytes for s in _HELD.values()) > HELD_BYTES:
+            _HELD.popitem(last=False)
+        return out
+
+
+_HELD: OrderedDict[str, Shard] = OrderedDict()
 
 
 def _valid(c: Column) -> Column:
@@ -226,9 +272,43 @@ def _valid(c: Column) -> Column:
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The vectors as they came; in single precision where that loses nothing."""
     flat = column.combine_chunks()
     flat = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
-    return unit(flat.to_numpy(zero_copy_only=False).reshape(-1, dim))
+    raw = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
+    with np.errstate(over="ignore"):
+        single = raw.astype(np.float32)
+    return single if (single == raw).all() else raw
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges that connect what the edges (a, b) connect, at most one for each node."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at.ravel()[: len(a)], at.ravel()[len(a) :]
+    least = np.arange(len(nodes))
+    while (least[x] != least[y]).any():
+        low = np.minimum(least[x], least[y])
+        for end in (x, y):
+            np.minimum.at(least, least[end], low)
+        while (least[least] != least).any():
+            least = least[least]
+    some = least != np.arange(len(nodes))
+    return nodes[some].tolist(), nodes[least[some]].tolist()
+
+
+def _asks(shard: int, other: int, shards: int) -> bool:
+    """Whether the nodes of `shard` ask those of `other`: of two shards one does, and each asks half of the rest."""
+    ahead = (other - shard) % shards
+    return 2 * ahead < shards or 2 * ahead == shards and shard < other
+
+
+def _verified(q: np.ndarray, raw: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a of q, b of raw) those whose cosine in double precision reaches the threshold."""
+    ok = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 14):
+        x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+        ok[at : at + (1 << 14)] = np.einsum("id,id->i", q[x], unit(raw[y])) >= threshold
+    return a[ok], b[ok]
 
 
 def near_duplicates(
@@ -236,62 +316,67 @@ def near_duplicates(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = THRESHOLD,
-    shard_rows: int = SHARD_ROWS,
+    shard_bytes: int = SHARD_BYTES,
     min_shards: int = MIN_SHARDS,
-    block_rows: int = BLOCK_ROWS,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row.
 
     Vectors that are null, empty, all zero or hold a null or non-finite component link with nothing, nor do vectors
     of different lengths. Equal vectors always link. Repeated ids are rows of their own; a null id takes the
     component of its vector and isn't kept. Other columns aren't read."""
+    spark = vectors.sparkSession
     rows = materialize(vectors.select(F.col(id_col).alias("vec"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("ok", _valid(F.col("v"))), "vectors")
     nodes = rows.filter("ok").groupBy("v").agg(F.min("vec").alias("rep"), F.count(F.lit(1)).alias("weight"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "*", F.size("v").alias("dim")), "nodes")
-    total = nodes.count()
-    shards, blocks = max(min_shards, -(-total // shard_rows)), max(1, -(-total // block_rows))
+    size = 4 * nodes.agg(F.coalesce(F.sum("dim"), F.lit(0))).first()[0]
+    shards = max(min_shards, -(-size // shard_bytes))
+    workers = spark.sparkContext.defaultParallelism
+    chunks = max(1, -(-size // (shards * chunk_bytes)), -(-3 * workers // shards))
+    folder = new_path(spark, "graphs")
 
     def build(table: pa.Table) -> pa.Table:
         dim = table["dim"][0].as_py()
-        exact = _matrix(table["v"], dim)
-        graph = Graph(exact)
-        graph.audit(threshold)
-        blob = pickle.dumps((graph, exact, table["node"].to_numpy(), table["weight"].to_numpy()), protocol=5)
-        return pa.table({"shard": [table["shard"][0].as_py()], "dim": pa.array([dim], pa.int32()), "graph": pa.array([blob], pa.binary())})
-
-    shard = F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard")
-    dealt = nodes.select(shard, "dim", "node", "weight", "v")
-    graphs = materialize(dealt.groupBy("shard", "dim").applyInArrow(build, "shard bigint, dim int, graph binary"), "graphs")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        src, dst, counts = [], [], []
-        if left.num_rows and right.num_rows:
-            graph, exact, names, weights = pickle.loads(right["graph"][0].as_py())
-            q = _matrix(left["v"], left["dim"][0].as_py())
-            me = left["node"].to_numpy()
-            a, b = graph.near(q, threshold - 1e-4)
-            ok = np.zeros(len(a), bool)
-            for at in range(0, len(a), 1 << 16):
-                x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-                ok[at : at + (1 << 16)] = (np.einsum("id,id->i", q[x], exact[y]) >= threshold) & (me[x] != names[y])
-            a, b = a[ok], b[ok]
-            linked = np.bincount(a, weights[b], minlength=len(me)).astype(np.int64)
-            forest = Forest()
-            for x, y in zip(me[a].tolist(), names[b].tolist()):
-                forest.join(x, y)
-            edges = forest.edges()
-            some = np.flatnonzero(linked)
-            src = me[some].tolist() + [e[0] for e in edges]
-            dst = [None] * len(some) + [e[1] for e in edges]
-            counts = linked[some].tolist() + [None] * len(edges)
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "n": pa.array(counts, pa.int64())})
-
-    block = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).alias("block")
-    every_shard = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard")
-    every_block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block")
-    asked = nodes.select(every_shard, "dim", block, "node", "v").groupBy("shard", "dim", "block")
-    shown = graphs.select("shard", "dim", every_block, "graph").groupBy("shard", "dim", "block")
-    found = materialize(asked.cogroup(shown).applyInArrow(search, "src bigint, dst bigint, n bigint"), "links")
+        raw = _matrix(table["v"], dim)
+        graph = Graph(unit(raw))
+        reached = graph.audit(threshold)
+        path = Shard(graph, raw, table["node"].to_numpy(), table["weight"].to_numpy()).save(folder)
+        return pa.table({"shard": [table["shard"][0].as_py()], "dim": pa.array([dim], pa.int32()), "path": [path], "beam": [graph.beam], "recall": [reached]})
+
+    dealt = nodes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"), "dim", "node", "weight", "v")
+    # many more partitions than groups, so that few groups share one
+    built = dealt.repartition(8 * shards, "shard", "dim").groupBy("shard", "dim").applyInArrow(build, "shard bigint, dim int, path string, beam bigint, recall double")
+    graphs = materialize(built, "graphs")
+    found_at = spark.sparkContext.broadcast([(r.shard, r.dim, r.path) for r in graphs.select("shard", "dim", "path").collect()])  # a row for each shard
+
+    def search(table: pa.Table) -> pa.Table:
+        mine, dim = table["shard"][0].as_py(), table["dim"][0].as_py()
+        q, me, weight = unit(_matrix(table["v"], dim)), table["node"].to_numpy(), table["weight"].to_numpy()
+        forest, counts = Forest(), []
+        for shard, its_dim, path in found_at.value:
+            if its_dim != dim or not _asks(mine, shard, shards):
+                continue
+            other = Shard.load(folder, path)
+            mine_n, other_n = np.zeros(len(me)), np.zeros(len(other.names))
+            for a, b in other.graph.near(q, threshold - 1e-4):
+                later = (other.names[b] > me[a]) if shard == mine else np.ones(len(a), bool)
+                a, b = _verified(q, other.raw, a[later], b[later], threshold)
+                mine_n += np.bincount(a, other.weights[b], len(me))
+                other_n += np.bincount(b, weight[a], len(other.names))
+                for x, y in zip(*spanning(me[a], other.names[b])):
+                    forest.join(x, y)
+            for names, n in ((me, mine_n), (other.names, other_n)):
+                some = np.flatnonzero(n)
+                counts.append((names[some], n[some].astype(np.int64)))
+        edges = np.array(forest.edges(), np.int64).reshape(-1, 2)
+        src = np.concatenate([*(x for x, _ in counts), edges[:, 0]])
+        n = pa.concat_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(n for _, n in counts)])), pa.nulls(len(edges), pa.int64())])
+        dst = pa.concat_arrays([pa.nulls(len(src) - len(edges), pa.int64()), pa.array(edges[:, 1])])
+        return pa.table({"src": pa.array(src.astype(np.int64)), "dst": dst, "n": n})
+
+    chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(chunks)).alias("chunk")
+    asked = dealt.select("*", chunk).repartition(8 * shards * chunks, "shard", "dim", "chunk").groupBy("shard", "dim", "chunk")
+    found = materialize(asked.applyInArrow(search, "src bigint, dst bigint, n bigint"), "links")
 
     links = found.filter("n is not null").groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("links"))
     labels = connected_components(found.filter("dst is not null").select("src", "dst"))
