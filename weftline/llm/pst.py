@@ -9,18 +9,20 @@ the weight that makes its probabilities add up to 1, so scores are those of a di
 that is a node decides, by way of shorter ones where it doesn't keep the token. Levels are added until no context
 diverges; nothing else limits depth, contexts or next words, so the tree grows with the corpus.
 
-The tree is never held in one place. Documents are cut into blocks of tokens once, held-out ones too. On each level a
-block asks for what it needs: its distinct contexts and next words, sorted, with its own training counts, packed by
-ranges of the contexts' hashes ("buckets"). A bucket adds up the counts of all blocks, tests its contexts and answers
-each block in the order of its question, so both ways cost a few bytes for each distinct entry of a block. The block
-then moves its tokens one level down and adds to its documents' scores. A context that occurs `hot` times or more is
+The tree is never held in one place. Documents are cut into blocks of tokens once, held-out ones too; a block is a file
+of the shared folder, and a table says which file is whose. On each level a block asks for what it needs: its distinct
+contexts and next words, sorted, with its own training counts, packed by ranges of the contexts' hashes ("buckets"). A
+bucket adds up the counts of all blocks, tests its contexts and answers each block in the order of its question, so both
+ways cost a few bytes for each distinct entry of a block. The block then moves its tokens one level down, adds to its
+documents' scores, and becomes a new file; files are named at random, so a repeated task harms nothing. A context that occurs `hot` times or more is
 dealt by its next words instead; the sums of its parts are put together afterwards, and as there are at most N / hot
-such contexts (a million at most), every task gets their weights. Keys are 64-bit hashes.
+such contexts (a million at most), every task gets their weights. Contexts are 64-bit hashes, next words 48 bits more.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,12 +30,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import in_blocks, text_length
-from .shared import discard, materialize, rows_per_batch
+from .shared import discard, materialize, new_path
 
 LEAST = 2  # counts of contexts and of their next words
 MIN_GAIN = 10.0
@@ -143,7 +146,7 @@ class Block:
         docs = len(lengths)
         return cls(
             number, n_tokens=np.array(lengths, np.int64), lengths=np.array(lengths, np.int64), held=np.array(held, np.uint8), known=np.zeros(docs, np.int64), base=np.zeros(docs), added=np.zeros(docs),
-            words=words[often], counts=np.zeros(len(words), np.int64), local=place[local], state=np.zeros(len(hashes), np.uint8),
+            words=words[often], counts=np.zeros(len(words), np.int64), local=place[local], state=np.ones(len(hashes), np.uint8),
             times=np.zeros(0, np.int64), q=np.zeros(0, np.float32),
         )
 
@@ -236,17 +239,22 @@ class Question:
             yield self.buckets + bucket, {"contexts": self.contexts[whose], "times": self.times[whose], "many": np.ones(y - x, np.int64), "keys": self.keys[x:y], "n": self.n[x:y], "q": self.q[x:y]}
 
 
-#: Arrays of a question as they travel.
+#: Arrays of a question as they travel; of keys the upper 48 bits, as they stand beside their contexts.
 ASKS = {"contexts": "<u8", "times": "<f4", "many": "<u4", "keys": "<u8", "n": "<u4", "q": "<f4"}
 
 
 def packed(part: dict) -> dict:
     """Hashes and probabilities don't compress; numbers do."""
-    return {k: np.asarray(part[k], kind).tobytes() if k in ("contexts", "keys", "q") else pack(np.asarray(part[k], kind)) for k, kind in ASKS.items()}
+    out = {k: np.asarray(part[k], kind).tobytes() if k in ("contexts", "q") else pack(np.asarray(part[k], kind)) for k, kind in ASKS.items() if k != "keys"}
+    return out | {"keys": np.asarray(part["keys"], "<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()}
 
 
 def unpacked(row: dict) -> dict:
-    return {k: np.frombuffer(row[k], kind) if k in ("contexts", "keys", "q") else unpack(row[k], kind) for k, kind in ASKS.items()}
+    out = {k: np.frombuffer(row[k], kind) if k in ("contexts", "q") else unpack(row[k], kind) for k, kind in ASKS.items() if k != "keys"}
+    raw = np.frombuffer(row["keys"], np.uint8).reshape(-1, 6)
+    keys = np.zeros((len(raw), 8), np.uint8)
+    keys[:, 2:] = raw
+    return out | {"keys": mix(np.repeat(out["contexts"], out["many"]), keys.view("<u8").ravel())}
 
 
 def weights(c: np.ndarray, k: np.ndarray, q: np.ndarray, s: np.ndarray, total: np.ndarray, min_gain: float) -> np.ndarray:
@@ -326,18 +334,34 @@ def _begin(block: Block, counts: np.ndarray, total: int, distinct_words: int) ->
     block.shed()
 
 
-def _block_type(kind: str) -> str:
-    return f"block bigint, ids array<{kind}>, asks bigint, tokens bigint, " + ", ".join(f"`{k}` binary" for k in FIELDS)
+MANIFEST = "block bigint, path string, asks bigint, tokens bigint"
 
 
-def _table(block: Block, ids: pa.Array) -> dict:
-    return {"block": pa.array([block.number], pa.int64()), "ids": ids, "asks": pa.array([int(np.count_nonzero(block.state))], pa.int64()), "tokens": pa.array([len(block.local)], pa.int64())} | {
-        k: pa.array([v], pa.binary()) for k, v in block.row().items()
-    }
+def save(folder: str, block: Block, ids: pa.Array) -> dict:
+    """Write a block and the ids of its documents; its row of the manifest."""
+    where, base = fs.FileSystem.from_uri(folder)
+    where.create_dir(base, recursive=True)
+    path = f"{base}/{uuid.uuid4().hex}.block"
+    made = pa.record_batch({"ids": ids} | {k: pa.array([v], pa.binary()) for k, v in block.row().items()})
+    with where.open_output_stream(path) as out, pa.ipc.new_stream(out, made.schema) as stream:
+        stream.write_batch(made)
+    return {"block": block.number, "path": path, "asks": int(np.count_nonzero(block.state)), "tokens": len(block.local)}
 
 
-def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The rows of docs (id, crc, text) as block rows. A document is never split, so a block has at least one."""
+def load(folder: str, number: int, path: str) -> tuple[Block, pa.Array]:
+    where, _ = fs.FileSystem.from_uri(folder)
+    with where.open_input_stream(path) as source, pa.ipc.open_stream(source) as stream:
+        made = stream.read_next_batch()
+    return Block.of_row({"block": number, **{k: made.column(k)[0].as_py() for k in FIELDS}}), made.column("ids")
+
+
+def _manifest(rows: list[dict]) -> pa.Table:
+    kinds = {"block": pa.int64(), "path": pa.string(), "asks": pa.int64(), "tokens": pa.int64()}
+    return pa.table({k: pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()})
+
+
+def blocks(docs: DataFrame, folder: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The manifest of the blocks of docs (id, crc, text). A document is never split, so a block has at least one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, number = Hashes(), TaskContext.get().partitionId() << 33
@@ -349,12 +373,11 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 
         def flush(id_type: pa.DataType) -> pa.RecordBatch:
             nonlocal number, size
-            block = Block.new(number, np.concatenate(hashes), lengths, held)
-            made = pa.RecordBatch.from_pydict(_table(block, pa.array([ids], pa.list_(id_type))))
+            made = save(folder, Block.new(number, np.concatenate(hashes), lengths, held), pa.array([ids], pa.list_(id_type)))
             number, size = number + 1, 0
             for x in (hashes, lengths, held, ids):
                 x.clear()
-            return made
+            return _manifest([made]).to_batches()[0]
 
         id_type = None
         for batch in batches:
@@ -371,37 +394,42 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         if ids:
             yield flush(id_type)
 
-    return docs.mapInArrow(run, _block_type(docs.schema["id"].dataType.simpleString()))
+    return materialize(docs.mapInArrow(run, MANIFEST), "blocks")
+
+
+def spread(held: DataFrame) -> DataFrame:
+    """Rows of a manifest dealt out evenly: a task has one block, or a few where there are many."""
+    n, workers = held.count(), held.sparkSession.sparkContext.defaultParallelism
+    return held.repartition(max(1, min(n, 3 * workers), -(-n // 8)))
 
 
 def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
     for i in range(batch.num_rows):
-        yield {k: batch.column(j)[i].as_py() for j, k in enumerate(batch.schema.names) if k != "ids"}
+        yield {k: batch.column(j)[i].as_py() for j, k in enumerate(batch.schema.names)}
 
 
-ANSWER = "block bigint, bucket bigint, n binary, weight binary, sums binary"
+ANSWER = "block bigint, path string, bucket bigint, n binary, weight binary, sums binary"
 
 
 def _answers(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=["block", "bucket", "n", "weight", "sums"])
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["block", "path", "bucket", "n", "weight", "sums"])
 
 
-def count_words(held: DataFrame, buckets: int) -> DataFrame:
+def count_words(held: DataFrame, folder: str, buckets: int) -> DataFrame:
     """Answers to all blocks' words: counts over the training documents; sums: (distinct words, tokens) of a bucket."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                block = Block.of_row(row)
+                block, _ = load(folder, row["block"], row["path"])
                 n = np.bincount(block.local, 1.0 - block.held[block.doc_of()], len(block.words)).astype(np.int64)
                 order = np.argsort(block.words)
                 keys, n = block.words[order], n[order]
                 cut = np.concatenate(([0], np.searchsorted(keys, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)), [len(keys)]))
                 some = np.flatnonzero(np.diff(cut)).tolist()
-                yield pa.RecordBatch.from_pydict(
-                    {"block": [block.number] * len(some), "bucket": some, "keys": [keys[cut[i] : cut[i + 1]].tobytes() for i in some], "n": [pack(n[cut[i] : cut[i + 1]]) for i in some]}
-                )
+                packed_n = [pack(n[cut[i] : cut[i + 1]]) for i in some]
+                yield pa.RecordBatch.from_pydict({"block": [row["block"]] * len(some), "path": [row["path"]] * len(some), "bucket": some, "keys": [keys[cut[i] : cut[i + 1]].tobytes() for i in some], "n": packed_n})
 
     def add(table: pa.Table) -> pa.Table:
         rows = list(_rows(table))
@@ -410,9 +438,9 @@ def count_words(held: DataFrame, buckets: int) -> DataFrame:
         total = np.bincount(of, np.concatenate([unpack(r["n"], "<i8") for r in rows]), len(words)).astype(np.int64)
         found = np.split(total[of], np.cumsum([len(k) for k in keys])[:-1])
         sums = np.array([np.count_nonzero(total), total.sum()], np.int64).tobytes()
-        return _answers([(r["block"], r["bucket"], pack(n), b"", sums if i == 0 else None) for i, (r, n) in enumerate(zip(rows, found))])
+        return _answers([(r["block"], r["path"], r["bucket"], pack(n), b"", sums if i == 0 else None) for i, (r, n) in enumerate(zip(rows, found))])
 
-    asked = held.mapInArrow(ask, "block bigint, bucket bigint, keys binary, n binary")
+    asked = spread(held).mapInArrow(ask, "block bigint, path string, bucket bigint, keys binary, n binary")
     return materialize(asked.groupBy("bucket").applyInArrow(add, ANSWER), "word-answers")
 
 
@@ -422,25 +450,26 @@ def question_of(block: Block, depth: int, buckets: int, hot: float, total: int,
     return Question(block, depth, buckets, hot)
 
 
-def count_contexts(held: DataFrame, depth: int, buckets: int, hot: float, total: int, distinct_words: int, min_gain: float) -> DataFrame:
+def count_contexts(held: DataFrame, folder: str, depth: int, buckets: int, hot: float, total: int, distinct_words: int, min_gain: float) -> DataFrame:
     """Answers to all blocks' questions of a level; sums: those of a bucket's hot contexts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                if row["asks"]:
-                    question = question_of(Block.of_row(row), depth, buckets, hot, total, distinct_words)
-                    made = [(bucket, packed(part)) for bucket, part in question.parts()]
-                    yield pa.RecordBatch.from_pydict({"block": [row["block"]] * len(made), "bucket": [b for b, _ in made], **{k: pa.array([p[k] for _, p in made], pa.binary()) for k in ASKS}})
+                block, _ = load(folder, row["block"], row["path"])
+                made = [(bucket, packed(part)) for bucket, part in question_of(block, depth, buckets, hot, total, distinct_words).parts()]
+                yield pa.RecordBatch.from_pydict(
+                    {"block": [row["block"]] * len(made), "path": [row["path"]] * len(made), "bucket": [b for b, _ in made], **{k: pa.array([p[k] for _, p in made], pa.binary()) for k in ASKS}}
+                )
 
     def add(table: pa.Table) -> pa.Table:
         rows = list(_rows(table))
         is_hot = rows[0]["bucket"] >= buckets
         answers, sums = answer([unpacked(r) for r in rows], min_gain, is_hot)
-        told = b"".join(np.asarray(x, "<u8" if i == 0 else "<f8").tobytes() for i, x in enumerate(sums)) if is_hot else None
-        return _answers([(r["block"], r["bucket"], pack(n), pack(w), told if i == 0 else None) for i, (r, (n, w)) in enumerate(zip(rows, answers))])
+        told_ = b"".join(np.asarray(x, "<u8" if i == 0 else "<f8").tobytes() for i, x in enumerate(sums)) if is_hot else None
+        return _answers([(r["block"], r["path"], r["bucket"], pack(n), pack(w), told_ if i == 0 else None) for i, (r, (n, w)) in enumerate(zip(rows, answers))])
 
-    asked = held.mapInArrow(ask, "block bigint, bucket bigint, " + ", ".join(f"{k} binary" for k in ASKS))
+    asked = spread(held).mapInArrow(ask, "block bigint, path string, bucket bigint, " + ", ".join(f"{k} binary" for k in ASKS))
     return materialize(asked.groupBy("bucket").applyInArrow(add, ANSWER), "answers")
 
 
@@ -448,14 +477,14 @@ def hot_weights(answers: DataFrame, min_gain: float) -> tuple[np.ndarray, np.nda
     """Sorted keys and weights of the hot contexts from the sums of their parts: at most N / hot of them, added up in
     Spark."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 n = len(data) // 48
                 columns = [np.frombuffer(data, "<i8" if i == 0 else "<f8", n, 8 * n * i) for i in range(6)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["context", "total", "c", "k", "q", "s"])
 
-    parts = answers.filter("sums is not null").select("sums").mapInArrow(spread, "context bigint, total double, c double, k double, q double, s double")
+    parts = answers.filter("sums is not null").select("sums").mapInArrow(rows_of, "context bigint, total double, c double, k double, q double, s double")
     rows = parts.groupBy("context").agg(F.max("total").alias("total"), *[F.sum(x).alias(x) for x in "ckqs"]).toArrow()
     keys = rows.column("context").to_numpy().view(np.uint64)
     order = np.argsort(keys)
@@ -463,67 +492,69 @@ def hot_weights(answers: DataFrame, min_gain: float) -> tuple[np.ndarray, np.nda
     return keys[order], weights(c, k, q, s, total, min_gain)
 
 
-def told(held: DataFrame, answers: DataFrame, apply) -> DataFrame:
-    """The blocks after apply(block, their answers by bucket)."""
-    kind = dict(held.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+def told(held: DataFrame, answers: DataFrame, folder: str, apply) -> DataFrame:
+    """The manifest after apply(block, its answers by bucket); blocks that have asked nothing stay."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        (row,) = _rows(left)
-        block = Block.of_row(row)
-        apply(block, sorted(_rows(right), key=lambda r: r["bucket"]))
-        return pa.table(_table(block, left.column("ids")))
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(_rows(table), key=lambda r: r["bucket"])
+        block, ids = load(folder, rows[0]["block"], rows[0]["path"])
+        apply(block, rows)
+        return _manifest([save(folder, block, ids)])
 
-    return materialize(held.groupBy("block").cogroup(answers.select("block", "bucket", "n", "weight").groupBy("block")).applyInArrow(run, _block_type(kind)), "blocks")
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, _ = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                where.delete_file(path)
+            yield batch
+
+    moved_on = answers.select("block", "path", "bucket", "n", "weight").groupBy("block").applyInArrow(run, MANIFEST)
+    after = materialize(moved_on.union(held.filter("asks = 0")), "blocks")
+    materialize(held.filter("asks > 0").select("path").mapInArrow(drop, "path string"), "dropped")
+    for done in (held, answers):
+        discard(done)
+    return after
 
 
 def _joined(rows: list[dict], field: str, kind: str) -> np.ndarray:
     return np.concatenate([unpack(r[field], kind) for r in rows] or [np.zeros(0, kind)])
 
 
-def grown(docs: DataFrame, min_gain: float = MIN_GAIN, block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, hot: int | None = None) -> tuple[DataFrame, int, int]:
-    """The blocks of docs (id, crc, text) once all levels are done, the number of training tokens, and that of levels."""
+def grown(docs: DataFrame, min_gain: float = MIN_GAIN, block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, hot: int | None = None) -> tuple[DataFrame, str, int]:
+    """The manifest of the blocks of docs (id, crc, text) once all levels are done, their folder, and the number of
+    training tokens."""
     spark = docs.sparkSession
-    with rows_per_batch(spark, 4):
-        held = materialize(blocks(docs, block_tokens), "blocks")
-        size = held.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-        buckets = max(1, -(-size // bucket_tokens))
-        answers = count_words(held, buckets)
-        sums = [np.frombuffer(r.sums, "<i8") for r in answers.filter("sums is not null").select("sums").collect()]  # two numbers a bucket
-        distinct_words, total = (int(sum(x[i] for x in sums)) for i in (0, 1))
-        hot_from = hot or max(HOT, total / MOST_HOT)
-
-        def begin(block: Block, rows: list[dict]) -> None:
-            counts = np.empty(len(block.words), np.int64)
-            counts[np.argsort(block.words)] = _joined(rows, "n", "<i8")
-            _begin(block, counts, total, distinct_words)
-
-        after = told(held, answers, begin)
-        depth = 0
-        while True:
-            for done in (held, answers):
-                discard(done)
-            held = after
-            if not held.agg(F.coalesce(F.sum("asks"), F.lit(0))).first()[0]:
-                return held, total, depth
-            depth += 1
-            answers = count_contexts(held, depth, buckets, hot_from, total, distinct_words, min_gain)
-            shared = spark.sparkContext.broadcast(hot_weights(answers, min_gain))
-
-            def go_on(block: Block, rows: list[dict], depth: int = depth, shared=shared) -> None:
-                if not len(block.state):
-                    return
-                question = question_of(block, depth, buckets, hot_from, total, distinct_words)
-                weight = _joined([r for r in rows if r["bucket"] < buckets], "weight", "<f4")
-                keys, values = shared.value
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, question.contexts), len(keys) - 1)
-                    weight = np.where(question.is_hot, np.where(keys[at] == question.contexts, values[at], np.nan), weight)
-                else:
-                    weight = np.where(question.is_hot, np.nan, weight)
-                step(block, question, _joined(rows, "n", "<i8"), weight, depth)
-
-            after = told(held, answers, go_on)
-            shared.unpersist()
+    folder = new_path(spark, "blocks")
+    held = blocks(docs, folder, block_tokens)
+    buckets = max(1, -(-held.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] // bucket_tokens))
+    answers = count_words(held, folder, buckets)
+    sums = [np.frombuffer(r.sums, "<i8") for r in answers.filter("sums is not null").select("sums").collect()]  # two numbers a bucket
+    distinct_words, total = (int(sum(x[i] for x in sums)) for i in (0, 1))
+    hot_from = hot or max(HOT, total / MOST_HOT)
+
+    def begin(block: Block, rows: list[dict]) -> None:
+        counts = np.empty(len(block.words), np.int64)
+        counts[np.argsort(block.words)] = _joined(rows, "n", "<i8")
+        _begin(block, counts, total, distinct_words)
+
+    held = told(held, answers, folder, begin)
+    depth = 0
+    while held.filter("asks > 0").limit(1).count():
+        depth += 1
+        answers = count_contexts(held.filter("asks > 0"), folder, depth, buckets, hot_from, total, distinct_words, min_gain)
+        shared = spark.sparkContext.broadcast(hot_weights(answers, min_gain))
+
+        def go_on(block: Block, rows: list[dict], depth: int = depth, shared=shared) -> None:
+            question = question_of(block, depth, buckets, hot_from, total, distinct_words)
+            weight = _joined([r for r in rows if r["bucket"] < buckets], "weight", "<f4")
+            keys, values = shared.value
+            at = np.minimum(np.searchsorted(keys, question.contexts), max(0, len(keys) - 1))
+            of_hot = np.where(keys[at] == question.contexts, values[at], np.nan) if len(keys) else np.nan
+            step(block, question, _joined(rows, "n", "<i8"), np.where(question.is_hot, of_hot, weight), depth)
+
+        held = told(held, answers, folder, go_on)
+        shared.unpersist()
+    return held, folder, total
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -534,16 +565,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     read. No rows give no rows."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("string").alias("crc"), F.col(text_col).alias("text"))
-    held, total, _ = grown(rows, **options)
+    held, folder, total = grown(rows, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            for i, row in enumerate(_rows(batch)):
-                x = {k: unpack(row[k], kind) for k, kind in DOCS.items()}
-                score_ = x["base"] + x["added"] / math.log(10)
-                made = [ids[i].values, pa.array(x["held"] == 1), pa.array(x["n_tokens"]), pa.array(x["known"]), pa.array(x["base"]), pa.array(score_)]
+            for row in _rows(batch):
+                block, ids = load(folder, row["block"], row["path"])
+                score_ = block.base + block.added / math.log(10)
+                made = [ids[0].values, pa.array(block.held == 1), *(pa.array(x) for x in (block.n_tokens, block.known, block.base, score_))]
                 yield pa.RecordBatch.from_arrays(made, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    out = held.select("block", "ids", *DOCS).mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = spread(held).mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
