@@ -5,12 +5,14 @@ documents hold, a greedy cover keeps those that explain toxic documents no earli
 ones hardly hold. It comes from labels alone, so it holds in any language. Documents are then scanned whole for
 lexicon densities, the distance from lexicon hits to second-person words, capitals, punctuation and obfuscation.
 
-Trees and calibration are fitted on `max_train` labelled documents at most (those of least id hash), the trees on
-four fifths of them, the calibration on the rest. Everything else covers all documents.
+Lexicon, trees and calibration are fitted on `max_train` labelled documents at most (those of least id hash), lexicon
+and trees on four fifths of them, the calibration on the rest, which neither has seen. Everything else covers all
+documents.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,10 +32,10 @@ from .shared import materialize
 MAX_TRAIN = 12_000
 LEAST_DOCS = 4
 PREFIXES = (4, 5, 6)
-MAX_CANDIDATES = 4_000
-MAX_TERMS = 400
 CLEAN_SHARE = 0.1
 TREES, DEPTH = 20, 3
+FIT_TASKS = 6  # of the fits, which read max_train rows at most
+BY_MARGIN = 0.001  # share of the trees' own probability in a score: it orders documents within a step of the calibration
 
 # Second-person pronouns of English, French, German and Spanish.
 SECOND_PERSON = (
@@ -49,7 +51,7 @@ FEATURES = [
 ]
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[\d@$!|€*._\-])[\w@$!|€*.\-]{3,40}")
+_MASKED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[\d@$!|€*._\-])[\w@$!|€*.\-]{3,}")
 _STAND = str.maketrans(STAND_INS)
 _KIND = np.zeros(256, np.uint8)  # 1 capital, 2 punctuation, 3 digit, 4 space, 5 letter
 for _c in range(256):
@@ -161,8 +163,28 @@ def training_ids(labels: DataFrame, id_col: str, label_col: str, max_train: int)
     return known.orderBy(F.xxhash64("id"), "id").limit(max_train)
 
 
-def learn_lexicon(train: DataFrame, least_docs: int = LEAST_DOCS, max_terms: int = MAX_TERMS) -> Lexicon:
-    """train: text, label. Documents with equal texts count once."""
+def cover(candidates: list[tuple[str, int, int]], documents: list[set[int]], least_docs: int) -> list[int]:
+    """Numbers of the candidates (term, toxic, clean) that a greedy cover takes: each next one holds most documents that
+    no earlier one holds, least_docs at least; of equal ones that with fewer clean documents, then the longer term."""
+    left = set().union(*documents) if documents else set()
+    heap = [(-len(d), clean, -len(t), i) for i, ((t, _, clean), d) in enumerate(zip(candidates, documents))]
+    heapq.heapify(heap)
+    chosen = []
+    while heap:
+        gain, clean, length, i = heapq.heappop(heap)
+        now = len(documents[i] & left)
+        if now < least_docs:
+            continue
+        if -gain != now:  # gains only shrink
+            heapq.heappush(heap, (-now, clean, length, i))
+            continue
+        chosen.append(i)
+        left -= documents[i]
+    return chosen
+
+
+def learn_lexicon(train: DataFrame, least_docs: int = LEAST_DOCS) -> Lexicon:
+    """train: text, label. Documents with equal texts count once. What comes to the driver is bounded by max_train."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -181,7 +203,7 @@ def learn_lexicon(train: DataFrame, least_docs: int = LEAST_DOCS, max_terms: int
     counted = distinct.mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rate = (F.col("toxic") / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
     kept = counted.filter((F.col("toxic") >= least_docs) & (rate >= 1 / CLEAN_SHARE))
-    candidates = [(r.term, r.toxic, r.clean) for r in kept.orderBy(F.desc("toxic"), F.desc(F.length("term")), "term").limit(MAX_CANDIDATES).collect()]
+    candidates = sorted((r.term, r.toxic, r.clean) for r in kept.collect())
     index = {t: i for i, (t, _, _) in enumerate(candidates)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,27 +211,18 @@ def learn_lexicon(train: DataFrame, least_docs: int = LEAST_DOCS, max_terms: int
             found = [sorted(index[t] for t in terms(x) if t in index) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["held"])
 
-    toxic = [set(r.held) for r in distinct.filter("label = 1").select("text").mapInArrow(held, "held array<int>").collect()]  # at most max_train
+    toxic = [r.held for r in distinct.filter("label = 1").select("text").mapInArrow(held, "held array<int>").collect()]
     documents: list[set[int]] = [set() for _ in candidates]
     for d, terms_held in enumerate(toxic):
         for t in terms_held:
             documents[t].add(d)
-    weights: dict[str, float] = {}
-    left = set(range(len(toxic)))
-    while len(weights) < max_terms and candidates:
-        gain = lambda i: (len(documents[i] & left), -candidates[i][2], len(candidates[i][0]), -i)
-        best = max(range(len(candidates)), key=gain)
-        if len(documents[best] & left) < least_docs:
-            break
-        t, n1, n0 = candidates[best]
-        weights[t] = float(np.log((n1 + 0.5) / (n_toxic + 1)) - np.log((n0 + 0.5) / (n_clean + 1)))
-        left -= documents[best]
+    weight = lambda n1, n0: float(np.log((n1 + 0.5) / (n_toxic + 1)) - np.log((n0 + 0.5) / (n_clean + 1)))
+    weights = {candidates[i][0]: weight(*candidates[i][1:]) for i in cover(candidates, documents, least_docs)}
     # terms as good as a chosen one that cover the same documents: other words of the same writers
-    for i, (t, n1, n0) in enumerate(candidates):
-        if len(weights) >= max_terms:
-            break
-        if t not in weights and n0 == 0 and n1 >= max(5 * least_docs, 0.02 * n_toxic) and not any(t.startswith(k.strip()) and not k.endswith(" ") for k in weights):
-            weights[t] = float(np.log((n1 + 0.5) / (n_toxic + 1)) - np.log(0.5 / (n_clean + 1)))
+    begun = tuple(k for k in weights if not k.endswith(" "))
+    for t, n1, n0 in candidates:
+        if n0 == 0 and n1 >= max(5 * least_docs, 0.02 * n_toxic) and not t.startswith(begun):
+            weights.setdefault(t, weight(n1, n0))
     return Lexicon(weights)
 
 
@@ -242,8 +255,7 @@ class Model:
         margin = raw.select(*names, vector_to_array("tox_probability")[1].alias("tox_margin"))
         assembled = VectorAssembler(inputCols=["tox_margin"], outputCol="tox_margins").transform(margin)
         known = self.calibration.transform(assembled)
-        # between 0 and 1; the raw margin orders documents within a step of the calibration
-        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("tox_calibrated") * 0.98 + F.col("tox_margin") * 0.02))
+        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("tox_calibrated") * (1 - BY_MARGIN) + F.col("tox_margin") * BY_MARGIN))
         return known.select(*names, score.alias("score"))
 
 
@@ -252,10 +264,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     (0 without any)."""
     ids = training_ids(labels, id_col, label_col, max_train)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    train = materialize(texts.join(F.broadcast(ids), "id"), "tox-train")
-    lexicon = learn_lexicon(train)
     part = (F.xxhash64("id", F.lit("calibrate")) % 5 == 0).alias("held")
-    featured = materialize(featurize(train, lexicon, "text", [F.col("label"), part]).coalesce(6), "tox-features")
+    train = materialize(texts.join(F.broadcast(ids), "id").select("text", "label", part), "tox-train")
+    lexicon = learn_lexicon(train.filter("not held"))
+    featured = materialize(featurize(train, lexicon, "text", [F.col("label"), F.col("held")]).coalesce(FIT_TASKS), "tox-features")
     seen = {(r.label, r.held): r.n for r in featured.groupBy("label", "held").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(seen.values())
     rate = sum(n for (label, _), n in seen.items() if label == 1) / total if total else 0.0
