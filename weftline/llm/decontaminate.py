@@ -1,9 +1,12 @@
 """Benchmark decontamination with DataFrame functions only.
 
-A window is 13 consecutive words of a benchmark item, or all words of a shorter one. The hashes of the windows'
-first words, at most `max_literals`, travel as a hash set inside the plan and pick candidate places while a
-document is scanned; only these leave the row. A join on the words of the window verifies them. Its build side is
-broadcast up to `max_broadcast` windows and shuffled beyond; beyond `max_literals` every place is a candidate.
+A window is 13 consecutive words of a benchmark item, or all words of a shorter one. A hash set of the windows' first
+words, PREFIX_WORDS or as many as a shorter window has, picks candidate places while a document is scanned; only these
+leave the row. A join on the words of the window verifies them, so what the set lets through in error is dropped.
+
+The set is a bit for each hash, at most 2 ** MOST_BITS bits whatever the benchmark's size (about 10 MB), one set for each
+number of first words, so that short items don't widen the scan for long ones. It is a literal of the plan, which Spark
+broadcasts with the stage. The verifying join is left to Spark: broadcast below its threshold, else by a shuffle.
 """
 
 from __future__ import annotations
@@ -15,8 +18,10 @@ from .shared import materialize
 
 WINDOW = 13
 PREFIX_WORDS = 5
-MAX_LITERALS = 50_000
-MAX_BROADCAST = 500_000
+LEAST_BITS, MOST_BITS = 16, 26
+ROOM = 64  # bits for each hash, as far as MOST_BITS goes
+PLACES = "array<struct<i:int,m:int,win:array<string>>>"
+BYTE = 7  # bits of a byte that are used, so that it is an ASCII character
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,6 +42,38 @@ def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     return placed.groupBy("n", F.slice("w", F.col("i"), F.col("n")).alias("window")).agg(F.collect_set("item").alias("items"))
 
 
+def _slot(hashed: Column, bits: int) -> Column:
+    return hashed.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def hash_set(grams: DataFrame, words_: int) -> tuple[Column, int]:
+    """A bit for the hash of the first `words_` words of each of the windows, and the number of bits as a power of two.
+    At most 2 ** MOST_BITS / BYTE rows come to the driver."""
+    hashes = grams.select(F.xxhash64(F.slice("window", 1, words_)).alias("h")).distinct()
+    n = hashes.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (ROOM * n).bit_length()))
+    slot = _slot(F.col("h"), bits)
+    rows = hashes.groupBy((slot / BYTE).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (slot % BYTE).cast("int"))).alias("bits"))
+    held = bytearray((1 << bits) // BYTE + 1)
+    for r in rows.toLocalIterator():
+        held[r["at"]] = r["bits"]
+    return F.lit(bytes(held)), bits
+
+
+def _among(set_: tuple[Column, int], hashed: Column) -> Column:
+    held, bits = set_
+    slot = _slot(hashed, bits)
+    byte = F.ascii(F.substring(held, (slot / BYTE).cast("int") + 1, F.lit(1)).cast("string"))
+    return F.getbit(byte, (slot % BYTE).cast("int")) == 1
+
+
+def _places(m: int, widest: int, set_: tuple[Column, int]) -> Column:
+    """Places of the array w whose next m words are in the set, with the next `widest` words."""
+    found = F.filter(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: _among(set_, F.xxhash64(F.slice("w", i, m))))
+    told = F.transform(found, lambda i: F.struct(i.alias("i"), F.lit(m).alias("m"), F.slice("w", i, widest).alias("win")))
+    return F.when(F.size("w") >= m, told).otherwise(F.expr(f"cast(array() as {PLACES})"))
+
+
 def find(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -45,8 +82,6 @@ def find(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    max_literals: int = MAX_LITERALS,
-    max_broadcast: int = MAX_BROADCAST,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id_col, keep columns, n_words, spans, n_hit, items): a row for each document.
@@ -57,29 +92,26 @@ def find(
     ids. An empty benchmark hits nothing."""
     grams = materialize(windows(benchmark, item_col, item_text_col, window), "windows")
     lengths = sorted(r.n for r in grams.select("n").distinct().collect())  # at most `window` numbers
-    m = min([PREFIX_WORDS, *lengths])
-    prefixes = [r.h for r in grams.select(F.xxhash64(F.slice("window", 1, m)).alias("h")).distinct().limit(max_literals + 1).collect()]
-    places = "sequence(1, size(w) - {m} + 1)".format(m=m)
-    if not prefixes:
-        places = "cast(array() as array<int>)"
-    elif len(prefixes) <= max_literals:
-        places = f"filter({places}, i -> xxhash64(slice(w, i, {m})) in ({', '.join(f'{h}L' if h != -(1 << 63) else 'bigint(-9223372036854775808)' for h in prefixes)}))"
+    by_prefix: dict[int, list[int]] = {}
+    for n in lengths:
+        by_prefix.setdefault(min(PREFIX_WORDS, n), []).append(n)
+    found = []
+    for m, of in by_prefix.items():
+        found.append(_places(m, max(of), hash_set(grams.filter(F.col("n").isin(of)), m)))
+    places = F.concat(*found) if found else F.expr(f"cast(array() as {PLACES})")
     kept = list(dict.fromkeys([id_col, *keep]))
     scanned = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)], words(F.col(text_col)).alias("w"))
     scanned = materialize(
-        scanned.select(
-            F.monotonically_increasing_id().alias("row"),
-            *[f"k{i}" for i in range(len(kept))],
-            F.size("w").cast("bigint").alias("n_words"),
-            F.expr(f"if(size(w) < {m}, cast(array() as array<struct<i:int,win:array<string>>>), transform({places}, i -> named_struct('i', i, 'win', slice(w, i, {window}))))").alias("places"),
-        ),
+        scanned.select(F.monotonically_increasing_id().alias("row"), *[f"k{i}" for i in range(len(kept))], F.size("w").cast("bigint").alias("n_words"), places.alias("places")),
         "places",
     )
-    place = scanned.filter(F.size("places") > 0).select("row", F.explode("places").alias("p")).select("row", "p.i", "p.win")
-    place = place.select("row", "i", "win", F.explode(F.array(*map(F.lit, lengths or [1]))).alias("n")).filter("size(win) >= n")
+    place = scanned.filter(F.size("places") > 0).select("row", F.explode("places").alias("p")).select("row", "p.i", "p.m", "p.win")
+    ends = F.lit(None).cast("array<int>")
+    for m, of in by_prefix.items():
+        ends = F.when(F.col("m") == m, F.array(*map(F.lit, of))).otherwise(ends)
+    place = place.select("row", "i", "win", F.explode(ends).alias("n")).filter("size(win) >= n")
     place = place.select("row", "i", "n", F.slice("win", 1, F.col("n")).alias("window"))
-    build = F.broadcast(grams) if grams.limit(max_broadcast + 1).count() <= max_broadcast else grams
-    hits = place.join(build, ["n", "window"]).select("row", F.struct(F.col("i").alias("first"), (F.col("i") + F.col("n") - 1).alias("last")).alias("span"), "items")
+    hits = place.join(grams, ["n", "window"]).select("row", F.struct(F.col("i").alias("first"), (F.col("i") + F.col("n") - 1).alias("last")).alias("span"), "items")
     per = hits.groupBy("row").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
     n_hit = F.aggregate(
         "spans",
