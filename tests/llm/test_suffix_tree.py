@@ -32,7 +32,7 @@ class Brute:
             for context, total in times.items():
                 if context[1:] and context[1:] not in self.nodes:
                     continue
-                n = {w: k for w, k in after[context].items() if k >= 2 and (context[1:], w) in kept}
+                n = {w: k for w, k in after[context].items() if k >= 2 and (context[1:], w) in kept and self.may_decide(total, context[1:], w)}
                 times_next |= {(*context, w): k for w, k in n.items() if w}
                 if not n:
                     continue
@@ -48,6 +48,11 @@ class Brute:
             self.nodes |= new
             times, kept, self.depth = times_next, kept_next, d
 
+    def may_decide(self, total: int, suffix: tuple, w: str) -> bool:
+        """A context of two or three occurrences keeps one next word at most: would it, alone, make it a node?"""
+        q = self.probability(suffix, w)
+        return total > 3 or any(2 * (n * math.log(n / total / q) + (total - n) * math.log(max(1 - n / total, 1e-12) / max(1 - q, 1e-12))) >= pst.MIN_GAIN + 2 for n in range(2, total + 1))
+
     def probability(self, context: tuple, w: str) -> float:
         if not context:
             return (self.counts[w] + 0.5) / self.denominator

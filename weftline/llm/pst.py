@@ -4,7 +4,7 @@ Root: smoothed word probabilities over every distinct word of the training docum
 token, becomes a node if it occurs LEAST times or more and its next-word counts diverge from those of its suffix: twice
 the log likelihood ratio has to reach `min_gain` nats and two more for each next word that it keeps. It is tested only
 if its suffix is a node and its own count is known, for which the context without its newest word has to have been
-tested. A node keeps next words with LEAST counts or more, discounted by DISCOUNT, and backs off to its suffix with
+tested with that word among those that could make it a node. A node keeps next words with LEAST counts or more, discounted by DISCOUNT, and backs off to its suffix with
 the weight that makes its probabilities add up to 1, so scores are those of a distribution: a token's longest suffix
 that is a node decides, by way of shorter ones where it doesn't keep the token. Levels are added until no context
 diverges; nothing else limits depth, contexts or next words, so the tree grows with the corpus.
@@ -25,6 +25,7 @@ import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ from .shared import discard, materialize, new_path
 LEAST = 2  # counts of contexts and of their next words
 MIN_GAIN = 10.0
 DISCOUNT = 0.5
+PASSES = 2  # in which a level on which every token asks is counted: less disk, more work
 FOLDS, HELD_OUT = 5, 1
 BLOCK_TOKENS = 3 << 18
 BUCKET_TOKENS = 1 << 20
@@ -239,18 +241,21 @@ class Question:
             yield self.buckets + bucket, {"contexts": self.contexts[whose], "times": self.times[whose], "many": np.ones(y - x, np.int64), "keys": self.keys[x:y], "n": self.n[x:y], "q": self.q[x:y]}
 
 
-#: Arrays of a question as they travel; of keys the upper 48 bits, as they stand beside their contexts.
+#: Arrays of a question as they travel: contexts as differences, as they are sorted (those of hot ones rise only within
+#: a run of keys, but differences wrap around); of keys the upper 48 bits, as they stand beside their contexts.
 ASKS = {"contexts": "<u8", "times": "<f4", "many": "<u4", "keys": "<u8", "n": "<u4", "q": "<f4"}
 
 
 def packed(part: dict) -> dict:
-    """Hashes and probabilities don't compress; numbers do."""
-    out = {k: np.asarray(part[k], kind).tobytes() if k in ("contexts", "q") else pack(np.asarray(part[k], kind)) for k, kind in ASKS.items() if k != "keys"}
+    out = {k: pack(np.asarray(part[k], kind)) for k, kind in ASKS.items() if k not in ("contexts", "keys")}
+    contexts = np.asarray(part["contexts"], "<u8")
+    out["contexts"] = pack(np.diff(contexts, prepend=np.uint64(0)))
     return out | {"keys": np.asarray(part["keys"], "<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()}
 
 
 def unpacked(row: dict) -> dict:
-    out = {k: np.frombuffer(row[k], kind) if k in ("contexts", "q") else unpack(row[k], kind) for k, kind in ASKS.items() if k != "keys"}
+    out = {k: unpack(row[k], kind) for k, kind in ASKS.items() if k != "keys"}
+    out["contexts"] = np.cumsum(out["contexts"], dtype=np.uint64)
     raw = np.frombuffer(row["keys"], np.uint8).reshape(-1, 6)
     keys = np.zeros((len(raw), 8), np.uint8)
     keys[:, 2:] = raw
@@ -267,6 +272,17 @@ def weights(c: np.ndarray, k: np.ndarray, q: np.ndarray, s: np.ndarray, total: n
     return np.where((k > 0) & (gain >= min_gain + 2 * k), weight, np.nan)
 
 
+def may_decide(times: np.ndarray, q: np.ndarray, min_gain: float) -> np.ndarray:
+    """Whether a next word of probability q after the suffix can make a context that occurs `times` times a node. One
+    that occurs less than 2 * LEAST times keeps one word at most, so the word's own counts tell."""
+    out = times >= 2 * LEAST
+    for total in range(LEAST, 2 * LEAST):
+        for n in range(LEAST, total + 1):
+            c, k, t = np.full(len(q), float(n)), np.ones(len(q)), np.full(len(q), float(total))
+            out |= (times == total) & ~np.isnan(weights(c, k, q, c * np.log(c / np.maximum(q, 1e-300)), t, min_gain))
+    return out
+
+
 def answer(parts: list[dict], min_gain: float, hot: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, ...]]:
     """For each part of a bucket the counts of its pairs, 0 below LEAST, and the weights of its contexts; of a bucket of
     hot contexts no weights, but the sums of each context: key, count, c, k, q, s."""
@@ -291,7 +307,7 @@ def answer(parts: list[dict], min_gain: float, hot: bool) -> tuple[list[tuple[np
     return list(zip(found, np.split(weight, context_ends))), ()
 
 
-def step(block: Block, question: Question, n: np.ndarray, weight: np.ndarray, depth: int) -> None:
+def step(block: Block, question: Question, n: np.ndarray, weight: np.ndarray, depth: int, min_gain: float) -> None:
     """Move the tokens of a block down by the answers to its question: score them, and set what the next level asks."""
     size = len(block.local)
     doc = block.doc_of()
@@ -315,12 +331,14 @@ def step(block: Block, question: Question, n: np.ndarray, weight: np.ndarray, de
     goes_on &= (block.place() > depth) & (times >= LEAST)
     probability = np.zeros(size)
     probability[question.asked] = p
+    both = np.flatnonzero(goes_on & keeps)
+    keeps[both] = may_decide(times[both], probability[both].astype(np.float32).astype(np.float64), min_gain)
     block.state = goes_on.astype(np.uint8) + (goes_on & keeps)
     block.times, block.q = times[goes_on], probability[block.state == 2].astype(np.float32)
     block.shed()
 
 
-def _begin(block: Block, counts: np.ndarray, total: int, distinct_words: int) -> None:
+def _begin(block: Block, counts: np.ndarray, total: int, distinct_words: int, min_gain: float) -> None:
     """Score a block by its words' counts, and set what the first level asks."""
     block.counts = counts
     p = (counts + 0.5) / (total + 0.5 * (distinct_words + 1)) if total else np.ones(len(counts))
@@ -330,7 +348,9 @@ def _begin(block: Block, counts: np.ndarray, total: int, distinct_words: int) ->
     own = counts[block.local]
     times = moved(own, 1)
     goes_on = (block.place() > 0) & (times >= LEAST)
-    block.state = goes_on.astype(np.uint8) + (goes_on & (own >= LEAST))
+    both = goes_on & (own >= LEAST)
+    both[both] = may_decide(times[both], p[block.local[both]].astype(np.float32).astype(np.float64), min_gain)
+    block.state = goes_on.astype(np.uint8) + both
     block.shed()
 
 
@@ -450,14 +470,15 @@ def question_of(block: Block, depth: int, buckets: int, hot: float, total: int,
     return Question(block, depth, buckets, hot)
 
 
-def count_contexts(held: DataFrame, folder: str, depth: int, buckets: int, hot: float, total: int, distinct_words: int, min_gain: float) -> DataFrame:
-    """Answers to all blocks' questions of a level; sums: those of a bucket's hot contexts."""
+def count_contexts(held: DataFrame, folder: str, depth: int, buckets: int, hot: float, total: int, distinct_words: int, min_gain: float, turn: int = 0, turns: int = 1) -> DataFrame:
+    """Answers to all blocks' questions of a level, as far as they are for the buckets of a turn; sums: those of a
+    bucket's hot contexts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 block, _ = load(folder, row["block"], row["path"])
-                made = [(bucket, packed(part)) for bucket, part in question_of(block, depth, buckets, hot, total, distinct_words).parts()]
+                made = [(bucket, packed(part)) for bucket, part in question_of(block, depth, buckets, hot, total, distinct_words).parts() if bucket % turns == turn]
                 yield pa.RecordBatch.from_pydict(
                     {"block": [row["block"]] * len(made), "path": [row["path"]] * len(made), "bucket": [b for b, _ in made], **{k: pa.array([p[k] for _, p in made], pa.binary()) for k in ASKS}}
                 )
@@ -492,8 +513,8 @@ def hot_weights(answers: DataFrame, min_gain: float) -> tuple[np.ndarray, np.nda
     return keys[order], weights(c, k, q, s, total, min_gain)
 
 
-def told(held: DataFrame, answers: DataFrame, folder: str, apply) -> DataFrame:
-    """The manifest after apply(block, its answers by bucket); blocks that have asked nothing stay."""
+def told(held: DataFrame, parts: list[DataFrame], folder: str, apply) -> DataFrame:
+    """The manifest after apply(block, its answers by bucket); blocks that have asked nothing stay. parts: the answers."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(_rows(table), key=lambda r: r["bucket"])
@@ -508,10 +529,10 @@ def told(held: DataFrame, answers: DataFrame, folder: str, apply) -> DataFrame:
                 where.delete_file(path)
             yield batch
 
-    moved_on = answers.select("block", "path", "bucket", "n", "weight").groupBy("block").applyInArrow(run, MANIFEST)
+    moved_on = reduce(DataFrame.union, parts).select("block", "path", "bucket", "n", "weight").groupBy("block").applyInArrow(run, MANIFEST)
     after = materialize(moved_on.union(held.filter("asks = 0")), "blocks")
     materialize(held.filter("asks > 0").select("path").mapInArrow(drop, "path string"), "dropped")
-    for done in (held, answers):
+    for done in (held, *parts):
         discard(done)
     return after
 
@@ -526,8 +547,10 @@ def grown(docs: DataFrame, min_gain: float = MIN_GAIN, block_tokens: int = BLOCK
     spark = docs.sparkSession
     folder = new_path(spark, "blocks")
     held = blocks(docs, folder, block_tokens)
-    buckets = max(1, -(-held.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] // bucket_tokens))
+    size = held.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    buckets = max(1, -(-size // bucket_tokens))
     answers = count_words(held, folder, buckets)
+    parts = [answers]
     sums = [np.frombuffer(r.sums, "<i8") for r in answers.filter("sums is not null").select("sums").collect()]  # two numbers a bucket
     distinct_words, total = (int(sum(x[i] for x in sums)) for i in (0, 1))
     hot_from = hot or max(HOT, total / MOST_HOT)
@@ -535,13 +558,15 @@ def grown(docs: DataFrame, min_gain: float = MIN_GAIN, block_tokens: int = BLOCK
     def begin(block: Block, rows: list[dict]) -> None:
         counts = np.empty(len(block.words), np.int64)
         counts[np.argsort(block.words)] = _joined(rows, "n", "<i8")
-        _begin(block, counts, total, distinct_words)
+        _begin(block, counts, total, distinct_words, min_gain)
 
-    held = told(held, answers, folder, begin)
+    held = told(held, parts, folder, begin)
     depth = 0
     while held.filter("asks > 0").limit(1).count():
         depth += 1
-        answers = count_contexts(held.filter("asks > 0"), folder, depth, buckets, hot_from, total, distinct_words, min_gain)
+        turns = max(1, -(-PASSES * held.agg(F.sum("asks")).first()[0] // size))
+        parts = [count_contexts(held.filter("asks > 0"), folder, depth, buckets, hot_from, total, distinct_words, min_gain, turn, turns) for turn in range(turns)]
+        answers = reduce(DataFrame.union, parts)
         shared = spark.sparkContext.broadcast(hot_weights(answers, min_gain))
 
         def go_on(block: Block, rows: list[dict], depth: int = depth, shared=shared) -> None:
@@ -550,9 +575,9 @@ def grown(docs: DataFrame, min_gain: float = MIN_GAIN, block_tokens: int = BLOCK
             keys, values = shared.value
             at = np.minimum(np.searchsorted(keys, question.contexts), max(0, len(keys) - 1))
             of_hot = np.where(keys[at] == question.contexts, values[at], np.nan) if len(keys) else np.nan
-            step(block, question, _joined(rows, "n", "<i8"), np.where(question.is_hot, of_hot, weight), depth)
+            step(block, question, _joined(rows, "n", "<i8"), np.where(question.is_hot, of_hot, weight), depth, min_gain)
 
-        held = told(held, answers, folder, go_on)
+        held = told(held, parts, folder, go_on)
         shared.unpersist()
     return held, folder, total
 
