@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from weftline import catalog
@@ -18,7 +19,7 @@ def rows(df) -> list[tuple]:
     cols = sorted(df.columns)
 
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "NULL"
         return v if isinstance(v, str) else f"{float(v):.5g}"
 

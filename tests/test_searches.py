@@ -21,9 +21,9 @@ def test_searches_score_on_all_rows(spark, monkeypatch):
         rows.append((i, y if i % 10 else None, *(round(min(0.99, max(0.01, 0.4 + 0.2 * y + rng.gauss(0, 0.3))), 3) for _ in range(2))))
     df = spark.createDataFrame(rows, f"{CLIENT} bigint, {TARGET} double, `a b` double, c double")
     train = df.filter(f"{TARGET} is not null")
-    score, weights, power = ensemble.search_power_blend(df, ["a b", "c"], evals=6)
+    score, weights, power, _ = ensemble.search_power_blend(df, ["a b", "c"], evals=6)
     assert score == pytest.approx(auc(ensemble.power_blend(train, weights, power), TARGET, "prediction").first()[0], abs=1e-9)
-    score, weights = ensemble.search_rank_average(df, ["a b", "c"], evals=6)
+    score, weights, _ = ensemble.search_rank_average(df, ["a b", "c"], evals=6)
     ranked = with_rank(with_rank(train, "a b", "r0"), "c", "r1")
     mixed = ranked.withColumn("mix", F.lit(weights["a b"]) * F.col("r0") + F.lit(weights["c"]) * F.col("r1"))
     assert score == pytest.approx(auc(mixed, TARGET, "mix").first()[0], abs=1e-9)

@@ -34,6 +34,8 @@ def rounded(df: DataFrame, key: str = CLIENT, digits: int = 4) -> DataFrame:
 
 
 def vocabulary_of(name: str) -> dict:
+    if name.startswith("Preds"):
+        return {}
     table = TABLE_OF[name.removeprefix("AggregateFeature").split("Features")[0].removesuffix("OpenSolution")]
     return VOCABULARY[table]
 

@@ -5,56 +5,21 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Callable
-from pathlib import Path
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .models import Result, cross_validate
 from .nulls import col
 from .operators.ranking import auc, class_comparison, with_rank
 from .settle import settle
-from .sources.credit import CLIENT, TARGET, run_score, split
+from .sources.credit import CLIENT, TARGET, split
+from .sources.runs import OOF, TEST, prediction_column, read_run, run_folders, runs_above, stack
 
 SEARCH_BATCH = 20
 
 
-def prediction_column(run: str) -> str:
-    return f"{run}_PREDICTION"
-
-
-def read_run(spark: SparkSession, folder: str, key: str = CLIENT, target: str = TARGET) -> DataFrame:
-    """(key, <run>_PREDICTION) of a run's folder: its out-of-fold and test predictions."""
-    schema = f"`{key}` bigint, `{target}` double"
-    parts = [spark.read.schema(schema).csv(f"{folder}/{name}", header=True) for name in ("oof_predictions.csv", "submission.csv")]
-    return parts[0].unionByName(parts[1]).select(key, col(target).alias(prediction_column(Path(folder).name)))
-
-
-def runs_above(output: str | Path, threshold: float) -> list[str]:
-    """Folders below output with both prediction files whose name ends in a score above threshold, but for stacking runs."""
-    found = []
-    for oof in sorted(Path(output).rglob("oof_predictions.csv")):
-        run = oof.parent
-        score = run_score(str(run))
-        if (run / "submission.csv").exists() and score is not None and score > threshold and "stacking" not in run.name:
-            found.append(str(run))
-    return found
-
-
-def stack(base: DataFrame, runs: list[DataFrame], key: str = CLIENT) -> DataFrame:
-    """base with a prediction column of each run: the runs are united to long rows and put side by side by one
-    aggregation, so there is one join however many runs there are."""
-    names = [next(c for c in r.columns if c != key) for r in runs]
-    tall = None
-    for n, r in zip(names, runs):
-        part = r.select(col(key), F.lit(n).alias("run"), col(n).cast("double").alias("p"))
-        tall = part if tall is None else tall.unionByName(part)
-    if tall is None:
-        return base
-    wide = tall.groupBy(col(key)).agg(*[F.max(F.when(F.col("run") == n, F.col("p"))).alias(n) for n in names])
-    return base.join(wide, key, "left")
-
-
 def power_blend(df: DataFrame, weights: dict[str, float], power: float, name: str = "prediction") -> DataFrame:
     """df with the weighted sum of powers of prediction columns; weights are scaled to sum to 1."""
     total = sum(weights.values())
@@ -107,7 +72,7 @@ class Search:
 def _predictions(df: DataFrame, columns: list[str], target: str) -> tuple[DataFrame, list[str]]:
     """(__y, __p0, ...) of all training rows with every prediction, and the names of the predictions."""
     names = [f"__p{i}" for i in range(len(columns))]
-    train = split(df)[0].select(col(target).cast("double").alias("__y"), *[col(c).cast("double").alias(n) for c, n in zip(columns, names)])
+    train = split(df, target)[0].select(col(target).cast("double").alias("__y"), *[col(c).cast("double").alias(n) for c, n in zip(columns, names)])
     return train.na.drop(), names
 
 
@@ -123,8 +88,8 @@ def _mixed(terms: list[Column]) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def search_power_blend(df: DataFrame, columns: list[str], target: str = TARGET, evals: int = 200, seed: int = 0) -> tuple[float, dict[str, float], int]:
-    """(AUC, weights that sum to 1, power) of the best power blend found; every blend is scored on all rows."""
+def search_power_blend(df: DataFrame, columns: list[str], target: str = TARGET, evals: int = 200, seed: int = 0) -> tuple[float, dict[str, float], int, Search]:
+    """(AUC, weights that sum to 1, power, search) of the best power blend found; every blend is scored on all rows."""
     made, names = _predictions(df, columns, target)
     train = settle(made, "predictions")
     space = {c: (lambda r: round(r.random(), 3)) for c in columns} | {"power": lambda r: r.randint(1, 8)}
@@ -138,13 +103,14 @@ def search_power_blend(df: DataFrame, columns: list[str], target: str = TARGET,
         scored = iter(aucs(train, "__y", blends) if blends else [])
         return [next(scored) if sum(p[c] for c in columns) > 0 else 0.0 for p in points]
 
-    score, best = Search(space, seed).run_batches(objective, evals)
+    search = Search(space, seed)
+    score, best = search.run_batches(objective, evals)
     total = sum(best[c] for c in columns) or 1.0
-    return score, {c: best[c] / total for c in columns}, int(best["power"])
+    return score, {c: best[c] / total for c in columns}, int(best["power"]), search
 
 
-def search_rank_average(df: DataFrame, columns: list[str], target: str = TARGET, evals: int = 200, seed: int = 0) -> tuple[float, dict[str, float]]:
-    """(AUC, weights) of the best weighted rank average found; ranks are among all training rows."""
+def search_rank_average(df: DataFrame, columns: list[str], target: str = TARGET, evals: int = 200, seed: int = 0) -> tuple[float, dict[str, float], Search]:
+    """(AUC, weights, search) of the best weighted rank average found; ranks are among all training rows."""
     made, names = _predictions(df, columns, target)
     ranked = settle(made, "predictions")
     for n in names:
@@ -155,21 +121,21 @@ def search_rank_average(df: DataFrame, columns: list[str], target: str = TARGET,
     def objective(points: list[dict]) -> list[float]:
         return aucs(train, "__y", [_mixed([F.lit(p[c]) * F.col(f"{n}_rank") for c, n in zip(columns, names)]) for p in points])
 
-    score, best = Search(space, seed).run_batches(objective, evals)
-    return score, best
+    search = Search(space, seed)
+    score, best = search.run_batches(objective, evals)
+    return score, best, search
 
 
-def greedy_stacking(df: DataFrame, candidates: list[str], model: str = "LogisticRegression", params: dict | None = None, key: str = CLIENT, target: str = TARGET, folds: int = 5, max_rounds: int | None = None) -> tuple[float, list[str], Result | None]:
-    """(score, columns, result): the candidate that raises the out-of-fold AUC most is added until none does."""
+def greedy_stacking(df: DataFrame, candidates: list[str], model: str = "LogisticRegression", params: dict | None = None, key: str = CLIENT, target: str = TARGET, folds: int = 5, max_rounds: int | None = None, at_once: int = 4) -> tuple[float, list[str], Result | None]:
+    """(score, columns, result): the candidate that raises the out-of-fold AUC most is added until none does. A round's
+    candidates are independent: `at_once` of them are fitted side by side."""
     chosen: list[str] = []
     best, result = -1.0, None
     while len(chosen) < min(len(candidates), max_rounds or len(candidates)):
-        tried = []
-        for c in candidates:
-            if c not in chosen:
-                r = cross_validate(df, model, params, key, target, folds, columns=[*chosen, c])
-                tried.append((r.score, c, r))
-        score, c, r = max(tried, key=lambda t: (t[0], t[1]))
+        left = [c for c in candidates if c not in chosen]
+        with ThreadPoolExecutor(at_once) as pool:
+            tried = list(pool.map(lambda c: cross_validate(df, model, params, key, target, folds, columns=[*chosen, c]), left))  # noqa: B023
+        score, c, r = max(((r.score, c, r) for c, r in zip(left, tried)), key=lambda t: (t[0], t[1]))
         if score <= best:
             break
         best, result = score, r
@@ -177,9 +143,45 @@ def greedy_stacking(df: DataFrame, candidates: list[str], model: str = "Logistic
     return best, chosen, result
 
 
-def tune(df: DataFrame, space: dict[str, Callable], model: str = "LightGBM", evals: int = 20, seed: int = 0, **options) -> tuple[float, dict]:
-    """(AUC, parameters) of the best of `evals` cross-validated models."""
-    return Search(space, seed, start=max(2, evals // 4)).run(lambda p: cross_validate(df, model, p, **options).score or 0.0, evals)
+#: What tune() draws: steps between two bounds.
+# Names and ranges of parameters.
+SPACE = {
+    "learning_rate": (0.01, 0.02, 0.001),
+    "max_bin": (5, 500, 5),
+    "num_leaves": (16, 128, 1),
+    "min_child_samples": (1, 300, 1),
+    "colsample_bytree": (0.01, 0.2, 0.01),
+    "subsample": (0.01, 0.8, 0.01),
+    "min_gain_to_split": (0.0, 5.0, 0.1),
+    "reg_alpha": (0, 100, 0.1),
+    "reg_lambda": (0, 100, 0.1),
+}
+
+
+def stepped(low: float, high: float, step: float) -> Callable[[random.Random], float]:
+    return lambda r: min(high, max(low, round(round(r.uniform(low, high) / step) * step, 6)))
+
+
+def tune(df: DataFrame, space: dict[str, Callable] | None = None, model: str = "LightGBM", evals: int = 20, seed: int = 0, fixed: dict | None = None, **options) -> tuple[float, dict, Search]:
+    """(AUC, parameters, search) of the best of `evals` cross-validated models; `fixed` parameters are never drawn."""
+    search = Search(space or {k: stepped(*v) for k, v in SPACE.items()}, seed, start=max(2, evals // 4))
+    score, best = search.run(lambda p: cross_validate(df, model, {**(fixed or {}), **p}, **options).score or 0.0, evals)
+    return score, best, search
+
+
+def blended(df: DataFrame, columns: list[str], evals: int = 200, seed: int = 0, target: str = TARGET, key: str = CLIENT) -> tuple[Result, Search]:
+    """The best power blend found, applied to training rows and to rows to predict, and the search."""
+    score, weights, power, search = search_power_blend(df, columns, target, evals, seed)
+    oof, test = (power_blend(x, weights, power).select(*[col(c) for c in (key, target)], "prediction") for x in split(df, target))
+    return Result(oof, test.drop(target), {"Full": {"score": score, "weights": weights, "power": power}}), search
+
+
+def rank_averaged(df: DataFrame, columns: list[str], evals: int = 200, seed: int = 0, target: str = TARGET, key: str = CLIENT) -> tuple[Result, Search]:
+    """The best weighted rank average found, applied to training rows and to rows to predict, whose ranks are among
+    themselves, and the search."""
+    score, weights, search = search_rank_average(df, columns, target, evals, seed)
+    oof, test = (rank_average(x, weights).select(*[col(c) for c in (key, target)], "prediction") for x in split(df, target))
+    return Result(oof, test.drop(target), {"Full": {"score": score, "weights": weights}}), search
 
 
 def column_samples(df: DataFrame, columns: list[str], share: float, runs: int, seed: int = 0, **options) -> list[tuple[list[str], Result]]:
@@ -191,15 +193,21 @@ def column_samples(df: DataFrame, columns: list[str], share: float, runs: int, s
     return out
 
 
-def write_run(result: Result, folder: str | Path, config: dict, features: list[str], key: str = CLIENT, target: str = TARGET) -> None:
-    """oof_predictions, submission (CSV folders) and result.json of a run."""
-    folder = str(folder)
-    if result.oof is not None:
-        result.oof.select(key, col("prediction").alias(target)).write.mode("overwrite").csv(f"{folder}/oof_predictions.csv", header=True)
-    result.test.select(key, col("prediction").alias(target)).write.mode("overwrite").csv(f"{folder}/submission.csv", header=True)
-    record = {"trials": result.trials, "config": config, "features_detail": {"number": len(features), "names": features}}
+def write_run(result: Result, folder: str, config: dict, features: list[str], key: str = CLIENT, target: str = TARGET, search: Search | None = None) -> None:
+    """A run's folder: out-of-fold and test predictions as CSV, result.json, and as Parquet the importances and, after a
+    search, its trials in order."""
     spark = result.test.sparkSession
+    for part, name in ((result.oof, OOF), (result.test, TEST)):
+        if part is not None:
+            part.select(key, col("prediction").alias(target)).write.mode("overwrite").csv(f"{folder}/{name}", header=True)
+    record = {"trials": result.trials, "config": config, "features_detail": {"number": len(features), "names": features}}
     spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/result.json")
+    if result.importance:
+        rows = sorted(result.importance.items(), key=lambda x: (-x[1], x[0]))
+        spark.createDataFrame(rows, "feature string, importance double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/importance.parquet")
+    if search:
+        tried = [(i, float(score), json.dumps(point)) for i, (score, point) in enumerate(search.trials)]
+        spark.createDataFrame(tried, "trial int, score double, parameters string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/trials.parquet")
 
 
-__all__ = ["auc", "greedy_stacking", "power_blend", "rank_average", "read_run", "runs_above", "stack", "write_run"]
+__all__ = ["auc", "greedy_stacking", "power_blend", "prediction_column", "rank_average", "read_run", "run_folders", "runs_above", "stack", "write_run"]

@@ -48,7 +48,7 @@ def names() -> list[str]:
 
 
 def _load() -> None:
-    from . import application, bureau, credit_card, encoded, grouped, installments, pos_cash, previous, topics  # noqa: F401
+    from . import application, bureau, credit_card, encoded, grouped, installments, pos_cash, predictions, previous, topics  # noqa: F401
 
 
 __all__ = ["CLIENT", "F", "FEATURES", "Sources", "build", "feature", "names", "vocab_of"]

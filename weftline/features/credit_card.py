@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.rowwise import row_nulls
 from ..nulls import col, null_where, ratio
 from ..operators.encode import dummies, shares
-from ..operators.joins import one_to_one
 from ..plans.fusion import Agg, aggregate, recipes
 from ..sources.credit import CLIENT, newest_first
 from . import feature, vocab_of
@@ -72,7 +71,7 @@ def open_solution(sources, conf) -> DataFrame:
     oldest_first = [F.asc_nulls_first(col(c)) for c in ("MONTHS_BALANCE", "SK_ID_PREV", "AMT_BALANCE")]
     diff = col("AMT_BALANCE") - F.lag("AMT_BALANCE").over(Window.partitionBy(CLIENT).orderBy(*oldest_first))
     dynamic = df.filter(col(CLIENT).isNotNull()).select(CLIENT, diff.alias("d")).groupBy(CLIENT).agg(F.avg("d").alias("credit_card_monthly_diff"))
-    return one_to_one(static, dynamic, [CLIENT])
+    return static.join(dynamic, CLIENT)  # both have one row for each client
 
 
 @feature("CreditCardBalanceFeaturesAntonova")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -41,9 +42,48 @@ def _rename(params: Mapping, names: Mapping[str, str]) -> dict:
     return {names[k]: v for k, v in params.items() if k in names}
 
 
-def gbt(params: Mapping):
-    known = {"n_estimators": "maxIter", "num_boost_round": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize", "eta": "stepSize", "subsample": "subsamplingRate", "random_state": "seed", "seed": "seed", "min_child_samples": "minInstancesPerNode"}
-    return GBTClassifier(**{"maxIter": 20, "maxDepth": 4, "seed": 0, **_rename(params, known)})
+STOP = ("early_stopping_rounds", "early_stopping_round", "early_stopping")
+
+
+def _share(x: float) -> str:
+    """A share of the columns as pyspark.ml's text, which takes decimals above 0 and up to 1."""
+    return str(float(min(1.0, max(1e-6, float(x)))))
+
+
+def lightgbm(params: Mapping):
+    """Grown by leaves there, by levels here: a tree of n leaves has log2(n) levels."""
+    known = {
+        "n_estimators": "maxIter", "num_boost_round": "maxIter", "num_iterations": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize", "subsample": "subsamplingRate",
+        "bagging_fraction": "subsamplingRate", "random_state": "seed", "seed": "seed", "min_child_samples": "minInstancesPerNode", "min_data_in_leaf": "minInstancesPerNode",
+        "min_gain_to_split": "minInfoGain", "min_split_gain": "minInfoGain", "max_bin": "maxBins",
+    }
+    made = {"maxIter": 20, "maxDepth": 4, "seed": 0}
+    if "num_leaves" in params:
+        made["maxDepth"] = max(1, min(30, math.ceil(math.log2(max(2, params["num_leaves"])))))
+    return _boosted({**made, **_rename(params, known)}, params, ("colsample_bytree", "feature_fraction"))
+
+
+def xgboost(params: Mapping):
+    """Grown by levels, six of them if nothing else is said."""
+    known = {
+        "n_estimators": "maxIter", "num_boost_round": "maxIter", "max_depth": "maxDepth", "eta": "stepSize", "learning_rate": "stepSize", "subsample": "subsamplingRate", "random_state": "seed",
+        "seed": "seed", "min_child_weight": "minInstancesPerNode", "gamma": "minInfoGain", "max_bin": "maxBins",
+    }
+    return _boosted({"maxIter": 20, "maxDepth": 6, "stepSize": 0.3, "seed": 0, **_rename(params, known)}, params, ("colsample_bytree", "colsample_bylevel"))
+
+
+def _boosted(made: dict, params: Mapping, shares: tuple[str, ...]):
+    for whole in ("maxIter", "maxDepth", "minInstancesPerNode", "maxBins", "seed"):
+        if whole in made:
+            made[whole] = max(0 if whole == "seed" else 2 if whole == "maxBins" else 1, int(made[whole]))
+    if made["maxDepth"] > 30:
+        made["maxDepth"] = 30
+    for name in shares:
+        if name in params:
+            made["featureSubsetStrategy"] = _share(params[name])
+    if any(params.get(k) for k in STOP):
+        made |= {"validationIndicatorCol": "held", "validationTol": 1e-5}
+    return GBTClassifier(**made)
 
 
 def forest(params: Mapping):
@@ -58,14 +98,21 @@ def logistic(params: Mapping):
 
 #: model name -> (estimator of its parameters, whether missing values become 0 rather than a value apart)
 MODELS = {
-    "LightGBM": (gbt, False),
-    "XGBoost": (gbt, False),
+    "LightGBM": (lightgbm, False),
+    "XGBoost": (xgboost, False),
     "LogisticRegression": (logistic, True),
     "RandomForest": (forest, True),
     "KNN": (None, True),
 }
 
 
+def register_model(name: str, make, zero: bool = True) -> None:
+    """A model of one's own: make(params) gives a pyspark.ml classifier; zero: missing values become 0."""
+    if name in MODELS:
+        raise ValueError(f"{name} is registered")
+    MODELS[name] = (make, zero)
+
+
 def features_of(df: DataFrame, key: str = CLIENT, target: str = TARGET) -> list[str]:
     """Numeric columns that aren't keys, target or ordinals."""
     return [c for c in numeric(df, (key, target, "index", "fold")) if not c.startswith("SK_ID_")]
@@ -102,9 +149,12 @@ def cross_validate(
     df: DataFrame, model: str = "LightGBM", params: Mapping | None = None, key: str = CLIENT, target: str = TARGET, folds: int = 5, seed: int = 47,
     columns: list[str] | None = None, scale: bool = False,
 ) -> Result:
-    """Fit on all folds but one, predict that one and the rows without a target; test predictions are means over folds."""
+    """Fit on all folds but one, predict that one and the rows without a target; test predictions are means over folds.
+
+    Boosted trees with early stopping in their parameters watch the fold left out, and predict with the trees up to the
+    best iteration."""
     params, columns = params or {}, columns or features_of(df, key, target)
-    train, test = split(df)
+    train, test = split(df, target)
     zero = MODELS[model][1]
     train = prepared(fold_of(train, key, target, folds, seed), key, target, columns, zero).withColumn("label", col(target).cast("double")).persist()
     test = prepared(test, key, target, columns, zero).persist()
@@ -115,7 +165,8 @@ def cross_validate(
         if model == "KNN":
             own, other = knn(part, held, len(columns), params, [key, target]), knn(part, test, len(columns), params, [key])
         else:
-            fitted = pipeline(model, params, len(columns), scale).fit(part)
+            stops = any(params.get(k) for k in STOP) and model in ("LightGBM", "XGBoost")
+            fitted = pipeline(model, params, len(columns), scale).fit(train.withColumn("held", F.col("fold") == f) if stops else part)
             own, other = predicted(fitted, held, [key, target]), predicted(fitted, test, [key])
             for c, v in importances(fitted, columns).items():
                 weight[c] = weight.get(c, 0.0) + v / folds
@@ -123,6 +174,8 @@ def cross_validate(
         oof = own if oof is None else oof.unionByName(own)
         tests = other if tests is None else tests.unionByName(other)
         trials[f"Fold{f + 1}"] = {"elapsed_time": time.time() - began}
+        if model != "KNN" and hasattr(fitted.stages[-1], "getNumTrees"):
+            trials[f"Fold{f + 1}"]["best_iteration"] = fitted.stages[-1].getNumTrees
     oof = oof.persist()
     for f in range(folds):
         trials[f"Fold{f + 1}"]["val_score"] = auc(oof.filter(F.col("fold") == f), target, "prediction").first()[0]
@@ -135,10 +188,11 @@ def cross_validate(
 def full_train(df: DataFrame, model: str, params: Mapping | None = None, key: str = CLIENT, target: str = TARGET, columns: list[str] | None = None, scale: bool = False) -> Result:
     """Fit on every row with a target; predict the others."""
     params, columns = params or {}, columns or features_of(df, key, target)
-    train, test = (prepared(x, key, target, columns, MODELS[model][1]) for x in split(df))
+    train, test = (prepared(x, key, target, columns, MODELS[model][1]) for x in split(df, target))
     train = train.withColumn("label", col(target).cast("double"))
     if model == "KNN":
         return Result(None, knn(train, test, len(columns), params, [key]))
+    params = {k: v for k, v in params.items() if k not in STOP}  # nothing is left out to watch
     fitted = pipeline(model, params, len(columns), scale).fit(train)
     return Result(None, predicted(fitted, test, [key]), {}, importances(fitted, columns))
 
@@ -199,7 +253,7 @@ def fold_places(df: DataFrame, key: str, seed: int) -> DataFrame:
 def null_importance(df: DataFrame, runs: int = 100, model: str = "RandomForest", params: Mapping | None = None, key: str = CLIENT, target: str = TARGET, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(actual, null) importances as (feature, importance_gain, run): of the real target and of `runs` shuffled ones."""
     params, columns = params or {}, features_of(df, key, target)
-    train = split(df)[0]
+    train = split(df, target)[0]
 
     def fit(data: DataFrame, run: int) -> list[tuple]:
         ready = prepared(data, key, target, columns, MODELS[model][1]).withColumn("label", col(target).cast("double"))
@@ -208,3 +262,18 @@ def null_importance(df: DataFrame, runs: int = 100, model: str = "RandomForest",
     spark, schema = df.sparkSession, "feature string, importance_gain double, run int"
     null = [row for r in range(runs) for row in fit(shuffled_target(train, key, target, seed + 2 * r), r)]
     return spark.createDataFrame(fit(train, 0), schema), spark.createDataFrame(null, schema)
+
+
+def tells_apart(df: DataFrame, columns: list[str], flag: str, params: Mapping | None = None) -> tuple[float, list[str]]:
+    """(out-of-fold AUC, columns used) of a forest that tells rows of flag 1 from those of flag 0: what
+    :func:`selection.clean_data` asks in its fourth stage."""
+    made = cross_validate(df.withColumn("__flag", col(flag).cast("double")), "RandomForest", {"n_estimators": 10, "max_depth": 4, **(params or {})}, target="__flag", folds=3, columns=columns)
+    return made.score or 0.0, [c for c, v in made.importance.items() if v > 0]
+
+
+def kept_score(df: DataFrame, columns: list[str], model: str = "LightGBM", params: Mapping | None = None, folds: int = 5) -> tuple[float | None, float | None]:
+    """(mean, standard deviation) of the AUC over folds of a model on some of the columns; None without columns."""
+    if not columns:
+        return None, None
+    full = cross_validate(df, model, params, folds=folds, columns=columns).trials["Full"]
+    return full["val_score_mean"], full["val_score_std"]

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from .ensemble import power_blend, rank_average, stack
 from .functions import rowwise
-from .nulls import ratio, ratio_or_zero
+from .nulls import finite_or_zero, ratio, ratio_or_zero
 from .operators.encode import factorize, one_hot
 from .operators.folds import MODULUS, MULTIPLIER, fold_of
-from .operators.ranking import auc, class_comparison, with_rank
+from .operators.joins import drop_repeated, one_to_one, star
+from .operators.ranking import auc, class_comparison, rank_sum, with_rank
+from .selection import clean_data, constant_columns, difference_stats, drop_columns, null_importance_gain, null_importance_share, under_threshold
+from .sources.credit import united
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,9 +86,108 @@ def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("o_orderkey", F.round(ratio(a, b), 6).alias("null_for_zero"), F.round(ratio_or_zero(a, b), 6).alias("zero_for_zero"))
 
 
+def scan_union_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _table(spark, sf_dir, "customer")
+    train = customers.filter("c_custkey % 5 != 0").select("c_custkey", (F.col("c_acctbal") < 0).cast("double").alias("target"), "c_mktsegment")
+    return united([train, customers.filter("c_custkey % 5 = 0").select("c_mktsegment", "c_custkey")])
+
+
+def feature_star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir).join(_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey")
+    made = orders.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("p").alias("p_sum"))
+    closed = orders.filter("closed = 1").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.max("q").alias("q_max"))
+    joined = star(_table(spark, sf_dir, "customer").select("c_custkey"), [made, closed], "c_custkey", "drop")
+    return joined.select("c_custkey", *[F.col(c).cast("double") for c in joined.columns[1:]])
+
+
+def one_to_one_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir)
+    return one_to_one(orders.filter("p > 100").select("o_orderkey", "p"), orders.filter("q > 10").select("o_orderkey", "q"), ["o_orderkey"])
+
+
+def column_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir)
+    return drop_repeated(orders.select("o_orderkey", "p"), orders, ["o_orderkey"])
+
+
+def ranksum_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = class_comparison(_orders(spark, sf_dir), "closed", ["p", "q"]).collect()  # a row for each column
+    tested = [(r.c, *rank_sum(r.rank_sum, r.n1, r.n)) for r in compared]
+    return spark.createDataFrame([(c, round(z, 6), int(p <= 0.05)) for c, z, p in tested], "c int, z double, significant int")
+
+
+def _for_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as clients: a target for three in four, a constant, and columns that tell classes or parts apart."""
+    target = F.when(F.col("o_orderkey") % 4 != 0, F.col("closed"))
+    shifted = F.when(target.isNull(), F.col("q") * 5 + 500).otherwise(F.lit(7) + F.col("q") % 2)
+    return _orders(spark, sf_dir).select(
+        "o_orderkey", target.alias("target"), "p", "q", F.lit(1.0).alias("one"), (F.col("closed") * 40 + F.col("q")).alias("tells"), (F.col("q") < 20).cast("int").alias("low"),
+        shifted.alias("shifted"), F.lit(None).cast("double").alias("nothing"),
+    )
+
+
+CLEANED = ("p", "q", "one", "tells", "low", "shifted", "nothing")
+
+
+def clean_nunique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in constant_columns(_for_cleaning(spark, sf_dir), list(CLEANED))], "feature string")
+
+
+def clean_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _for_cleaning(spark, sf_dir)
+    found = difference_stats(df.filter("target is not null"), ["p", "q", "tells", "low"], "target", df)
+    return spark.createDataFrame([(c, round(d, 6), round(n, 6), int(p <= 0.05)) for c, (d, n, p) in found.items()], "feature string, diff double, norm double, significant int")
+
+
+def clean_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = clean_data(_for_cleaning(spark, sf_dir), "o_orderkey", "target").columns
+    return spark.createDataFrame([(c,) for c in CLEANED if c in kept], "feature string")
+
+
+def _importances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Importances of real and of shuffled targets, as order lines have it."""
+    lines = _table(spark, sf_dir, "lineitem").withColumn("feature", F.concat(F.lit("f"), (F.col("l_partkey") % 23).cast("string")))
+    actual = lines.filter("l_linenumber = 1").select("feature", (F.col("l_quantity") * (F.col("l_partkey") % 23 + 1)).cast("double").alias("importance_gain"))
+    return actual, lines.filter("l_linenumber > 1").select("feature", (F.col("l_quantity") * 12).cast("double").alias("importance_gain"))
+
+
+def ni_gain_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return null_importance_gain(*_importances(spark, sf_dir)).select("feature", F.round("score", 6).alias("score"))
+
+
+def ni_corr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return null_importance_share(*_importances(spark, sf_dir)).select("feature", F.round("score", 6).alias("score"))
+
+
+def column_droplist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dropped = under_threshold(null_importance_share(*_importances(spark, sf_dir)), 20)
+    wide = spark.range(1).select(*[F.lit(i).alias(f"f{i}") for i in range(23)])
+    left = drop_columns(wide, [*dropped, "not there"]).columns
+    return spark.createDataFrame([(c,) for c in left], "feature string")
+
+
+def top_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten features of the greatest mean importance."""
+    mean = _importances(spark, sf_dir)[0].groupBy("feature").agg(F.avg("importance_gain").alias("importance"))
+    return mean.orderBy(F.desc("importance"), "feature").limit(10).select("feature", F.round("importance", 6).alias("importance"))
+
+
+def vocabulary_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus"))
+    return one_hot(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", status.alias("status")))[0]
+
+
+def finite_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.col("p").cast("double")
+    value = F.when(F.col("q") == 0, F.lit(float("inf"))).when(F.col("q") == 1, F.lit(float("nan"))).when(F.col("q") > 1, a / F.col("q"))
+    return _orders(spark, sf_dir).select(
+        "o_orderkey", F.round(finite_or_zero(value), 6).alias("finite"), F.ceil(a / 7).cast("bigint").alias("up"), F.round(F.log1p(a), 6).alias("logged"), F.round(F.pow(a, F.lit(0.5)), 6).alias("root")
+    )
+
+
 OPERATOR_QUERIES = {
     f.__name__: f
-    for f in (rank_min, rank_mean, exact_auc, compare_classes, first_appearance_codes, dummy_columns, stratified_folds, blend_powers, average_ranks, stack_runs, row_statistics, ratios)
+    for f in (scan_union_train_test, feature_star_join, one_to_one_inner, column_difference, ranksum_z, clean_nunique, clean_diff_stats, clean_columns, ni_gain_score, ni_corr_score, column_droplist, top_importances, vocabulary_discovery, finite_values, rank_min, rank_mean, exact_auc, compare_classes, first_appearance_codes, dummy_columns, stratified_folds, blend_powers, average_ranks, stack_runs, row_statistics, ratios)
 }
 
 _RANKED = f"select *, rank() over (order by p) as lo, count(*) over (partition by p) as ties from {_ORDERS}"
@@ -97,7 +199,50 @@ cast(min({x}) as double) as least, cast(max({x}) as double) as most
 from (select *, rank() over (order by {x}) as lo, count(*) over (partition by {x}) as ties from {_ORDERS})"""
     for i, x in enumerate(("p", "q"))
 )
+_Z = "(sum(case when {f} = 1 then lo + (ties - 1) / 2.0 end) - sum({f}) * (count(*) + 1) / 2.0) / sqrt(cast(sum({f}) as double) * (count(*) - sum({f})) * (count(*) + 1) / 12)"
+_CLEANING = f"""(select o_orderkey, t as target, cast(p as double) as p, cast(q as double) as q, 1.0 as one, cast(closed * 40 + q as double) as tells, case when q < 20 then 1.0 else 0.0 end as low,
+cast(case when t is null then q * 5 + 500 else 7 + q % 2 end as double) as shifted, cast(null as double) as nothing
+from (select *, case when o_orderkey % 4 != 0 then closed end as t from {_ORDERS}))"""
+
+
+def _split_stats(x: str, flag: str, rows: str, whole: str) -> str:
+    """feature, diff, norm and z of a column between rows of flag 0 and 1."""
+    a, b = (("avg" if x == "low" else "median") + f"({x}) filter (where {flag} = {k})" for k in (0, 1))
+    return f"""select '{x}' as feature, abs({a} - {b}) as diff, abs(abs({a} - {b}) / (select avg({x}) from {whole})) as norm, {_Z.format(f=flag)} as z
+from (select *, rank() over (order by {x}) as lo, count(*) over (partition by {x}) as ties from {rows})"""
+
+
+_TESTED = ("p", "q", "tells", "low")
+_BY_TARGET = " union all ".join(_split_stats(x, "target", f"(select * from {_CLEANING} where target is not null)", _CLEANING) for x in (*_TESTED, "shifted"))
+_BY_PART = " union all ".join(_split_stats(x, "part", f"(select *, case when target is null then 0 else 1 end as part from {_CLEANING})", _CLEANING) for x in (*_TESTED, "shifted"))
+_ACTUAL = "(select 'f' || (l_partkey % 23) as feature, cast(l_quantity * (l_partkey % 23 + 1) as double) as g from lineitem where l_linenumber = 1)"
+_NULL = "(select 'f' || (l_partkey % 23) as feature, cast(l_quantity * 12 as double) as g from lineitem where l_linenumber > 1)"
+_SHARE = f"select feature, 100 * avg(case when n.g < a.g then 1.0 else 0.0 end) as score from {_NULL} n join (select feature, quantile_cont(g, 0.25) as g from {_ACTUAL} group by feature) a using (feature) group by feature"
 OPERATOR_SQL = {
+    "scan_union_train_test": "select c_custkey, case when c_custkey % 5 != 0 then cast(c_acctbal < 0 as double) end as target, c_mktsegment from customer",
+    "feature_star_join": f"""with o as (select * from {_ORDERS} join (select o_orderkey, o_custkey as c_custkey from orders) using (o_orderkey))
+select c_custkey, cast(n_orders as double) as n_orders, cast(p_sum as double) as p_sum, cast(q_max as double) as q_max from customer left join (select c_custkey, count(*) as n_orders, cast(sum(p) as bigint) as p_sum from o group by 1) using (c_custkey)
+left join (select c_custkey, max(q) as q_max from o where closed = 1 group by 1) using (c_custkey)""",
+    "one_to_one_inner": f"select o_orderkey, p, q from {_ORDERS} where p > 100 and q > 10",
+    "column_difference": f"select o_orderkey, q, closed from {_ORDERS}",
+    "ranksum_z": " union all ".join(
+        f"select cast({i} as int) as c, round({_Z.format(f='closed')}, 6) as z, cast(abs({_Z.format(f='closed')}) >= 1.9599639845 as int) as significant from (select *, rank() over (order by {x}) as lo, count(*) over (partition by {x}) as ties from {_ORDERS})"
+        for i, x in enumerate(("p", "q"))
+    ),
+    "clean_nunique": " union all ".join(f"select '{c}' as feature from {_CLEANING} having count(distinct {c}) <= 1" for c in CLEANED),
+    "clean_diff_stats": f"select feature, round(diff, 6) as diff, round(norm, 6) as norm, cast(abs(z) >= 1.9599639845 as int) as significant from ({_BY_TARGET}) where feature != 'shifted'",
+    "clean_columns": f"""select t.feature from ({_BY_TARGET}) t join ({_BY_PART}) s using (feature)
+where not (abs(t.z) < 1.9599639845 and (t.diff = 0 or t.norm < 0.5)) and not (s.norm > 1 and t.norm = 0 and abs(s.z) > 1.9599639845)""",
+    "ni_gain_score": f"select feature, round(ln(1e-10 + a.g / (1 + n.g)), 6) as score from (select feature, avg(g) as g from {_ACTUAL} group by feature) a join (select feature, quantile_cont(g, 0.75) as g from {_NULL} group by feature) n using (feature)",
+    "ni_corr_score": f"select feature, round(score, 6) as score from ({_SHARE})",
+    "column_droplist": f"select 'f' || i as feature from range(23) t(i) where 'f' || i not in (select feature from ({_SHARE}) where score < 20)",
+    "top_importances": f"select feature, round(avg(g), 6) as importance from {_ACTUAL} group by feature order by avg(g) desc, feature limit 10",
+    "vocabulary_discovery": "select o_orderkey, "
+    + ", ".join(f"case when o_orderpriority = '{v}' then 1 else 0 end as \"o_orderpriority_{v}\"" for v in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
+    + ", case when o_orderpriority is null then 1 else 0 end as o_orderpriority_nan, "
+    + ", ".join(f"case when o_orderkey % 7 != 0 and o_orderstatus = '{v}' then 1 else 0 end as \"status_{v}\"" for v in "FOP")
+    + ", case when o_orderkey % 7 = 0 then 1 else 0 end as status_nan from orders",
+    "finite_values": f"select o_orderkey, round(case when q > 1 then cast(p as double) / q else 0.0 end, 6) as finite, cast(ceil(p / 7.0) as bigint) as up, round(ln(1 + cast(p as double)), 6) as logged, round(sqrt(cast(p as double)), 6) as root from {_ORDERS}",
     "rank_min": f"select o_orderkey, lo as rank_p from ({_RANKED})",
     "rank_mean": f"select o_orderkey, lo + (ties - 1) / 2.0 as rank_p from ({_RANKED})",
     "exact_auc": f"select round((sum(case when closed = 1 then lo + (ties - 1) / 2.0 end) - sum(closed) * (sum(closed) + 1) / 2.0) / (sum(closed) * (count(*) - sum(closed))), 9) as auc from ({_RANKED})",

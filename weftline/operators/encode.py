@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..nulls import col
 from ..plans.fusion import Agg
+from ..settle import settle
 from .folds import fold_of
 from .joins import lookup
 
@@ -22,13 +23,19 @@ def categoricals(df: DataFrame) -> list[str]:
 
 
 def vocabulary(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted values of each column, in one pass over df; more than max_categories in one of them is an error."""
+    """Sorted values of each column, in one pass over df; more than max_categories in one of them is an error.
+
+    Distinct values are counted before any comes to the driver, so a column of keys does no harm."""
     if not columns:
         return {}
-    row = df.agg(*[F.collect_set(col(c)).alias(f"v{i}") for i, c in enumerate(columns)]).first()
-    out = {c: sorted(row[i]) for i, c in enumerate(columns)}
-    if wide := [c for c, values in out.items() if len(values) > max_categories]:
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), col(c).alias("v")) for i, c in enumerate(columns)])
+    found = settle(df.select(F.explode(cells).alias("cell")).select("cell.*").filter("v is not null").distinct(), "vocabulary")
+    sizes = {r.c: r.n for r in found.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if wide := [c for i, c in enumerate(columns) if sizes.get(i, 0) > max_categories]:
         raise ValueError(f"too many categories in {wide}")
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    for r in found.orderBy("c", "v").collect():
+        out[columns[r.c]].append(r.v)
     return out
 
 

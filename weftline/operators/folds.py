@@ -16,7 +16,7 @@ def fold_of(df: DataFrame, key: str, target: str, folds: int = 5, seed: int = 47
     of a class differ by one row at most. Rows without a target are dealt as a class of their own.
 
     Places are counted within equal ranges of the hash, from the sizes of the ranges below, so no task holds a class."""
-    hashed = (col(key).cast("bigint") * MULTIPLIER + seed) % MODULUS
+    hashed = (F.pmod(col(key).cast("bigint"), F.lit(1 << 31)) * MULTIPLIER + seed) % MODULUS  # no overflow
     ranged = df.withColumn("__hash", F.pmod(hashed, F.lit(MODULUS))).withColumn("__range", F.floor(F.col("__hash") * ranges / MODULUS).cast("int"))
     sizes = ranged.groupBy(col(target).alias("__class"), "__range").agg(F.count(F.lit(1)).alias("__n"))
     below = Window.partitionBy("__class").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,8 +17,10 @@ from .features.previous import APPROVED, REFUSED
 from .features.previous import NUMERIC as PREVIOUS_NUMERIC
 from .operators.encode import dummies, shares
 from .plans.fusion import Agg, group_recipes, recipes
-from .sources.adapters import APPLICATION_NUMBERS, VOCABULARY, duck
+from .features.predictions import FAILED, PINNED
+from .sources.adapters import APPLICATION_NUMBERS, RUN_FACTORS, VOCABULARY, duck, run_sql
 from .sources.credit import CLIENT, TABLES
+from .sources.runs import prediction_column
 
 #: Added before results are rounded to four digits.
 OFF_TIES = 0.0000027
@@ -479,7 +481,20 @@ def target_encoding_folds() -> str:
     return f"with src as (select *, cast({FOLD} as bigint) as fold from {source('application')}), train as (select * from src where TARGET is not null), {', '.join(parts)} select {CLIENT}, {', '.join(names)} from src"
 
 
+def predictions(run: str) -> str:
+    return f"select SK_ID_CURR, {number('p', prediction_column(run))} from ({run_sql(run).format(customer='customer')})"
+
+
+def every_prediction() -> str:
+    names = sorted(n for n in RUN_FACTORS if n not in FAILED)
+    cells = ", ".join(number(f"max(case when run = '{n}' then p end)", prediction_column(n)) for n in names)
+    tall = " union all ".join(f"select '{n}' as run, * from ({run_sql(n).format(customer='customer')})" for n in names)
+    return f"select SK_ID_CURR, {cells} from ({tall}) group by SK_ID_CURR"
+
+
 FEATURE_SETS = {
+    **{name: (lambda run=run: predictions(run)) for name, run in PINNED.items()},
+    "PredsAll": every_prediction,
     "ApplicationFeatures": application,
     "ApplicationFeaturesOpenSolution": application_open_solution,
     "ApplicationFeaturesAntonova": application_antonova,

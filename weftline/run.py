@@ -18,7 +18,8 @@ from . import config as configs
 from . import ensemble, features, models, selection
 from .operators.joins import star
 from .session import get_session
-from .sources.credit import CLIENT, TARGET, Sources
+from .sources.credit import CLIENT, TARGET, Sources, kept
+from .sources.runs import Runs, read_run, runs_above, stack
 
 
 def cache_path(folder: str, name: str, conf: dict, inputs: str) -> str:
@@ -28,15 +29,11 @@ def cache_path(folder: str, name: str, conf: dict, inputs: str) -> str:
 
 
 def cached(spark: SparkSession, folder: str | None, name: str, conf: dict, sources: Sources) -> DataFrame:
-    """The feature set, written once below folder and read from there; not written without a folder."""
-    made = features.build(name, sources, conf)
-    if not folder:
-        return made
-    path = cache_path(folder, name, conf, f"{sources.folder}")
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        made.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The feature set, written once below folder and read from there; not written without a folder. Earlier
+    predictions are tables of their own already."""
+    if not folder or name.startswith("Preds"):
+        return features.build(name, sources, conf)
+    return kept(spark, cache_path(folder, name, conf, f"{sources.folder} {sources.fingerprint()}"), lambda: features.build(name, sources, conf))
 
 
 def assemble(spark: SparkSession, config: configs.Config, sources: Sources) -> DataFrame:
@@ -49,11 +46,13 @@ def assemble(spark: SparkSession, config: configs.Config, sources: Sources) -> D
             tables[t] = tables[t].drop(TARGET)
     out = star(sources.base, tables, CLIENT, repeated)
     if config.stacking_features:
-        out = ensemble.stack(out, [ensemble.read_run(spark, f) for f in config.stacking_features])
+        named = [f for f in config.stacking_features if f in features.names()]
+        out = star(out, [features.build(f, sources, conf) for f in named], CLIENT, repeated)
+        out = stack(out, [read_run(spark, f) for f in config.stacking_features if f not in named])
     if path := config.options.get("drop_features"):
         out = selection.drop_columns(out, selection.read_drop_list(path))
     if config.options.get("clean_data"):
-        out = selection.clean_data(out)
+        out = selection.clean_data(out, importance=models.tells_apart)
     return out
 
 
@@ -70,11 +69,44 @@ def train(spark: SparkSession, config: configs.Config, sources: Sources, name: s
         result = models.full_train(df, config.model, config.params, columns=columns, scale=config.normalize_feature)
     else:
         result = models.cross_validate(df, config.model, config.params, folds=config.folds, seed=config.seed, columns=columns, scale=config.normalize_feature)
-    if config.dataset.get("output_directory"):
-        ensemble.write_run(result, output_folder(config, name, result.trials.get("Full", {}).get("score")), json.loads(json.dumps(config.__dict__, default=list)), columns)
+    written(result, config, name, columns)
     return result
 
 
+def written(result: models.Result, config: configs.Config, name: str, columns: list[str], search: ensemble.Search | None = None) -> None:
+    """The run's folder, if the configuration has an output directory."""
+    if config.dataset.get("output_directory"):
+        folder = output_folder(config, name, result.trials.get("Full", {}).get("score"))
+        ensemble.write_run(result, folder, json.loads(json.dumps(config.__dict__, default=list)), columns, search=search)
+
+
+THRESHOLDS = (99, 95, 90, 80, 70, 60, 50, 40, 30, 20, 10, 0)
+
+
+def null_importance(df: DataFrame, config: configs.Config, runs: int, folder: str = ".") -> list[dict]:
+    """Drop lists below each threshold of both scores, written to folder, with the score of a model without them."""
+    actual, null = models.null_importance(df, runs)
+    columns, out = models.features_of(df), []
+    for kind, score in (("gain", selection.null_importance_gain), ("corr", selection.null_importance_share)):
+        scores = score(actual, null).cache()
+        for threshold in THRESHOLDS:
+            dropped = selection.under_threshold(scores, threshold)
+            selection.write_drop_list(f"{folder}/{kind}_under_threshold_{threshold}.txt", dropped)
+            mean, std = models.kept_score(df, [c for c in columns if c not in set(dropped)], config.model, config.params, config.folds)
+            out.append({"score": kind, "threshold": threshold, "kept": len(columns) - len(dropped), "auc_mean": mean, "auc_std": std})
+    return out
+
+
+def greedy_stack(spark: SparkSession, df: DataFrame, config: configs.Config, name: str) -> tuple[float, list[str]]:
+    """Greedy stacking of the predictions in df and of the runs whose scores are above the configuration's threshold."""
+    found = runs_above(spark, config.dataset["output_directory"], config.threshold) if config.threshold and config.dataset.get("output_directory") else []
+    runs = [r for r in (read_run(spark, f) for f in found) if not set(r.columns) - {CLIENT} <= set(df.columns)]
+    score, chosen, result = ensemble.greedy_stacking(stack(df, runs), [c for c in stack(df, runs).columns if c.endswith("_PREDICTION")] or models.features_of(df), config.model, config.params, folds=config.folds)
+    if result is not None:
+        written(result, config, f"{name}_stacking", chosen)
+    return score, chosen
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("task", choices=["train", "null-importance", "blend", "rank-average", "greedy-stack", "colsample", "tune"])
@@ -85,7 +117,8 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--form", default="csv")
     given = parser.parse_args(args)
     spark, config = get_session(), configs.read(given.config)
-    sources = Sources(spark, config.dataset.get("input_directory"), given.form)
+    output = config.dataset.get("output_directory")
+    sources = Sources(spark, config.dataset.get("input_directory"), given.form, cache=config.dataset.get("cache_directory"), runs=Runs(spark, output))
     name = Path(given.config).stem
     if given.task == "train":
         print(json.dumps(train(spark, config, sources, name, given.full_train).trials))
@@ -93,23 +126,23 @@ def main(args: list[str] | None = None) -> None:
     df = assemble(spark, config, sources)
     columns = models.features_of(df)
     if given.task == "null-importance":
-        actual, null = models.null_importance(df, given.runs)
-        for kind, score in (("gain", selection.null_importance_gain), ("corr", selection.null_importance_share)):
-            scores = score(actual, null).cache()
-            for threshold in (99, 95, 90, 80, 70, 60, 50, 40, 30, 20, 10, 0):
-                selection.write_drop_list(f"{kind}_under_threshold_{threshold}.txt", selection.under_threshold(scores, threshold))
-    elif given.task == "blend":
-        print(json.dumps(ensemble.search_power_blend(df, columns, evals=given.evals)))
-    elif given.task == "rank-average":
-        print(json.dumps(ensemble.search_rank_average(df, columns, evals=given.evals)))
+        for row in null_importance(df, config, given.runs):
+            print(json.dumps(row))
+    elif given.task in ("blend", "rank-average"):
+        result, search = (ensemble.blended if given.task == "blend" else ensemble.rank_averaged)(df, columns, given.evals)
+        written(result, config, f"{name}_{given.task}", columns, search)
+        print(json.dumps(result.trials))
     elif given.task == "greedy-stack":
-        print(json.dumps(ensemble.greedy_stacking(df, columns, config.model, config.params, folds=config.folds)[:2]))
+        print(json.dumps(greedy_stack(spark, df, config, name)))
     elif given.task == "colsample":
-        for chosen, result in ensemble.column_samples(df, columns, config.feature_sample_rate, given.runs, model=config.model, params=config.params):
+        for i, (chosen, result) in enumerate(ensemble.column_samples(df, columns, config.feature_sample_rate, given.runs, model=config.model, params=config.params)):
+            written(result, config, f"{name}_colsample{i}", chosen)
             print(json.dumps({"score": result.score, "features": chosen}))
     else:
-        space = {"max_depth": lambda r: r.randint(2, 8), "learning_rate": lambda r: 10 ** r.uniform(-2.5, -0.5), "n_estimators": lambda r: r.randint(10, 60), "subsample": lambda r: r.uniform(0.5, 1.0)}
-        print(json.dumps(ensemble.tune(df, space, config.model, given.evals, folds=config.folds)))
+        score, best, search = ensemble.tune(df, model=config.model, evals=given.evals, fixed=config.params, folds=config.folds)
+        result = models.cross_validate(df, config.model, {**config.params, **best}, folds=config.folds, seed=config.seed, columns=columns)
+        written(result, config, f"{name}_tuned", columns, search)
+        print(json.dumps([score, best]))
 
 
 if __name__ == "__main__":

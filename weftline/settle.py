@@ -13,10 +13,12 @@ SETTING = "spark.checkpoint.dir"
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet below the session's ``spark.checkpoint.dir`` and read again.
 
-    Where none is set, as in tests, a temporary folder of this machine becomes the session's."""
+    Where none is set, a temporary folder of this machine becomes the session's, which only a local master can read."""
     spark = df.sparkSession
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} has to name a folder that the whole cluster shares")
         folder = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set(SETTING, folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

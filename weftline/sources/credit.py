@@ -1,10 +1,12 @@
 """The eight credit tables: readers with declared types, and cleaning of their sentinels.
 
-A table is cleaned by one projection; feature sets are functions of cleaned tables and never change them.
+The type of a CSV column follows from its name, so a read takes no pass to infer it and the parts of a table agree. A
+table is cleaned by one projection; feature sets are functions of cleaned tables and never change them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
@@ -68,6 +70,23 @@ TABLES: dict[str, Table] = {
 }
 
 
+# Names of text columns, by their beginning, whole, and by what they end in.
+TEXT_BEGINS = ("NAME_", "CODE_", "CREDIT_ACTIVE", "CREDIT_CURRENCY", "CREDIT_TYPE", "WEEKDAY_", "PRODUCT_COMBINATION", "CHANNEL_TYPE")
+TEXT_NAMES = (
+    "OCCUPATION_TYPE", "ORGANIZATION_TYPE", "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "FLAG_LAST_APPL_PER_CONTRACT", "STATUS", "FONDKAPREMONT_MODE", "HOUSETYPE_MODE",
+    "WALLSMATERIAL_MODE", "EMERGENCYSTATE_MODE",
+)
+
+
+def declared(name: str) -> T.DataType:
+    """The type of a column of the credit tables: text, whole numbers for keys and the target, else doubles."""
+    if name.startswith(TEXT_BEGINS) or name in TEXT_NAMES:
+        return T.StringType()
+    if name.startswith("SK_ID_"):
+        return T.LongType()
+    return T.IntegerType() if name == TARGET else T.DoubleType()
+
+
 def newest_first(table: str) -> list[Column]:
     return [F.desc_nulls_last(col(c)) for c in TABLES[table].newest_first]
 
@@ -81,30 +100,65 @@ def clean(table: str, df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, folder: str, table: str, schema: T.StructType | None = None, form: str = "csv") -> DataFrame:
     """The cleaned table from folder. Files of several parts are united by name; columns that a part lacks are NULL
-    there, so rows to predict have no target. CSV types are inferred unless a schema is given."""
+    there, so rows to predict have no target. CSV columns have declared types unless a schema is given; only the line of
+    names is read for that."""
     parts = []
     for name in TABLES[table].files:
         path = f"{folder.rstrip('/')}/{name}.{form}"
-        reader = spark.read.schema(schema) if schema else spark.read
-        parts.append(reader.csv(path, header=True, inferSchema=schema is None) if form == "csv" else reader.format(form).load(path))
+        if form != "csv":
+            parts.append((spark.read.schema(schema) if schema else spark.read).format(form).load(path))
+            continue
+        names = schema.names if schema else spark.read.csv(path, header=True).columns
+        parts.append(spark.read.schema(schema or T.StructType([T.StructField(n, declared(n)) for n in names])).csv(path, header=True))
+    return clean(table, united(parts))
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts by column name; a column that a part lacks is NULL there."""
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    return clean(table, out)
+    return out
+
+
+def kept(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What lies at path as Parquet; made and written there first unless a finished write is there."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 class Sources:
-    """Cleaned tables by name, each built once: from a folder, or from DataFrames as given."""
+    """Cleaned tables by name, each built once: from a folder, or from DataFrames as given. With `cache`, a folder, a
+    table read from files is kept there as Parquet, by its name and the state of its files. runs: earlier predictions."""
+
+    def __init__(
+        self, spark: SparkSession, folder: str | None = None, form: str = "csv", tables: dict[str, DataFrame] | None = None, cache: str | None = None, runs=None
+    ) -> None:
+        from .runs import Runs
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, form: str = "csv", tables: dict[str, DataFrame] | None = None) -> None:
-        self.spark, self.folder, self.form = spark, folder, form
+        self.spark, self.folder, self.form, self.cache = spark, folder, form, cache
+        self.runs = runs if runs is not None else Runs(spark)
         self._tables = {name: clean(name, df) for name, df in (tables or {}).items()}
 
+    def fingerprint(self, table: str | None = None) -> str:
+        """The files of a table, or of all, with their sizes and times of change, as a digest."""
+        from .runs import files_below
+
+        names = [f"{n}.{self.form}" for t in ([table] if table else TABLES) for n in TABLES[t].files]
+        state = [files_below(self.spark, f"{self.folder.rstrip('/')}/{n}") for n in names] if self.folder else []
+        return hashlib.sha256(repr((self.form, names, state)).encode()).hexdigest()[:16]
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
             if self.folder is None:
                 raise KeyError(f"no table {name}")
-            self._tables[name] = read(self.spark, self.folder, name, form=self.form)
+            if self.cache:
+                path = f"{self.cache.rstrip('/')}/raw-{name}-{self.fingerprint(name)}"
+                self._tables[name] = kept(self.spark, path, lambda: read(self.spark, self.folder, name, form=self.form))
+            else:
+                self._tables[name] = read(self.spark, self.folder, name, form=self.form)
         return self._tables[name]
 
     @property
@@ -113,9 +167,9 @@ class Sources:
         return self["application"].select(CLIENT, TARGET)
 
 
-def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split(df: DataFrame, target: str = TARGET) -> tuple[DataFrame, DataFrame]:
     """(rows with a target, rows to predict)"""
-    return df.filter(col(TARGET).isNotNull()), df.filter(col(TARGET).isNull())
+    return df.filter(col(target).isNotNull()), df.filter(col(target).isNull())
 
 
 def run_score(folder: str) -> float | None:
