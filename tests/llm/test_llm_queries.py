@@ -64,6 +64,11 @@ def documents(spark, folder):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
 def components(ids, linked):
     label = {i: i for i in ids}
     changed = True
@@ -320,8 +325,8 @@ def test_pipeline(spark, folder):
     found = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     toxic = {r.doc_id: r.predicted for r in queries.op8_toxicity(spark, folder).collect()}
     texts = {d: t for d, t in texts_of(spark, folder).items() if not toxic[d]}
-    fps = {d: brute_fingerprint(t) for d, t in texts.items()}
-    label = components(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2])
+    sets = {d: plain_shingles(t) for d, t in texts.items()}
+    label = components(sets, [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0)])
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     hits = {d: brute_hits(t, items) for d, t in texts.items() if label[d] == d}
     clean = {d for d, (n, h, _) in hits.items() if not (h and 20 * h >= n)}

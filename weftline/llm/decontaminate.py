@@ -21,7 +21,7 @@ PREFIX_WORDS = 5
 LEAST_BITS, MOST_BITS = 16, 26
 ROOM = 64  # bits for each hash, as far as MOST_BITS goes
 PLACES = "array<struct<i:int,m:int,win:array<string>>>"
-BYTE = 7  # bits of a byte that are used, so that it is an ASCII character
+WORD = 64  # bits of a long
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,24 +47,25 @@ def _slot(hashed: Column, bits: int) -> Column:
 
 
 def hash_set(grams: DataFrame, words_: int) -> tuple[Column, int]:
-    """A bit for the hash of the first `words_` words of each of the windows, and the number of bits as a power of two.
-    At most 2 ** MOST_BITS / BYTE rows come to the driver."""
+    """A bit for the hash of the first `words_` words of each of the windows, as an array of longs, and the number of
+    bits as a power of two. At most 2 ** MOST_BITS / 64 rows come to the driver.
+
+    The longs are one text, split and cast, which the optimizer folds to a literal."""
     hashes = grams.select(F.xxhash64(F.slice("window", 1, words_)).alias("h")).distinct()
-    n = hashes.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (ROOM * n).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (ROOM * hashes.count()).bit_length()))
     slot = _slot(F.col("h"), bits)
-    rows = hashes.groupBy((slot / BYTE).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (slot % BYTE).cast("int"))).alias("bits"))
-    held = bytearray((1 << bits) // BYTE + 1)
-    for r in rows.toLocalIterator():
+    rows = hashes.groupBy(F.call_function("shiftright", slot, F.lit(6)).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % WORD).cast("int"))).alias("bits"))
+    held = [0] * max(1, (1 << bits) // WORD)
+    for r in rows.collect():
         held[r["at"]] = r["bits"]
-    return F.lit(bytes(held)), bits
+    return F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>"), bits
 
 
 def _among(set_: tuple[Column, int], hashed: Column) -> Column:
+    """Whether the bit of a hash is set. The lambda binds its place, as the hash would otherwise be computed twice."""
     held, bits = set_
-    slot = _slot(hashed, bits)
-    byte = F.ascii(F.substring(held, (slot / BYTE).cast("int") + 1, F.lit(1)).cast("string"))
-    return F.getbit(byte, (slot % BYTE).cast("int")) == 1
+    bit = lambda s: F.getbit(held[F.call_function("shiftright", s, F.lit(6)).cast("int")], (s % WORD).cast("int")) == 1
+    return F.exists(F.array(_slot(hashed, bits)), bit)
 
 
 def _places(m: int, widest: int, set_: tuple[Column, int]) -> Column:

@@ -39,6 +39,13 @@ def _offsets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], ends[:-1] + 1)), ends
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
+    columns = hashes.view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BITS for i in range(8)])
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Unsigned 64-bit SimHash of the word shingles of text; 0 without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: ASCII letters and spaces only
@@ -52,9 +59,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())],
         dtype=np.uint64,
     )
-    columns = hashes.view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BITS for i in range(8)])
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    return of_hashes(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
