@@ -63,16 +63,32 @@ def encode(
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """All columns of encoded and decoded: the bytes that its ids_le stand for (null ids: no bytes)."""
+def joined(ids: bytes, tokens: list[bytes]) -> bytes:
+    """The bytes of ids_le; ValueError if these aren't whole ids or aren't in the vocabulary."""
+    if len(ids) % 4:
+        raise ValueError(f"{len(ids)} bytes are no whole number of ids")
+    numbers = np.frombuffer(ids, "<u4")
+    if len(numbers) and int(numbers.max()) >= len(tokens):
+        raise ValueError(f"id {int(numbers.max())} isn't in the vocabulary")
+    return b"".join(map(tokens.__getitem__, numbers.tolist()))
+
+
+def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, as_text: bool = False) -> DataFrame:
+    """All columns of encoded and decoded: the bytes that its ids_le stand for (null ids: no bytes).
+
+    as_text: also decoded_text, in which bytes that make no whole character, as where ids were cut inside one, are
+    U+FFFD. ids_le that aren't whole ids of the vocabulary fail with a ValueError."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = token_bytes(vocabulary).__getitem__
+        tokens = token_bytes(vocabulary)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids_le"))
-            made = [b"".join(map(bytes_of, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "decoded"])
+            made = [joined(x.as_buffer().to_pybytes(), tokens) if x.is_valid else b"" for x in ids]
+            out, names = [*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "decoded"]
+            if as_text:
+                out, names = [*out, pa.array([x.decode("utf-8", "replace") for x in made], pa.string())], [*names, "decoded_text"]
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
-    kept = encoded.drop("decoded")
+    kept = encoded.drop("decoded", "decoded_text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, decoded binary")
+    return kept.mapInArrow(run, f"{fields}, decoded binary" + ", decoded_text string" * as_text)

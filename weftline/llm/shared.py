@@ -20,7 +20,8 @@ TEXT_ROWS = 1000
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Rows of whole texts are large: hand them to Python in Arrow batches of at most `rows`."""
+    """Rows of whole texts are large: from now on the session hands rows to Python in Arrow batches of at most `rows`,
+    as queries run after they are made. A smaller number that is set stays."""
     if int(spark.conf.get(ROWS_PER_BATCH)) > rows:
         spark.conf.set(ROWS_PER_BATCH, rows)
 
@@ -41,9 +42,12 @@ def rows_per_batch(spark: SparkSession, rows: int):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one of this machine only where none is set, as in tests."""
+    """The session's shared folder; a temporary one of this machine only where none is set and the master is local, as
+    in tests, since executors elsewhere wouldn't see it."""
     folder = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT} has to name a folder that the whole cluster shares")
         folder = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set(CHECKPOINT, folder)
     return folder.rstrip("/")

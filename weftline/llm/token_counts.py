@@ -30,6 +30,12 @@ def line_starts(text: str) -> list[int]:
     return starts
 
 
+def given_starts(offsets: list[int | None] | None, length: int) -> list[int]:
+    """Where sections begin: the offsets in order, without nulls, repeats and what lies beyond the text; what comes before
+    the first is a section, too."""
+    return sorted({0} | {x for x in offsets or () if x is not None and 0 < x < length})
+
+
 def section_counts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -40,8 +46,8 @@ def section_counts(
 ) -> DataFrame:
     """(id_col, section_no, char_start, char_end, n_tokens, doc_tokens), a row for each section of each document.
 
-    Sections are the lines of the text, or begin at the sorted character offsets of `starts_col` (an array of
-    integers whose first is 0; null or empty: one section). Ends are exclusive. A null text is an empty one: one
+    Sections are the lines of the text, or begin at 0 and the character offsets of `starts_col`, an array of integers
+    in any order, in which nulls, repeats and offsets beyond the text don't count (null or empty: one section). Ends are exclusive. A null text is an empty one: one
     empty section without tokens. Sections without a token's first character have 0 tokens. Rows with equal or
     null ids are documents of their own; other columns aren't read."""
 
@@ -54,10 +60,10 @@ def section_counts(
                 made: list[list[np.ndarray]] = [[] for _ in range(6)]
                 for (row, text, given), ids in zip(block, encoded):
                     text = text or ""
-                    starts = np.array(given or [0] if starts_col else line_starts(text), np.int64)
+                    starts = np.array(given_starts(given, len(text)) if starts_col else line_starts(text), np.int64)
                     of = np.searchsorted(starts, char_starts(text, ids, bpe.token_length), side="right") - 1
                     n = len(starts)
-                    counts = np.bincount(of[of >= 0], minlength=n)
+                    counts = np.bincount(of, minlength=n)
                     ends = np.append(starts[1:], len(text))
                     for out, x in zip(made, (np.full(n, row), np.arange(n), starts, ends, counts, np.full(n, len(ids)))):
                         out.append(x)
