@@ -9,7 +9,8 @@ the weight that makes its probabilities add up to 1, so scores are those of a di
 that is a node decides, by way of shorter ones where it doesn't keep the token. Levels are added until no context
 diverges; nothing else limits depth, contexts or next words, so the tree grows with the corpus.
 
-The tree is never held in one place. Documents are cut into blocks of tokens once, held-out ones too; a block is a file
+The tree is never held in one place. Equal texts are put together first, with the number of their training documents,
+so a text of many copies is read once. Texts are cut into blocks of tokens once, held-out ones too; a block is a file
 of the shared folder, and a table says which file is whose. On each level a block asks for what it needs: its distinct
 contexts and next words, sorted, with its own training counts, packed by ranges of the contexts' hashes ("buckets"). A
 bucket adds up the counts of all blocks, tests its contexts and answers each block in the order of its question, so both
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import math
 import uuid
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,7 +33,7 @@ import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import in_blocks, text_length
@@ -52,9 +52,9 @@ SEED = 42
 END = b""  # no word is empty
 
 
-def held_out(crc: str | None) -> bool:
+def held_out(name: Column) -> Column:
     """crc32 of the id as text, modulo 5, is 1. A null id is held out."""
-    return crc is None or zlib.crc32(crc.encode()) % FOLDS == HELD_OUT
+    return F.coalesce(F.crc32(name.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -122,9 +122,9 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
-#: What a block row holds besides its number and the ids of its documents; each by document, word or token.
-#: lengths: tokens that are held, none once no token of the document is asked for.
-DOCS = {"n_tokens": "<i8", "lengths": "<i8", "held": "|u1", "known": "<i8", "base": "<f8", "added": "<f8"}
+#: What a block holds besides the keys of its documents, which are distinct texts; each by document, word or token.
+#: lengths: tokens that are held, none once no token of the document is asked for; copies: training rows of the text.
+DOCS = {"n_tokens": "<i8", "lengths": "<i8", "copies": "<i8", "known": "<i8", "base": "<f8", "added": "<f8"}
 WORDS = {"words": "<u8", "counts": "<i8"}
 TOKENS = {"local": "<u4", "state": "|u1"}  # state: 1 context asked for on this level, 2 next word, too
 ASKED = {"times": "<i8", "q": "<f4"}  # of tokens with state 1 and 2: the context's count; the probability so far. Not
@@ -140,14 +140,14 @@ class Block:
         self.__dict__.update(arrays)
 
     @classmethod
-    def new(cls, number: int, hashes: np.ndarray, lengths: list[int], held: list[bool]) -> Block:
+    def new(cls, number: int, hashes: np.ndarray, lengths: list[int], copies: list[int]) -> Block:
         words, _, local = distinct(hashes)
         often = np.argsort(-np.bincount(local, minlength=len(words)), kind="stable")  # frequent words get small numbers, which pack well
         place = np.empty(len(words), np.uint32)
         place[often] = np.arange(len(words), dtype=np.uint32)
         docs = len(lengths)
         return cls(
-            number, n_tokens=np.array(lengths, np.int64), lengths=np.array(lengths, np.int64), held=np.array(held, np.uint8), known=np.zeros(docs, np.int64), base=np.zeros(docs), added=np.zeros(docs),
+            number, n_tokens=np.array(lengths, np.int64), lengths=np.array(lengths, np.int64), copies=np.array(copies, np.int64), known=np.zeros(docs, np.int64), base=np.zeros(docs), added=np.zeros(docs),
             words=words[often], counts=np.zeros(len(words), np.int64), local=place[local], state=np.ones(len(hashes), np.uint8),
             times=np.zeros(0, np.int64), q=np.zeros(0, np.float32),
         )
@@ -208,7 +208,7 @@ class Question:
         self.contexts, self.times = contexts, block.times[first]
         pairs = mix(gram, moved(block.words[block.local], depth))[self.followed]
         keys, first, pair_of = distinct(pairs)
-        n = np.bincount(pair_of, 1.0 - block.held[block.doc_of()[self.followed]], len(keys)).astype(np.int64)
+        n = np.bincount(pair_of, block.copies[block.doc_of()[self.followed]], len(keys)).astype(np.int64)
         context = self.context_of[both][first]
         self.is_hot = self.times >= hot
         # pairs of hot contexts come last, by their own keys
@@ -357,12 +357,12 @@ def _begin(block: Block, counts: np.ndarray, total: int, distinct_words: int, mi
 MANIFEST = "block bigint, path string, asks bigint, tokens bigint"
 
 
-def save(folder: str, block: Block, ids: pa.Array) -> dict:
-    """Write a block and the ids of its documents; its row of the manifest."""
+def save(folder: str, block: Block, keys: pa.Array) -> dict:
+    """Write a block and the keys of its documents; its row of the manifest."""
     where, base = fs.FileSystem.from_uri(folder)
     where.create_dir(base, recursive=True)
     path = f"{base}/{uuid.uuid4().hex}.block"
-    made = pa.record_batch({"ids": ids} | {k: pa.array([v], pa.binary()) for k, v in block.row().items()})
+    made = pa.record_batch({"keys": pa.array([keys.to_pylist()], pa.list_(pa.string()))} | {k: pa.array([v], pa.binary()) for k, v in block.row().items()})
     with where.open_output_stream(path) as out, pa.ipc.new_stream(out, made.schema) as stream:
         stream.write_batch(made)
     return {"block": block.number, "path": path, "asks": int(np.count_nonzero(block.state)), "tokens": len(block.local)}
@@ -372,7 +372,7 @@ def load(folder: str, number: int, path: str) -> tuple[Block, pa.Array]:
     where, _ = fs.FileSystem.from_uri(folder)
     with where.open_input_stream(path) as source, pa.ipc.open_stream(source) as stream:
         made = stream.read_next_batch()
-    return Block.of_row({"block": number, **{k: made.column(k)[0].as_py() for k in FIELDS}}), made.column("ids")
+    return Block.of_row({"block": number, **{k: made.column(k)[0].as_py() for k in FIELDS}}), made.column("keys")[0].values
 
 
 def _manifest(rows: list[dict]) -> pa.Table:
@@ -380,41 +380,39 @@ def _manifest(rows: list[dict]) -> pa.Table:
     return pa.table({k: pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()})
 
 
-def blocks(docs: DataFrame, folder: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The manifest of the blocks of docs (id, crc, text). A document is never split, so a block has at least one."""
+def blocks(texts: DataFrame, folder: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The manifest of the blocks of texts (key, copies, text). A text is never split, so a block has at least one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, number = Hashes(), TaskContext.get().partitionId() << 33
         hashes: list[np.ndarray] = []
         lengths: list[int] = []
-        held: list[bool] = []
-        ids: list = []
+        copies: list[int] = []
+        keys: list[str] = []
         size = 0
 
-        def flush(id_type: pa.DataType) -> pa.RecordBatch:
+        def flush() -> pa.RecordBatch:
             nonlocal number, size
-            made = save(folder, Block.new(number, np.concatenate(hashes), lengths, held), pa.array([ids], pa.list_(id_type)))
+            made = save(folder, Block.new(number, np.concatenate(hashes), lengths, copies), pa.array(keys, pa.string()))
             number, size = number + 1, 0
-            for x in (hashes, lengths, held, ids):
+            for x in (hashes, lengths, copies, keys):
                 x.clear()
             return _manifest([made]).to_batches()[0]
 
-        id_type = None
         for batch in batches:
-            id_type = batch.schema.field(0).type
             for rows in in_blocks(list(zip(*(c.to_pylist() for c in batch.columns))), lambda r: text_length(r[2])):
                 cut = [tokens(text) for _, _, text in rows]
-                ids += [r[0] for r in rows]
-                held += [held_out(r[1]) for r in rows]
+                keys += [r[0] for r in rows]
+                copies += [r[1] for r in rows]
                 lengths += map(len, cut)
                 hashes.append(cache.of([w for t in cut for w in t]))
                 size += len(hashes[-1])
                 if size >= block_tokens:
-                    yield flush(id_type)
-        if ids:
-            yield flush(id_type)
+                    yield flush()
+        if keys:
+            yield flush()
 
-    return materialize(docs.mapInArrow(run, MANIFEST), "blocks")
+    return materialize(texts.mapInArrow(run, MANIFEST), "blocks")
 
 
 def spread(held: DataFrame) -> DataFrame:
@@ -443,7 +441,7 @@ def count_words(held: DataFrame, folder: str, buckets: int) -> DataFrame:
         for batch in batches:
             for row in _rows(batch):
                 block, _ = load(folder, row["block"], row["path"])
-                n = np.bincount(block.local, 1.0 - block.held[block.doc_of()], len(block.words)).astype(np.int64)
+                n = np.bincount(block.local, block.copies[block.doc_of()], len(block.words)).astype(np.int64)
                 order = np.argsort(block.words)
                 keys, n = block.words[order], n[order]
                 cut = np.concatenate(([0], np.searchsorted(keys, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)), [len(keys)]))
@@ -518,9 +516,9 @@ def told(held: DataFrame, parts: list[DataFrame], folder: str, apply) -> DataFra
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(_rows(table), key=lambda r: r["bucket"])
-        block, ids = load(folder, rows[0]["block"], rows[0]["path"])
+        block, keys = load(folder, rows[0]["block"], rows[0]["path"])
         apply(block, rows)
-        return _manifest([save(folder, block, ids)])
+        return _manifest([save(folder, block, keys)])
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, _ = fs.FileSystem.from_uri(folder)
@@ -541,12 +539,12 @@ def _joined(rows: list[dict], field: str, kind: str) -> np.ndarray:
     return np.concatenate([unpack(r[field], kind) for r in rows] or [np.zeros(0, kind)])
 
 
-def grown(docs: DataFrame, min_gain: float = MIN_GAIN, block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, hot: int | None = None) -> tuple[DataFrame, str, int]:
-    """The manifest of the blocks of docs (id, crc, text) once all levels are done, their folder, and the number of
+def grown(texts: DataFrame, min_gain: float = MIN_GAIN, block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, hot: int | None = None) -> tuple[DataFrame, str, int]:
+    """The manifest of the blocks of texts (key, copies, text) once all levels are done, their folder, and the number of
     training tokens."""
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     folder = new_path(spark, "blocks")
-    held = blocks(docs, folder, block_tokens)
+    held = blocks(texts, folder, block_tokens)
     size = held.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     buckets = max(1, -(-size // bucket_tokens))
     answers = count_words(held, folder, buckets)
@@ -588,17 +586,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     Scores are log10 probabilities of the text with its end. A null or empty text is the end alone. A null id is
     held out; repeated ids are rows of their own. Without training rows every probability is 1. Other columns aren't
     read. No rows give no rows."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("string").alias("crc"), F.col(text_col).alias("text"))
-    held, folder, total = grown(rows, **options)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("out"), F.md5(text.cast("binary")).alias("key"), text.alias("text"))
+    texts = rows.groupBy("key").agg(F.sum(F.when(F.col("out"), 0).otherwise(1)).alias("copies"), F.first("text").alias("text"))
+    held, folder, total = grown(texts, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                block, ids = load(folder, row["block"], row["path"])
-                score_ = block.base + block.added / math.log(10)
-                made = [ids[0].values, pa.array(block.held == 1), *(pa.array(x) for x in (block.n_tokens, block.known, block.base, score_))]
-                yield pa.RecordBatch.from_arrays(made, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    out = spread(held).mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+                block, keys = load(folder, row["block"], row["path"])
+                made = [keys, *(pa.array(x) for x in (block.n_tokens, block.known, block.base, block.base + block.added / math.log(10)))]
+                yield pa.RecordBatch.from_arrays(made, names=["key", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = spread(held).mapInArrow(run, "key string, n_tokens bigint, n_known bigint, base_score double, score double")
+    return rows.select("id", "out", "key").join(scored, "key").select(
+        F.col("id").alias(id_col), F.col("out").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score"
+    )
