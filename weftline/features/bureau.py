@@ -69,7 +69,7 @@ def open_solution(sources, conf) -> DataFrame:
 
 
 def month_history(months: DataFrame, vocab: dict[str, list[str]]) -> DataFrame:
-    """One row for each loan: what the reference's broadcast of loan values to month rows aggregates to.
+    """One row for each loan: statistics over its month rows, on which the loan's own values are repeated.
 
     A loan's own values are the same on all its rows, so their minimum, maximum are the value itself."""
     month = col("MONTHS_BALANCE")

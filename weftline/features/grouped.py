@@ -11,17 +11,32 @@ from ..sources.credit import CLIENT
 from . import feature
 
 FIVE = ("mean", "min", "max", "sum", "var")
+# Columns of each source.
 CHILD_RECIPES = {
-    "Bureau": ("bureau", "AMT_ANNUITY AMT_CREDIT_SUM AMT_CREDIT_SUM_DEBT AMT_CREDIT_SUM_LIMIT AMT_CREDIT_SUM_OVERDUE AMT_CREDIT_MAX_OVERDUE CNT_CREDIT_PROLONG CREDIT_DAY_OVERDUE DAYS_CREDIT DAYS_CREDIT_ENDDATE DAYS_CREDIT_UPDATE"),
-    "PreviousApplication": ("previous_application", "AMT_ANNUITY AMT_APPLICATION AMT_CREDIT AMT_DOWN_PAYMENT AMT_GOODS_PRICE CNT_PAYMENT DAYS_DECISION HOUR_APPR_PROCESS_START RATE_DOWN_PAYMENT"),
-    "PosCash": ("pos_cash", "MONTHS_BALANCE SK_DPD SK_DPD_DEF"),
-    "InstallmentsPayments": ("installments", "AMT_INSTALMENT AMT_PAYMENT DAYS_ENTRY_PAYMENT DAYS_INSTALMENT NUM_INSTALMENT_NUMBER NUM_INSTALMENT_VERSION"),
-    "CreditCardBalance": ("credit_card", "AMT_BALANCE AMT_CREDIT_LIMIT_ACTUAL AMT_DRAWINGS_ATM_CURRENT AMT_DRAWINGS_CURRENT AMT_DRAWINGS_OTHER_CURRENT AMT_DRAWINGS_POS_CURRENT AMT_PAYMENT_CURRENT CNT_DRAWINGS_ATM_CURRENT CNT_DRAWINGS_CURRENT CNT_DRAWINGS_OTHER_CURRENT CNT_INSTALMENT_MATURE_CUM MONTHS_BALANCE SK_DPD SK_DPD_DEF"),
+    "Bureau": ("bureau", (
+        "AMT_ANNUITY", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM_LIMIT", "AMT_CREDIT_SUM_OVERDUE", "AMT_CREDIT_MAX_OVERDUE",
+        "CNT_CREDIT_PROLONG", "CREDIT_DAY_OVERDUE", "DAYS_CREDIT", "DAYS_CREDIT_ENDDATE", "DAYS_CREDIT_UPDATE",
+    )),
+    "PreviousApplication": ("previous_application", (
+        "AMT_ANNUITY", "AMT_APPLICATION", "AMT_CREDIT", "AMT_DOWN_PAYMENT", "AMT_GOODS_PRICE", "CNT_PAYMENT", "DAYS_DECISION",
+        "HOUR_APPR_PROCESS_START", "RATE_DOWN_PAYMENT",
+    )),
+    "PosCash": ("pos_cash", (
+        "MONTHS_BALANCE", "SK_DPD", "SK_DPD_DEF",
+    )),
+    "InstallmentsPayments": ("installments", (
+        "AMT_INSTALMENT", "AMT_PAYMENT", "DAYS_ENTRY_PAYMENT", "DAYS_INSTALMENT", "NUM_INSTALMENT_NUMBER", "NUM_INSTALMENT_VERSION",
+    )),
+    "CreditCardBalance": ("credit_card", (
+        "AMT_BALANCE", "AMT_CREDIT_LIMIT_ACTUAL", "AMT_DRAWINGS_ATM_CURRENT", "AMT_DRAWINGS_CURRENT", "AMT_DRAWINGS_OTHER_CURRENT",
+        "AMT_DRAWINGS_POS_CURRENT", "AMT_PAYMENT_CURRENT", "CNT_DRAWINGS_ATM_CURRENT", "CNT_DRAWINGS_CURRENT", "CNT_DRAWINGS_OTHER_CURRENT",
+        "CNT_INSTALMENT_MATURE_CUM", "MONTHS_BALANCE", "SK_DPD", "SK_DPD_DEF",
+    )),
 }
 
 
 def child_recipes(source: str) -> list[Agg]:
-    pairs = [(c, f) for f in FIVE for c in CHILD_RECIPES[source][1].split()]
+    pairs = [(c, f) for f in FIVE for c in CHILD_RECIPES[source][1]]
     first = [("CREDIT_TYPE", "count"), ("CREDIT_ACTIVE", "size")] if source == "Bureau" else []
     return group_recipes(source, [CLIENT], first + pairs)
 
@@ -35,29 +50,34 @@ def _child(source: str):
 for _source in CHILD_RECIPES:
     _child(_source)
 
-_COLUMNS = "AMT_CREDIT AMT_ANNUITY AMT_INCOME_TOTAL AMT_GOODS_PRICE EXT_SOURCE_1 EXT_SOURCE_2 EXT_SOURCE_3 OWN_CAR_AGE REGION_POPULATION_RELATIVE DAYS_REGISTRATION CNT_CHILDREN CNT_FAM_MEMBERS DAYS_ID_PUBLISH DAYS_BIRTH DAYS_EMPLOYED".split()
+# Columns of the client table.
+_COLUMNS = (
+    "AMT_CREDIT", "AMT_ANNUITY", "AMT_INCOME_TOTAL", "AMT_GOODS_PRICE", "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3", "OWN_CAR_AGE",
+    "REGION_POPULATION_RELATIVE", "DAYS_REGISTRATION", "CNT_CHILDREN", "CNT_FAM_MEMBERS", "DAYS_ID_PUBLISH", "DAYS_BIRTH", "DAYS_EMPLOYED",
+)
 _ALL = [(c, f) for c in _COLUMNS for f in ("min", "mean", "max", "sum", "var")]
 
 
-def _means(columns: str) -> list[tuple[str, str]]:
-    return [(c, "mean") for c in columns.split()]
+def _means(*columns: str) -> list[tuple[str, str]]:
+    return [(c, "mean") for c in columns]
 
 
+# Keys of groups, and what is taken of each.
 APPLICATION_RECIPES: list[tuple[list[str], list[tuple[str, str]]]] = [
     (["NAME_EDUCATION_TYPE", "CODE_GENDER"], _ALL),
     (["NAME_FAMILY_STATUS", "NAME_EDUCATION_TYPE"], _ALL),
     (["NAME_FAMILY_STATUS", "CODE_GENDER"], _ALL),
-    (["CODE_GENDER", "ORGANIZATION_TYPE"], _means("AMT_ANNUITY AMT_INCOME_TOTAL DAYS_REGISTRATION EXT_SOURCE_1")),
-    (["CODE_GENDER", "REG_CITY_NOT_WORK_CITY"], _means("AMT_ANNUITY CNT_CHILDREN DAYS_ID_PUBLISH")),
-    (["CODE_GENDER", "NAME_EDUCATION_TYPE", "OCCUPATION_TYPE", "REG_CITY_NOT_WORK_CITY"], _means("EXT_SOURCE_1 EXT_SOURCE_2")),
+    (["CODE_GENDER", "ORGANIZATION_TYPE"], _means("AMT_ANNUITY", "AMT_INCOME_TOTAL", "DAYS_REGISTRATION", "EXT_SOURCE_1")),
+    (["CODE_GENDER", "REG_CITY_NOT_WORK_CITY"], _means("AMT_ANNUITY", "CNT_CHILDREN", "DAYS_ID_PUBLISH")),
+    (["CODE_GENDER", "NAME_EDUCATION_TYPE", "OCCUPATION_TYPE", "REG_CITY_NOT_WORK_CITY"], _means("EXT_SOURCE_1", "EXT_SOURCE_2")),
     (
         ["NAME_EDUCATION_TYPE", "OCCUPATION_TYPE"],
-        _means("AMT_CREDIT AMT_REQ_CREDIT_BUREAU_YEAR APARTMENTS_AVG BASEMENTAREA_AVG EXT_SOURCE_1 EXT_SOURCE_2 EXT_SOURCE_3 NONLIVINGAREA_AVG OWN_CAR_AGE YEARS_BUILD_AVG"),
+        _means("AMT_CREDIT", "AMT_REQ_CREDIT_BUREAU_YEAR", "APARTMENTS_AVG", "BASEMENTAREA_AVG", "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3", "NONLIVINGAREA_AVG", "OWN_CAR_AGE", "YEARS_BUILD_AVG"),
     ),
-    (["NAME_EDUCATION_TYPE", "OCCUPATION_TYPE", "REG_CITY_NOT_WORK_CITY"], _means("ELEVATORS_AVG EXT_SOURCE_1")),
+    (["NAME_EDUCATION_TYPE", "OCCUPATION_TYPE", "REG_CITY_NOT_WORK_CITY"], _means("ELEVATORS_AVG", "EXT_SOURCE_1")),
     (
         ["OCCUPATION_TYPE"],
-        _means("AMT_ANNUITY CNT_CHILDREN CNT_FAM_MEMBERS DAYS_BIRTH DAYS_EMPLOYED DAYS_ID_PUBLISH DAYS_REGISTRATION EXT_SOURCE_1 EXT_SOURCE_2 EXT_SOURCE_3"),
+        _means("AMT_ANNUITY", "CNT_CHILDREN", "CNT_FAM_MEMBERS", "DAYS_BIRTH", "DAYS_EMPLOYED", "DAYS_ID_PUBLISH", "DAYS_REGISTRATION", "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"),
     ),
 ]
 

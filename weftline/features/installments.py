@@ -12,6 +12,7 @@ from . import feature, vocab_of
 from .bureau import SIX
 from .pos_cash import of_last_loan
 
+# Columns, statistics, periods and pairs of periods that name the features.
 NUMERIC = {
     "NUM_INSTALMENT_VERSION": ["nunique"],
     "DPD": ["max", "mean", "sum"],

@@ -15,14 +15,22 @@ from ..nulls import col
 from ..settle import settle
 
 RANGES = 64
+IN_RANGE = 1_000_000
+
+
+def ranges_for(distinct: int, ranges: int = RANGES) -> int:
+    """Ranges of about IN_RANGE distinct values, `ranges` at least."""
+    return max(ranges, -(-distinct // IN_RANGE))
 
 
 def value_ranks(df: DataFrame, value: Column, extra: dict[str, Column] | None = None, ranges: int = RANGES) -> DataFrame:
     """(v, n, below, extra sums): each distinct value with its rows and the rows of smaller values.
 
-    Values are dealt to ranges by approximate quantiles; a running sum within each range starts from the sum of the
-    ranges below it, which are few."""
+    Distinct values are written once and dealt to ranges by approximate quantiles; a running sum within each range
+    starts from the sum of the ranges below it, which are few."""
     values = df.filter(value.isNotNull()).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in (extra or {}).items()])
+    values = settle(values, "values")
+    ranges = ranges_for(values.count(), ranges)
     shares = [i / ranges for i in range(1, ranges)]
     bounds = sorted(set(values.agg(F.percentile_approx("v", shares, 10 * ranges)).first()[0] or []))
     sorted_ = values.withColumn("r", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("v"))) if bounds else F.lit(0))
@@ -86,6 +94,7 @@ def class_comparison(df: DataFrame, flag: str, columns: list[str], ranges: int =
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), col(c).cast("double").alias("x")) for i, c in enumerate(columns)]))
     tall = df.filter(col(flag).isNotNull()).select(col(flag).cast("bigint").alias("f"), cells.alias("cell")).select("f", "cell.c", "cell.x").filter("x is not null")
     values = settle(tall.groupBy("c", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("n1")), "values")
+    ranges = ranges_for(values.count() // max(1, len(columns)), ranges)
     bounds = values.groupBy("c").agg(F.array_distinct(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 10 * ranges)).alias("bounds"))
     placed = values.join(F.broadcast(bounds), "c").select("c", "x", "n", "n1", F.size(F.filter("bounds", lambda b: b <= F.col("x"))).alias("r"))
     sizes = placed.groupBy("c", "r").agg(F.sum("n").alias("size"), F.sum("n1").alias("size1"))

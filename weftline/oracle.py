@@ -25,15 +25,34 @@ from .sources.runs import prediction_column
 #: Added before results are rounded to four digits.
 OFF_TIES = 0.0000027
 
-# Columns of each view, in order.
+# Columns of each view, in order.
 COLUMNS = {
-    "bureau": "SK_ID_CURR SK_ID_BUREAU CREDIT_ACTIVE CREDIT_CURRENCY CREDIT_TYPE DAYS_CREDIT DAYS_CREDIT_ENDDATE DAYS_ENDDATE_FACT DAYS_CREDIT_UPDATE CREDIT_DAY_OVERDUE CNT_CREDIT_PROLONG AMT_CREDIT_SUM AMT_CREDIT_SUM_DEBT AMT_CREDIT_SUM_LIMIT AMT_CREDIT_SUM_OVERDUE AMT_CREDIT_MAX_OVERDUE AMT_ANNUITY",
-    "previous_application": "SK_ID_CURR SK_ID_PREV NAME_CONTRACT_TYPE NAME_CONTRACT_STATUS CODE_REJECT_REASON NAME_CLIENT_TYPE AMT_ANNUITY AMT_APPLICATION AMT_CREDIT AMT_DOWN_PAYMENT AMT_GOODS_PRICE RATE_DOWN_PAYMENT CNT_PAYMENT HOUR_APPR_PROCESS_START DAYS_DECISION SELLERPLACE_AREA DAYS_FIRST_DRAWING DAYS_FIRST_DUE DAYS_LAST_DUE_1ST_VERSION DAYS_LAST_DUE DAYS_TERMINATION",
-    "pos_cash": "SK_ID_CURR SK_ID_PREV MONTHS_BALANCE CNT_INSTALMENT CNT_INSTALMENT_FUTURE SK_DPD SK_DPD_DEF NAME_CONTRACT_STATUS",
-    "credit_card": "SK_ID_CURR SK_ID_PREV AMT_BALANCE AMT_CREDIT_LIMIT_ACTUAL AMT_DRAWINGS_ATM_CURRENT AMT_DRAWINGS_CURRENT AMT_DRAWINGS_OTHER_CURRENT AMT_DRAWINGS_POS_CURRENT AMT_INST_MIN_REGULARITY AMT_PAYMENT_CURRENT AMT_PAYMENT_TOTAL_CURRENT AMT_RECEIVABLE_PRINCIPAL AMT_RECIVABLE AMT_TOTAL_RECEIVABLE CNT_DRAWINGS_ATM_CURRENT CNT_DRAWINGS_OTHER_CURRENT CNT_DRAWINGS_POS_CURRENT CNT_INSTALMENT_MATURE_CUM CNT_DRAWINGS_CURRENT MONTHS_BALANCE SK_DPD SK_DPD_DEF NAME_CONTRACT_STATUS",
-    "installments": "SK_ID_CURR SK_ID_PREV NUM_INSTALMENT_VERSION NUM_INSTALMENT_NUMBER DAYS_INSTALMENT DAYS_ENTRY_PAYMENT AMT_INSTALMENT AMT_PAYMENT",
+    "bureau": [
+        "SK_ID_CURR", "SK_ID_BUREAU", "CREDIT_ACTIVE", "CREDIT_CURRENCY", "CREDIT_TYPE", "DAYS_CREDIT", "DAYS_CREDIT_ENDDATE", "DAYS_ENDDATE_FACT",
+        "DAYS_CREDIT_UPDATE", "CREDIT_DAY_OVERDUE", "CNT_CREDIT_PROLONG", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM_LIMIT",
+        "AMT_CREDIT_SUM_OVERDUE", "AMT_CREDIT_MAX_OVERDUE", "AMT_ANNUITY",
+    ],
+    "previous_application": [
+        "SK_ID_CURR", "SK_ID_PREV", "NAME_CONTRACT_TYPE", "NAME_CONTRACT_STATUS", "CODE_REJECT_REASON", "NAME_CLIENT_TYPE", "AMT_ANNUITY",
+        "AMT_APPLICATION", "AMT_CREDIT", "AMT_DOWN_PAYMENT", "AMT_GOODS_PRICE", "RATE_DOWN_PAYMENT", "CNT_PAYMENT", "HOUR_APPR_PROCESS_START",
+        "DAYS_DECISION", "SELLERPLACE_AREA", "DAYS_FIRST_DRAWING", "DAYS_FIRST_DUE", "DAYS_LAST_DUE_1ST_VERSION", "DAYS_LAST_DUE",
+        "DAYS_TERMINATION",
+    ],
+    "pos_cash": [
+        "SK_ID_CURR", "SK_ID_PREV", "MONTHS_BALANCE", "CNT_INSTALMENT", "CNT_INSTALMENT_FUTURE", "SK_DPD", "SK_DPD_DEF", "NAME_CONTRACT_STATUS",
+    ],
+    "credit_card": [
+        "SK_ID_CURR", "SK_ID_PREV", "AMT_BALANCE", "AMT_CREDIT_LIMIT_ACTUAL", "AMT_DRAWINGS_ATM_CURRENT", "AMT_DRAWINGS_CURRENT",
+        "AMT_DRAWINGS_OTHER_CURRENT", "AMT_DRAWINGS_POS_CURRENT", "AMT_INST_MIN_REGULARITY", "AMT_PAYMENT_CURRENT", "AMT_PAYMENT_TOTAL_CURRENT",
+        "AMT_RECEIVABLE_PRINCIPAL", "AMT_RECIVABLE", "AMT_TOTAL_RECEIVABLE", "CNT_DRAWINGS_ATM_CURRENT", "CNT_DRAWINGS_OTHER_CURRENT",
+        "CNT_DRAWINGS_POS_CURRENT", "CNT_INSTALMENT_MATURE_CUM", "CNT_DRAWINGS_CURRENT", "MONTHS_BALANCE", "SK_DPD", "SK_DPD_DEF",
+        "NAME_CONTRACT_STATUS",
+    ],
+    "installments": [
+        "SK_ID_CURR", "SK_ID_PREV", "NUM_INSTALMENT_VERSION", "NUM_INSTALMENT_NUMBER", "DAYS_INSTALMENT", "DAYS_ENTRY_PAYMENT", "AMT_INSTALMENT",
+        "AMT_PAYMENT",
+    ],
 }
-COLUMNS = {k: v.split() for k, v in COLUMNS.items()}
 
 CLEANING = {
     "application": "nullif(CODE_GENDER, 'XNA') as CODE_GENDER, nullif(DAYS_EMPLOYED, 365243) as DAYS_EMPLOYED, nullif(DAYS_LAST_PHONE_CHANGE, 0) as DAYS_LAST_PHONE_CHANGE, nullif(NAME_FAMILY_STATUS, 'Unknown') as NAME_FAMILY_STATUS, nullif(ORGANIZATION_TYPE, 'XNA') as ORGANIZATION_TYPE",
