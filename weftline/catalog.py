@@ -24,13 +24,18 @@ TABLE_OF = {
 
 def rounded(df: DataFrame, key: str = CLIENT, digits: int = 4) -> DataFrame:
     """Numbers as doubles rounded up from just below the half: shares of small counts often lie at a half exactly,
-    where sums in another order would round either way."""
-    return df.select(
-        *[
-            (F.round(col(f.name).cast("double") + F.lit(oracle.OFF_TIES), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.NumericType) and f.name != key else col(f.name)
-            for f in df.schema
-        ]
-    )
+    where sums in another order would round either way. Variances of keys keep their first six digits."""
+
+    def made(f: T.StructField):
+        if not isinstance(f.dataType, T.NumericType) or f.name == key:
+            return col(f.name)
+        x = col(f.name).cast("double")
+        if oracle.is_id_variance(f.name):
+            scale = F.pow(F.lit(10.0), F.floor(F.log10(x)) - (oracle.ID_DIGITS - 1))
+            return F.when(x < 1e-6, 0.0).when(x.isNotNull(), F.round(x * oracle.OFF_ID_TIES / scale) * scale).alias(f.name)
+        return (F.round(x + F.lit(oracle.OFF_TIES), digits) + F.lit(0.0)).alias(f.name)
+
+    return df.select(*map(made, df.schema))
 
 
 def vocabulary_of(name: str) -> dict:
@@ -43,7 +48,7 @@ def vocabulary_of(name: str) -> dict:
 def _feature_set(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = features.build(name, sources(spark, sf_dir), {"vocabulary": vocabulary_of(name)})
-        return rounded(made.select(*[col(c) for c in made.columns if not oracle.is_id_variance(c)]))
+        return rounded(made)
 
     query.__name__ = f"feature_set_{name}"
     return query

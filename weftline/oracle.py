@@ -24,6 +24,8 @@ from .sources.runs import prediction_column
 
 #: Added before results are rounded to four digits.
 OFF_TIES = 0.0000027
+#: Variances of keys are large and depend in their last digits on the order of summation: they are compared by digits.
+ID_DIGITS, OFF_ID_TIES = 6, 1.000000001
 
 # Columns of each view, in order.
 COLUMNS = {
@@ -78,6 +80,9 @@ def duck_expr(expr: str) -> str:
 
 
 def number(sql: str, name: str) -> str:
+    if is_id_variance(name):  # six significant digits
+        scale = f"power(10, floor(log10({sql})) - {ID_DIGITS - 1})"
+        return f"case when {sql} < 1e-6 then 0.0 when {sql} is not null then round({sql} * {OFF_ID_TIES} / {scale}) * {scale} end as {quoted(name)}"
     return f"round(cast({sql} as double) + {OFF_TIES}, 4) + 0.0 as {quoted(name)}"
 
 
@@ -195,15 +200,10 @@ def bureau_antonova() -> str:
     aggs = []
     for prefix, where in (("BURO_", None), ("ACTIVE_", ACTIVE), ("CLOSED_", CLOSED)):
         aggs += recipes(prefix, {c: SIX for c in numeric}, where) + [Agg(f"{prefix}{n}_MEAN", "mean", where=where, expr=e) for n, e in dummies(loans).items()]
-    return aggregate(frm, but_id_variance(aggs))
-
-
-def but_id_variance(aggs: list[Agg]) -> list[Agg]:
-    return [a for a in aggs if not is_id_variance(a.name)]
+    return aggregate(frm, aggs)
 
 
 def is_id_variance(name: str) -> bool:
-    """Variances of keys, whose last digits depend on the order of summation."""
     return "SK_ID_" in name and name.endswith("_VAR")
 
 
@@ -246,7 +246,7 @@ def previous_antonova() -> str:
     aggs = []
     for prefix, where in (("PREV_", None), ("APPROVED_", APPROVED), ("REFUSED_", REFUSED)):
         aggs += recipes(prefix, {c: SIX for c in numeric}, where) + [Agg(f"{prefix}{n}_MEAN", "mean", where=where, expr=e) for n, e in dummies(vocab).items()]
-    return aggregate(frm, but_id_variance(aggs))
+    return aggregate(frm, aggs)
 
 
 def pos_cash() -> str:
@@ -278,7 +278,7 @@ def pos_antonova() -> str:
     name = "pos CNT_INSTALMENT more CNT_INSTALMENT_FUTURE"
     frm = f"(select *, case when CNT_INSTALMENT > CNT_INSTALMENT_FUTURE then 1 else 0 end as {quoted(name)} from {clean})"
     numeric = [c for c in COLUMNS["pos_cash"] if c not in vocab] + [name]
-    return aggregate(frm, but_id_variance(recipes("POS_", {c: SIX for c in numeric}) + shares(vocab, "POS_") + [Agg("POS_COUNT", "size")]))
+    return aggregate(frm, recipes("POS_", {c: SIX for c in numeric}) + shares(vocab, "POS_") + [Agg("POS_COUNT", "size")])
 
 
 def installments() -> str:
@@ -320,7 +320,7 @@ def installments_antonova() -> str:
         "ins AMT_PAYMENT / AMT_INSTALMENT": ratio("AMT_PAYMENT", "AMT_INSTALMENT"),
     }
     frm = f"(select *, {', '.join(f'{e} as {quoted(n)}' for n, e in made.items())} from {clean})"
-    return aggregate(frm, but_id_variance(recipes("INS_", {c: SIX for c in COLUMNS["installments"] + list(made)}) + [Agg("INSTAL_COUNT", "size")]))
+    return aggregate(frm, recipes("INS_", {c: SIX for c in COLUMNS["installments"] + list(made)}) + [Agg("INSTAL_COUNT", "size")])
 
 
 def credit_card() -> str:
@@ -355,7 +355,7 @@ def credit_card_antonova() -> str:
     made = {"card missing": " + ".join(f"cast({c} is null as int)" for c in columns)} | {f"card {a} - {b}": f"{a} - {b}" for a, b in CARD_DIFFERENCES}
     frm = f"(select *, {', '.join(f'{e} as {quoted(n)}' for n, e in made.items())} from {clean})"
     numeric = [c for c in columns if c not in vocab] + list(made)
-    return aggregate(frm, but_id_variance(recipes("CARD_", {c: SIX for c in numeric}) + shares(vocab, "CARD_") + [Agg("CARD_COUNT", "size")]))
+    return aggregate(frm, recipes("CARD_", {c: SIX for c in numeric}) + shares(vocab, "CARD_") + [Agg("CARD_COUNT", "size")])
 
 
 def child_groups(name: str) -> str:
