@@ -196,16 +196,33 @@ class Block:
         return out
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Equal ranges of hashes."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's run of sorted keys begins, and the end of the last."""
+    edges = np.array([-(-(i << 32) // buckets) << 32 for i in range(1, buckets)], np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+
+
 class Question:
-    """A block's distinct contexts and next words of one level, sorted so that each bucket's are together."""
+    """A block's distinct contexts and next words of one level, sorted so that each bucket's are together; or what of
+    them is for the buckets of a turn."""
 
-    def __init__(self, block: Block, depth: int, buckets: int, hot: float) -> None:
+    def __init__(self, block: Block, depth: int, buckets: int, hot: float, turn: int = 0, turns: int = 1) -> None:
         self.asked = np.flatnonzero(block.state)
+        self.buckets, self.turn, self.turns = buckets, turn, turns
         both = block.state[self.asked] == 2
-        self.followed = self.asked[both]
         gram = block.grams(depth)
-        contexts, first, self.context_of = distinct(moved(gram, 1)[self.asked])
-        self.contexts, self.times = contexts, block.times[first]
+        context, times, q = moved(gram, 1)[self.asked], block.times, block.q
+        if turns > 1:  # of hot contexts all next words, as these have buckets of their own
+            mine = (bucket_of(context, buckets) % turns == turn) | (times >= hot)
+            self.asked, context, times, q, both = self.asked[mine], context[mine], times[mine], q[mine[both]], both[mine]
+        self.followed = self.asked[both]
+        contexts, first, self.context_of = distinct(context)
+        self.contexts, self.times = contexts, times[first]
         pairs = mix(gram, moved(block.words[block.local], depth))[self.followed]
         keys, first, pair_of = distinct(pairs)
         n = np.bincount(pair_of, block.copies[block.doc_of()[self.followed]], len(keys)).astype(np.int64)
@@ -216,26 +233,24 @@ class Question:
         back = np.empty(len(keys), np.int64)
         back[order] = np.arange(len(keys))
         self.pair_of = back[pair_of]
-        self.keys, self.n, self.q, self.context = keys[order], n[order], block.q[first][order], context[order]
-        self.buckets = buckets
-
-    def cuts(self, keys: np.ndarray) -> np.ndarray:
-        """Where each bucket's run of sorted keys begins, and the end of the last."""
-        edges = np.array([(i << 64) // self.buckets for i in range(1, self.buckets)], np.uint64)
-        return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+        self.keys, self.n, self.q, self.context = keys[order], n[order], q[first][order], context[order]
 
     def parts(self) -> Iterator[tuple[int, dict]]:
         """(bucket, arrays); buckets from `buckets` on hold hot contexts, whose keys stand beside each pair."""
         cold = int(np.count_nonzero(~self.is_hot[self.context]))
         many = np.bincount(self.context[:cold], minlength=len(self.contexts))
         pair_at = np.concatenate(([0], np.cumsum(many)))
-        cut = self.cuts(self.contexts)
+        cut = bucket_cuts(self.contexts, self.buckets)
         for bucket in np.flatnonzero(np.diff(cut)).tolist():
+            if bucket % self.turns != self.turn:
+                continue
             a, b = cut[bucket : bucket + 2]
             x, y = pair_at[a], pair_at[b]
             yield bucket, {"contexts": self.contexts[a:b], "times": self.times[a:b], "many": many[a:b], "keys": self.keys[x:y], "n": self.n[x:y], "q": self.q[x:y]}
-        cut = cold + self.cuts(self.keys[cold:])
+        cut = cold + bucket_cuts(self.keys[cold:], self.buckets)
         for bucket in np.flatnonzero(np.diff(cut)).tolist():
+            if bucket % self.turns != self.turn:
+                continue
             x, y = cut[bucket : bucket + 2]
             whose = self.context[x:y]
             yield self.buckets + bucket, {"contexts": self.contexts[whose], "times": self.times[whose], "many": np.ones(y - x, np.int64), "keys": self.keys[x:y], "n": self.n[x:y], "q": self.q[x:y]}
@@ -277,9 +292,10 @@ def may_decide(times: np.ndarray, q: np.ndarray, min_gain: float) -> np.ndarray:
     that occurs less than 2 * LEAST times keeps one word at most, so the word's own counts tell."""
     out = times >= 2 * LEAST
     for total in range(LEAST, 2 * LEAST):
+        at = np.flatnonzero(times == total)
+        p, t, one = np.maximum(q[at], 1e-300), np.full(len(at), float(total)), np.ones(len(at))
         for n in range(LEAST, total + 1):
-            c, k, t = np.full(len(q), float(n)), np.ones(len(q)), np.full(len(q), float(total))
-            out |= (times == total) & ~np.isnan(weights(c, k, q, c * np.log(c / np.maximum(q, 1e-300)), t, min_gain))
+            out[at] |= ~np.isnan(weights(n * one, one, p, n * np.log(n / p), t, min_gain))
     return out
 
 
@@ -444,7 +460,7 @@ def count_words(held: DataFrame, folder: str, buckets: int) -> DataFrame:
                 n = np.bincount(block.local, block.copies[block.doc_of()], len(block.words)).astype(np.int64)
                 order = np.argsort(block.words)
                 keys, n = block.words[order], n[order]
-                cut = np.concatenate(([0], np.searchsorted(keys, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)), [len(keys)]))
+                cut = bucket_cuts(keys, buckets)
                 some = np.flatnonzero(np.diff(cut)).tolist()
                 packed_n = [pack(n[cut[i] : cut[i + 1]]) for i in some]
                 yield pa.RecordBatch.from_pydict({"block": [row["block"]] * len(some), "path": [row["path"]] * len(some), "bucket": some, "keys": [keys[cut[i] : cut[i + 1]].tobytes() for i in some], "n": packed_n})
@@ -462,10 +478,10 @@ def count_words(held: DataFrame, folder: str, buckets: int) -> DataFrame:
     return materialize(asked.groupBy("bucket").applyInArrow(add, ANSWER), "word-answers")
 
 
-def question_of(block: Block, depth: int, buckets: int, hot: float, total: int, distinct_words: int) -> Question:
+def question_of(block: Block, depth: int, buckets: int, hot: float, total: int, distinct_words: int, turn: int = 0, turns: int = 1) -> Question:
     if depth == 1:
         block.first_level(total, distinct_words)
-    return Question(block, depth, buckets, hot)
+    return Question(block, depth, buckets, hot, turn, turns)
 
 
 def count_contexts(held: DataFrame, folder: str, depth: int, buckets: int, hot: float, total: int, distinct_words: int, min_gain: float, turn: int = 0, turns: int = 1) -> DataFrame:
@@ -476,7 +492,7 @@ def count_contexts(held: DataFrame, folder: str, depth: int, buckets: int, hot:
         for batch in batches:
             for row in _rows(batch):
                 block, _ = load(folder, row["block"], row["path"])
-                made = [(bucket, packed(part)) for bucket, part in question_of(block, depth, buckets, hot, total, distinct_words).parts() if bucket % turns == turn]
+                made = [(bucket, packed(part)) for bucket, part in question_of(block, depth, buckets, hot, total, distinct_words, turn, turns).parts()]
                 yield pa.RecordBatch.from_pydict(
                     {"block": [row["block"]] * len(made), "path": [row["path"]] * len(made), "bucket": [b for b, _ in made], **{k: pa.array([p[k] for _, p in made], pa.binary()) for k in ASKS}}
                 )
@@ -598,7 +614,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
                 made = [keys, *(pa.array(x) for x in (block.n_tokens, block.known, block.base, block.base + block.added / math.log(10)))]
                 yield pa.RecordBatch.from_arrays(made, names=["key", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = spread(held).mapInArrow(run, "key string, n_tokens bigint, n_known bigint, base_score double, score double")
+    # written, so that its size is known where it is joined
+    scored = materialize(spread(held).mapInArrow(run, "key string, n_tokens bigint, n_known bigint, base_score double, score double"), "scores")
     return rows.select("id", "out", "key").join(scored, "key").select(
         F.col("id").alias(id_col), F.col("out").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score"
     )
