@@ -48,7 +48,8 @@ def vocabulary_of(name: str) -> dict:
 def _feature_set(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = features.build(name, sources(spark, sf_dir), {"vocabulary": vocabulary_of(name)})
-        return rounded(made)
+        left_out = name in oracle.BUT_ID_VARIANCES
+        return rounded(made.select(*[col(c) for c in made.columns if not (left_out and oracle.is_id_variance(c))]))
 
     query.__name__ = f"feature_set_{name}"
     return query
