@@ -1,7 +1,7 @@
 """Piece-wise BPE: texts are cut into pieces that merges never cross, and each distinct piece is encoded once.
 
 A table lives as long as its Python worker, so later batches and tasks find the frequent pieces encoded. It is
-emptied beyond `max_pieces`, which bounds its memory.
+emptied beyond `max_pieces` or MAX_CHARS characters of pieces, so what it holds is bounded by these and one block of texts.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from itertools import chain
 import numpy as np
 
 MAX_PIECES = 100_000
+MAX_CHARS = 16_000_000
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
@@ -77,7 +78,7 @@ class PieceTable:
         self.reset()
 
     def reset(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers, self.chars = _Numbers(), 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.ends = np.zeros(1 << 14, np.int64)
 
@@ -86,6 +87,7 @@ class PieceTable:
         new, self.numbers.new = self.numbers.new, []
         if not new:
             return
+        self.chars += sum(map(len, new))
         ids, total = self.encode(new), len(self.numbers)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         if total > len(self.ends):
@@ -98,20 +100,30 @@ class PieceTable:
         self.flat[self.used : end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - self.used)
         self.used = end
 
-    def ids(self, cut: list[list[str]]) -> list[np.ndarray]:
-        """The ids of each text from its pieces."""
-        if not cut:
-            return []
-        if len(self.numbers) > self.max_pieces:
+    def look_up(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each piece, one text after the other, and where each text ends among them."""
+        if len(self.numbers) > self.max_pieces or self.chars > MAX_CHARS:
             self.reset()
         pieces = np.fromiter(map(len, cut), np.int64, len(cut))
         known = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(pieces.sum()))
         self._learn()
+        return known, np.cumsum(pieces)
+
+    def flat_ids(self, known: np.ndarray, text_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From :meth:`look_up` the ids of all texts, one after the other, and where each text ends among them."""
         start = np.where(known > 0, self.ends[known - 1], 0)
         counts = self.ends[known] - start
         ends = np.concatenate(([0], np.cumsum(counts)))
         places = np.repeat(start - ends[:-1], counts) + np.arange(ends[-1])
-        return np.split(self.flat[places], ends[np.cumsum(pieces)[:-1]])
+        return self.flat[places], ends[text_ends]
+
+    def of_numbers(self, known: np.ndarray, text_ends: np.ndarray) -> list[np.ndarray]:
+        flat, ends = self.flat_ids(known, text_ends)
+        return np.split(flat, ends[:-1])
+
+    def ids(self, cut: list[list[str]]) -> list[np.ndarray]:
+        """The ids of each text from its pieces."""
+        return self.of_numbers(*self.look_up(cut)) if cut else []
 
 
 class ByteLevelBPE:
