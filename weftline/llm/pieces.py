@@ -196,8 +196,6 @@ class WordBPE:
     def _pieces(self, text: str | None) -> list[str]:
         if not text:
             return []
-        if any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", *self.added)):
-            return [self.WHOLE + text]
         if text.isascii() or not self.beyond(text):
             return self.cut(text.lower())
         out: list[str] = []
@@ -208,9 +206,17 @@ class WordBPE:
                 out.append(self.WHOLE + chunk)
         return out
 
+    def _whole(self, text: str | None) -> bool:
+        """Whether a text has to take the whole pipeline at once."""
+        return bool(text) and any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", *self.added))
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """uint32 ids of each text; a null text has none."""
-        return self.table.ids([self._pieces(t) for t in texts])
+        """uint32 ids of each text; a null text has none. Texts that take the whole pipeline at once don't enter the table."""
+        whole = [i for i, t in enumerate(texts) if self._whole(t)]
+        made = self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else []
+        direct = {i: np.array(e.ids, np.uint32) for i, e in zip(whole, made)}
+        by_piece = self.table.ids([[] if i in direct else self._pieces(t) for i, t in enumerate(texts)])
+        return [direct.get(i, ids) for i, ids in enumerate(by_piece)]
 
 
 @lru_cache(maxsize=2)
