@@ -120,16 +120,41 @@ def test_a_model_of_ones_own(sources):
     del models.MODELS["Plain"]
 
 
-def test_cleaning_by_model_drops_what_tells_parts_apart(spark):
-    rows = [(i, float(i // 2 % 2) if i % 3 else None, float(i // 2 % 2 * 10 + i % 7), float(i % 3 == 0) * 50 + i % 5 + (i // 2 % 2) * 3) for i in range(600)]
-    df = spark.createDataFrame(rows, "SK_ID_CURR bigint, TARGET double, good double, leak double")
-    assert selection.clean_data(df).columns == ["SK_ID_CURR", "TARGET", "good", "leak"]
-    auc, used = models.tells_apart(df.withColumn("part", df.TARGET.isNull().cast("int")), ["good", "leak"], "part")
-    assert auc > 0.9 and "leak" in used
-    # what no model needed by the time it can't tell the parts goes
-    answers = iter([(0.9, ["leak"]), (0.6, [])])
-    assert selection.clean_data(df, importance=lambda *_: next(answers)).columns == ["SK_ID_CURR", "TARGET", "leak"]
-    assert "leak" in selection.clean_data(df, importance=models.tells_apart).columns
+def test_cleaning_by_model_keeps_what_tells_targets_apart(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        t = i % 2
+        # `weak` passes the test of medians yet says too little alone; `twin` is needed once `good` has left the candidates
+        rows.append((i, float(t) if i % 9 else None, t * 1.6 + rng.gauss(0, 1), t * 1.2 + rng.gauss(0, 1), 1 + t * 0.35 + rng.gauss(0, 1), rng.gauss(5, 1), 3.0))
+    df = spark.createDataFrame(rows, "SK_ID_CURR bigint, TARGET double, good double, twin double, weak double, noise double, same double")
+    assert selection.clean_data(df).columns == ["SK_ID_CURR", "TARGET", "good", "twin", "weak"]
+    one = lambda *a: models.target_model(*a, params={"n_estimators": 1, "max_depth": 1})
+    assert {"good", "twin"} <= set(selection.clean_data(df, model=one).columns) and "weak" not in selection.clean_data(df, model=one).columns
+    kept = selection.clean_data(df, model=models.target_model).columns
+    assert {"good", "twin"} <= set(kept) and not {"noise", "same"} & set(kept)
+    auc, used = models.target_model(df.filter("TARGET is not null"), ["good", "noise"])(["good"])
+    assert auc > 0.8 and used == ["good"]
+
+
+def test_columns_no_model_needs():
+    told = {("a", "b", "c", "d"): (0.9, ["b"]), ("a", "c", "d"): (0.71, ["a", "d"]), ("c",): (0.7, ["c"])}
+    assert selection.not_needed(["a", "b", "c", "d"], lambda left: told[tuple(left)]) == ["c"]
+    assert selection.not_needed(["a"], lambda left: (0.99, ["a"])) == [] and selection.not_needed(["a"], lambda left: (0.99, [])) == ["a"]
+    assert selection.not_needed([f"c{i}" for i in range(30)], lambda left: (0.8, left[:1])) == []  # thirty rounds
+
+
+@pytest.mark.parametrize("name", ["CreditCardBalance", "InstallmentsPayments", "PosCash"])
+def test_cleaned_sets_keep_features(spark, name):
+    from weftline import catalog
+
+    whole = catalog.QUERIES[f"feature_set_{name}FeaturesAntonova"](spark, "/root/testdata/sf0.001")
+    cleaned = catalog.QUERIES[f"feature_set_{name}FeaturesAntonovaCleaned"](spark, "/root/testdata/sf0.001")
+    features = set(cleaned.columns) - {"SK_ID_CURR", "TARGET"}
+    assert features and features < set(whole.columns)
+    rows = {r.SK_ID_CURR: r for r in cleaned.collect()}
+    for c in features:
+        assert len({r[c] for r in rows.values()}) > 1
 
 
 def test_null_importance_sweep_scores_what_is_kept(spark, sources, tmp_path, monkeypatch):

@@ -52,12 +52,12 @@ def _child_leaky(name: str, table: str) -> None:
 def _cleaned(name: str) -> None:
     @feature(f"{name}FeaturesAntonovaCleaned")
     def make(sources, conf) -> DataFrame:
-        """The set without its useless columns, with the target. Unless conf says otherwise, a model looks for columns
-        that tell rows to predict from training rows."""
-        from ..models import tells_apart
+        """The set without its useless columns, with the target. Unless conf says otherwise, columns that models of the target
+        don't need go, too."""
+        from ..models import target_model
 
         df = sources.base.join(build(f"{name}FeaturesAntonova", sources, conf), CLIENT, "left")
-        return clean_data(df, CLIENT, TARGET, tells_apart if conf.get("clean_by_model", True) else None)
+        return clean_data(df, CLIENT, TARGET, target_model if conf.get("clean_by_model", True) else None)
 
 
 for _name, _table in CHILDREN.items():

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..nulls import col
 from ..operators.joins import lookup
 from ..plans.fusion import Agg, aggregate, group_recipes
+from ..settle import settle
 from ..sources.credit import CLIENT
 from . import feature
 
@@ -82,18 +84,38 @@ APPLICATION_RECIPES: list[tuple[list[str], list[tuple[str, str]]]] = [
 ]
 
 
+def grouping(df: DataFrame, source: str, recipes: list[tuple[list[str], list[tuple[str, str]]]]) -> DataFrame:
+    """The statistics of all key sets by GROUPING SETS, in one pass over df: (g0, g1, ... the keys in order of appearance, __set:
+    the set's number, statistics by function and column). A statistic that a set has no use for is made all the same."""
+    used = list(dict.fromkeys(k for keys, _ in recipes for k in keys))
+    pairs = list(dict.fromkeys(p for _, pairs in recipes for p in pairs))
+    sets = [[col(k) for k in keys] for keys, _ in recipes]
+    made = [a.column().alias(f"{f}_{c}") for a, (c, f) in zip(group_recipes(source, ["all"], pairs), pairs)]
+    stats = df.select(*map(col, dict.fromkeys([*used, *[c for c, _ in pairs]]))).groupingSets(sets, *map(col, used)).agg(F.grouping_id().alias("__id"), *made)
+    bits = {sum(1 << (len(used) - 1 - i) for i, k in enumerate(used) if k not in keys): n for n, (keys, _) in enumerate(recipes)}
+    number = F.lit(None).cast("int")
+    for b, n in bits.items():
+        number = F.when(F.col("__id") == b, n).otherwise(number)
+    return stats.select(*[col(k).alias(f"g{i}") for i, k in enumerate(used)], number.alias("__set"), *[col(f"{f}_{c}") for c, f in pairs])
+
+
 def join_back(df: DataFrame, key: str, source: str, recipes: list[tuple[list[str], list[tuple[str, str]]]]) -> DataFrame:
     """(key, features): each row with the statistics of its groups; a row that misses a group key has none.
 
-    One aggregation for each key set; their tables have a row for each combination of categories, which Spark
-    broadcasts by size, so the rows themselves aren't shuffled."""
+    One aggregation makes the statistics of all key sets and is written once; it has a row for each combination of categories,
+    so the table of each set is one that Spark broadcasts by size, and the rows themselves aren't shuffled."""
     used = list(dict.fromkeys(k for keys, _ in recipes for k in keys))
+    stats = settle(grouping(df, source, recipes), "groups")
     out, made = df.select(col(key), *[col(c) for c in used]), []
     for i, (keys, pairs) in enumerate(recipes):
-        aggs = group_recipes(source, keys, pairs)
-        stats = aggregate(df, keys, aggs).select(*[col(k).alias(f"__{i}_{k}") for k in keys], *[col(a.name) for a in aggs])
-        out = lookup(out, stats, {k: f"__{i}_{k}" for k in keys}, {a.name: col(a.name) for a in aggs})
-        made += [a.name for a in aggs]
+        names = [a.name for a in group_recipes(source, keys, pairs)]
+        at = [f"g{used.index(k)}" for k in keys]
+        of = stats.filter(F.col("__set") == i)
+        for g in at:
+            of = of.filter(F.col(g).isNotNull())
+        of = of.select(*[F.col(g).alias(f"__{i}_{k}") for g, k in zip(at, keys)], *[col(f"{f}_{c}").alias(n) for (c, f), n in zip(pairs, names)])
+        out = lookup(out, of, {k: f"__{i}_{k}" for k in keys}, {n: col(n) for n in names})
+        made += names
     return out.select(col(key), *map(col, made))
 
 

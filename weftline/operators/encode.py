@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,19 +96,50 @@ def value_counts(df: DataFrame, key: str, columns: list[str], name: str = "app_{
 
 
 def pair_counts(df: DataFrame, key: str, columns: list[str], name: str = "app_{}_{}_value_count") -> DataFrame:
-    """value_counts of every pair of columns. All pairs are counted and looked up in one pass."""
+    """value_counts of every pair of columns. All pairs are counted in one pass."""
     pairs = list(combinations(columns, 2))
     cells = [F.struct(col(a).alias("a"), col(b).alias("b")) for a, b in pairs]
     return _counts(df, key, cells, ["a", "b"], [name.format(*p) for p in pairs])
 
 
-def _counts(df: DataFrame, key: str, cells: list[Column], fields: list[str], names: list[str]) -> DataFrame:
+MAX_CELLS = 1_000_000  # numbers that the counts put into the plan at most
+
+
+def _counts(df: DataFrame, key: str, cells: list[Column], fields: list[str], names: list[str], max_cells: int = MAX_CELLS, max_values: int = 512) -> DataFrame:
+    """key and for each cell, a struct of `fields`, how many rows have the same.
+
+    One pass counts all cells. If the counts, laid out as an array over the values of each field, are few enough, they go into
+    the plan: each row finds the places of its values and looks its counts up, and rows aren't shuffled. Beyond `max_cells`
+    numbers in all or `max_values` of a field the counts are joined to the cells."""
     tall = _tall(df, [col(key)], cells)
     known = tall
     for f in fields:
         known = known.filter(F.col(f).isNotNull())
-    counts = known.groupBy("c", *fields).agg(F.count(F.lit(1)).alias("n"))
-    return _wide(tall.join(counts, ["c", *fields], "left"), names, key, F.col("n"))
+    counts = settle(known.groupBy("c", *fields).agg(F.count(F.lit(1)).alias("n")), "counts")
+    many = counts.groupBy("c").agg(*[F.countDistinct(f).alias(f) for f in fields]).collect()  # a row for each cell
+    laid_out = sum(math.prod(r[f] for f in fields) for r in many)
+    if laid_out > max_cells or any(r[f] > max_values for r in many for f in fields):
+        return _wide(tall.join(counts, ["c", *fields], "left"), names, key, F.col("n"))
+    held: list[dict[tuple, int]] = [{} for _ in cells]
+    for r in counts.collect():
+        held[r.c][tuple(r[f] for f in fields)] = r.n
+    out = []
+    for cell, of, name in zip(cells, held, names):
+        values = [sorted({k[i] for k in of}) for i in range(len(fields))]
+        numbers, place = [0] * math.prod(map(len, values)), F.lit(0)
+        for k, n in of.items():
+            at = 0
+            for v, all_ in zip(k, values):
+                at = at * len(all_) + all_.index(v)
+            numbers[at] = n
+        if not of:
+            out.append(F.lit(None).cast("bigint").alias(name))
+            continue
+        for f, all_ in zip(fields, values):
+            place = place * len(all_) + F.array_position(F.array(*map(F.lit, all_)), cell[f]) - 1
+        array = F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")  # a literal once it is folded
+        out.append(array[place.cast("int")].alias(name))
+    return df.select(col(key), *out)
 
 
 def smoothed(n: Column, mean: Column, prior: Column, min_samples: float = 1.0, smoothing: float = 1.0) -> Column:

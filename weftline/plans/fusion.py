@@ -3,6 +3,10 @@
 A feature is an `Agg`. Whatever its condition, its last-k rows or its statistic, all features over the same source
 and key become columns of one groupBy: conditions turn into CASE inside the aggregate, last-k into a comparison
 with one row number. The window and the groupBy share the key, so the source is shuffled once.
+
+Hundreds of CASE aggregates in one operator are beyond what Spark compiles. Sets of over WIDE simple statistics are therefore
+turned: each value of a row becomes a row (key, place of the column, value), so that one short, compiled aggregation makes the
+moments of all columns, for all rows and for each condition; the columns of a group then meet in one array.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from ..functions.aggregates import AGGREGATES, trend
 from ..nulls import col
 
 ROW = "__row"
+WIDE = 300
+MOMENTS = ("min", "max", "mean", "sum", "var", "std", "count", "size")
 
 
 @dataclass(frozen=True)
@@ -57,15 +63,18 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn(ROW, F.row_number().over(Window.partitionBy(*map(col, keys)).orderBy(*order)))
 
 
-def aggregate(df: DataFrame, keys: list[str], aggs: list[Agg], order: list[Column] | None = None, extra: list[Column] = ()) -> DataFrame:
+def aggregate(df: DataFrame, keys: list[str], aggs: list[Agg], order: list[Column] | None = None, extra: list[Column] = (), wide: int = WIDE) -> DataFrame:
     """One row for each group of `keys` with every feature. Groups with a missing key are left out.
 
-    order: newest first; needed by features that look at the last rows. extra: more aggregate columns."""
+    order: newest first; needed by features that look at the last rows. extra: more aggregate columns. wide: so many simple
+    statistics are made by turning columns to rows."""
     names = [a.name for a in aggs]
     if len(set(names)) < len(names):
         raise ValueError(f"features of one name: {sorted({n for n in names if names.count(n) > 1})}")
     for k in keys:
         df = df.filter(col(k).isNotNull())
+    if len(aggs) > wide and not extra and all(a.func in MOMENTS and not a.last for a in aggs):
+        return turned(df, keys, aggs)
     if any(a.last or a.func == "trend" for a in aggs):
         if not order:
             raise ValueError("features of the last rows need an order")
@@ -73,6 +82,43 @@ def aggregate(df: DataFrame, keys: list[str], aggs: list[Agg], order: list[Colum
     return df.groupBy(*map(col, keys)).agg(*[a.column() for a in aggs], *extra)
 
 
+def turned(df: DataFrame, keys: list[str], aggs: list[Agg]) -> DataFrame:
+    """:func:`aggregate` by rows of (keys, c, x) for the value x of each column c. Partial sums of a key are made before the
+    shuffle, by column, so a key of very many rows is no single task."""
+    values = list(dict.fromkeys((a.source, a.expr) for a in aggs))
+    place = {v: i for i, v in enumerate(values)}
+    tests = list(dict.fromkeys(a.where for a in aggs))
+    kinds = dict(df.select(*[(F.expr(e) if e else col(c) if c else F.lit(1)).alias(f"v{i}") for i, (c, e) in enumerate(values)]).dtypes)
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), (F.expr(e) if e else col(c) if c else F.lit(1)).cast("double").alias("x")) for i, (c, e) in enumerate(values)])
+    flags = [F.coalesce(F.expr(w), F.lit(False)).alias(f"__w{k}") for k, w in enumerate(tests) if w]
+    tall = df.select(*map(col, keys), *flags, F.explode(cells).alias("__cell"))
+    made = []
+    for k, where in enumerate(tests):
+        x = F.col("__cell.x") if where is None else F.when(F.col(f"__w{k}"), F.col("__cell.x"))
+        rows = F.lit(1) if where is None else F.when(F.col(f"__w{k}"), 1).otherwise(0)
+        used = {a.func for a in aggs if a.where == where}
+        stats = {"size": F.sum(rows), "count": F.count(x), "sum": F.sum(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "var": F.var_samp(x), "std": F.stddev_samp(x)}
+        made += [c.alias(f"{f}{k}") for f, c in stats.items() if f in used or f == "size"]
+    long = tall.groupBy(*map(col, keys), F.col("__cell.c").alias("__c")).agg(*made)
+    fields = [c for c in long.columns if c not in keys]
+    grouped = long.groupBy(*map(col, keys)).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("__all"))  # a cell for each column
+
+    def out(a: Agg) -> Column:
+        k, i = tests.index(a.where), place[a.source, a.expr]
+        cell = F.col("__all")[i]
+        value, kind = cell[f"{a.func}{k}"], kinds[f"v{i}"]
+        whole = kind in ("tinyint", "smallint", "int", "bigint", "boolean")
+        if a.func == "sum":
+            value = F.coalesce(value, F.lit(0.0))
+        elif a.func in ("min", "max") and whole:
+            value = value.cast(kind)
+        if a.where and a.empty_is_null and a.func in ("sum", "count", "size", "nunique"):
+            value = F.when(cell[f"size{k}"] > 0, value)
+        return value.alias(a.name)
+
+    return grouped.select(*map(col, keys), *map(out, aggs))
+
+
 def recipes(prefix: str, aggs: dict[str, list[str]], where: str | None = None) -> list[Agg]:
     """Agg for each column and function, named PREFIX + column + _ + FUNCTION."""
     return [Agg(f"{prefix}{c}_{f.upper()}", f, c, where) for c, funcs in aggs.items() for f in funcs]

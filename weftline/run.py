@@ -52,7 +52,7 @@ def assemble(spark: SparkSession, config: configs.Config, sources: Sources) -> D
     if path := config.options.get("drop_features"):
         out = selection.drop_columns(out, selection.read_drop_list(path))
     if config.options.get("clean_data"):
-        out = selection.clean_data(out, importance=models.tells_apart)
+        out = selection.clean_data(out, model=models.target_model)
     return out
 
 

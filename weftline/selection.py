@@ -61,34 +61,43 @@ def useless(diff: float, norm: float, p: float) -> bool:
     return p > P_LIMIT and (diff == 0 or norm < DIFF_LIMIT)
 
 
-def clean_data(df: DataFrame, key: str = CLIENT, target: str = TARGET, importance=None, max_rounds: int = 10) -> DataFrame:
+def not_needed(columns: list[str], ask, limit: float = AUC_LIMIT) -> list[str]:
+    """What is left of columns once a model of the rest is no better than `limit`.
+
+    ask(columns) -> (AUC, columns that the model uses). The columns that a model uses have served and leave the candidates; the
+    next model is fitted on the others, until one says so little of the target that what it has goes as a whole. Every round
+    takes a column at least, so rounds come to an end."""
+    left = list(columns)
+    while left:
+        auc, used = ask(left)
+        if auc <= limit or not set(used) & set(left):
+            break
+        left = [c for c in left if c not in set(used)]
+    return left
+
+
+def clean_data(df: DataFrame, key: str = CLIENT, target: str = TARGET, model=None) -> DataFrame:
     """df without columns that are constant, tell nothing of the target, or tell training rows from others only.
 
     1. constant columns go. 2. On training rows columns go whose difference between targets is 0 or small and not
     significant. 3. Columns whose difference between training and other rows is large and significant and whose
-    difference between targets is 0 go. 4. `importance(df, columns, flag)` -> (auc, used columns) trains on what is
-    left to tell training from other rows; columns it doesn't need by the time the AUC is at most 0.7 go. The key and
-    the target always stay; stage 4 runs only with `importance` and ends after max_rounds."""
+    difference between targets is 0 go. 4. With `model`, such as :func:`models.target_model`, the columns go that no model of
+    the target needs (see :func:`not_needed`): model(training rows, columns, target) gives what answers for some of the
+    columns. The key and the target always stay; without both kinds of target stages 2 to 4 have nothing to go by."""
     df = settle(df, "uncleaned")
     columns = numeric(df, (key, target))
     gone = set(constant_columns(df, columns))
     columns = [c for c in columns if c not in gone]
-    by_target = difference_stats(df.filter(col(target).isNotNull()), columns, target, df)
+    train = df.filter(col(target).isNotNull())
+    by_target = difference_stats(train, columns, target, df)
     gone |= {c for c in columns if useless(*by_target[c])}
     left = [c for c in columns if c not in gone]
     marked = df.withColumn("__is_train", col(target).isNotNull().cast("int"))
     by_split = difference_stats(marked, left, "__is_train")
     gone |= {c for c in left if by_split[c][1] > TEST_DIFF_LIMIT and by_target[c][1] == 0 and by_split[c][2] < TEST_P_LIMIT}
-    if importance is not None:
-        candidates = [c for c in left if c not in gone]
-        for _ in range(max_rounds):
-            if not candidates:
-                break
-            auc, used = importance(marked, candidates, "__is_train")
-            if auc <= AUC_LIMIT:
-                break
-            candidates = [c for c in candidates if c not in set(used)]
-        gone |= set(candidates)
+    left = [c for c in left if c not in gone]
+    if model is not None and left:
+        gone |= set(not_needed(left, model(train, left, target)))
     return df.drop(*gone)
 
 
