@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 import pytest
@@ -49,6 +50,46 @@ def test_pages_that_mislead(page, text):
     assert html_text.main_text(page) == "\n".join(text)
 
 
+PARAGRAPHS = [f"Paragraph {i} of a body that lies beside the element it should be in, with some words more." for i in range(6)]
+BODY = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # the main element is wrong: it holds the heading only, a teaser, or the menu
+        (f"<article><h1>T</h1></article><div>{BODY}</div>", ["T", *PARAGRAPHS]),
+        (f"<div>{BODY}</div><article><p>Read on.</p></article>", [*PARAGRAPHS, "Read on."]),
+        (f"<main><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></main><div>{BODY}</div>", PARAGRAPHS),
+        (f"<main><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>{P}<p><a href=c>Source</a></p></main>", [PROSE, "Source"]),
+        # none at all
+        (f"<h1>Title</h1><p>Short para one.</p>{P}{P}", ["Title", "Short para one.", PROSE, PROSE]),
+        (f"<div>\n<h1>Title</h1>\n</div>\n<div>\n<p>Short para one.</p>\n</div>\n<div>{P}{P}</div>", ["Title", "Short para one.", PROSE, PROSE]),
+        # parts that names mark, longer than the text
+        (f'<div class="cookie-notice">{P}{P}{P}</div><p>Short text. It ends.</p>', ["Short text. It ends."]),
+        ('<article><p>One.</p><div class="promo">Longer than the text itself, by far.</div></article>', ["One."]),
+        (f'<div class="widget">{P}</div>', [PROSE]),
+        (f'<div id="modal"><article>{P}</article></div>', [PROSE]),
+    ],
+)
+def test_windows_decide_where_elements_are_wrong(page, text):
+    assert html_text.main_text(page) == "\n".join(text)
+
+
+def test_windows_and_elements_do_not_always_agree():
+    """On made-up pages whose elements are right in two of three the text is right in all of them; all lines in main
+    elements would be right in those two only."""
+    rng, right, by_tags = random.Random(8), 0, 0
+    for k in range(90):
+        body = [f"Line {i} of page {k}: " + "word " * rng.randrange(14, 30) + "end." for i in range(rng.randrange(3, 9))]
+        inner = "".join(f"<p>{x}</p>" for x in body)
+        menu = "<ul>" + "".join(f"<li><a href=x{i}>Item {i}</a></li>" for i in range(5)) + "</ul>"
+        page = [f"<main>{inner}</main>{menu}", f"<div>{inner}</div>{menu}<main><p><a href=z>All</a></p></main>", f"{menu}<article>{menu}{inner}</article>"][k % 3]
+        right += html_text.main_text(page) == "\n".join(body)
+        by_tags += [x.text for x in html_text.lines(page) if x.main and x.text] == body
+    assert right == 90 and by_tags == 30
+
+
 @pytest.mark.parametrize("bad", ["<p a='", '<a x="<a "x=', "<div>", "<div class=ad>", "<!--", "<", '<a x="><a "x=', "<nav>", "<p class=ad>"])
 def test_broken_markup_takes_time_in_proportion(bad):
     began = time.process_time()

@@ -6,10 +6,16 @@ reader comments are taken out with their elements and leave an empty line. A lin
 outside links. Lengths are summed over sliding windows of lines; text lies between a surge, where a window's sum passes
 the threshold, and the dive, where a window holds nothing.
 
-Article and main elements are evidence: where they hold text, their lines weigh more, so that short ones surge, and
-lines outside weigh less, so that only long ones do; all stretches stay. Without that evidence the heaviest stretch
-stays, with others of at least a fifth of its weight, and short lines without the end of a sentence (plain menus,
-copyright lines) are cut off its ends.
+Lines are judged by their own text and their windows; elements and names are evidence of bounded weight:
+
+- a line of an article or main element that has text outside links weighs BONUS more, which is less than the threshold; one of
+  links only weighs nothing in a run of such lines, as in a menu;
+- lines outside of these elements weigh a part of their length, and surge if a window of them does: a body that lies beside a
+  main element stays, the lines around an article go. Short lines without the end of a sentence (plain menus, copyright lines)
+  are cut off the ends of such stretches;
+- without main elements the heaviest stretch stays, with others of at least a fifth of its weight, cut in the same way; headings
+  and sentences right before a surge belong to it;
+- parts that only their names mark go unless nothing is left without them.
 """
 
 from __future__ import annotations
@@ -17,12 +23,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 3
 THRESHOLD = 86
+BONUS = THRESHOLD - 1  # of a line in a main element
 OUTSIDE = 2  # divides the lengths of lines outside the main elements of a page that has them
 OTHERS = 0.2  # weight of further stretches, as a share of the heaviest
 SHORT = 40  # characters of a line that may be cut off the ends
@@ -175,16 +183,13 @@ class Line:
         self.text, self.free, self.main, self.heading = text, free, main, heading
 
 
-def _taken_out(page: str, found: list[Tag]) -> dict[int, int]:
+def _taken_out(found: list[Tag], named: bool) -> dict[int, int]:
     """Index of each tag that begins what goes -> index of the tag after it.
 
-    An element that is never closed goes up to its next block. One that only its name marks stays if it holds an article
-    or main element or more than half of what text there is."""
-    text = [0]
+    An element that is never closed goes up to its next block. One that only its name marks goes if `named` and if it holds
+    no article or main element."""
     mains = [0]
-    for i, tag in enumerate(found):
-        before = found[i - 1].end if i else 0
-        text.append(text[-1] + len(page[before : tag.start].strip()))
+    for tag in found:
         mains.append(mains[-1] + (tag.kind == "+" and tag.name in MAIN))
     out: dict[int, int] = {}
     inside = i = 0
@@ -198,7 +203,7 @@ def _taken_out(page: str, found: list[Tag]) -> dict[int, int]:
             else:
                 after = tag.close + 1
                 holds_main = mains[after] > mains[i + 1]
-                if why == "named" and (holds_main or 2 * (text[after] - text[i + 1]) > text[-1]):
+                if why == "named" and (holds_main or not named):
                     after = 0
             if after:
                 out[i] = after
@@ -209,8 +214,13 @@ def _taken_out(page: str, found: list[Tag]) -> dict[int, int]:
 
 
 def lines(page: str) -> list[Line]:
+    """The lines of a page without what goes. Where nothing would be left, parts that only names mark are kept."""
     found = tags(page)
-    gone = _taken_out(page, found)
+    out = _lines(page, found, _taken_out(found, True))
+    return out if any(x.text for x in out) else _lines(page, found, _taken_out(found, False))
+
+
+def _lines(page: str, found: list[Tag], gone: dict[int, int]) -> list[Line]:
     out: list[Line] = []
     text: list[str] = []
     linked, link_until, mains, heading, empty = 0, -1, 0, 0, 0
@@ -280,6 +290,22 @@ def stretches(lengths: list[int], window: int = WINDOW, threshold: int = THRESHO
     return out
 
 
+def _sentence(x: Line) -> bool:
+    return x.heading or bool(_SENTENCE.search(x.text))
+
+
+def _begun(found: list[Line], at: int) -> int:
+    """Where the stretch that surges at a line begins: at the first of the headings and sentences right before it."""
+    first = i = at
+    while i and at - i <= MOST_EMPTY:
+        i -= 1
+        if found[i].text:
+            if not found[i].free or not _sentence(found[i]):
+                break
+            first = at = i
+    return first
+
+
 def _heaviest(found: list[Line], window: int, threshold: int) -> list[tuple[int, int]]:
     lengths = [x.free for x in found]
     some = stretches(lengths, window, threshold) or stretches(lengths, window, 0)
@@ -294,16 +320,41 @@ def _trimmed(found: list[Line]) -> list[Line]:
     return found[kept[0] : kept[-1] + 1] if kept else found
 
 
+def _inside(found: list[Line], window: int, threshold: int) -> list[Line]:
+    """Lines of main elements, from each surge to its dive."""
+    links_only = [x.main and bool(x.text) and not x.free and not x.heading for x in found]
+    with_text = [i for i, x in enumerate(found) if x.text]
+    alone = {b for a, b, c in zip([-1, *with_text], with_text, [*with_text[1:], -1]) if not (a >= 0 and links_only[a]) and not (c >= 0 and links_only[c])}
+    weights = [0 if not (x.main and x.text) else int(i in alone) if links_only[i] else len(x.text) + BONUS for i, x in enumerate(found)]
+    some = stretches(weights, window, threshold) or stretches(weights, window, 0)
+    return [found[i] for a, b in some for i in range(a, b) if found[i].main and found[i].text]
+
+
+def _outside(found: list[Line], window: int, threshold: int) -> list[Line]:
+    """Lines of the stretches beside main elements; main lines part them."""
+    out: list[Line] = []
+    for main, run in groupby(found, key=lambda x: x.main and bool(x.text)):
+        if not main:
+            part = list(run)
+            for a, b in stretches([x.free // OUTSIDE for x in part], window, threshold):
+                out += _trimmed([x for x in part[a:b] if x.text])
+    return out
+
+
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     """The main text, its blocks joined by line feeds; empty for a null or empty page and one without text."""
     if not page:
         return ""
     found = lines(page)
     if any(x.free for x in found if x.main):
-        weights = [len(x.text) + threshold * bool(x.text) if x.main else x.free // OUTSIDE if x.free // OUTSIDE > threshold else 0 for x in found]
-        kept = [found[i] for a, b in stretches(weights, window, threshold) for i in range(a, b) if weights[i]]
+        chosen = {id(x) for x in [*_inside(found, window, threshold), *_outside(found, window, threshold)]}
+        kept = [x for x in found if id(x) in chosen]
     else:
-        kept = _trimmed([x for a, b in _heaviest(found, window, threshold) for x in found[a:b] if x.text])
+        parts, last = [], 0
+        for a, b in _heaviest(found, window, threshold):
+            parts += _trimmed([x for x in found[max(last, _begun(found, a)) : b] if x.text])
+            last = b
+        kept = parts
     return "\n".join(x.text for x in kept)
 
 
