@@ -17,6 +17,7 @@ found, never pairs; counts are summed and forests united to components.
 
 from __future__ import annotations
 
+import logging
 import math
 import pickle
 import uuid
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Forest, connected_components
-from .shared import materialize, new_path
+from .shared import delete, discard, materialize, new_path
 
 THRESHOLD = 0.95
 SHARD_BYTES = 1 << 27  # of its vectors in single precision
@@ -51,6 +52,10 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
+SEEN = 4 * 10**7  # flags of queries and nodes that are held at once
+LOG = logging.getLogger(__name__)
+
+
 class Graph:
     """links[l]: neighbours of each node on level l, -1 where none; top: entry node."""
 
@@ -67,7 +72,8 @@ class Graph:
         self.sims = [np.full((n, w), -np.inf, np.float32) for w in widths]
         done = 0
         while done < n:
-            new = np.arange(done, min(n, done + max(1, min(done, 512)) if done else min(n, 1)))
+            most = max(1, min(done, 512, SEEN // (done + 1)))  # a flag for each query and node is held
+            new = np.arange(done, min(n, done + most))
             self._insert(new, level, neighbours, build_beam)
             done = int(new[-1]) + 1
         del self.sims
@@ -186,7 +192,7 @@ class Graph:
                 if width >= n:
                     yield from ((todo[a], b) for a, b in self.linked(q[todo], above))
                     break
-                rows = max(1, min(len(todo), 4 * 10**7 // (n + 1)))
+                rows = max(1, min(len(todo), SEEN // (n + 1)))
                 wider: list[np.ndarray] = []
                 for part in np.split(todo, range(rows, len(todo), rows)):
                     sub = q[part].astype(np.float32)
@@ -221,9 +227,11 @@ class Graph:
         noise = unit(noise - (noise * base).sum(axis=1, keepdims=True) * base) if d > 1 else 0 * base
         goal = min(1.0, threshold + 0.1 * (1 - threshold))
         asked = np.concatenate((base, goal * base + math.sqrt(1 - goal * goal) * noise))
-        true = sum(len(a) for a, _ in self.linked(asked, threshold - 1e-4))
+        own = np.concatenate((chosen, np.full(len(chosen), -1)))  # that a member finds itself says nothing
+        met = lambda pairs: sum(int(np.count_nonzero(own[a] != b)) for a, b in pairs)
+        true = met(self.linked(asked, threshold - 1e-4))
         while self.beam < n:
-            reached = sum(len(a) for a, _ in self.near(asked, threshold - 1e-4)) / max(1, true)
+            reached = met(self.near(asked, threshold - 1e-4)) / true if true else 1.0
             if reached >= recall:
                 return reached
             self.beam = min(n, 2 * self.beam)
@@ -347,6 +355,8 @@ def near_duplicates(
     # many more partitions than groups, so that few groups share one
     built = dealt.repartition(8 * shards, "shard", "dim").groupBy("shard", "dim").applyInArrow(build, "shard bigint, dim int, path string, beam bigint, recall double")
     graphs = materialize(built, "graphs")
+    told = graphs.agg(F.count("shard"), F.min("recall"), F.avg("recall"), F.max("beam")).first()
+    LOG.info("%s graphs, audited recall at least %s, %s on average, widest beam %s", *told)
     found_at = spark.sparkContext.broadcast([(r.shard, r.dim, r.path) for r in graphs.select("shard", "dim", "path").collect()])  # a row for each shard
 
     def search(table: pa.Table) -> pa.Table:
@@ -377,6 +387,8 @@ def near_duplicates(
     chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(chunks)).alias("chunk")
     asked = dealt.select("*", chunk).repartition(8 * shards * chunks, "shard", "dim", "chunk").groupBy("shard", "dim", "chunk")
     found = materialize(asked.applyInArrow(search, "src bigint, dst bigint, n bigint"), "links")
+    delete(spark, folder)
+    discard(graphs)
 
     links = found.filter("n is not null").groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("links"))
     labels = connected_components(found.filter("dst is not null").select("src", "dst"))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import in_blocks, text_length
-from .shared import discard, materialize, new_path
+from .shared import delete, discard, materialize, new_path
 
 LEAST = 2  # counts of contexts and of their next words
 MIN_GAIN = 10.0
@@ -527,6 +527,18 @@ def hot_weights(answers: DataFrame, min_gain: float) -> tuple[np.ndarray, np.nda
     return keys[order], weights(c, k, q, s, total, min_gain)
 
 
+def removed(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Delete the files that the batches name. A task that runs again finds some of them gone already, which is as well."""
+    where, _ = fs.FileSystem.from_uri(folder)
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            try:
+                where.delete_file(path)
+            except FileNotFoundError:
+                pass
+        yield batch
+
+
 def told(held: DataFrame, parts: list[DataFrame], folder: str, apply) -> DataFrame:
     """The manifest after apply(block, its answers by bucket); blocks that have asked nothing stay. parts: the answers."""
 
@@ -536,16 +548,9 @@ def told(held: DataFrame, parts: list[DataFrame], folder: str, apply) -> DataFra
         apply(block, rows)
         return _manifest([save(folder, block, keys)])
 
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, _ = fs.FileSystem.from_uri(folder)
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                where.delete_file(path)
-            yield batch
-
     moved_on = reduce(DataFrame.union, parts).select("block", "path", "bucket", "n", "weight").groupBy("block").applyInArrow(run, MANIFEST)
     after = materialize(moved_on.union(held.filter("asks = 0")), "blocks")
-    materialize(held.filter("asks > 0").select("path").mapInArrow(drop, "path string"), "dropped")
+    discard(materialize(held.filter("asks > 0").select("path").mapInArrow(lambda batches: removed(folder, batches), "path string"), "removed"))
     for done in (held, *parts):
         discard(done)
     return after
@@ -616,6 +621,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 
     # written, so that its size is known where it is joined
     scored = materialize(spread(held).mapInArrow(run, "key string, n_tokens bigint, n_known bigint, base_score double, score double"), "scores")
+    discard(held)
+    delete(docs.sparkSession, folder)  # with what lost tasks have left there
     return rows.select("id", "out", "key").join(scored, "key").select(
         F.col("id").alias(id_col), F.col("out").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score"
     )

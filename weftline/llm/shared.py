@@ -69,8 +69,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder and what is in it; nothing if it isn't there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df.written_to)
