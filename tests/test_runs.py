@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import functions as F
 
 from weftline import config, ensemble, features, models, run, selection
 from weftline.sources.credit import Sources, declared
@@ -106,12 +108,64 @@ def test_blends_are_written_with_their_trials(spark, folder, sources, written):
 
 def test_early_stopping_keeps_the_best_iteration(sources):
     df = sources["application"].select("SK_ID_CURR", "TARGET", "AMT_CREDIT", "DAYS_EMPLOYED")
-    stopped = models.cross_validate(df, "XGBoost", {"n_estimators": 12, "early_stopping_rounds": 5, "max_depth": 3}, folds=2, columns=["AMT_CREDIT", "DAYS_EMPLOYED"])
-    assert all(1 <= stopped.trials[f"Fold{f}"]["best_iteration"] < 12 for f in (1, 2))
+    made = models.cross_validate(df, "XGBoost", {"n_estimators": 7, "early_stopping_rounds": 3, "max_depth": 3}, folds=2, columns=["AMT_CREDIT", "DAYS_EMPLOYED"])
+    for f in (1, 2):
+        trial = made.trials[f"Fold{f}"]
+        assert len(trial["scores"]) == 7 and trial["best_iteration"] == models.best_iteration(trial["scores"], 3)
+        # the fold's own score is that of its best round, by another way
+        assert trial["val_score"] == pytest.approx(trial["scores"][trial["best_iteration"] - 1], abs=1e-9)
     assert models.lightgbm({"num_leaves": 31}).getMaxDepth() == 5 and models.xgboost({}).getMaxDepth() == 6
     assert models.lightgbm({"colsample_bytree": 0.1, "min_gain_to_split": 2.5, "max_bin": 5.0}).getFeatureSubsetStrategy() == "0.1"
 
 
+def test_patience_counts_rounds_since_the_best():
+    scores = [0.5, 0.6, 0.6, 0.55, 0.59, 0.7, 0.1, 0.1, 0.1, 0.9]
+    assert [models.best_iteration(scores, k) for k in (1, 3, 4, 5)] == [2, 2, 10, 10]
+    for k in range(1, 11):
+        best = 0
+        for i in range(1, 10):  # by the definition: stop once k rounds in a row haven't been better
+            if scores[i] > scores[best]:
+                best = i
+            elif i - best >= k:
+                break
+        assert models.best_iteration(scores, k) == best + 1
+
+
+def test_prefixes_of_boosted_trees_and_split_counts(sources):
+    df = sources["application"].select("SK_ID_CURR", "TARGET", "AMT_CREDIT", "DAYS_EMPLOYED").filter("TARGET is not null")
+    ready = models.prepared(df, "SK_ID_CURR", "TARGET", ["AMT_CREDIT", "DAYS_EMPLOYED"], False).withColumn("label", df.TARGET.cast("double"))
+    fitted = models.pipeline("LightGBM", {"n_estimators": 4, "max_depth": 2}, 2).fit(ready)
+    whole = {r.SK_ID_CURR: r.prediction for r in models.predicted(fitted, ready, ["SK_ID_CURR"]).collect()}
+    assert whole == pytest.approx({r.SK_ID_CURR: r.prediction for r in models.of_trees(fitted, ready, ["SK_ID_CURR"], 4).collect()})
+    first = {r.SK_ID_CURR: r.prediction for r in models.of_trees(fitted, ready, ["SK_ID_CURR"], 1).collect()}
+    one = models.pipeline("LightGBM", {"n_estimators": 1, "max_depth": 2}, 2).fit(ready)
+    assert first == pytest.approx({r.SK_ID_CURR: r.prediction for r in models.predicted(one, ready, ["SK_ID_CURR"]).collect()})
+
+    class Tree:
+        toDebugString = "If (feature 1 <= 2.0)\n If (feature 0 in {1.0})\n  Predict: 1\n Else (feature 0 not in {1.0})\nElse (feature 1 > 2.0)"
+
+    assert models.split_counts([Tree(), Tree()], 3) == [2, 2, 0]
+    trees = fitted.stages[-1].trees
+    assert sum(models.split_counts(trees, 2)) == sum((t.numNodes - 1) // 2 for t in trees)
+
+
+def test_logistic_regression_is_penalised_by_c_and_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2)) * [1, 30]
+    y = (x[:, 0] + 0.02 * x[:, 1] + rng.normal(size=300) > 0).astype(float)
+    rows = [(i, float(t), *map(float, v)) for i, (t, v) in enumerate(zip(y, x))]
+    df = spark.createDataFrame(rows, "SK_ID_CURR bigint, TARGET double, f0 double, f1 double").withColumn("label", F.col("TARGET"))
+    for c in (0.01, 1.0):
+        weights = np.zeros(3)  # by Newton's method, the intercept without a penalty
+        design = np.column_stack([x, np.ones(300)])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-design @ weights))
+            penalty = np.diag([1 / c, 1 / c, 0])
+            weights -= np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + penalty, design.T @ (p - y) + penalty @ weights)
+        fitted = models.pipeline("LogisticRegression", {"C": c}, 2, rows=300).fit(df).stages[-1]
+        assert [*fitted.coefficients, fitted.intercept] == pytest.approx(weights.tolist(), rel=1e-3, abs=1e-4)
+
+
 def test_a_model_of_ones_own(sources):
     models.register_model("Plain", lambda params: LogisticRegression(maxIter=5))
     with pytest.raises(ValueError):
@@ -144,17 +198,16 @@ def test_columns_no_model_needs():
     assert selection.not_needed([f"c{i}" for i in range(30)], lambda left: (0.8, left[:1])) == []  # thirty rounds
 
 
-@pytest.mark.parametrize("name", ["CreditCardBalance", "InstallmentsPayments", "PosCash"])
-def test_cleaned_sets_keep_features(spark, name):
+def test_a_cleaned_set_keeps_what_models_of_the_target_use(spark):
     from weftline import catalog
 
-    whole = catalog.QUERIES[f"feature_set_{name}FeaturesAntonova"](spark, "/root/testdata/sf0.001")
-    cleaned = catalog.QUERIES[f"feature_set_{name}FeaturesAntonovaCleaned"](spark, "/root/testdata/sf0.001")
-    features = set(cleaned.columns) - {"SK_ID_CURR", "TARGET"}
-    assert features and features < set(whole.columns)
-    rows = {r.SK_ID_CURR: r for r in cleaned.collect()}
-    for c in features:
-        assert len({r[c] for r in rows.values()}) > 1
+    name, folder = "InstallmentsPaymentsFeaturesAntonova", "/root/testdata/sf0.01"
+    whole, cleaned = (catalog.QUERIES[f"feature_set_{name}{end}"](spark, folder) for end in ("", "Cleaned"))
+    kept = set(cleaned.columns) - {"SK_ID_CURR", "TARGET"}
+    assert {"INS_AMT_INSTALMENT_VAR", "INS_AMT_PAYMENT_MIN"} <= kept < set(whole.columns)
+    rows = {r.SK_ID_CURR: r for r in whole.collect()}
+    for r in cleaned.collect():
+        assert r.SK_ID_CURR not in rows or all(r[c] == rows[r.SK_ID_CURR][c] for c in kept)
 
 
 def test_null_importance_sweep_scores_what_is_kept(spark, sources, tmp_path, monkeypatch):

@@ -9,6 +9,7 @@ from ..functions.rowwise import row_kurtosis, row_max, row_mean, row_median, row
 from ..nulls import col, flag, ratio
 from ..operators.encode import factorize, one_hot
 from ..operators.joins import lookup
+from ..operators.ranking import group_medians
 from ..sources.credit import CLIENT, TARGET
 from . import feature, vocab_of
 
@@ -82,7 +83,7 @@ def new_columns(df: DataFrame) -> DataFrame:
     texts = {c for c, kind in df.dtypes if kind == "string"}
     live = [c for c in df.columns if "FLAG_" in c and "FLAG_DOC" not in c and "_FLAG_" not in c and c not in texts]
     ext = [col(c) for c in EXT]
-    by_org = df.filter(col("ORGANIZATION_TYPE").isNotNull()).groupBy(col("ORGANIZATION_TYPE").alias("__org")).agg(F.median("AMT_INCOME_TOTAL").alias("__income"))
+    by_org = group_medians(df, "ORGANIZATION_TYPE", "AMT_INCOME_TOTAL").select(F.col("g").alias("__org"), F.col("median").alias("__income"))
     deviation = row_std(ext)
     mean_deviation = F.lit(df.agg(F.avg(deviation)).first()[0]).cast("double")
     made = {

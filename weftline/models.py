@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import math
+import re
 import time
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .nulls import col, finite_or_zero
 from .operators.folds import fold_of
-from .operators.ranking import auc
+from .operators.ranking import auc, class_comparison
 from .selection import numeric
-from .settle import settle
+from .settle import settle, unsettle
 from .sources.credit import CLIENT, TARGET, split
 
 MISSING = -999999.0  # trees have no missing values here: a value apart from all others
@@ -43,6 +45,7 @@ def _rename(params: Mapping, names: Mapping[str, str]) -> dict:
     return {names[k]: v for k, v in params.items() if k in names}
 
 
+ROWS = "__rows"  # of training, told to those who make an estimator
 STOP = ("early_stopping_rounds", "early_stopping_round", "early_stopping")
 
 
@@ -82,19 +85,27 @@ def _boosted(made: dict, params: Mapping, shares: tuple[str, ...]):
     for name in shares:
         if name in params:
             made["featureSubsetStrategy"] = _share(params[name])
-    if any(params.get(k) for k in STOP):
-        made |= {"validationIndicatorCol": "held", "validationTol": 1e-5}
     return GBTClassifier(**made)
 
 
+def patience(params: Mapping) -> int:
+    """Rounds without a better score after which boosting stops; 0: never."""
+    return next((int(params[k]) for k in STOP if params.get(k)), 0)
+
+
 def forest(params: Mapping):
+    """Trees of regression on the 0/1 target: their variance is half of Gini's impurity, so they grow alike, and a leaf's mean is
+    its share of 1. The classifier's own trees are cut back to where leaves predict different classes, which leaves nothing of
+    them where one class is rare."""
     known = {"n_estimators": "numTrees", "max_depth": "maxDepth", "random_state": "seed", "min_samples_leaf": "minInstancesPerNode"}
-    return RandomForestClassifier(**{"numTrees": 20, "maxDepth": 5, "seed": 0, **_rename(params, known)})
+    return RandomForestRegressor(**{"numTrees": 20, "maxDepth": 5, "seed": 0, "featureSubsetStrategy": "sqrt", **_rename(params, known)})
 
 
 def logistic(params: Mapping):
-    made = {"maxIter": params.get("max_iter", 100), "regParam": 1.0 / (params["C"] * 1000) if "C" in params else 0.0}
-    return LogisticRegression(**made)
+    """The penalty is half the squared weights against C times the sum of the rows' losses, so the library's share falls
+    with the number of rows; weights are penalised as they are, not by their columns' spread."""
+    made = {"maxIter": params.get("max_iter", 100), "regParam": 1.0 / (params.get("C", 1.0) * max(1, params.get(ROWS, 1)))}
+    return LogisticRegression(**made, standardization=False)
 
 
 #: model name -> (estimator of its parameters, whether missing values become 0 rather than a value apart)
@@ -126,76 +137,150 @@ def prepared(df: DataFrame, key: str, target: str, columns: list[str], zero: boo
     return df.select(*[col(c) for c in keep], *[value(c).alias(f"f{i}") for i, c in enumerate(columns)])
 
 
-def pipeline(model: str, params: Mapping, n: int, scale: bool = False) -> Pipeline:
+def pipeline(model: str, params: Mapping, n: int, scale: bool = False, rows: int = 1) -> Pipeline:
     stages = [VectorAssembler(inputCols=[f"f{i}" for i in range(n)], outputCol="x", handleInvalid="keep")]
     at = "x"
     if scale:
         stages.append(StandardScaler(inputCol="x", outputCol="scaled", withMean=True, withStd=True))
         at = "scaled"
-    estimator = MODELS[model][0](params)
+    estimator = MODELS[model][0]({**params, ROWS: rows})
     return Pipeline(stages=[*stages, estimator.setFeaturesCol(at).setLabelCol("label")])
 
 
 def predicted(fitted, df: DataFrame, keep: list[str]) -> DataFrame:
-    return fitted.transform(df).select(*map(col, keep), vector_to_array("probability")[1].alias("prediction"))
+    made = fitted.transform(df)
+    value = vector_to_array("probability")[1] if "probability" in made.columns else F.col("prediction")
+    return made.select(*map(col, keep), value.alias("prediction"))
+
+
+def split_counts(trees: list, n: int) -> list[int]:
+    """How many inner nodes of the trees split by each of n columns."""
+    out = [0] * n
+    for tree in trees:
+        for feature in re.findall(r"If \(feature (\d+) ", tree.toDebugString):
+            out[int(feature)] += 1
+    return out
+
 
+#: Models whose importance of a column is the number of its splits; that of others is its share of the gain.
+BY_SPLITS = {"LightGBM"}
 
-def importances(fitted, columns: list[str]) -> dict[str, float]:
+
+def importances(fitted, columns: list[str], model: str = "", trees: int | None = None) -> dict[str, float]:
+    """Importance of each column, of the first `trees` trees if that is said and splits are counted."""
     last = fitted.stages[-1]
-    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else np.abs(last.coefficients.toArray()) if hasattr(last, "coefficients") else []
+    if model in BY_SPLITS and hasattr(last, "trees"):
+        values = split_counts(last.trees[:trees], len(columns))
+    else:
+        values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else np.abs(last.coefficients.toArray()) if hasattr(last, "coefficients") else []
     return dict(zip(columns, map(float, values)))
 
 
+def staged(fitted, df: DataFrame, keep: list[str], first: int | None = None) -> tuple[DataFrame, list[str]]:
+    """(keep, s0, s1, ...): the margin of each row after the first tree, the second, ...; and the names of the margins."""
+    last = fitted.stages[-1]
+    for stage in fitted.stages[:-1]:
+        df = stage.transform(df)
+    trees, weights, at = last.trees[:first], last.treeWeights, last.getFeaturesCol()
+    rows = df.select(*map(col, keep), at)
+    for i, tree in enumerate(trees):
+        rows = tree.setFeaturesCol(at).setPredictionCol(f"__t{i}").transform(rows)
+    margins, sum_ = [], F.lit(0.0)
+    for i, w in enumerate(weights[: len(trees)]):
+        sum_ = sum_ + F.col(f"__t{i}") * float(w)
+        margins.append(sum_.alias(f"s{i}"))
+    return rows.select(*map(col, keep), *margins), [f"s{i}" for i in range(len(trees))]
+
+
+def best_iteration(scores: list[float | None], patience: int) -> int:
+    """The number of trees of the best score when boosting stops `patience` rounds after it; of equal ones the first."""
+    best, at = -math.inf, 0
+    for i, s in enumerate(scores):
+        if s is not None and s > best:
+            best, at = s, i
+        elif i - at >= patience:
+            break
+    return at + 1
+
+
+def stopped(fitted, held: DataFrame, target: str, rounds: int) -> tuple[int, list[float | None]]:
+    """Trees up to the best round, and the AUC after each tree on the rows held out. All rounds' AUCs come from one pass."""
+    margins, names = staged(fitted, held, [target])
+    found = {r.c: r for r in class_comparison(margins, target, names).collect()}  # a row for each tree
+    scores = []
+    for i in range(len(names)):
+        r = found.get(i)
+        n1, n0 = (float(r.n1), float(r.n - r.n1)) if r else (0.0, 0.0)
+        scores.append((float(r.rank_sum) - n1 * (n1 + 1) / 2) / (n1 * n0) if n1 and n0 else None)
+    return best_iteration(scores, rounds), scores
+
+
+def of_trees(fitted, df: DataFrame, keep: list[str], trees: int) -> DataFrame:
+    """Predictions of the first trees of a boosted model, by the probability that all of them would give."""
+    margins, names = staged(fitted, df, keep, trees)
+    return margins.select(*map(col, keep), (1 / (1 + F.exp(-2 * F.col(names[-1])))).alias("prediction"))
+
+
 def cross_validate(
     df: DataFrame, model: str = "LightGBM", params: Mapping | None = None, key: str = CLIENT, target: str = TARGET, folds: int = 5, seed: int = 47,
     columns: list[str] | None = None, scale: bool = False,
 ) -> Result:
     """Fit on all folds but one, predict that one and the rows without a target; test predictions are means over folds.
 
-    Boosted trees with early stopping in their parameters watch the fold left out, and predict with the trees up to the
-    best iteration."""
+    Boosted trees with early stopping in their parameters grow all their trees; the fold left out tells after how many of
+    them the score was best when it hadn't risen for that many rounds, and these predict. Tables are written once and read by
+    every fold; they are deleted at the end."""
     params, columns = params or {}, columns or features_of(df, key, target)
     train, test = split(df, target)
     zero = MODELS[model][1]
-    train = prepared(fold_of(train, key, target, folds, seed), key, target, columns, zero).withColumn("label", col(target).cast("double")).persist()
-    test = prepared(test, key, target, columns, zero).persist()
+    train = settle(prepared(fold_of(train, key, target, folds, seed), key, target, columns, zero).withColumn("label", col(target).cast("double")), "train")
+    test = settle(prepared(test, key, target, columns, zero), "test")
+    sizes = {r["fold"]: r["count"] for r in train.groupBy("fold").count().collect()}
     oof, tests, trials, weight = None, None, {}, {}
     for f in range(folds):
         began = time.time()
         part, held = train.filter(F.col("fold") != f), train.filter(F.col("fold") == f)
+        trials[f"Fold{f + 1}"] = {}
         if model == "KNN":
             own, other = knn(part, held, len(columns), params, [key, target]), knn(part, test, len(columns), params, [key])
         else:
-            stops = any(params.get(k) for k in STOP) and model in ("LightGBM", "XGBoost")
-            fitted = pipeline(model, params, len(columns), scale).fit(train.withColumn("held", F.col("fold") == f) if stops else part)
-            own, other = predicted(fitted, held, [key, target]), predicted(fitted, test, [key])
-            for c, v in importances(fitted, columns).items():
+            fitted = pipeline(model, params, len(columns), scale, sum(sizes.values()) - sizes.get(f, 0)).fit(part)
+            trees = None
+            if patience(params) and isinstance(fitted.stages[-1], GBTClassificationModel):
+                trees, scores = stopped(fitted, held, target, patience(params))
+                own, other = of_trees(fitted, held, [key, target], trees), of_trees(fitted, test, [key], trees)
+                trials[f"Fold{f + 1}"] |= {"best_iteration": trees, "scores": scores}
+            else:
+                own, other = predicted(fitted, held, [key, target]), predicted(fitted, test, [key])
+                if hasattr(fitted.stages[-1], "getNumTrees"):
+                    trials[f"Fold{f + 1}"]["best_iteration"] = fitted.stages[-1].getNumTrees
+            for c, v in importances(fitted, columns, model, trees).items():
                 weight[c] = weight.get(c, 0.0) + v / folds
         own = own.withColumn("fold", F.lit(f))
         oof = own if oof is None else oof.unionByName(own)
         tests = other if tests is None else tests.unionByName(other)
-        trials[f"Fold{f + 1}"] = {"elapsed_time": time.time() - began}
-        if model != "KNN" and hasattr(fitted.stages[-1], "getNumTrees"):
-            trials[f"Fold{f + 1}"]["best_iteration"] = fitted.stages[-1].getNumTrees
-    oof = oof.persist()
+        trials[f"Fold{f + 1}"]["elapsed_time"] = time.time() - began
+    oof = settle(oof, "oof")
+    tests = settle(tests.groupBy(key).agg(F.avg("prediction").alias("prediction")), "predictions")
+    unsettle(train, test)
     for f in range(folds):
         trials[f"Fold{f + 1}"]["val_score"] = auc(oof.filter(F.col("fold") == f), target, "prediction").first()[0]
     scores = [t["val_score"] for t in trials.values() if t["val_score"] is not None]
     top = dict(sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:10])
     trials["Full"] = {"score": auc(oof, target, "prediction").first()[0], "val_score_mean": float(np.mean(scores)) if scores else None, "val_score_std": float(np.std(scores)) if scores else None, "feature_importance_top10": top}
-    return Result(oof.drop("fold"), tests.groupBy(key).agg(F.avg("prediction").alias("prediction")), trials, weight)
+    return Result(oof.drop("fold"), tests, trials, weight)
 
 
 def full_train(df: DataFrame, model: str, params: Mapping | None = None, key: str = CLIENT, target: str = TARGET, columns: list[str] | None = None, scale: bool = False) -> Result:
     """Fit on every row with a target; predict the others."""
     params, columns = params or {}, columns or features_of(df, key, target)
     train, test = (prepared(x, key, target, columns, MODELS[model][1]) for x in split(df, target))
-    train = train.withColumn("label", col(target).cast("double"))
+    train = settle(train.withColumn("label", col(target).cast("double")), "train")
     if model == "KNN":
         return Result(None, knn(train, test, len(columns), params, [key]))
-    params = {k: v for k, v in params.items() if k not in STOP}  # nothing is left out to watch
-    fitted = pipeline(model, params, len(columns), scale).fit(train)
-    return Result(None, predicted(fitted, test, [key]), {}, importances(fitted, columns))
+    fitted = pipeline(model, params, len(columns), scale, train.count()).fit(train)  # nothing is left out to watch
+    unsettle(train)
+    return Result(None, predicted(fitted, test, [key]), {}, importances(fitted, columns, model))
 
 
 KNN_ROWS = 20_000
@@ -212,7 +297,7 @@ def knn(train: DataFrame, asked: DataFrame, n: int, params: Mapping, keep: list[
     k = int(params.get("n_neighbors", 5))
     names = [f"f{i}" for i in range(n)]
     row_blocks, query_blocks = (max(1, -(-x.count() // block_rows)) for x in (train, asked))
-    dealt = lambda blocks: F.pmod(F.monotonically_increasing_id(), F.lit(blocks))
+    dealt = lambda blocks: F.pmod(F.xxhash64(col(keep[0])), F.lit(blocks))  # noqa: E731  the same whenever a task runs again
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
     rows = train.select(F.array(*names).alias("v"), "label").withColumn("block", dealt(row_blocks)).withColumn("asked", every(query_blocks))
     queries = asked.select(*map(col, keep), F.array(*names).alias("v")).withColumn("asked", dealt(query_blocks)).withColumn("block", every(row_blocks))
@@ -252,17 +337,24 @@ def fold_places(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def null_importance(df: DataFrame, runs: int = 100, model: str = "RandomForest", params: Mapping | None = None, key: str = CLIENT, target: str = TARGET, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(actual, null) importances as (feature, importance_gain, run): of the real target and of `runs` shuffled ones."""
+    """(actual, null) importances as (feature, importance_gain, importance_split, run): of the real target and of `runs` shuffled ones."""
     params, columns = params or {}, features_of(df, key, target)
     train = split(df, target)[0]
 
+    # every run reads this table; what is shuffled are keys and targets alone
+    ready = settle(prepared(train, key, target, columns, MODELS[model][1]), "ready")
+    targets, rows = ready.select(col(key), col(target)), ready.count()
+
     def fit(data: DataFrame, run: int) -> list[tuple]:
-        ready = prepared(data, key, target, columns, MODELS[model][1]).withColumn("label", col(target).cast("double"))
-        return [(c, v, run) for c, v in importances(pipeline(model, params, len(columns)).fit(ready), columns).items()]
+        fitted = pipeline(model, params, len(columns), rows=rows).fit(data.withColumn("label", col(target).cast("double")))
+        gain, splits = importances(fitted, columns), split_counts(getattr(fitted.stages[-1], "trees", []), len(columns))
+        return [(c, gain.get(c, 0.0), s, run) for c, s in zip(columns, splits)]
 
-    spark, schema = df.sparkSession, "feature string, importance_gain double, run int"
-    null = [row for r in range(runs) for row in fit(shuffled_target(train, key, target, seed + 2 * r), r)]
-    return spark.createDataFrame(fit(train, 0), schema), spark.createDataFrame(null, schema)
+    spark, schema = df.sparkSession, "feature string, importance_gain double, importance_split int, run int"
+    null = [row for r in range(runs) for row in fit(ready.drop(target).join(shuffled_target(targets, key, target, seed + 2 * r), key), r)]
+    out = spark.createDataFrame(fit(ready, 0), schema), spark.createDataFrame(null, schema)
+    unsettle(ready)
+    return out
 
 
 TARGET_MODEL = {"n_estimators": 20, "max_depth": 5, "min_samples_leaf": 20}
@@ -283,7 +375,7 @@ def target_model(train: DataFrame, columns: list[str], target: str = TARGET, par
             return 0.0, []
         picked = VectorSlicer(inputCol="all", outputCol="x", indices=[place[c] for c in of]).transform(table)
         fitted = forest({**TARGET_MODEL, **(params or {})}).setFeaturesCol("x").setLabelCol("label").fit(picked)
-        scored = fitted.transform(picked).select("label", vector_to_array("probability")[1].alias("prediction"))
+        scored = predicted(fitted, picked, ["label"])
         used = [c for c, v in zip(of, fitted.featureImportances.toArray()) if v > 0]
         return auc(scored, "label", "prediction").first()[0] or 0.0, used
 

@@ -41,6 +41,26 @@ def value_ranks(df: DataFrame, value: Column, extra: dict[str, Column] | None =
     return placed.select("v", "n", (F.col("start") + F.col("inside")).alias("below"), *(extra or {}))
 
 
+def group_medians(df: DataFrame, group: str, value: str, ranges: int = RANGES) -> DataFrame:
+    """(g, median): the exact median of value, the mean of the middle two of an even number, in each group that has one.
+
+    As in :func:`value_ranks`, values become counts and counts are summed up within ranges of values, so a group of all rows
+    is dealt to as many tasks as there are ranges; only groups times ranges sums meet in one place."""
+    known = df.filter(col(group).isNotNull() & col(value).isNotNull())
+    values = settle(known.groupBy(col(group).alias("g"), col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")), "group-values")
+    ranges = ranges_for(values.count(), ranges)
+    bounds = sorted(set(values.agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []))
+    ranged = values.withColumn("r", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("v"))) if bounds else F.lit(0))
+    sizes = ranged.groupBy("g", "r").agg(F.sum("n").alias("size"))
+    lower = Window.partitionBy("g").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("g").alias("of"), F.col("r").alias("at"), F.coalesce(F.sum("size").over(lower), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy("g")).alias("all"))
+    before = Window.partitionBy("g", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = inside.join(starts, (inside.g == starts.of) & (inside.r == starts.at)).withColumn("below", F.col("start") + F.col("inside"))
+    at = lambda place: F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col("v")))
+    return placed.groupBy("g").agg(((at(F.floor((F.col("all") - 1) / 2)) + at(F.floor(F.col("all") / 2))) / 2).alias("median"))
+
+
 def min_rank(ranks: DataFrame) -> DataFrame:
     """(v, rank): 1 plus the number of smaller rows."""
     return ranks.select("v", (F.col("below") + 1).alias("rank"))

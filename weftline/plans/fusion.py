@@ -2,7 +2,10 @@
 
 A feature is an `Agg`. Whatever its condition, its last-k rows or its statistic, all features over the same source
 and key become columns of one groupBy: conditions turn into CASE inside the aggregate, last-k into a comparison
-with one row number. The window and the groupBy share the key, so the source is shuffled once.
+with one row number.
+
+Features of the last k rows are made from the k newest rows of each group, which every task picks from its own rows before
+the shuffle; all other features go through partial sums. So a group of very many rows is never sorted or held in one task.
 
 Hundreds of CASE aggregates in one operator are beyond what Spark compiles. Sets of over WIDE simple statistics are therefore
 turned: each value of a row becomes a row (key, place of the column, value), so that one short, compiled aggregation makes the
@@ -75,11 +78,20 @@ def aggregate(df: DataFrame, keys: list[str], aggs: list[Agg], order: list[Colum
         df = df.filter(col(k).isNotNull())
     if len(aggs) > wide and not extra and all(a.func in MOMENTS and not a.last for a in aggs):
         return turned(df, keys, aggs)
-    if any(a.last or a.func == "trend" for a in aggs):
-        if not order:
-            raise ValueError("features of the last rows need an order")
-        df = numbered(df, keys, order)
-    return df.groupBy(*map(col, keys)).agg(*[a.column() for a in aggs], *extra)
+    if not any(a.last or a.func == "trend" for a in aggs):
+        return df.groupBy(*map(col, keys)).agg(*[a.column() for a in aggs], *extra)
+    if not order:
+        raise ValueError("features of the last rows need an order")
+    if any(a.func == "trend" and not a.last for a in aggs):
+        return numbered(df, keys, order).groupBy(*map(col, keys)).agg(*[a.column() for a in aggs], *extra)
+    newest = numbered(df, keys, order).filter(F.col(ROW) <= max(a.last for a in aggs if a.last))
+    last = newest.groupBy(*map(col, keys)).agg(*[a.column() for a in aggs if a.last])
+    whole = [a.column() for a in aggs if not a.last]
+    if not whole and not extra:
+        return last
+    rest = df.groupBy(*map(col, keys)).agg(*whole, *extra)
+    made = [c for c in rest.columns if c not in keys and c not in names]
+    return rest.join(last, keys).select(*map(col, [*keys, *names, *made]))
 
 
 def turned(df: DataFrame, keys: list[str], aggs: list[Agg]) -> DataFrame:
