@@ -58,6 +58,25 @@ def test_types_follow_from_names(sources):
     assert dict(sources["application"].dtypes)["AMT_CREDIT"] == "double" and sources["application"].filter("TARGET is null").count() == 40
 
 
+def test_cached_sets_join_without_a_shuffle(spark, folder, sources):
+    names = ["ApplicationFeaturesSingleValueCounts", "ApplicationFeaturesPairValueCounts", "ApplicationFeaturesLeakyTargetEncoding"]
+    raw = {"features": names, "model": {"name": "LogisticRegression"}, "dataset": {"input_directory": str(folder), "cache_directory": str(folder / "buckets")}}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = run.assemble(spark, config.parse(json.dumps({**raw, "dataset": {"input_directory": str(folder)}})), sources)
+        for again in range(2):
+            made = run.assemble(spark, config.parse(json.dumps(raw)), sources)
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and plan.count("SortMergeJoin") >= 3 and "Exchange" in plain._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, made.collect())) == sorted(map(str, plain.select(made.columns).collect()))
+            for t in spark.catalog.listTables():  # as in a session that has only the files
+                if t.name.startswith("weftline_"):
+                    spark.sql(f"drop table {t.name}")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_raw_cache_follows_the_files(spark, folder, sources):
     sources["application"].count()
     before = {p.name for p in (folder / "cache").glob("raw-application-*")}

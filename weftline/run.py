@@ -18,10 +18,13 @@ from . import config as configs
 from . import ensemble, features, models, selection
 from .operators.joins import star
 from .session import get_session
-from .sources.credit import CLIENT, TARGET, Sources, kept
+from .sources.credit import CLIENT, TARGET, Sources, kept_by
 from .sources.runs import Runs, read_run, runs_above, stack
 
 
+BASE = "base"
+
+
 def cache_path(folder: str, name: str, conf: dict, inputs: str) -> str:
     """Where a feature set lies: by its name, its parameters and what it was made from."""
     digest = hashlib.sha256(json.dumps([name, conf, inputs], sort_keys=True, default=str).encode()).hexdigest()[:16]
@@ -29,22 +32,26 @@ def cache_path(folder: str, name: str, conf: dict, inputs: str) -> str:
 
 
 def cached(spark: SparkSession, folder: str | None, name: str, conf: dict, sources: Sources) -> DataFrame:
-    """The feature set, written once below folder and read from there; not written without a folder. Earlier
-    predictions are tables of their own already."""
+    """The feature set, written once below folder and read from there, in as many buckets of the client as the session has
+    partitions; not written without a folder. Earlier predictions are tables of their own already. BASE: clients and targets."""
+    make = lambda: sources.base if name == BASE else features.build(name, sources, conf)
     if not folder or name.startswith("Preds"):
-        return features.build(name, sources, conf)
-    return kept(spark, cache_path(folder, name, conf, f"{sources.folder} {sources.fingerprint()}"), lambda: features.build(name, sources, conf))
+        return make()
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = cache_path(folder, name, {**conf, "buckets": buckets}, f"{sources.folder} {sources.fingerprint()}")
+    return kept_by(spark, path, make, CLIENT, buckets)
 
 
 def assemble(spark: SparkSession, config: configs.Config, sources: Sources) -> DataFrame:
     """Clients with target and all features of the configuration."""
     conf = {"n_splits": config.folds, "random_state": config.seed, **config.options.get("features", {})}
     repeated = "drop" if config.options.get("drop_duplicate_column_on_merge") else "error"
-    tables = [cached(spark, config.dataset.get("cache_directory"), name, conf, sources) for name in config.features]
+    cache = config.dataset.get("cache_directory")
+    tables = [cached(spark, cache, name, conf, sources) for name in config.features]
     for t in range(len(tables)):
         if TARGET in tables[t].columns:
             tables[t] = tables[t].drop(TARGET)
-    out = star(sources.base, tables, CLIENT, repeated)
+    out = star(cached(spark, cache, BASE, {}, sources), tables, CLIENT, repeated)
     if config.stacking_features:
         named = [f for f in config.stacking_features if f in features.names()]
         out = star(out, [features.build(f, sources, conf) for f in named], CLIENT, repeated)

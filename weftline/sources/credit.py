@@ -121,14 +121,32 @@ def united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _finished(spark: SparkSession, path: str) -> bool:
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def kept(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What lies at path as Parquet; made and written there first unless a finished write is there."""
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+    if not _finished(spark, path):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def kept_by(spark: SparkSession, path: str, make: Callable[[], DataFrame], key: str, buckets: int) -> DataFrame:
+    """As :func:`kept`, dealt to buckets of the key and sorted by it, so that tables of as many buckets join on it without a
+    shuffle. The files alone don't tell of buckets; each session has a table of its catalog over them."""
+    name = "weftline_" + hashlib.sha256(f"{path} {key} {buckets}".encode()).hexdigest()[:24]
+    if not _finished(spark, path):
+        spark.sql(f"drop table if exists {name}")
+        made = make()
+        made.repartition(buckets, col(key)).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    elif not spark.catalog.tableExists(name):
+        fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        spark.sql(f"create table {name} ({fields}) using parquet clustered by (`{key}`) sorted by (`{key}`) into {buckets} buckets location '{path}'")
+    return spark.table(name)
+
+
 class Sources:
     """Cleaned tables by name, each built once: from a folder, or from DataFrames as given. With `cache`, a folder, a
     table read from files is kept there as Parquet, by its name and the state of its files. runs: earlier predictions."""
