@@ -297,10 +297,12 @@ def knn(train: DataFrame, asked: DataFrame, n: int, params: Mapping, keep: list[
     k = int(params.get("n_neighbors", 5))
     names = [f"f{i}" for i in range(n)]
     row_blocks, query_blocks = (max(1, -(-x.count() // block_rows)) for x in (train, asked))
-    dealt = lambda blocks: F.pmod(F.xxhash64(col(keep[0])), F.lit(blocks))  # noqa: E731  the same whenever a task runs again
+    # by the key, else by the values: the same block whenever a task runs again
+    of = lambda df: F.xxhash64(col(keep[0]) if keep[0] in df.columns else F.array(*names))
+    dealt = lambda df, blocks: F.pmod(of(df), F.lit(blocks))
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    rows = train.select(F.array(*names).alias("v"), "label").withColumn("block", dealt(row_blocks)).withColumn("asked", every(query_blocks))
-    queries = asked.select(*map(col, keep), F.array(*names).alias("v")).withColumn("asked", dealt(query_blocks)).withColumn("block", every(row_blocks))
+    rows = train.select(F.array(*names).alias("v"), "label", dealt(train, row_blocks).alias("block")).withColumn("asked", every(query_blocks))
+    queries = asked.select(*map(col, keep), F.array(*names).alias("v"), dealt(asked, query_blocks).alias("asked")).withColumn("block", every(row_blocks))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
