@@ -13,7 +13,7 @@ to the shard in which most of its neighbours lie, as far as quotas allow:
 A group of more rows than a shard may hold fills one shard and goes on in the next, and smaller groups make room for it as a
 whole. Rounds end when nothing changes; `rounds` bounds them, which may cost links but never a row or a quota.
 
-Only numbers of shards come to the driver: counts of shards, and of pairs of them. All rest is DataFrame functions.
+Only counts of shards, and of the ranges in which rows are numbered, come to the driver. All is DataFrame functions.
 """
 
 from __future__ import annotations
