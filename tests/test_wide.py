@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from weftline.features.grouped import join_back
 from weftline.operators import encode
 from weftline.operators.ranking import group_medians
 from weftline.plans.fusion import MOMENTS, Agg, aggregate
+from weftline.plans.moments import Moments
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +47,45 @@ def test_turned_statistics_are_those_of_one_aggregation(rows):
     assert aggregate(rows.limit(0), ["k"], aggs, wide=0).count() == 0
 
 
+def wide_aggs() -> list[Agg]:
+    return [Agg(f"{p}{c}_{f}", f, c, w) for p, w in (("", None), ("a_", "`s t` = 'a'"), ("odd_", "twice % 4 = 2")) for f in MOMENTS for c in ("x.y", "n", "twice")]
+
+
+def twice(df):
+    return df.withColumn("twice", F.col("n") * 2)
+
+
+def test_wide_statistics_shuffle_each_row_once_and_underived(rows):
+    made = aggregate(rows, ["k"], wide_aggs(), wide=0, derive=twice)
+    own = plan(made).split("InMemoryTableScan")[0]
+    assert "Generate " not in own and own.count("Exchange hashpartitioning") == 1 and "twice" not in own.split("Exchange hashpartitioning")[1]
+    assert plain(made) == plain(aggregate(rows, ["k"], wide_aggs(), derive=twice, wide=10**6))
+
+
+def test_keys_of_many_rows_are_summed_up_by_parts(rows):
+    sizes = {r["count"] for r in rows.groupBy("k").count().collect()}
+    made = aggregate(rows, ["k"], wide_aggs(), wide=0, derive=twice, hot=sorted(sizes)[len(sizes) // 2])
+    narrow = aggregate(rows, ["k"], wide_aggs(), derive=twice, wide=10**6)
+    assert "Generate " in plan(made) and plain(made) == plain(narrow) and dict(made.dtypes) == dict(narrow.dtypes)
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1000])
+def test_moments_of_runs_over_batches(rows, at_once):
+    df = rows.toPandas().dropna(subset=["k"]).sort_values("k")
+    df = pd.concat([df, df[df.k == df.k.max()].assign(n=2.1)])  # one value in each batch of a key
+    wanted = [(f, 0, k, k == 0) for f in MOMENTS for k in (-1, 0)]
+    table = pa.table({"k": pa.array(df.k, pa.int32()), "v": pa.array(df.n, pa.float64(), from_pandas=True), "w": pa.array(df.u == "x")})
+    moments = Moments(1, 1, wanted, [f"{f}{k}" for f, _, k, _ in wanted], ["bigint" if f in ("count", "size") else "double" for f, *_ in wanted])
+    found = pa.Table.from_batches(moments.over(iter(table.combine_chunks().to_batches(at_once)))).to_pandas().set_index("k0")
+    for k, test in ((-1, df.k > 0), (0, df.u == "x")):
+        of = df[test].groupby("k")["n"]
+        for f in MOMENTS:
+            expected = of.agg(f).reindex(found.index)
+            expected = expected if f != "sum" or k == 0 else expected.fillna(0)
+            assert found[f"{f}{k}"].astype(float).to_numpy() == pytest.approx(expected.to_numpy(), nan_ok=True), (f, k)
+    assert list(moments.over(iter([]))) == []
+
+
 def test_key_sets_in_one_scan(rows):
     recipes = [(["u"], [("n", "mean"), ("x.y", "sum")]), (["s t", "u"], [("n", "max"), ("x.y", "var")]), (["n"], [("t", "min")])]
     found = {r.t: r for r in join_back(rows, "t", "S", recipes).collect()}

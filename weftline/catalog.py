@@ -29,11 +29,12 @@ def rounded(df: DataFrame, key: str = CLIENT, digits: int = 4) -> DataFrame:
     def made(f: T.StructField):
         if not isinstance(f.dataType, T.NumericType) or f.name == key:
             return col(f.name)
+        quoted = "`" + f.name.replace("`", "``") + "`"
+        if not oracle.is_id_variance(f.name):  # as text, as there are up to 1,800 columns
+            return F.expr(f"round(cast({quoted} as double) + {oracle.OFF_TIES!r}D, {digits}) + 0.0D as {quoted}")
         x = col(f.name).cast("double")
-        if oracle.is_id_variance(f.name):
-            scale = F.pow(F.lit(10.0), F.floor(F.log10(x)) - (oracle.ID_DIGITS - 1))
-            return F.when(x < 1e-6, 0.0).when(x.isNotNull(), F.round(x * oracle.OFF_ID_TIES / scale) * scale).alias(f.name)
-        return (F.round(x + F.lit(oracle.OFF_TIES), digits) + F.lit(0.0)).alias(f.name)
+        scale = F.pow(F.lit(10.0), F.floor(F.log10(x)) - (oracle.ID_DIGITS - 1))
+        return F.when(x < 1e-6, 0.0).when(x.isNotNull(), F.round(x * oracle.OFF_ID_TIES / scale) * scale).alias(f.name)
 
     return df.select(*map(made, df.schema))
 

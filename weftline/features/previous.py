@@ -67,23 +67,27 @@ def antonova(sources, conf) -> DataFrame:
     # Bounds beyond which a figure is an error.
     bad = {"AMT_CREDIT": 6000000, "SELLERPLACE_AREA": 3500000}
     df = df.select(*[null_where(col(c), col(c) > bad[c]).alias(c) if c in bad else col(c) for c in df.columns])
-    df = df.select(
-        "*",
-        row_nulls([col(c) for c in df.columns]).alias("prev missing"),
-        ratio(col("AMT_APPLICATION"), col("AMT_CREDIT")).alias("prev AMT_APPLICATION / AMT_CREDIT"),
-        *[
-            (col(a) - col(b)).alias(f"prev {a} - {b}")
-            for a, b in (
-                ("AMT_APPLICATION", "AMT_CREDIT"),
-                ("AMT_APPLICATION", "AMT_GOODS_PRICE"),
-                ("AMT_GOODS_PRICE", "AMT_CREDIT"),
-                ("DAYS_FIRST_DRAWING", "DAYS_FIRST_DUE"),
-            )
-        ],
-        flag(col("DAYS_TERMINATION") < -500).alias("prev DAYS_TERMINATION less -500"),
-    )
+
+    def derive(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            "*",
+            row_nulls([col(c) for c in rows.columns]).alias("prev missing"),
+            ratio(col("AMT_APPLICATION"), col("AMT_CREDIT")).alias("prev AMT_APPLICATION / AMT_CREDIT"),
+            *[
+                (col(a) - col(b)).alias(f"prev {a} - {b}")
+                for a, b in (
+                    ("AMT_APPLICATION", "AMT_CREDIT"),
+                    ("AMT_APPLICATION", "AMT_GOODS_PRICE"),
+                    ("AMT_GOODS_PRICE", "AMT_CREDIT"),
+                    ("DAYS_FIRST_DRAWING", "DAYS_FIRST_DUE"),
+                )
+            ],
+            flag(col("DAYS_TERMINATION") < -500).alias("prev DAYS_TERMINATION less -500"),
+        )
+
+    numeric = [c for c in derive(df).columns if c not in vocab]
     aggs = []
     for prefix, where in (("PREV_", None), ("APPROVED_", APPROVED), ("REFUSED_", REFUSED)):
-        aggs += recipes(prefix, {c: SIX for c in df.columns if c not in vocab}, where)
+        aggs += recipes(prefix, {c: SIX for c in numeric}, where)
         aggs += [Agg(f"{prefix}{n}_MEAN", "mean", where=where, expr=e) for n, e in dummies(vocab).items()]
-    return aggregate(df, [CLIENT], aggs)
+    return aggregate(df, [CLIENT], aggs, derive=derive)

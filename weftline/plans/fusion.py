@@ -8,22 +8,31 @@ Features of the last k rows are made from the k newest rows of each group, which
 the shuffle; all other features go through partial sums. So a group of very many rows is never sorted or held in one task.
 
 Hundreds of CASE aggregates in one operator are beyond what Spark compiles. Sets of over WIDE simple statistics are therefore
-turned: each value of a row becomes a row (key, place of the column, value), so that one short, compiled aggregation makes the
-moments of all columns, for all rows and for each condition; the columns of a group then meet in one array.
+made from rows that lie side by side by key (:func:`gathered`): the rows are shuffled and sorted once, as they are, and tasks sum
+up runs of a key batch by batch. Partial sums of hundreds of statistics would be many times as large as the few rows of a key.
+
+Only a key of over HOT rows, for which partial sums are the smaller, is turned: each value of a row becomes a row (key, place of
+the column, value), so that one short, compiled aggregation makes the moments of all columns, for all rows and for each
+condition, and such a key is no single task; the columns of a group then meet in one array.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.aggregates import AGGREGATES, trend
 from ..nulls import col
+from .moments import Moments
 
 ROW = "__row"
 WIDE = 300
+HOT = 1 << 17
 MOMENTS = ("min", "max", "mean", "sum", "var", "std", "count", "size")
 
 
@@ -66,18 +75,23 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn(ROW, F.row_number().over(Window.partitionBy(*map(col, keys)).orderBy(*order)))
 
 
-def aggregate(df: DataFrame, keys: list[str], aggs: list[Agg], order: list[Column] | None = None, extra: list[Column] = (), wide: int = WIDE) -> DataFrame:
+def aggregate(
+    df: DataFrame, keys: list[str], aggs: list[Agg], order: list[Column] | None = None, extra: list[Column] = (), wide: int = WIDE,
+    derive: Callable[[DataFrame], DataFrame] | None = None, keyed: DataFrame | None = None, hot: int = HOT,
+) -> DataFrame:
     """One row for each group of `keys` with every feature. Groups with a missing key are left out.
 
-    order: newest first; needed by features that look at the last rows. extra: more aggregate columns. wide: so many simple
-    statistics are made by turning columns to rows."""
+    order: newest first; needed by features that look at the last rows. extra: more aggregate columns. wide: over so many simple
+    statistics are made from gathered rows. derive: adds columns to those of df, row by row; it may come after a shuffle. keyed:
+    a table with the keys of df's rows that is cheaper to count than df. hot: a key of over so many rows is summed up by parts."""
     names = [a.name for a in aggs]
     if len(set(names)) < len(names):
         raise ValueError(f"features of one name: {sorted({n for n in names if names.count(n) > 1})}")
     for k in keys:
         df = df.filter(col(k).isNotNull())
     if len(aggs) > wide and not extra and all(a.func in MOMENTS and not a.last for a in aggs):
-        return turned(df, keys, aggs)
+        return by_size(df, keys, aggs, derive or (lambda d: d), df if keyed is None else keyed, hot)
+    df = derive(df) if derive else df
     if not any(a.last or a.func == "trend" for a in aggs):
         return df.groupBy(*map(col, keys)).agg(*[a.column() for a in aggs], *extra)
     if not order:
@@ -94,6 +108,42 @@ def aggregate(df: DataFrame, keys: list[str], aggs: list[Agg], order: list[Colum
     return rest.join(last, keys).select(*map(col, [*keys, *names, *made]))
 
 
+def by_size(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[DataFrame], DataFrame], keyed: DataFrame, hot: int) -> DataFrame:
+    """:func:`aggregate`: keys of over `hot` rows by partial sums, all others from gathered rows."""
+    large = keyed.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot).select(*map(col, keys))
+    if not large.limit(1).count():
+        return gathered(df, keys, aggs, derive)
+    rest, parts = df.join(F.broadcast(large), keys, "left_anti"), df.join(F.broadcast(large), keys, "left_semi")
+    return gathered(rest, keys, aggs, derive).union(turned(derive(parts), keys, aggs))
+
+
+def gathered(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """:func:`aggregate` from the rows of each key side by side. Derived columns are made after the shuffle; a task holds a batch of
+    rows and the moments of one key."""
+    sorted_ = derive(df.repartition(*map(col, keys)).sortWithinPartitions(*map(col, keys)))
+    values = list(dict.fromkeys((a.source, a.expr) for a in aggs))
+    tests = [w for w in dict.fromkeys(a.where for a in aggs) if w]
+    cells = [F.expr(e) if e else col(c) if c else F.lit(1) for c, e in values]
+    kinds = [f.dataType for f in sorted_.select(*cells).schema]
+    flags = [F.coalesce(F.expr(w), F.lit(False)).alias(f"__w{k}") for k, w in enumerate(tests)]
+    rows = sorted_.select(*map(col, keys), *[c.cast("double").alias(f"__v{i}") for i, c in enumerate(cells)], *flags)
+    place, test = {v: i for i, v in enumerate(values)}, {None: -1, **{w: k for k, w in enumerate(tests)}}
+    wanted = [(a.func, place[a.source, a.expr], test[a.where], bool(a.where and a.empty_is_null)) for a in aggs]
+
+    def kind(func: str, of: T.DataType) -> T.DataType:
+        if func in ("count", "size"):
+            return T.LongType()
+        return of if func in ("min", "max") and isinstance(of, (T.IntegralType, T.BooleanType)) else T.DoubleType()
+
+    made = [T.StructField(a.name, kind(a.func, kinds[w[1]])) for a, w in zip(aggs, wanted)]
+    moments = Moments(len(keys), len(values), wanted, [a.name for a in aggs], [f.dataType.simpleString() for f in made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return moments.over(batches)
+
+    return rows.mapInArrow(run, T.StructType([*[sorted_.schema[k] for k in keys], *made]))
+
+
 def turned(df: DataFrame, keys: list[str], aggs: list[Agg]) -> DataFrame:
     """:func:`aggregate` by rows of (keys, c, x) for the value x of each column c. Partial sums of a key are made before the
     shuffle, by column, so a key of very many rows is no single task."""
