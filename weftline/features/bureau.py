@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import first_known, last_known
@@ -69,9 +69,7 @@ def open_solution(sources, conf) -> DataFrame:
 
 
 def month_history(months: DataFrame, vocab: dict[str, list[str]]) -> DataFrame:
-    """One row for each loan: statistics over its month rows, on which the loan's own values are repeated.
-
-    A loan's own values are the same on all its rows, so their minimum, maximum are the value itself."""
+    """One row for each loan: statistics over its month rows, from which :func:`month_columns` follow."""
     month = col("MONTHS_BALANCE")
     extra = [
         first_known(col("STATUS"), F.struct(month, col("STATUS"))).alias("__first"),
@@ -79,24 +77,34 @@ def month_history(months: DataFrame, vocab: dict[str, list[str]]) -> DataFrame:
         F.abs(F.min(month)).alias("Month"),
         F.abs(F.min(F.when(col("STATUS") == "C", month))).alias("When_closed"),
     ] + [F.count(F.when(col("STATUS") == str(k), month)).alias(f"__d{k}") for k in range(6)]
-    base = aggregate(months, [LOAN], recipes("", {"MONTHS_BALANCE": ["min", "max", "size"], LOAN: ["min", "max", "size"]}) + shares({"STATUS": vocab["STATUS"]}, ""), extra=extra)
+    return aggregate(months, [LOAN], recipes("", {"MONTHS_BALANCE": ["min", "max", "size"]}) + shares({"STATUS": vocab["STATUS"]}, ""), extra=extra)
+
+
+def month_columns(history: list[str], vocab: dict[str, list[str]]) -> list[Column]:
+    """Columns of a loan from those of its history, named `history`; all are NULL without one.
+
+    A loan's own values are the same on all its month rows, so their minimum, maximum are the value itself."""
+    size = F.col("MONTHS_BALANCE_SIZE")
+    there = size.isNotNull()
     # a count of no month is missing: the loan has no row of that state
     counts = {f"DPD_{k}_cnt": F.when(F.col(f"__d{k}") > 0, F.col(f"__d{k}")) for k in range(6)}
     values = {"Month": F.col("Month"), "When_closed": F.col("When_closed"), "Month_closed_to_end": F.col("Month") - F.col("When_closed")}
     for k in range(6):
         values[f"DPD_{k}_cnt"] = counts[f"DPD_{k}_cnt"]
         values[f"DPD_{k} / Month"] = ratio(counts[f"DPD_{k}_cnt"], F.col("Month"))
-    values["Non_zero_DPD_cnt"] = sum((F.coalesce(counts[f"DPD_{k}_cnt"], F.lit(0)) for k in range(1, 6)), F.lit(0))
+    values["Non_zero_DPD_cnt"] = F.when(there, sum((F.coalesce(counts[f"DPD_{k}_cnt"], F.lit(0)) for k in range(1, 6)), F.lit(0)))
     made = []
     for n, v in values.items():
-        made += [v.alias(f"{n}_MIN"), v.alias(f"{n}_MAX"), F.col("MONTHS_BALANCE_SIZE").alias(f"{n}_SIZE")]
-    kept = [col(c) for c in base.columns if not c.startswith("__") and c not in ("Month", "When_closed")]
+        made += [v.alias(f"{n}_MIN"), v.alias(f"{n}_MAX"), size.alias(f"{n}_SIZE")]
+    loan = F.when(there, F.col(LOAN))
+    own = [loan.alias(f"{LOAN}_MIN"), loan.alias(f"{LOAN}_MAX"), size.alias(f"{LOAN}_SIZE")]
+    kept = [col(c) for c in history if not c.startswith("__") and c not in (LOAN, "Month", "When_closed")]
     firsts = []
     for name, source in (("First_status", "__first"), ("Last_status", "__last")):
         for v in vocab["STATUS"]:
-            firsts.append(F.coalesce(F.col(source) == v, F.lit(False)).cast("double").alias(f"{name}_{v}_MEAN"))
-        firsts.append(F.col(source).isNull().cast("double").alias(f"{name}_nan_MEAN"))
-    return base.select(*kept, *made, *firsts)
+            firsts.append(F.when(there, F.coalesce(F.col(source) == v, F.lit(False)).cast("double")).alias(f"{name}_{v}_MEAN"))
+        firsts.append(F.when(there, F.col(source).isNull().cast("double")).alias(f"{name}_nan_MEAN"))
+    return [*kept[:3], *own, *kept[3:], *made, *firsts]
 
 
 def without_outliers(loans: DataFrame) -> DataFrame:
@@ -131,12 +139,17 @@ def antonova(sources, conf) -> DataFrame:
     months, loans = sources["bureau_balance"], sources["bureau"]
     month_vocab, loan_vocab = vocab_of(months, conf), vocab_of(loans, conf)
     df = without_outliers(loans)
-    df = df.select("*", *[(col(a) - col(b)).alias(f"bureau {a} - {b}") for a, b in DIFFERENCES])
     history = month_history(months, month_vocab)
     joined = df.join(history, LOAN, "left")
-    numeric = [c for c in joined.columns if c not in (LOAN, *loan_vocab)]
+    own, of_months = df.columns, history.columns
+
+    def derive(rows: DataFrame) -> DataFrame:
+        differences = [(col(a) - col(b)).alias(f"bureau {a} - {b}") for a, b in DIFFERENCES]
+        return rows.select(*map(col, own), *differences, *month_columns(of_months, month_vocab))
+
+    numeric = [c for c in derive(joined).columns if c not in (LOAN, *loan_vocab)]
     aggs = []
     for prefix, where in (("BURO_", None), ("ACTIVE_", ACTIVE), ("CLOSED_", CLOSED)):
         aggs += recipes(prefix, {c: SIX for c in numeric}, where)
         aggs += [Agg(f"{prefix}{n}_MEAN", "mean", where=where, expr=e) for n, e in dummies(loan_vocab).items()]
-    return aggregate(joined, [CLIENT], aggs)
+    return aggregate(joined, [CLIENT], aggs, derive=derive, keyed=df)
