@@ -14,6 +14,7 @@ from weftline.operators import encode
 from weftline.operators.ranking import group_medians
 from weftline.plans.fusion import MOMENTS, Agg, aggregate
 from weftline.plans.moments import Moments
+from weftline.sources.adapters import view
 
 
 @pytest.fixture(scope="module")
@@ -134,3 +135,11 @@ def test_exact_medians_of_groups(rows, ranges):
     one = {r.g: r.median for r in group_medians(rows.withColumn("one", F.lit(1)), "one", "n", ranges).collect()}
     assert one == {1: rows.agg(F.median("n")).first()[0]}
     assert group_medians(rows.limit(0), "u", "n").count() == 0
+
+
+def test_clients_of_one_small_file_are_dealt_to_tasks(spark):
+    rows = view(spark, "/root/testdata/sf0.001", "application")
+    own = plan(rows).split("Exchange hashpartitioning(c_custkey")
+    assert len(own) == 2 and "AMT_CREDIT" in own[0] and "AMT_CREDIT" not in own[1]
+    assert rows.rdd.getNumPartitions() == 4
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
