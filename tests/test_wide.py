@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftline.features.grouped import join_back
 from weftline.operators import encode
 from weftline.operators.ranking import group_medians
-from weftline.plans.fusion import MOMENTS, Agg, aggregate
+from weftline.plans.fusion import MOMENTS, Agg, aggregate, by_size
 from weftline.plans.moments import Moments
 from weftline.sources.adapters import view
 
@@ -70,6 +70,11 @@ def test_keys_of_many_rows_are_summed_up_by_parts(rows):
     assert "Generate " in plan(made) and plain(made) == plain(narrow) and dict(made.dtypes) == dict(narrow.dtypes)
 
 
+def test_tasks_of_gathered_rows_grow_in_number_with_the_rows(rows):
+    made = by_size(rows.filter("k is not null"), ["k"], wide_aggs()[:6], twice, rows.filter("k is not null"), 10**6, in_task=60)
+    assert made.rdd.getNumPartitions() == 10 and plain(made) == plain(aggregate(rows, ["k"], wide_aggs()[:6], derive=twice))
+
+
 @pytest.mark.parametrize("at_once", [1, 7, 1000])
 def test_moments_of_runs_over_batches(rows, at_once):
     df = rows.toPandas().dropna(subset=["k"]).sort_values("k")

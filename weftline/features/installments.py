@@ -86,13 +86,17 @@ def antonova(sources, conf) -> DataFrame:
     vocab = vocab_of(df, conf)
     version, entry = col("NUM_INSTALMENT_VERSION"), col("DAYS_ENTRY_PAYMENT")
     df = df.withColumns({"NUM_INSTALMENT_VERSION": null_where(version, version > 70), "DAYS_ENTRY_PAYMENT": null_where(entry, entry < -4000)})
-    df = df.select(
-        "*",
-        (col("DAYS_ENTRY_PAYMENT") - col("DAYS_INSTALMENT")).alias("ins DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT"),
-        flag(col("NUM_INSTALMENT_NUMBER") == 100).alias("ins NUM_INSTALMENT_NUMBER_100"),
-        flag(col("DAYS_INSTALMENT") > col("NUM_INSTALMENT_NUMBER") * 50 / 3 - 11500 / 3).alias("ins DAYS_INSTALMENT more NUM_INSTALMENT_NUMBER"),
-        (col("AMT_INSTALMENT") - col("AMT_PAYMENT")).alias("ins AMT_INSTALMENT - AMT_PAYMENT"),
-        ratio(col("AMT_PAYMENT"), col("AMT_INSTALMENT")).alias("ins AMT_PAYMENT / AMT_INSTALMENT"),
-    )
-    aggs = recipes("INS_", {c: SIX for c in df.columns if c not in vocab})
-    return aggregate(df, [CLIENT], aggs + shares(vocab, "INS_") + [Agg("INSTAL_COUNT", "size")])
+
+    def derive(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            "*",
+            (col("DAYS_ENTRY_PAYMENT") - col("DAYS_INSTALMENT")).alias("ins DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT"),
+            flag(col("NUM_INSTALMENT_NUMBER") == 100).alias("ins NUM_INSTALMENT_NUMBER_100"),
+            flag(col("DAYS_INSTALMENT") > col("NUM_INSTALMENT_NUMBER") * 50 / 3 - 11500 / 3).alias("ins DAYS_INSTALMENT more NUM_INSTALMENT_NUMBER"),
+            (col("AMT_INSTALMENT") - col("AMT_PAYMENT")).alias("ins AMT_INSTALMENT - AMT_PAYMENT"),
+            ratio(col("AMT_PAYMENT"), col("AMT_INSTALMENT")).alias("ins AMT_PAYMENT / AMT_INSTALMENT"),
+        )
+
+    aggs = recipes("INS_", {c: SIX for c in derive(df).columns if c not in vocab})
+    # gathered though not so wide: sums of some 70 statistics for the few payments of a client are larger than they are
+    return aggregate(df, [CLIENT], aggs + shares(vocab, "INS_") + [Agg("INSTAL_COUNT", "size")], derive=derive, wide=0)

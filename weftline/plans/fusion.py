@@ -33,6 +33,7 @@ from .moments import Moments
 ROW = "__row"
 WIDE = 300
 HOT = 1 << 17
+IN_TASK = 1 << 20
 MOMENTS = ("min", "max", "mean", "sum", "var", "std", "count", "size")
 
 
@@ -108,19 +109,23 @@ def aggregate(
     return rest.join(last, keys).select(*map(col, [*keys, *names, *made]))
 
 
-def by_size(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[DataFrame], DataFrame], keyed: DataFrame, hot: int) -> DataFrame:
-    """:func:`aggregate`: keys of over `hot` rows by partial sums, all others from gathered rows."""
-    large = keyed.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot).select(*map(col, keys))
-    if not large.limit(1).count():
-        return gathered(df, keys, aggs, derive)
-    rest, parts = df.join(F.broadcast(large), keys, "left_anti"), df.join(F.broadcast(large), keys, "left_semi")
-    return gathered(rest, keys, aggs, derive).union(turned(derive(parts), keys, aggs))
+def by_size(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[DataFrame], DataFrame], keyed: DataFrame, hot: int, in_task: int = IN_TASK) -> DataFrame:
+    """:func:`aggregate`: keys of over `hot` rows by partial sums, all others from gathered rows, about `in_task` of them a task."""
+    sizes = keyed.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("__n"))
+    total, most = sizes.agg(F.sum("__n"), F.max("__n")).first()
+    parts = -(-(total or 0) // in_task)
+    if (most or 0) <= hot:
+        return gathered(df, keys, aggs, derive, parts)
+    large = sizes.filter(F.col("__n") > hot).select(*map(col, keys))
+    rest, many = df.join(F.broadcast(large), keys, "left_anti"), df.join(F.broadcast(large), keys, "left_semi")
+    return gathered(rest, keys, aggs, derive, parts).union(turned(derive(many), keys, aggs))
 
 
-def gathered(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """:func:`aggregate` from the rows of each key side by side. Derived columns are made after the shuffle; a task holds a batch of
-    rows and the moments of one key."""
-    sorted_ = derive(df.repartition(*map(col, keys)).sortWithinPartitions(*map(col, keys)))
+def gathered(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[DataFrame], DataFrame], parts: int = 0) -> DataFrame:
+    """:func:`aggregate` from the rows of each key side by side, in `parts` tasks if a shuffle has fewer. Derived columns are made
+    after the shuffle; a task sorts its rows and then holds a batch of them and the moments of one key."""
+    number = [parts] if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    sorted_ = derive(df.repartition(*number, *map(col, keys)).sortWithinPartitions(*map(col, keys)))
     values = list(dict.fromkeys((a.source, a.expr) for a in aggs))
     tests = [w for w in dict.fromkeys(a.where for a in aggs) if w]
     cells = [F.expr(e) if e else col(c) if c else F.lit(1) for c, e in values]
