@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..nulls import col
 from ..settle import settle
+from .cells import range_bounds, range_ranks, range_sizes, sorted_cells
 
 RANGES = 64
 IN_RANGE = 1_000_000
@@ -105,36 +106,30 @@ def rank_sum(s: float | None, n1: float | None, n: float | None, least: int = 20
     return z, math.erfc(abs(z) / math.sqrt(2))
 
 
-def class_comparison(df: DataFrame, flag: str, columns: list[str], ranges: int = RANGES) -> DataFrame:
+def class_comparison(df: DataFrame, flag: str, columns: list[str], ranges: int = RANGES, written: bool = False) -> DataFrame:
     """A row for each column that has a value: c (its place in `columns`), n, n1, rank_sum of flag 1, mean0, mean1,
     exact median0 and median1, least, most, and others (values that are neither 0 nor 1).
 
-    Cells are aggregated to distinct values of a column first; running counts go over ranges of a column's values,
-    so neither a column nor a class is ever held in one task."""
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), col(c).cast("double").alias("x")) for i, c in enumerate(columns)]))
-    tall = df.filter(col(flag).isNotNull()).select(col(flag).cast("bigint").alias("f"), cells.alias("cell")).select("f", "cell.c", "cell.x").filter("x is not null")
-    values = settle(tall.groupBy("c", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("n1")), "values")
-    ranges = ranges_for(values.count() // max(1, len(columns)), ranges)
-    bounds = values.groupBy("c").agg(F.array_distinct(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 10 * ranges)).alias("bounds"))
-    placed = values.join(F.broadcast(bounds), "c").select("c", "x", "n", "n1", F.size(F.filter("bounds", lambda b: b <= F.col("x"))).alias("r"))
-    sizes = placed.groupBy("c", "r").agg(F.sum("n").alias("size"), F.sum("n1").alias("size1"))
+    Three passes over df, which is written first unless it is `written`: bounds that cut each column into ranges, sizes of the
+    ranges, and the columns' sorted values by range. Only these are shuffled, as arrays: a row for each cell would be several
+    times as large, and what sums it up spills. Neither a column nor a class is ever held in one task."""
+    df = df.filter(col(flag).isNotNull()).select(col(flag).cast("int").alias("__flag"), *[col(c) for c in dict.fromkeys(columns)])
+    df = df if written else settle(df, "compared")
+    ranges = ranges_for(df.count(), ranges)
+    bounds = range_bounds(df, columns, "__flag", ranges)
+    sizes = settle(range_sizes(df, columns, "__flag", bounds), "range-sizes")
     lower = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("c")
-    starts = sizes.select("c", "r", *[F.coalesce(F.sum(k).over(lower), F.lit(0)).alias("start" + k) for k in ("size", "size1")], *[F.sum(k).over(whole).alias("all" + k) for k in ("size", "size1")])
-    before = Window.partitionBy("c", "r").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    inside = placed.select("*", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias("in" + k) for k in ("n", "n1")])
-    ranked = inside.join(F.broadcast(starts), ["c", "r"]).select(
-        "c", "x", "n", "n1", (F.col("n") - F.col("n1")).alias("n0"), (F.col("startsize") + F.col("inn")).alias("below"), (F.col("startsize1") + F.col("inn1")).alias("below1"), "allsize", "allsize1"
-    )
-
-    def median(k: int) -> Column:
-        total = F.col("allsize1") if k else F.col("allsize") - F.col("allsize1")
-        below, n = (F.col("below1"), F.col("n1")) if k else (F.col("below") - F.col("below1"), F.col("n0"))
-        at = lambda place: F.max(F.when((n > 0) & (below <= place) & (place < below + n), F.col("x")))
-        return ((at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2).alias(f"median{k}")
-
+    starts = sizes.select("*", *[F.coalesce(F.sum(k).over(lower), F.lit(0)).alias("start" + k) for k in ("n0", "n1")], *[F.sum(k).over(whole).alias("all" + k) for k in ("n0", "n1")])
+    middle = lambda k: F.array(F.floor((F.col("alln" + k) - 1) / 2), F.floor(F.col("alln" + k) / 2))
+    inside = lambda k: F.filter(F.transform(middle(k), lambda p: p - F.col("startn" + k)), lambda p: (p >= 0) & (p < F.col("n" + k)))
+    wanted = starts.select("c", "r", inside("0").alias("p0"), inside("1").alias("p1")).filter((F.size("p0") > 0) | (F.size("p1") > 0))
+    places = {(r.c, r.r): [*((0, p) for p in r.p0), *((1, p) for p in r.p1)] for r in wanted.collect()}  # four rows a column at most
+    ranked = range_ranks(sorted_cells(df, columns, "__flag", bounds), places).join(starts, ["c", "r"])
+    both = lambda k: F.flatten(F.collect_list(f"at{k}"))
     return ranked.groupBy("c").agg(
-        F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.sum(F.col("n1") * (F.col("below") + (F.col("n") + 1) / 2)).alias("rank_sum"),
-        *[F.try_divide(F.sum(F.col("x") * F.col(f"n{k}")), F.sum(f"n{k}")).alias(f"mean{k}") for k in (0, 1)],
-        median(0), median(1), F.min("x").alias("least"), F.max("x").alias("most"), F.sum(F.when(F.col("x").isin(0.0, 1.0), 0).otherwise(F.col("n"))).alias("others"),
+        F.sum(F.col("n0") + F.col("n1")).alias("n"), F.sum("n1").alias("n1"), F.sum(F.col("s") + F.col("n1") * (F.col("startn0") + F.col("startn1"))).alias("rank_sum"),
+        *[F.try_divide(F.sum(f"sum{k}"), F.sum(f"n{k}")).alias(f"mean{k}") for k in (0, 1)],
+        *[F.when(F.size(both(k)) > 0, (F.array_min(both(k)) + F.array_max(both(k))) / 2).alias(f"median{k}") for k in (0, 1)],
+        F.min("least").alias("least"), F.max("most").alias("most"), F.sum("others").alias("others"),
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .nulls import col, ratio
+from .operators.cells import column_summary
 from .operators.ranking import NO_TEST, class_comparison, rank_sum, value_ranks
 from .settle import settle
 from .sources.credit import CLIENT, TARGET
@@ -29,23 +30,27 @@ def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns of at most one distinct value, in one pass: least and greatest value are the same."""
     if not columns:
         return []
-    row = df.agg(*[F.min(col(c)).alias(f"a{i}") for i, c in enumerate(columns)], *[F.max(col(c)).alias(f"b{i}") for i, c in enumerate(columns)]).first()
-    n = len(columns)
-    return [c for i, c in enumerate(columns) if row[i] is None or row[i] == row[n + i]]
+    found = column_summary(df, columns)
+    same = [c for i, c in enumerate(columns) if i not in found or found[i][0] == found[i][1]]
+    far = [c for i, c in enumerate(columns) if c in set(same) and i in found and abs(found[i][0]) >= 1 << 53]  # beyond what doubles tell apart
+    if far:
+        row = df.agg(*[(F.min(col(c)) < F.max(col(c))).alias(f"d{i}") for i, c in enumerate(far)]).first()
+        same = [c for c in same if c not in {f for f, differs in zip(far, row) if differs}]
+    return same
 
 
-def difference_stats(df: DataFrame, columns: list[str], flag: str, overall: DataFrame | None = None) -> dict[str, tuple[float, float, float]]:
+def difference_stats(df: DataFrame, columns: list[str], flag: str, overall: DataFrame | None = None, written: bool = False) -> dict[str, tuple[float, float, float]]:
     """column -> (difference, difference over the mean of `overall`, p) between rows of flag 0 and 1: of means for
     0/1 columns without missing values, else of medians; p is that of the rank-sum test. All columns are compared
-    in one pass over df, means take one over overall."""
+    at once, means take one pass over overall. written: df is read from files, so it isn't written to be read again."""
     if not columns:
         return {}
     n_rows = df.filter(col(flag).isNotNull()).count()
-    compared = {r.c: r for r in class_comparison(df, flag, columns).collect()}  # one row for each column
-    means = (overall or df).agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    compared = {r.c: r for r in class_comparison(df, flag, columns, written=written).collect()}  # one row for each column
+    means = {i: m for i, (_, _, m) in column_summary(overall or df, columns).items()}
     out = {}
     for i, c in enumerate(columns):
-        r, m = compared.get(i), means[i]
+        r, m = compared.get(i), means.get(i)
         d = math.nan
         if r is not None:
             binary = r.n == n_rows and not r.others and r.least == 0 and r.most == 1
@@ -89,11 +94,11 @@ def clean_data(df: DataFrame, key: str = CLIENT, target: str = TARGET, model=Non
     gone = set(constant_columns(df, columns))
     columns = [c for c in columns if c not in gone]
     train = df.filter(col(target).isNotNull())
-    by_target = difference_stats(train, columns, target, df)
+    by_target = difference_stats(train, columns, target, df, written=True)
     gone |= {c for c in columns if useless(*by_target[c])}
     left = [c for c in columns if c not in gone]
     marked = df.withColumn("__is_train", col(target).isNotNull().cast("int"))
-    by_split = difference_stats(marked, left, "__is_train")
+    by_split = difference_stats(marked, left, "__is_train", written=True)
     gone |= {c for c in left if by_split[c][1] > TEST_DIFF_LIMIT and by_target[c][1] == 0 and by_split[c][2] < TEST_P_LIMIT}
     left = [c for c in left if c not in gone]
     if model is not None and left:
