@@ -4,8 +4,9 @@ Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more
 shards: two texts at 0.8 share one of the 20 bands with a probability of 0.9996, at 0.85 of 0.999998. In a shard the texts'
 SimHash fingerprints, of 256 bits over their *distinct* shingles, tell which may be similar: at 0.8 two of them differ in 39 bits
 on average with a standard deviation of 5.7, so beyond `radius` = 80 lies less than one pair in 10 ** 12. Sets of under
-SMALL shingles, for which that count is too coarse, may all be similar. (BK-trees, as in :mod:`simhash`, prune nothing at
-radius 80 of 256: measured, every node is visited. So distances come from whole blocks of a shard at once.)
+SMALL shingles, for which that count is too coarse, may all be similar. A shard's fingerprints are held as a BK-tree, that of
+:mod:`simhash`, and searched at that radius. At 80 of 256 bits a search visits nearly every node of its tree, so a tree holds the
+fingerprints of one block of a shard at most.
 
 What is tied is only a candidate: the groups it makes are settled by the shingle sets themselves. Counts of the shingles by
 bucket bound the intersection from above, so that most pairs need no intersection; the bound is exact.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .graph import Forest, connected_components
 from .shared import materialize
-from .simhash import SEED, _offsets
+from .simhash import SEED, BKTree, _offsets
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -141,30 +142,49 @@ def _sizes_fit(n: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarr
 
 
 def tied(
-    nodes: np.ndarray, blocks: np.ndarray, n: np.ndarray, fps: np.ndarray, radius: int, similarity: float, clusters: np.ndarray | None = None, small: int = SMALL
+    nodes: np.ndarray, blocks: np.ndarray, n: np.ndarray, fps: list[bytes], radius: int, similarity: float, clusters: np.ndarray | None = None, small: int = SMALL
 ) -> pa.Table:
-    """Edges that connect the nodes of a block, or of two blocks between each other, that may be similar. fps: a row of
-    64-bit words for each node. Nodes of one cluster, a number from 0 (-1: none), are known to be connected."""
-    sets, one = Tied(len(nodes), clusters), len(np.unique(blocks)) == 1
-    for i in range(len(nodes)):
-        near = np.bitwise_count(fps ^ fps[i]).sum(axis=1) <= radius
-        near |= np.minimum(n, n[i]) < small
-        near &= _sizes_fit(n, n[i], similarity) & (sets.label != sets.label[i])
-        if not one:
-            near &= blocks != blocks[i]
-        if near.any():
-            sets.join(i, np.flatnonzero(near))
+    """Edges that connect the nodes of a block, or of two blocks between each other, that may be similar: each asks the BK-tree
+    of the fingerprints before it, of two blocks the second asks the tree of the first. Nodes of one cluster, a number from 0
+    (-1: none), are known to be connected."""
+    sets, tree, of = Tied(len(nodes), clusters), BKTree(), {}
+    values, one = [int.from_bytes(f, "little") for f in fps], len(np.unique(blocks)) == 1
+    first = np.arange(len(nodes)) if one else np.flatnonzero(blocks == blocks[0])
+    if not one:
+        for i in first.tolist():
+            _plant(tree, of, values[i], i)
+    for i in first.tolist() if one else np.flatnonzero(blocks != blocks[0]).tolist():
+        # sets under `small` link at any distance, but only to sets of about their size
+        reach = radius if similarity * n[i] >= small else BITS
+        at = np.array([j for v in tree.within(values[i], reach) for j in of[v]], np.int64)
+        if len(at):
+            at = at[_sizes_fit(n[at], n[i], similarity) & (sets.label[at] != sets.label[i])]
+        if len(at) and reach > radius:
+            at = at[[bool(min(n[j], n[i]) < small or (values[j] ^ values[i]).bit_count() <= radius) for j in at.tolist()]]
+        if len(at):
+            sets.join(i, at)
+        if one:
+            _plant(tree, of, values[i], i)
     return sets.edges(nodes)
 
 
+def _plant(tree: BKTree, of: dict[int, list[int]], value: int, i: int) -> None:
+    """Node i into the tree; equal fingerprints are one node of it."""
+    if value not in of:
+        tree.add(value)
+    of.setdefault(value, []).append(i)
+
+
 def tied_few(nodes: list[int], n: list[int], fps: list[int], radius: int, similarity: float, small: int = SMALL) -> list[tuple[int, int]]:
-    """:func:`tied` for the few nodes of most shards, by whole numbers."""
-    forest = Forest()
-    for i in range(len(nodes)):
-        for j in range(i):
-            least, most = sorted((n[i], n[j]))
-            if least >= similarity * most and (least < small or (fps[i] ^ fps[j]).bit_count() <= radius):
-                forest.join(nodes[i], nodes[j])
+    """:func:`tied` for the few nodes of most shards, by a tree of whole numbers without arrays."""
+    forest, tree, of = Forest(), BKTree(), {}
+    for i, value in enumerate(fps):
+        for v in tree.within(value, radius if similarity * n[i] >= small else BITS):
+            for j in of[v]:
+                least, most = sorted((n[i], n[j]))
+                if least >= similarity * most and (least < small or (v ^ value).bit_count() <= radius):
+                    forest.join(nodes[i], nodes[j])
+        _plant(tree, of, value, i)
     return forest.edges()
 
 
@@ -185,7 +205,7 @@ def candidates(nodes: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
         if len(held) <= FEW:
             edges = tied_few(nodes_, n, [int.from_bytes(f, "little") for f in fps], radius, similarity)
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["src", "dst"])
-        made = tied(np.array(nodes_, np.int64), np.zeros(len(held), np.int64), np.array(n, np.int64), _words(fps), radius, similarity)
+        made = tied(np.array(nodes_, np.int64), np.zeros(len(held), np.int64), np.array(n, np.int64), list(fps), radius, similarity)
         return pa.RecordBatch.from_arrays([made.column(k).combine_chunks() for k in (0, 1)], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,11 +225,7 @@ def candidates(nodes: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
     large = sized.filter(F.col("all") > block).withColumn("weight", F.lit(1))
     if not large.limit(1).count():
         return found
-    return found.unionByName(settled(materialize(large, "hot-bands"), lambda nodes, blocks, n, data, clusters=None: tied(nodes, blocks, n, _words(data), radius, similarity, clusters), block))
-
-
-def _words(fps) -> np.ndarray:
-    return np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1)
+    return found.unionByName(settled(materialize(large, "hot-bands"), lambda nodes, blocks, n, data, clusters=None: tied(nodes, blocks, n, list(data), radius, similarity, clusters), block))
 
 
 def _counts(sets: list[np.ndarray], buckets: int) -> np.ndarray:
