@@ -48,7 +48,7 @@ def installments(sources, conf) -> DataFrame:
         at_least_zero(late).alias("DPD"),
         at_least_zero(-late).alias("DBD"),
     )
-    return aggregate(df, [CLIENT], recipes("INSTAL_", NUMERIC) + shares(vocab, "INSTAL_") + [Agg("INSTAL_COUNT", "size")])
+    return aggregate(df, [CLIENT], recipes("INSTAL_", NUMERIC) + shares(vocab, "INSTAL_") + [Agg("INSTAL_COUNT", "size")], dealt=True)
 
 
 @feature("InstallmentsPaymentsFeaturesOpenSolution")

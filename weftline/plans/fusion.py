@@ -78,13 +78,14 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def aggregate(
     df: DataFrame, keys: list[str], aggs: list[Agg], order: list[Column] | None = None, extra: list[Column] = (), wide: int = WIDE,
-    derive: Callable[[DataFrame], DataFrame] | None = None, keyed: DataFrame | None = None, hot: int = HOT,
+    derive: Callable[[DataFrame], DataFrame] | None = None, keyed: DataFrame | None = None, hot: int = HOT, dealt: bool = False, in_task: int = IN_TASK,
 ) -> DataFrame:
     """One row for each group of `keys` with every feature. Groups with a missing key are left out.
 
     order: newest first; needed by features that look at the last rows. extra: more aggregate columns. wide: over so many simple
     statistics are made from gathered rows. derive: adds columns to those of df, row by row; it may come after a shuffle. keyed:
-    a table with the keys of df's rows that is cheaper to count than df. hot: a key of over so many rows is summed up by parts."""
+    a table with the keys of df's rows that is cheaper to count than df. hot: a key of over so many rows is summed up by parts.
+    dealt: rows are dealt by key before they are summed up, about `in_task` of them a task."""
     names = [a.name for a in aggs]
     if len(set(names)) < len(names):
         raise ValueError(f"features of one name: {sorted({n for n in names if names.count(n) > 1})}")
@@ -92,6 +93,12 @@ def aggregate(
         df = df.filter(col(k).isNotNull())
     if len(aggs) > wide and not extra and all(a.func in MOMENTS and not a.last for a in aggs):
         return by_size(df, keys, aggs, derive or (lambda d: d), df if keyed is None else keyed, hot)
+    if dealt:
+        few, many, parts = split_by_size(df, keys, df if keyed is None else keyed, hot, in_task)
+        made = [aggregate(dealt_by_key(few, keys, parts), keys, aggs, order, extra, wide, derive)]
+        if many is not None:
+            made.append(aggregate(many, keys, aggs, order, extra, wide, derive))
+        return made[0] if many is None else made[0].union(made[1])
     df = derive(df) if derive else df
     if not any(a.last or a.func == "trend" for a in aggs):
         return df.groupBy(*map(col, keys)).agg(*[a.column() for a in aggs], *extra)
@@ -111,21 +118,32 @@ def aggregate(
 
 def by_size(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[DataFrame], DataFrame], keyed: DataFrame, hot: int, in_task: int = IN_TASK) -> DataFrame:
     """:func:`aggregate`: keys of over `hot` rows by partial sums, all others from gathered rows, about `in_task` of them a task."""
+    few, many, parts = split_by_size(df, keys, keyed, hot, in_task)
+    made = gathered(few, keys, aggs, derive, parts)
+    return made if many is None else made.union(turned(derive(many), keys, aggs))
+
+
+def split_by_size(df: DataFrame, keys: list[str], keyed: DataFrame, hot: int, in_task: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(rows of keys of at most `hot` rows, the rest if there is any, tasks of about `in_task` rows)."""
     sizes = keyed.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("__n"))
     total, most = sizes.agg(F.sum("__n"), F.max("__n")).first()
     parts = -(-(total or 0) // in_task)
     if (most or 0) <= hot:
-        return gathered(df, keys, aggs, derive, parts)
+        return df, None, parts
     large = sizes.filter(F.col("__n") > hot).select(*map(col, keys))
-    rest, many = df.join(F.broadcast(large), keys, "left_anti"), df.join(F.broadcast(large), keys, "left_semi")
-    return gathered(rest, keys, aggs, derive, parts).union(turned(derive(many), keys, aggs))
+    return df.join(F.broadcast(large), keys, "left_anti"), df.join(F.broadcast(large), keys, "left_semi"), parts
+
+
+def dealt_by_key(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """df with the rows of a key in one task, in `parts` tasks if a shuffle has fewer."""
+    number = [parts] if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    return df.repartition(*number, *map(col, keys))
 
 
 def gathered(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[DataFrame], DataFrame], parts: int = 0) -> DataFrame:
     """:func:`aggregate` from the rows of each key side by side, in `parts` tasks if a shuffle has fewer. Derived columns are made
     after the shuffle; a task sorts its rows and then holds a batch of them and the moments of one key."""
-    number = [parts] if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
-    sorted_ = derive(df.repartition(*number, *map(col, keys)).sortWithinPartitions(*map(col, keys)))
+    sorted_ = derive(dealt_by_key(df, keys, parts).sortWithinPartitions(*map(col, keys)))
     values = list(dict.fromkeys((a.source, a.expr) for a in aggs))
     tests = [w for w in dict.fromkeys(a.where for a in aggs) if w]
     cells = [F.expr(e) if e else col(c) if c else F.lit(1) for c, e in values]

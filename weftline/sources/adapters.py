@@ -191,11 +191,21 @@ READS = {
 DEALT = {"application": {"customer": ("c_custkey", "c_mktsegment", "c_acctbal")}}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Tables that a view joins: both sides are dealt by the key to as many tasks as there are PER_TASK rows of the first one, if a
+#: shuffle has fewer, so that a task's part of the join doesn't grow with the tables.
+JOINED = {"installments": {"lineitem": "l_orderkey", "orders": "o_orderkey"}}
+PER_TASK = 1 << 20
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, per_task: int = PER_TASK) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in READS[name]}
     for t, columns in DEALT.get(name, {}).items():
         parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         tables[t] = tables[t].select(*columns).repartition(parts, columns[0])
+    if keys := JOINED.get(name):
+        parts = -(-tables[next(iter(keys))].count() // per_task)  # from the files' footers
+        if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            tables |= {t: tables[t].repartition(parts, k) for t, k in keys.items()}
     return spark.sql(VIEWS[name], **tables)
 
 
