@@ -54,14 +54,16 @@ def installments(sources, conf) -> DataFrame:
 @feature("InstallmentsPaymentsFeaturesOpenSolution")
 def open_solution(sources, conf) -> DataFrame:
     late, over = col("DAYS_ENTRY_PAYMENT") - col("DAYS_INSTALMENT"), col("AMT_PAYMENT") - col("AMT_INSTALMENT")
-    df = sources["installments"].select(
-        "*",
-        late.alias("installment_paid_late_in_days"),
-        flag(late > 0).alias("installment_paid_late"),
-        over.alias("installment_paid_over_amount"),
-        flag(over > 0).alias("installment_paid_over"),
-    )
-    df = of_last_loan(df, "installments")
+
+    def derive(rows: DataFrame) -> DataFrame:
+        return of_last_loan(rows, "installments").select(
+            "*",
+            late.alias("installment_paid_late_in_days"),
+            flag(late > 0).alias("installment_paid_late"),
+            over.alias("installment_paid_over_amount"),
+            flag(over > 0).alias("installment_paid_over"),
+        )
+
     aggs = []
     for k, name in ((None, "all_installment_"), *((k, f"last_{k}_") for k in PERIODS)):
         aggs += [Agg(f"{name}{c}_{f}", f, c, last=k) for c, funcs in IN_PERIOD.items() for f in funcs]
@@ -70,7 +72,7 @@ def open_solution(sources, conf) -> DataFrame:
     five = ("sum", "mean", "max", "min", "std")
     last = {"installment_paid_late_in_days": five, "installment_paid_late": ("count", "mean"), "installment_paid_over_amount": five, "installment_paid_over": ("count", "mean")}
     aggs += [Agg(f"last_loan_{c}_{f}", f, c, where="__last_loan = 1") for c, funcs in last.items() for f in funcs]
-    made = aggregate(df, [CLIENT], aggs, newest_first("installments"))
+    made = aggregate(sources["installments"], [CLIENT], aggs, newest_first("installments"), derive=derive, side_by_side=True)
     fractions = [
         ratio_or_zero(col(f"last_{a}_{c}_{f}"), col(f"last_{b}_{c}_{f}")).alias(f"last_{a}by{b}_fraction_{c}_{f}")
         for a, b in FRACTIONS

@@ -15,7 +15,7 @@ from .bureau import SIX
 
 def of_last_loan(df: DataFrame, table: str) -> DataFrame:
     """df with __last_loan: 1 on the rows of the loan that a client's newest row belongs to."""
-    window = Window.partitionBy(CLIENT).orderBy(*newest_first(table)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    window = Window.partitionBy(CLIENT).orderBy(*newest_first(table)).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # no rows are held
     return df.withColumn("__last_loan", (F.first("SK_ID_PREV").over(window).eqNullSafe(col("SK_ID_PREV"))).cast("int"))
 
 

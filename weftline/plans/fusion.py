@@ -14,6 +14,10 @@ up runs of a key batch by batch. Partial sums of hundreds of statistics would be
 Only a key of over HOT rows, for which partial sums are the smaller, is turned: each value of a row becomes a row (key, place of
 the column, value), so that one short, compiled aggregation makes the moments of all columns, for all rows and for each
 condition, and such a key is no single task; the columns of a group then meet in one array.
+
+Sets of many medians, quartiles and last rows of several lengths are made from gathered rows as well, sorted from new to old
+(`side_by_side`): an aggregation would keep a map of values for each percentile and update every statistic row by row. Keys of
+over HOT rows are summed up by the aggregation.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import types as T
 from ..functions.aggregates import AGGREGATES, trend
 from ..nulls import col
 from .moments import Moments
+from .newest import Newest
 
 ROW = "__row"
 WIDE = 300
@@ -79,13 +84,15 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def aggregate(
     df: DataFrame, keys: list[str], aggs: list[Agg], order: list[Column] | None = None, extra: list[Column] = (), wide: int = WIDE,
     derive: Callable[[DataFrame], DataFrame] | None = None, keyed: DataFrame | None = None, hot: int = HOT, dealt: bool = False, in_task: int = IN_TASK,
+    side_by_side: bool = False,
 ) -> DataFrame:
     """One row for each group of `keys` with every feature. Groups with a missing key are left out.
 
     order: newest first; needed by features that look at the last rows. extra: more aggregate columns. wide: over so many simple
     statistics are made from gathered rows. derive: adds columns to those of df, row by row; it may come after a shuffle. keyed:
     a table with the keys of df's rows that is cheaper to count than df. hot: a key of over so many rows is summed up by parts.
-    dealt: rows are dealt by key before they are summed up, about `in_task` of them a task."""
+    dealt: rows are dealt by key before they are summed up, about `in_task` of them a task. side_by_side: they are also sorted from
+    new to old and summed up key by key; derive may then look at all rows of a key."""
     names = [a.name for a in aggs]
     if len(set(names)) < len(names):
         raise ValueError(f"features of one name: {sorted({n for n in names if names.count(n) > 1})}")
@@ -93,6 +100,10 @@ def aggregate(
         df = df.filter(col(k).isNotNull())
     if len(aggs) > wide and not extra and all(a.func in MOMENTS and not a.last for a in aggs):
         return by_size(df, keys, aggs, derive or (lambda d: d), df if keyed is None else keyed, hot)
+    if side_by_side:
+        few, many, parts = split_by_size(df, keys, df if keyed is None else keyed, hot, in_task)
+        made = gathered(few, keys, aggs, derive or (lambda d: d), parts, order or [])
+        return made if many is None else made.union(aggregate(many, keys, aggs, order, derive=derive))
     if dealt:
         few, many, parts = split_by_size(df, keys, df if keyed is None else keyed, hot, in_task)
         made = [aggregate(dealt_by_key(few, keys, parts), keys, aggs, order, extra, wide, derive)]
@@ -140,10 +151,11 @@ def dealt_by_key(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
     return df.repartition(*number, *map(col, keys))
 
 
-def gathered(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[DataFrame], DataFrame], parts: int = 0) -> DataFrame:
+def gathered(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[DataFrame], DataFrame], parts: int = 0, order: list[Column] | None = None) -> DataFrame:
     """:func:`aggregate` from the rows of each key side by side, in `parts` tasks if a shuffle has fewer. Derived columns are made
-    after the shuffle; a task sorts its rows and then holds a batch of them and the moments of one key."""
-    sorted_ = derive(dealt_by_key(df, keys, parts).sortWithinPartitions(*map(col, keys)))
+    after the shuffle; a task sorts its rows and then holds a batch of them and the moments of one key. With an order, which may be
+    empty, statistics need not be moments and may look at the last rows; a task then holds the rows of one key at least."""
+    sorted_ = derive(dealt_by_key(df, keys, parts).sortWithinPartitions(*map(col, keys), *(order or [])))
     values = list(dict.fromkeys((a.source, a.expr) for a in aggs))
     tests = [w for w in dict.fromkeys(a.where for a in aggs) if w]
     cells = [F.expr(e) if e else col(c) if c else F.lit(1) for c, e in values]
@@ -151,7 +163,7 @@ def gathered(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[
     flags = [F.coalesce(F.expr(w), F.lit(False)).alias(f"__w{k}") for k, w in enumerate(tests)]
     rows = sorted_.select(*map(col, keys), *[c.cast("double").alias(f"__v{i}") for i, c in enumerate(cells)], *flags)
     place, test = {v: i for i, v in enumerate(values)}, {None: -1, **{w: k for k, w in enumerate(tests)}}
-    wanted = [(a.func, place[a.source, a.expr], test[a.where], bool(a.where and a.empty_is_null)) for a in aggs]
+    wanted = [(a.func, place[a.source, a.expr], test[a.where], a.last, bool(a.where and a.empty_is_null)) for a in aggs]
 
     def kind(func: str, of: T.DataType) -> T.DataType:
         if func in ("count", "size"):
@@ -159,10 +171,14 @@ def gathered(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[
         return of if func in ("min", "max") and isinstance(of, (T.IntegralType, T.BooleanType)) else T.DoubleType()
 
     made = [T.StructField(a.name, kind(a.func, kinds[w[1]])) for a, w in zip(aggs, wanted)]
-    moments = Moments(len(keys), len(values), wanted, [a.name for a in aggs], [f.dataType.simpleString() for f in made])
+    names, types = [a.name for a in aggs], [f.dataType.simpleString() for f in made]
+    if order is None:
+        runs = Moments(len(keys), len(values), [(f, i, k, or_null) for f, i, k, _, or_null in wanted], names, types)
+    else:
+        runs = Newest(len(keys), len(values), wanted, names, types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return moments.over(batches)
+        return runs.over(batches)
 
     return rows.mapInArrow(run, T.StructType([*[sorted_.schema[k] for k in keys], *made]))
 

@@ -45,12 +45,8 @@ class Moments:
         """The batch's keys, and by (value, condition) a matrix of count, sum, squared deviations, least and greatest; by a condition
         alone the number of rows."""
         keys = batch.columns[: self.n_keys]
-        new = np.zeros(batch.num_rows, bool)
-        new[0] = True
-        for k in keys:
-            new[1:] |= pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
+        starts = run_starts(keys)
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
         marks = {k: np.ones(batch.num_rows, bool) if k < 0 else batch.column(self.n_keys + self.n_values + k).to_numpy(zero_copy_only=False) for k in self.tests}
         made = {k: np.add.reduceat(m, starts, dtype=np.int64)[None, :] for k, m in marks.items()}
         held = {}
@@ -98,6 +94,15 @@ class Moments:
         return pa.RecordBatch.from_arrays(columns, names=[f"k{j}" for j in range(self.n_keys)] + self.names)
 
 
+def run_starts(keys: list[pa.Array]) -> np.ndarray:
+    """The first row of each run of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
 def column_moments(x: np.ndarray, known: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Rows: count, sum, sum of squared deviations from the run's mean, least and greatest (NaN is greater than all numbers, and
     without a known value they are NaN and -inf)."""
