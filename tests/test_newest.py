@@ -99,3 +99,8 @@ def test_payments_are_shuffled_once_by_client(spark):
     made = features.build("InstallmentsPaymentsFeaturesOpenSolution", sources(spark, "/root/testdata/sf0.001"), {"vocabulary": {}})
     own = plan(made)
     assert own.count("Exchange hashpartitioning(SK_ID_CURR") == 1 and own.count("Sort [SK_ID_CURR") == 1 and "Aggregate" not in own and "percentile" not in own
+
+
+def test_states_of_loans_are_shuffled_once_by_client(spark):
+    own = plan(features.build("PosCashFeaturesOpenSolution", sources(spark, "/root/testdata/sf0.001"), {"vocabulary": {}}))
+    assert own.count("Exchange hashpartitioning(SK_ID_CURR") == 1 and own.count("Sort [SK_ID_CURR") == 1 and "Aggregate" not in own

@@ -28,13 +28,14 @@ def pos_cash(sources, conf) -> DataFrame:
 
 @feature("PosCashFeaturesOpenSolution")
 def open_solution(sources, conf) -> DataFrame:
-    df = sources["pos_cash"].select(
-        "*",
-        flag(col("NAME_CONTRACT_STATUS") == "Completed").alias("__completed"),
-        flag(col("SK_DPD") > 0).alias("pos_cash_paid_late"),
-        flag(col("SK_DPD_DEF") > 0).alias("pos_cash_paid_late_with_tolerance"),
-    )
-    df = of_last_loan(df, "pos_cash")
+    def derive(rows: DataFrame) -> DataFrame:
+        return of_last_loan(rows, "pos_cash").select(
+            "*",
+            flag(col("NAME_CONTRACT_STATUS") == "Completed").alias("__completed"),
+            flag(col("SK_DPD") > 0).alias("pos_cash_paid_late"),
+            flag(col("SK_DPD_DEF") > 0).alias("pos_cash_paid_late_with_tolerance"),
+        )
+
     aggs = [
         Agg("pos_cash_remaining_installments", "max", "CNT_INSTALMENT_FUTURE", last=1),
         Agg("pos_cash_completed_contracts", "sum", "__completed"),
@@ -53,7 +54,7 @@ def open_solution(sources, conf) -> DataFrame:
         "SK_DPD_DEF": ("sum", "mean", "max", "std"),
     }
     aggs += [Agg(f"last_loan_{c}_{f}", f, c, where="__last_loan = 1") for c, funcs in last.items() for f in funcs]
-    return aggregate(df, [CLIENT], aggs, newest_first("pos_cash"))
+    return aggregate(sources["pos_cash"], [CLIENT], aggs, newest_first("pos_cash"), derive=derive, side_by_side=True)
 
 
 @feature("PosCashFeaturesAntonova")
