@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.aggregates import first_known, last_known
 from ..nulls import col, differs, flag, keep_unless, null_where, ratio
@@ -68,20 +71,33 @@ def open_solution(sources, conf) -> DataFrame:
     )
 
 
+def status_code(vocab: list[str]) -> Column:
+    """A number in the order of STATUS: 1, 3, 5, ... for the values of vocab in order, even ones for others between them."""
+    return sum((flag(col("STATUS") > v) + flag(col("STATUS") >= v) for v in vocab), F.lit(0))
+
+
 def month_history(months: DataFrame, vocab: dict[str, list[str]]) -> DataFrame:
-    """One row for each loan: statistics over its month rows, from which :func:`month_columns` follow."""
-    month = col("MONTHS_BALANCE")
+    """One row for each loan: statistics over its month rows, from which :func:`month_columns` follow.
+
+    The first and the last known state are numbers, put behind whole months in one number, as sums of numbers alone need no sort."""
+    month, known, n = col("MONTHS_BALANCE"), F.when(col("STATUS").isNotNull(), status_code(vocab["STATUS"])), 2 * len(vocab["STATUS"]) + 1
+    if isinstance(months.schema["MONTHS_BALANCE"].dataType, T.IntegralType):
+        place = month.cast("bigint") * n + known
+        ends = [F.pmod(F.min(place), F.lit(n)), F.pmod(F.max(place), F.lit(n))]
+    else:
+        ends = [first_known(known, F.struct(month, known)), last_known(known, F.struct(month, known))]
     extra = [
-        first_known(col("STATUS"), F.struct(month, col("STATUS"))).alias("__first"),
-        last_known(col("STATUS"), F.struct(month, col("STATUS"))).alias("__last"),
+        ends[0].alias("__first"),
+        ends[1].alias("__last"),
         F.abs(F.min(month)).alias("Month"),
         F.abs(F.min(F.when(col("STATUS") == "C", month))).alias("When_closed"),
     ] + [F.count(F.when(col("STATUS") == str(k), month)).alias(f"__d{k}") for k in range(6)]
     return aggregate(months, [LOAN], recipes("", {"MONTHS_BALANCE": ["min", "max", "size"]}) + shares({"STATUS": vocab["STATUS"]}, ""), extra=extra)
 
 
-def month_columns(history: list[str], vocab: dict[str, list[str]]) -> list[Column]:
-    """Columns of a loan from those of its history, named `history`; all are NULL without one.
+def month_columns(history: list[str], vocab: dict[str, list[str]]) -> dict[str, Column | str]:
+    """Columns of a loan from those of its history, named `history`, by name; a name stands for the column of that name. All are
+    NULL without a history.
 
     A loan's own values are the same on all its month rows, so their minimum, maximum are the value itself."""
     size = F.col("MONTHS_BALANCE_SIZE")
@@ -93,18 +109,15 @@ def month_columns(history: list[str], vocab: dict[str, list[str]]) -> list[Colum
         values[f"DPD_{k}_cnt"] = counts[f"DPD_{k}_cnt"]
         values[f"DPD_{k} / Month"] = ratio(counts[f"DPD_{k}_cnt"], F.col("Month"))
     values["Non_zero_DPD_cnt"] = F.when(there, sum((F.coalesce(counts[f"DPD_{k}_cnt"], F.lit(0)) for k in range(1, 6)), F.lit(0)))
-    made = []
-    for n, v in values.items():
-        made += [v.alias(f"{n}_MIN"), v.alias(f"{n}_MAX"), size.alias(f"{n}_SIZE")]
-    loan = F.when(there, F.col(LOAN))
-    own = [loan.alias(f"{LOAN}_MIN"), loan.alias(f"{LOAN}_MAX"), size.alias(f"{LOAN}_SIZE")]
-    kept = [col(c) for c in history if not c.startswith("__") and c not in (LOAN, "Month", "When_closed")]
-    firsts = []
+    kept = [c for c in history if not c.startswith("__") and c not in (LOAN, "Month", "When_closed")]
+    made = {c: col(c) for c in kept[:3]}
+    for n, v in {LOAN: F.when(there, F.col(LOAN)), **{c: None for c in kept[3:]}, **values}.items():
+        made |= {n: col(n)} if v is None else {f"{n}_MIN": v, f"{n}_MAX": f"{n}_MIN", f"{n}_SIZE": "MONTHS_BALANCE_SIZE"}
     for name, source in (("First_status", "__first"), ("Last_status", "__last")):
         for v in vocab["STATUS"]:
-            firsts.append(F.when(there, F.coalesce(F.col(source) == v, F.lit(False)).cast("double")).alias(f"{name}_{v}_MEAN"))
-        firsts.append(F.when(there, F.col(source).isNull().cast("double")).alias(f"{name}_nan_MEAN"))
-    return [*kept[:3], *own, *kept[3:], *made, *firsts]
+            made[f"{name}_{v}_MEAN"] = F.when(there, F.coalesce(F.col(source) == 2 * sorted(vocab["STATUS"]).index(v) + 1, F.lit(False)).cast("double"))
+        made[f"{name}_nan_MEAN"] = F.when(there, F.col(source).isNull().cast("double"))
+    return made
 
 
 def without_outliers(loans: DataFrame) -> DataFrame:
@@ -134,22 +147,31 @@ DIFFERENCES = [
 ]
 
 
-@feature("BureauFeaturesAntonova")
-def antonova(sources, conf) -> DataFrame:
+def antonova_rows(sources, conf) -> dict:
+    """What :func:`plans.fusion.aggregate` makes the set of."""
     months, loans = sources["bureau_balance"], sources["bureau"]
     month_vocab, loan_vocab = vocab_of(months, conf), vocab_of(loans, conf)
     df = without_outliers(loans)
     history = month_history(months, month_vocab)
     joined = df.join(history, LOAN, "left")
-    own, of_months = df.columns, history.columns
+    of_months = month_columns(history.columns, month_vocab)
+    differences = {f"bureau {a} - {b}": col(a) - col(b) for a, b in DIFFERENCES}
+    unseen = set(history.columns) - {LOAN}
 
     def derive(rows: DataFrame) -> DataFrame:
-        differences = [(col(a) - col(b)).alias(f"bureau {a} - {b}") for a, b in DIFFERENCES]
-        return rows.select(*map(col, own), *differences, *month_columns(of_months, month_vocab))
+        made = {**differences, **{n: c for n, c in of_months.items() if not isinstance(c, str)}}
+        return rows.select(*[col(c) for c in rows.columns if c not in unseen], *[c.alias(n) for n, c in made.items()])
 
-    numeric = [c for c in derive(joined).columns if c not in (LOAN, *loan_vocab)]
     aggs = []
     for prefix, where in (("BURO_", None), ("ACTIVE_", ACTIVE), ("CLOSED_", CLOSED)):
-        aggs += recipes(prefix, {c: SIX for c in numeric}, where)
+        for c in (*df.columns, *differences, *of_months):
+            if c not in (LOAN, *loan_vocab):
+                same = of_months.get(c)
+                aggs += [replace(a, source=same if isinstance(same, str) else c) for a in recipes(prefix, {c: SIX}, where)]
         aggs += [Agg(f"{prefix}{n}_MEAN", "mean", where=where, expr=e) for n, e in dummies(loan_vocab).items()]
-    return aggregate(joined, [CLIENT], aggs, derive=derive, keyed=df)
+    return {"df": joined, "keys": [CLIENT], "aggs": aggs, "derive": derive, "keyed": df}
+
+
+@feature("BureauFeaturesAntonova")
+def antonova(sources, conf) -> DataFrame:
+    return aggregate(**antonova_rows(sources, conf))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.encode import categoricals, pair_counts, target_encode, target_encode_folds, value_counts
-from ..selection import clean_data
+from ..plans.fusion import blocks_of
+from ..selection import clean_blocks, clean_data
 from ..sources.credit import CLIENT, TARGET
 from . import build, feature
+from .bureau import antonova_rows
 
 CHILDREN = {
     "Bureau": "bureau",
@@ -15,6 +17,8 @@ CHILDREN = {
     "PosCash": "pos_cash",
     "CreditCardBalance": "credit_card",
 }
+#: Sets of very many columns, which are cleaned before a table is made of them.
+IN_BLOCKS = {"Bureau": antonova_rows}
 
 
 @feature("ApplicationFeaturesSingleValueCounts")
@@ -54,10 +58,14 @@ def _cleaned(name: str) -> None:
     def make(sources, conf) -> DataFrame:
         """The set without its useless columns, with the target. Unless conf says otherwise, columns that models of the target
         don't need go, too."""
-        from ..models import target_model
+        from ..models import target_model, target_model_of_blocks
 
+        by_model = conf.get("clean_by_model", True)
+        if name in IN_BLOCKS:
+            blocks = blocks_of(sources.base, TARGET, **IN_BLOCKS[name](sources, conf))
+            return clean_blocks(sources.base, blocks, CLIENT, TARGET, target_model_of_blocks if by_model else None)
         df = sources.base.join(build(f"{name}FeaturesAntonova", sources, conf), CLIENT, "left")
-        return clean_data(df, CLIENT, TARGET, target_model if conf.get("clean_by_model", True) else None)
+        return clean_data(df, CLIENT, TARGET, target_model if by_model else None)
 
 
 for _name, _table in CHILDREN.items():

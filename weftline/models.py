@@ -12,12 +12,13 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .nulls import col, finite_or_zero
+from .operators.blocks import Blocks, class_vectors
 from .operators.folds import fold_of
 from .operators.ranking import auc, class_comparison
 from .selection import numeric
@@ -369,7 +370,17 @@ def target_model(train: DataFrame, columns: list[str], target: str = TARGET, par
     place = {c: i for i, c in enumerate(columns)}
     rows = prepared(train, target, target, columns, False).withColumn("label", col(target).cast("double"))
     vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(len(columns))], outputCol="all", handleInvalid="keep")
-    table = settle(vectors.transform(rows).select("label", "all"), "vectors")
+    return answers(settle(vectors.transform(rows).select("label", "all"), "vectors"), place, params)
+
+
+def target_model_of_blocks(blocks: Blocks, columns: list[str], params: Mapping | None = None):
+    """:func:`target_model` of the columns of blocks, which become a vector without a table of as many columns."""
+    rows = class_vectors(blocks, columns, MISSING).select("label", array_to_vector("all").alias("all"))
+    return answers(settle(rows, "vectors"), {c: i for i, c in enumerate(columns)}, params)
+
+
+def answers(table: DataFrame, place: Mapping[str, int], params: Mapping | None):
+    """What :func:`target_model` gives, of (label, all): vectors in which the columns have these places."""
     both = table.agg(F.min("label"), F.max("label")).first()
 
     def ask(of: list[str]) -> tuple[float, list[str]]:

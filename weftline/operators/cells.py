@@ -37,6 +37,25 @@ def evenly(x: np.ndarray, n: int) -> np.ndarray:
     return x if len(x) <= n else x[np.linspace(0, len(x) - 1, n).astype(np.int64)]
 
 
+def cut_points(points: list[bytes], sizes: list[int], ranges: int) -> np.ndarray:
+    """Bounds of about `ranges` ranges of as many values each, from points at even distances in parts of these sizes."""
+    parts = [np.frombuffer(p) for p in points]
+    weight = np.concatenate([np.full(len(p), n / len(p)) for p, n in zip(parts, sizes)])
+    x = np.concatenate(parts)
+    order = np.argsort(x)
+    below = np.cumsum(weight[order])
+    at = np.searchsorted(below, below[-1] * np.arange(1, ranges) / ranges)
+    return np.unique(x[order][np.minimum(at, len(x) - 1)])
+
+
+def merged(x: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """The distinct ones of values, which may be runs in order, and the sums of their counts."""
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) & ~np.isnan(x[:-1]))))
+    return [x[new], *(np.add.reduceat(n[order], new) for n in counts)]
+
+
 def range_bounds(df: DataFrame, columns: list[str], flag: str, ranges: int) -> list[np.ndarray]:
     """Bounds that cut each column into `ranges` ranges of about as many values. They only deal out the work: whatever they are,
     what is made by ranges is exact."""
@@ -55,13 +74,8 @@ def range_bounds(df: DataFrame, columns: list[str], flag: str, ranges: int) -> l
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([n[i] for i in there], pa.int64()), pa.array(made, pa.binary())], names=["c", "n", "points"])
 
     def bounds(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(p) for p in table["points"].to_pylist()]
-        weight = np.concatenate([np.full(len(p), n / len(p)) for p, n in zip(parts, table["n"].to_pylist())])
-        x = np.concatenate(parts)
-        order = np.argsort(x)
-        below = np.cumsum(weight[order])
-        at = np.searchsorted(below, below[-1] * np.arange(1, ranges) / ranges)
-        return pa.table({"c": table["c"][:1].cast(pa.int32()), "bounds": pa.array([np.unique(x[order][np.minimum(at, len(x) - 1)]).tolist()], pa.list_(pa.float64()))})
+        made = cut_points(table["points"].to_pylist(), table["n"].to_pylist(), ranges)
+        return pa.table({"c": table["c"][:1].cast(pa.int32()), "bounds": pa.array([made.tolist()], pa.list_(pa.float64()))})
 
     found = doubles(df, columns, flag).mapInArrow(points, "c int, n bigint, points binary").groupBy("c").applyInArrow(bounds, "c int, bounds array<double>")
     of = {r.c: np.array(r.bounds, float) for r in found.collect()}  # a row for each column
@@ -155,10 +169,7 @@ def range_ranks(cells: DataFrame, places: dict[tuple[int, int], list[tuple[int,
         parts = [(np.frombuffer(x), a, b) for x, a, b in zip(*(table[k].to_pylist() for k in ("x", "n0", "n1")))]
         x = np.concatenate([p[0] for p in parts])
         n0, n1 = (np.concatenate([_counts(p[k], len(p[0])) for p in parts]) for k in (1, 2))
-        order = np.argsort(x)
-        x, n0, n1 = x[order], n0[order], n1[order]
-        new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) & ~np.isnan(x[:-1]))))
-        x, n0, n1 = x[new], np.add.reduceat(n0, new), np.add.reduceat(n1, new)
+        x, n0, n1 = merged(x, n0, n1)
         n = n0 + n1
         s = float((n1 * (np.cumsum(n) - n + (n + 1) / 2)).sum())
         ends, at = (np.cumsum(n0), np.cumsum(n1)), ([], [])

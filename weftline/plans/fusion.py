@@ -23,15 +23,19 @@ over HOT rows are summed up by the aggregation.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.aggregates import AGGREGATES, trend
 from ..nulls import col
+from ..operators.blocks import SCHEMA, Blocks, class_of, packed, packed_rows
+from ..settle import settle, short_methods
 from .moments import Moments
 from .newest import Newest
 
@@ -155,6 +159,18 @@ def gathered(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[
     """:func:`aggregate` from the rows of each key side by side, in `parts` tasks if a shuffle has fewer. Derived columns are made
     after the shuffle; a task sorts its rows and then holds a batch of them and the moments of one key. With an order, which may be
     empty, statistics need not be moments and may look at the last rows; a task then holds the rows of one key at least."""
+    rows, runs, schema = run_of_keys(df, keys, aggs, derive, parts, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return runs.over(batches)
+
+    return rows.mapInArrow(run, schema)
+
+
+def run_of_keys(
+    df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[DataFrame], DataFrame], parts: int, order: list[Column] | None = None
+) -> tuple[DataFrame, Moments | Newest, T.StructType]:
+    """(values and conditions of rows that lie side by side by key, what sums them up, the columns made)."""
     sorted_ = derive(dealt_by_key(df, keys, parts).sortWithinPartitions(*map(col, keys), *(order or [])))
     values = list(dict.fromkeys((a.source, a.expr) for a in aggs))
     tests = [w for w in dict.fromkeys(a.where for a in aggs) if w]
@@ -176,11 +192,51 @@ def gathered(df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[
         runs = Moments(len(keys), len(values), [(f, i, k, or_null) for f, i, k, _, or_null in wanted], names, types)
     else:
         runs = Newest(len(keys), len(values), wanted, names, types)
+    return rows, runs, T.StructType([*[sorted_.schema[k] for k in keys], *made])
+
+
+def blocks_of(
+    base: DataFrame, flag: str, df: DataFrame, keys: list[str], aggs: list[Agg], derive: Callable[[DataFrame], DataFrame] | None = None, keyed: DataFrame | None = None, hot: int = HOT
+) -> Blocks:
+    """base, a row for each key with its flag, left joined to the moments of its rows in df, as blocks that are written.
+
+    Such a table never has its hundreds of columns for Spark: base's rows are sorted in beside those of their keys, and tasks put
+    what they sum up into blocks. Equal statistics of the same values are made once. derive keeps columns that it doesn't know."""
+    (key,), derive = keys, derive or (lambda d: d)
+    few, many, parts = split_by_size(df.filter(col(key).isNotNull()), keys, df if keyed is None else keyed, hot, IN_TASK)
+    cells: dict[tuple, int] = {}
+    place = {a.name: cells.setdefault((a.func, *((None, None) if a.func == "size" else (a.source, a.expr)), a.where, bool(a.where and not a.empty_is_null)), len(cells)) for a in aggs}
+    once = list({place[a.name]: a for a in reversed(aggs)}.items())
+    once = [a for _, a in sorted(once, key=lambda x: x[0])]
+
+    there = base.filter(col(key).isNotNull()).select(col(key), class_of(flag).alias("__class"))
+    table = None
+    if many is not None:
+        large = many.select(col(key)).distinct()
+        hot_rows = base.join(F.broadcast(large), key, "left_semi").join(turned(derive(many), keys, once), key, "left")
+        table = packed_rows(hot_rows, [a.name for a in once], flag, key, 1 << 60)
+        there = there.join(F.broadcast(large), key, "left_anti")
+    rows = few.withColumn("__there", F.lit(True)).unionByName(there.withColumn("__there", F.lit(False)), allowMissingColumns=True)
+    own = [replace(a, where=f"__there and ({a.where})" if a.where else "__there") for a in once]
+    own += [Agg("__class", "max", "__class"), Agg("__of_base", "size", where="not __there"), Agg("__own", "size", where="__there")]
+    values, runs, schema = run_of_keys(rows, keys, own, derive, parts)
+    or_zero = [i for i, a in enumerate(once) if not a.empty_is_null]  # but not of a key without rows
+
+    def part(keys: list[pa.Array], moments: dict) -> tuple:
+        *made, (classes, _), (of_base, _), (own, _) = runs.statistics(moments)
+        for i in or_zero:
+            made[i] = made[i][0], made[i][1] | (own == 0)
+        at = slice(None) if (of_base > 0).all() else of_base > 0
+        return keys[0].to_numpy()[at], classes[at].astype(np.int64), [(x[at].astype(np.float64), ~missing[at]) for x, missing in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return runs.over(batches)
+        return packed(runs.over(batches, part), TaskContext.get().partitionId() << 20)
 
-    return rows.mapInArrow(run, T.StructType([*[sorted_.schema[k] for k in keys], *made]))
+    found = values.mapInArrow(run, SCHEMA)
+    with short_methods(base.sparkSession):
+        table = settle(found if table is None else found.union(table), "blocks")
+    kinds = {f.name: f.dataType.simpleString() for f in schema}
+    return Blocks(table, place, {a.name: kinds[once[place[a.name]].name] for a in aggs})
 
 
 def turned(df: DataFrame, keys: list[str], aggs: list[Agg]) -> DataFrame:

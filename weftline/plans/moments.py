@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,9 @@ class Moments:
         self.cells = list(dict.fromkeys((i, k) for _, i, k, _ in wanted))
         self.tests = list(dict.fromkeys(k for _, k in self.cells))
 
-    def over(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+    def over(self, batches: Iterator[pa.RecordBatch], made: Callable | None = None) -> Iterator:
+        """What `made`, else :meth:`rows`, makes of keys and their moments."""
+        last, made = None, made or self.rows
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -33,13 +34,13 @@ class Moments:
                 if all(a[0] == b[0] for a, b in zip(last[0], keys)):
                     self.merge(last[1], moments)
                 else:
-                    yield self.rows(*last)
+                    yield made(*last)
             n = len(keys[0]) - 1
             if n:
-                yield self.rows([k.slice(0, n) for k in keys], {c: m[:, :n] for c, m in moments.items()})
+                yield made([k.slice(0, n) for k in keys], {c: m[:, :n] for c, m in moments.items()})
             last = [k.slice(n) for k in keys], {c: m[:, n:].copy() for c, m in moments.items()}
         if last is not None:
-            yield self.rows(*last)
+            yield made(*last)
 
     def of(self, batch: pa.RecordBatch) -> tuple[list[pa.Array], dict]:
         """The batch's keys, and by (value, condition) a matrix of count, sum, squared deviations, least and greatest; by a condition
@@ -75,10 +76,10 @@ class Moments:
             y[0], y[1], y[3], y[4] = n, y[1] + x[1], np.fmin(x[3], y[3]), np.maximum(x[4], y[4])
             y[2][y[3] == y[4]] = 0.0
 
-    def rows(self, keys: list[pa.Array], moments: dict) -> pa.RecordBatch:
-        columns = list(keys)
+    def statistics(self, moments: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(values, which are missing) of each statistic that is wanted."""
         with np.errstate(divide="ignore", invalid="ignore"):
-            for (func, i, k, or_null), kind in zip(self.wanted, self.kinds):
+            for func, i, k, or_null in self.wanted:
                 n, total, squares, least, most = moments[i, k]
                 size = moments[k][0]
                 if func in ("size", "count", "sum"):
@@ -88,9 +89,14 @@ class Moments:
                     value = np.sqrt(value) if func == "std" else value
                 else:
                     value, missing = {"mean": total / n, "min": least, "max": most}[func], n == 0
-                if kind != "double":
-                    value = np.where(missing, 0, value).astype(TYPES[kind].to_pandas_dtype())
-                columns.append(pa.array(value, TYPES[kind], mask=missing))
+                yield value, missing
+
+    def rows(self, keys: list[pa.Array], moments: dict) -> pa.RecordBatch:
+        columns = list(keys)
+        for (value, missing), kind in zip(self.statistics(moments), self.kinds):
+            if kind != "double":
+                value = np.where(missing, 0, value).astype(TYPES[kind].to_pandas_dtype())
+            columns.append(pa.array(value, TYPES[kind], mask=missing))
         return pa.RecordBatch.from_arrays(columns, names=[f"k{j}" for j in range(self.n_keys)] + self.names)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .nulls import col, ratio
+from .operators.blocks import Blocks, class_sizes, compared, unpacked
 from .operators.cells import column_summary
 from .operators.ranking import NO_TEST, class_comparison, rank_sum, value_ranks
 from .settle import settle
@@ -46,26 +47,35 @@ def difference_stats(df: DataFrame, columns: list[str], flag: str, overall: Data
     if not columns:
         return {}
     n_rows = df.filter(col(flag).isNotNull()).count()
-    compared = {r.c: r for r in class_comparison(df, flag, columns, written=written).collect()}  # one row for each column
+    of = {r.c: r for r in class_comparison(df, flag, columns, written=written).collect()}  # one row for each column
     means = {i: m for i, (_, _, m) in column_summary(overall or df, columns).items()}
     out = {}
     for i, c in enumerate(columns):
-        r, m = compared.get(i), means.get(i)
-        d = math.nan
-        if r is not None:
-            binary = r.n == n_rows and not r.others and r.least == 0 and r.most == 1
-            a, b = (r.mean0, r.mean1) if binary else (r.median0, r.median1)
-            d = math.nan if a is None or b is None else abs(a - b)
-        norm = math.nan if m is None else abs(d / m) if m else (math.nan if d == 0 else math.inf)
-        out[c] = (d, norm, rank_sum(r.rank_sum, r.n1, r.n)[1] if r is not None else NO_TEST)
+        out[c] = difference(of.get(i), n_rows, means.get(i))
     return out
 
 
+def difference(r, n_rows: int, mean: float | None) -> tuple[float, float, float]:
+    """(difference, difference over the mean, p) of a column compared between classes of n_rows rows; r is None without a value."""
+    d = math.nan
+    if r is not None:
+        binary = r.n == n_rows and not r.others and r.least == 0 and r.most == 1
+        a, b = (r.mean0, r.mean1) if binary else (r.median0, r.median1)
+        d = math.nan if a is None or b is None else abs(a - b)
+    norm = math.nan if mean is None else abs(d / mean) if mean else (math.nan if d == 0 else math.inf)
+    return d, norm, rank_sum(r.rank_sum, r.n1, r.n)[1] if r is not None else NO_TEST
+
+
 def useless(diff: float, norm: float, p: float) -> bool:
     """Columns that don't tell the classes apart."""
     return p > P_LIMIT and (diff == 0 or norm < DIFF_LIMIT)
 
 
+def of_split(by_target: tuple[float, float, float], by_split: tuple[float, float, float]) -> bool:
+    """Columns that tell training rows from others only."""
+    return by_split[1] > TEST_DIFF_LIMIT and by_target[1] == 0 and by_split[2] < TEST_P_LIMIT
+
+
 def not_needed(columns: list[str], ask, limit: float = AUC_LIMIT) -> list[str]:
     """What is left of columns once a model of the rest is no better than `limit`.
 
@@ -99,13 +109,32 @@ def clean_data(df: DataFrame, key: str = CLIENT, target: str = TARGET, model=Non
     left = [c for c in columns if c not in gone]
     marked = df.withColumn("__is_train", col(target).isNotNull().cast("int"))
     by_split = difference_stats(marked, left, "__is_train", written=True)
-    gone |= {c for c in left if by_split[c][1] > TEST_DIFF_LIMIT and by_target[c][1] == 0 and by_split[c][2] < TEST_P_LIMIT}
+    gone |= {c for c in left if of_split(by_target[c], by_split[c])}
     left = [c for c in left if c not in gone]
     if model is not None and left:
         gone |= set(not_needed(left, model(train, left, target)))
     return df.drop(*gone)
 
 
+def clean_blocks(base: DataFrame, blocks: Blocks, key: str = CLIENT, target: str = TARGET, model=None) -> DataFrame:
+    """:func:`clean_data` of base (key, target), left joined to what `blocks` holds of its keys; columns of the same values are
+    compared once, and a table is made of the columns that stay. model, such as :func:`models.target_model_of_blocks`, takes the
+    blocks and columns."""
+    found, (n0, n1, other) = compared(blocks.table), class_sizes(blocks.table)
+    left = []
+    for c, i in blocks.place.items():
+        if i not in found or found[i][0][0] == found[i][0][1]:
+            continue
+        (_, _, mean), by_class, by_known = found[i]
+        by_target, by_split = difference(by_class, n0 + n1, mean), difference(by_known, n0 + n1 + other, mean)
+        if not useless(*by_target) and not of_split(by_target, by_split):
+            left.append(c)
+    if model is not None and left:
+        gone = set(not_needed(left, model(blocks, left)))
+        left = [c for c in left if c not in gone]
+    return base.join(unpacked(blocks, left, key, target).drop(target), key, "left") if left else base
+
+
 def null_importance_gain(actual: DataFrame, null: DataFrame, importance: str = "importance_gain") -> DataFrame:
     """(feature, score): ln(1e-10 + mean actual / (1 + 75th percentile of those with shuffled targets))."""
     a = actual.groupBy("feature").agg(F.avg(importance).alias("a"))
@@ -141,4 +170,4 @@ def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[col(c) for c in df.columns if c not in set(names)])
 
 
-__all__ = ["clean_data", "constant_columns", "difference_stats", "drop_columns", "null_importance_gain", "null_importance_share", "ratio", "value_ranks"]
+__all__ = ["clean_blocks", "clean_data", "constant_columns", "difference_stats", "drop_columns", "null_importance_gain", "null_importance_share", "ratio", "value_ranks"]
